@@ -21,7 +21,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.functions.text import WS_CHARS
@@ -30,6 +30,7 @@ NODE = (
     "struct<idx:int,parent:int,end:int,sib:int,tag:string,id:string,classes:array<string>,"
     "attrs:map<string,string>,c0:int,clen:int,r0:int,rlen:int,wide:int>"
 )
+DOM_FIELDS = ("title", "body", "text", "ctext", "nodes")
 DOM = f"struct<title:string,body:int,text:string,ctext:string,nodes:array<{NODE}>>"
 
 # Element sets of the HTML parsing rules that are applied here.
@@ -381,3 +382,10 @@ def parse_html(source: Column, attributes: Iterable[str]) -> Column:
         return _to_arrow(pages, keep)
 
     return to_dom(source)
+
+
+def with_dom(pages: DataFrame, attributes: Iterable[str]) -> DataFrame:
+    """Replace ``html`` by ``dom_title``, ``dom_body``, ``dom_text``, ``dom_ctext``, ``dom_nodes``."""
+    parsed = pages.withColumn("_dom", parse_html(F.col("html"), attributes))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c != "html"]
+    return parsed.select(*kept, *[F.col(f"_dom.{f}").alias(f"dom_{f}") for f in DOM_FIELDS])

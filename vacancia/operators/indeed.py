@@ -16,6 +16,7 @@ from vacancia.operators.selectors import (
     raw_text_of,
     text_of,
 )
+from vacancia.operators.stages import stage
 from vacancia.operators.structural import largest, raw_units, tag_in
 from vacancia.schemas import MIN_DESCRIPTION, POSTING, UNKNOWN_COMPANY, UNKNOWN_TITLE
 
@@ -85,10 +86,10 @@ def detail_pane(dom: str) -> str:
     Without a known pane it is the largest block that neither lies in the list
     of jobs nor wraps it.
     """
-    nodes = f"{dom}.nodes"
+    nodes = f"{dom}_nodes"
     touching = f"({contains('li', 'n')} OR {contains('n', 'li')})"
     apart = (
-        f"filter({nodes}, n -> n.idx > {dom}.body AND {tag_in('n', PANE_TAGS)}"
+        f"filter({nodes}, n -> n.idx > {dom}_body AND {tag_in('n', PANE_TAGS)}"
         f" AND {raw_units('n')} >= {MIN_DESCRIPTION} AND (li IS NULL OR NOT {touching}))"
     )
     biggest = let("li", query_first(nodes, LIST), largest(apart, raw_units))
@@ -104,10 +105,11 @@ def detail_pane(dom: str) -> str:
 def headings(dom: str, pane: str, description: str, tags: tuple[str, ...]) -> str:
     """Texts of the pane's headings outside the description, in document order."""
     wanted = (
-        f"filter({dom}.nodes, n -> {tag_in('n', tags)} AND {inside(pane, 'n')}"
-        f" AND ({description} IS NULL OR NOT {contains(description, 'n')}))"
+        f"filter({dom}_nodes, n -> {tag_in('n', tags)} AND {inside('w', 'n')}"
+        f" AND (ds IS NULL OR NOT {contains('ds', 'n')}))"
     )
-    return f"transform({wanted}, n -> {text_of(dom, 'n')})"
+    texts = f"transform({wanted}, n -> {text_of(dom, 'n')})"
+    return let("w", pane, let("ds", description, texts))
 
 
 def first_title(texts: Column) -> Column:
@@ -120,52 +122,50 @@ def first_title(texts: Column) -> Column:
 
 
 def with_indeed_posting(pages: DataFrame, wanted: Column, source_url: Column) -> DataFrame:
-    """Add ``_indeed`` (``struct(status, posting)``) to ``wanted`` rows with ``dom``.
+    """Add ``_indeed`` (a posting or null) and ``_indeed_status`` to ``wanted`` parsed rows.
 
     The pane and the description element are found once, as columns of their
     own; every field is then read inside the pane.
     """
-    nodes, pane = "dom.nodes", "_pane.node"
+    nodes, pane = "dom_nodes", "_pane"
 
     def chain(selectors: tuple[str, ...]) -> Column:
         return F.expr(chain_text("dom", selectors, within=pane))
 
-    staged = (
-        pages.withColumn("_pane", F.when(wanted, F.expr(detail_pane("dom"))))
-        .withColumn("_open", F.col("_pane").isNotNull())
-        .withColumn(
-            "_loading",
-            F.col("_open") & F.expr(f"{query_first(nodes, SKELETON, within=pane)} IS NOT NULL"),
-        )
-        .withColumn(
-            "_body", F.when(F.col("_open"), F.expr(query_first(nodes, DESCRIPTION, within=pane)))
-        )
-        .withColumn(
-            "_text",
-            F.when(
-                F.col("_open"),
-                F.coalesce(F.expr(text_of("dom", "_body")), F.expr(text_of("dom", pane))),
-            ),
-        )
-        .withColumn(
-            "_ok",
-            F.col("_open")
-            & ~F.col("_loading")
-            & F.coalesce(at_least(F.col("_text"), MIN_DESCRIPTION), F.lit(False)),
-        )
-        .withColumn(
-            "_pay",
-            F.when(
-                F.col("_ok"),
-                F.coalesce(chain(SALARY), pay_text(F.expr(raw_text_of("dom", pane)), PAY_INDEED)),
-            ),
-        )
-        .withColumn("_h1", F.expr(headings("dom", pane, "_body", ("h1",))))
-        .withColumn("_h23", F.expr(headings("dom", pane, "_body", ("h2", "h3"))))
+    staged = stage(pages, _found=F.when(wanted, F.expr(detail_pane("dom"))))
+    staged = staged.select("*", F.col("_found.node").alias("_pane"), F.col("_found.tier").alias("_tier"))
+    is_open = F.col("_pane").isNotNull()
+    skeleton = query_first(nodes, SKELETON, within=pane)
+    staged = stage(
+        staged,
+        _loading=is_open & F.expr(f"{skeleton} IS NOT NULL"),
+        _body=F.when(is_open, F.expr(query_first(nodes, DESCRIPTION, within=pane))),
+    )
+    staged = stage(
+        staged,
+        _text=F.when(
+            is_open & ~F.col("_loading"),
+            F.coalesce(F.expr(text_of("dom", "_body")), F.expr(text_of("dom", pane))),
+        ),
+    )
+    staged = stage(staged, _ok=F.coalesce(at_least(F.col("_text"), MIN_DESCRIPTION), F.lit(False)))
+    ok = F.col("_ok")
+    staged = stage(
+        staged,
+        _pay=F.when(
+            ok, F.coalesce(chain(SALARY), pay_text(F.expr(raw_text_of("dom", pane)), PAY_INDEED))
+        ),
+        _title=F.when(ok, clean_title(chain(TITLE))),
+    )
+    untitled = ok & F.col("_title").isNull()
+    staged = stage(
+        staged,
+        _h1=F.when(untitled, F.expr(headings("dom", pane, "_body", ("h1",)))),
+        _h23=F.when(untitled, F.expr(headings("dom", pane, "_body", ("h2", "h3")))),
     )
     posting = F.struct(
         F.coalesce(
-            clean_title(chain(TITLE)),
+            F.col("_title"),
             first_title(F.col("_h1")),
             first_title(F.col("_h23")),
             F.lit(UNKNOWN_TITLE),
@@ -175,17 +175,18 @@ def with_indeed_posting(pages: DataFrame, wanted: Column, source_url: Column) ->
         pay_range(F.col("_pay")).alias("salary"),
         F.col("_text").alias("description_text"),
         source_url.alias("source_url"),
-        F.col("_pane.tier").alias("container_tier"),
+        F.col("_tier").alias("container_tier"),
         F.lit(None).alias("detection"),
     )
     status = (
         F.when(F.col("_loading"), F.lit("loading"))
-        .when(F.col("_ok"), F.lit("ok"))
+        .when(ok, F.lit("ok"))
         .otherwise(F.lit("not-found"))
     )
-    read = F.struct(
-        status.alias("status"), F.when(F.col("_ok"), posting).cast(POSTING).alias("posting")
-    )
-    return staged.withColumn("_indeed", F.when(wanted, read)).drop(
-        "_pane", "_open", "_loading", "_body", "_text", "_ok", "_pay", "_h1", "_h23"
+    return stage(
+        staged,
+        _indeed=F.when(ok, posting).cast(POSTING),
+        _indeed_status=F.when(wanted, status),
+    ).drop(
+        "_found", "_pane", "_tier", "_loading", "_body", "_text", "_ok", "_pay", "_title", "_h1", "_h23"
     )

@@ -48,7 +48,7 @@ def _items(value: str) -> str:
 
 def blocks(dom: str) -> str:
     """Parsed blocks in document order, without empty and malformed ones."""
-    texts = f"transform({query_all(f'{dom}.nodes', SCRIPT)}, n -> {raw_text_of(dom, 'n')})"
+    texts = f"transform({query_all(f'{dom}_nodes', SCRIPT)}, n -> {raw_text_of(dom, 'n')})"
     parsed = f"transform(filter({texts}, t -> t != ''), t -> try_parse_json(t))"
     return f"filter({parsed}, v -> v IS NOT NULL)"
 

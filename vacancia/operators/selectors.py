@@ -1,4 +1,4 @@
-"""Selector chains over ``dom.nodes``, as Spark SQL text.
+"""Selector chains over ``dom_nodes``, as Spark SQL text.
 
 Selectors are written in the dialect the adapters use: ``tag``, ``#id``,
 ``.class``, ``[attr="v"]`` and compounds of them, ``:first-child``,
@@ -123,21 +123,22 @@ def query_first(nodes: str, chain: Sequence[str], within: str | None = None) ->
     def first(selector: str) -> str:
         found = query_all(nodes, selector)
         if within is not None:
-            found = f"filter({found}, n -> {inside(within, 'n')})"
+            found = f"filter({found}, n -> {inside('w', 'n')})"
         return f"get({found}, 0)"
 
-    return f"coalesce({', '.join(first(s) for s in chain)})"
+    matches = f"coalesce({', '.join(first(s) for s in chain)})"
+    return matches if within is None else let("w", within, matches)
 
 
 def text_of(dom: str, node: str) -> str:
     """Collapsed text of a node; null when the node is missing or empty."""
-    return let("x", node, f"nullif(substring({dom}.ctext, x.c0 + 1, x.clen), '')")
+    return let("x", node, f"nullif(substring({dom}_ctext, x.c0 + 1, x.clen), '')")
 
 
 def raw_text_of(dom: str, node: str) -> str:
     """Text of a node with white space as captured, trimmed."""
-    return let("x", node, f"substring({dom}.text, x.r0 + 1, x.rlen)")
+    return let("x", node, f"substring({dom}_text, x.r0 + 1, x.rlen)")
 
 
 def chain_text(dom: str, chain: Sequence[str], within: str | None = None) -> str:
-    return text_of(dom, query_first(f"{dom}.nodes", chain, within))
+    return text_of(dom, query_first(f"{dom}_nodes", chain, within))

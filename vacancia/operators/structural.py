@@ -31,7 +31,7 @@ def largest(nodes: str, size) -> str:
 def largest_block(dom: str) -> str:
     """Largest block element by collapsed text, when it is long enough."""
     blocks = (
-        f"filter({dom}.nodes, n -> n.idx > {dom}.body AND {tag_in('n', BLOCK_TAGS)}"
+        f"filter({dom}_nodes, n -> n.idx > {dom}_body AND {tag_in('n', BLOCK_TAGS)}"
         f" AND {units('n')} >= {MIN_STRUCTURAL})"
     )
     return largest(blocks, units)
@@ -44,7 +44,7 @@ def tighten(dom: str, block: str) -> str:
     do form a chain and its last member in document order is the innermost.
     """
     holds = f"{units('n')} >= {units('bl')} * CAST({DOMINANT_SHARE} AS DOUBLE)"
-    chain = f"filter({dom}.nodes, n -> {contains('bl', 'n')} AND {holds})"
+    chain = f"filter({dom}_nodes, n -> {contains('bl', 'n')} AND {holds})"
     return let("bl", block, f"CASE WHEN bl IS NOT NULL THEN try_element_at({chain}, -1) END")
 
 
@@ -52,8 +52,8 @@ def guess_title(dom: str, container: str) -> str:
     """Text of the container's or the page's first h1, else the page title's
     first part, else the sentinel."""
     pick = f"coalesce(get(filter(hs, n -> {inside(container, 'n')}), 0), get(hs, 0))"
-    heading = let("hs", f"filter({dom}.nodes, n -> n.tag = 'h1')", pick)
-    page_title = f"nullif(trim(split({dom}.title, '[|–—-]')[0]), '')"
+    heading = let("hs", f"filter({dom}_nodes, n -> n.tag = 'h1')", pick)
+    page_title = f"nullif(trim(split({dom}_title, '[|–—-]')[0]), '')"
     return f"coalesce({text_of(dom, heading)}, {page_title}, {sql_text(UNKNOWN_TITLE)})"
 
 

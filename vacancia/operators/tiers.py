@@ -14,6 +14,7 @@ from vacancia.functions.text import at_least
 from vacancia.operators import jsonld
 from vacancia.operators.adapters import SelectorChains, per_adapter, per_chains
 from vacancia.operators.selectors import chain_text, let
+from vacancia.operators.stages import stage
 from vacancia.operators.structural import structural_content
 from vacancia.schemas import MIN_DESCRIPTION, POSTING, SALARY, UNKNOWN_COMPANY, UNKNOWN_TITLE
 
@@ -44,55 +45,47 @@ def _selected(chains: SelectorChains) -> str:
 
 
 def with_site_posting(pages: DataFrame, wanted: Column) -> DataFrame:
-    """Add ``_site`` (a posting or null) to ``wanted`` rows with ``adapter_id``, ``url``, ``dom``."""
+    """Add ``_site`` (a posting or null) to ``wanted`` parsed rows with ``adapter_id`` and ``url``."""
     adapter_id, url = F.col("adapter_id"), F.col("url")
     ld, selected, block = F.col("_ld"), F.col("_selected"), F.col("_block")
     tier1, tier2 = F.col("_tier1"), F.col("_tier2")
     none_yet = wanted & tier1.isNull()
 
-    tiers = (
-        pages.withColumn(
-            "_ld", F.when(wanted, F.expr(jsonld.fields(jsonld.first_job_posting("dom"))))
-        )
-        .withColumn("_ld", jsonld.read_fields(ld))
-        .withColumn(
-            "_tier1",
-            _content(
-                at_least(ld["description"], MIN_DESCRIPTION),
-                "json-ld",
-                "high",
-                **{f: ld[f] for f in ("title", "company", "location", "salary", "description")},
-            ),
-        )
-        .withColumn("_selected", F.when(none_yet, F.expr(per_chains("adapter_id", _selected))))
-        .withColumn(
-            "_tier2",
-            _content(
-                selected.isNotNull(),
-                "selector",
-                "high",
-                title=F.coalesce(selected["title"], ld["title"]),
-                company=F.coalesce(selected["company"], ld["company"]),
-                location=F.coalesce(selected["location"], ld["location"]),
-                description=selected["description"],
-            ),
-        )
-        .withColumn("_block", F.when(none_yet & tier2.isNull(), F.expr(structural_content("dom"))))
-        .withColumn(
-            "_found",
-            F.coalesce(
-                tier1,
-                tier2,
-                _content(
-                    block.isNotNull(),
-                    "structural",
-                    "low",
-                    title=block["title"],
-                    description=block["description"],
-                ),
-            ),
-        )
+    tiers = stage(pages, _ld=F.when(wanted, F.expr(jsonld.fields(jsonld.first_job_posting("dom")))))
+    tiers = tiers.withColumn("_ld", jsonld.read_fields(ld))
+    tiers = tiers.withColumn(
+        "_tier1",
+        _content(
+            at_least(ld["description"], MIN_DESCRIPTION),
+            "json-ld",
+            "high",
+            **{f: ld[f] for f in ("title", "company", "location", "salary", "description")},
+        ),
     )
+    tiers = stage(tiers, _selected=F.when(none_yet, F.expr(per_chains("adapter_id", _selected))))
+    tiers = tiers.withColumn(
+        "_tier2",
+        _content(
+            selected.isNotNull(),
+            "selector",
+            "high",
+            title=F.coalesce(selected["title"], ld["title"]),
+            company=F.coalesce(selected["company"], ld["company"]),
+            location=F.coalesce(selected["location"], ld["location"]),
+            description=selected["description"],
+        ),
+    )
+    tiers = stage(
+        tiers, _block=F.when(none_yet & tier2.isNull(), F.expr(structural_content("dom")))
+    )
+    tier3 = _content(
+        block.isNotNull(),
+        "structural",
+        "low",
+        title=block["title"],
+        description=block["description"],
+    )
+    tiers = tiers.withColumn("_found", F.coalesce(tier1, tier2, tier3))
     found = F.col("_found")
     employer = per_adapter(adapter_id, lambda a: F.lit(a.company_label))
     posting = F.struct(

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.functions.labels import outcome
+from vacancia.functions.text import let
 from vacancia.functions.urls import canonical_indeed_url
 from vacancia.operators import indeed, jsonld
 from vacancia.operators.adapters import adapters
-from vacancia.operators.dom import parse_html
+from vacancia.operators.dom import DOM_FIELDS, with_dom
 from vacancia.operators.indeed import with_indeed_posting
 from vacancia.operators.routing import INDEED, in_scope, is_posting_page, route
 from vacancia.operators.selectors import attributes_used
+from vacancia.operators.stages import stage
 from vacancia.operators.tiers import with_site_posting
 
 
@@ -27,11 +29,6 @@ def attributes_read() -> list[str]:
     return sorted(attributes_used([jsonld.SCRIPT, *chains, *indeed.ALL_SELECTORS]))
 
 
-def with_dom(pages: DataFrame) -> DataFrame:
-    """Replace ``html`` by its parsed form."""
-    return pages.withColumn("dom", parse_html(F.col("html"), attributes_read())).drop("html")
-
-
 def read_postings(routed: DataFrame) -> DataFrame:
     """Add ``status``, ``posting`` and ``outcome`` to routed pages.
 
@@ -40,24 +37,22 @@ def read_postings(routed: DataFrame) -> DataFrame:
     """
     on_indeed = F.col("adapter_id") == INDEED
     gated = routed.withColumn("_is_posting", is_posting_page(F.col("adapter_id"), F.col("url")))
-    parsed = with_dom(gated.withColumn("html", F.when(F.col("_is_posting"), F.col("html"))))
+    parsed = with_dom(
+        gated.withColumn("html", F.when(F.col("_is_posting"), F.col("html"))), attributes_read()
+    )
     read = with_site_posting(parsed, ~on_indeed & F.col("_is_posting"))
     read = with_indeed_posting(read, on_indeed, canonical_indeed_url(F.col("url")))
     status = (
         F.when(~F.col("_is_posting"), F.lit("hidden"))
-        .when(on_indeed, F.col("_indeed.status"))
+        .when(on_indeed, F.col("_indeed_status"))
         .when(F.col("_site").isNotNull(), F.lit("ok"))
         .otherwise(F.lit("not-found"))
     )
-    return (
-        read.withColumn("status", status)
-        .withColumn("posting", F.coalesce(F.col("_site"), F.col("_indeed.posting")))
-        .withColumn(
-            "outcome",
-            outcome(F.col("status"), F.col("posting.detection.confidence"), F.col("_is_posting")),
-        )
-        .drop("_is_posting", "_indeed", "_site", "dom")
-    )
+    confidence = let(F.col("posting"), lambda p: p["detection"]["confidence"])
+    read = stage(read, status=status, posting=F.coalesce("_site", "_indeed"))
+    read = stage(read, outcome=outcome(F.col("status"), confidence, F.col("_is_posting")))
+    dom = [f"dom_{f}" for f in DOM_FIELDS]
+    return read.drop("_is_posting", "_indeed", "_indeed_status", "_site", *dom)
 
 
 def extract_postings(pages: DataFrame) -> DataFrame:

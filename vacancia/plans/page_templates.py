@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.plans.tables import escape_html, fmt, pick, table
+from vacancia.plans.tables import escape_html, fmt, pick, texts
 
 UUID = "6debf006-a6d2-4725-b152-38e932097480"
 
@@ -76,7 +76,7 @@ INDEED_PAGES = (
 )
 
 
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
+def documents(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
     twice = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;amp;")), F.lit("<"), F.lit("&amp;lt;"))
 
@@ -84,7 +84,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
         """The value as a JSON string, quotes included."""
         return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]\z", "")
 
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         F.col("doc_id").alias("k"),
         F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0").alias("z"),
         F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16).alias("h"),
@@ -104,8 +104,8 @@ def _filled(docs: DataFrame, urls: tuple[str, ...], pages: tuple[str, ...]) -> D
 
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return _filled(_documents(spark, sf), SITE_URLS, SITE_PAGES)
+    return _filled(documents(spark, sf), SITE_URLS, SITE_PAGES)
 
 
 def indeed_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return _filled(_documents(spark, sf), INDEED_URLS, INDEED_PAGES)
+    return _filled(documents(spark, sf), INDEED_URLS, INDEED_PAGES)

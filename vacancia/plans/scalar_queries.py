@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacancia.functions import company as companies
 from vacancia.functions import labels, markup, salary, text, urls
 from vacancia.operators import routing, submissions
-from vacancia.plans.tables import fmt, pick, table
+from vacancia.plans.tables import fmt, pick, table, texts
 
 NOW = "2024-06-30 12:00:00"
 
@@ -185,7 +185,7 @@ def parse_salary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     body = F.col("text")
     value = pick(
         F.col("doc_id") % 3,
@@ -200,7 +200,7 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decode_entities(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages")
+    p = texts(spark, sf, "pages")
     given = F.concat(F.col("html"), F.lit("&#38;amp; &#x2014;&#X41;&#1f;&nbsp;&#0;&#xD800;&Hellip;&x"))
     return p.select("page_id", markup.decode_entities(given).alias("decoded"))
 
@@ -233,7 +233,7 @@ def application_url(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def truncate_label(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     return d.select("doc_id", text.truncate_label(F.col("text"), 40).alias("label"))
 
 

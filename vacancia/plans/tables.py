@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.session import configure
+from vacancia.sources.pages import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose long texts are worked on, spread over the cores when small."""
+    return spread(table(spark, sf_dir, name))
+
+
 def pick(selector: Column, *options: Column | str | None) -> Column:
     """The option whose position the selector holds; texts are literals."""
     out = F.lit(None)

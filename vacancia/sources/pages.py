@@ -30,3 +30,19 @@ def stream_captures(
 def read_remote_copies(spark: SparkSession, path: str, schema: str = REMOTE_COPIES) -> DataFrame:
     """Fetched copies keyed by ``remote_url``; answers that were not ``ok`` hold no page."""
     return spark.read.schema(schema).parquet(path)
+
+
+# Below this size a shuffle costs less than leaving cores idle.
+SMALL = 1 << 30
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """Give every core a share of a small table whose files cannot be split.
+
+    A table beyond ``SMALL`` has enough splits of its own and is left as it is:
+    its pages go from the scan to the parser without a shuffle.
+    """
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL:
+        return pages
+    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
