@@ -18,8 +18,12 @@ ADAPTER_IDS = ("rbc", "walmart", "bestbuy-ca", "cibc", "linkedin", "shopify")
 
 
 def captures(spark: SparkSession, sf: str) -> DataFrame:
+    return captures_of(table(spark, sf, "events"))
+
+
+def captures_of(events: DataFrame) -> DataFrame:
     """Events as captures: a user is a tab, the kind of event its address."""
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("tab_id"),
         F.col("ts").alias("captured_at"),
         F.col("event_id").alias("capture_id"),
@@ -44,10 +48,13 @@ def debounce_indeed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def extractions(spark: SparkSession, sf: str) -> DataFrame:
+    return extractions_of(table(spark, sf, "events"))
+
+
+def extractions_of(events: DataFrame) -> DataFrame:
     """Events as results of extraction, with few distinct postings so streaks last."""
-    e = table(spark, sf, "events")
     kind, k = F.col("event_type"), F.col("event_id")
-    return e.select(
+    return events.select(
         F.col("user_id").cast("string").alias("tab_id"),
         F.col("ts").alias("captured_at"),
         k.alias("capture_id"),
@@ -83,10 +90,13 @@ def stale_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, sf: str) -> DataFrame:
+    return copies_of(table(spark, sf, "events"))
+
+
+def copies_of(events: DataFrame) -> DataFrame:
     """Events as fetches; a third of them fetch one and the same address."""
-    e = table(spark, sf, "events")
     job = F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("event_id") % 997)
-    return e.select(
+    return events.select(
         fmt("https://www.linkedin.com/jobs/view/{j}/", j=job).alias("remote_url"),
         (F.col("event_type") != "error").alias("ok"),
         F.col("event_type").alias("html"),
@@ -128,11 +138,14 @@ def prefer_remote(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
+    return postings_of(table(spark, sf, "orders"), table(spark, sf, "customer"))
+
+
+def postings_of(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders as postings; a fifth of them name no company and share a title."""
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     k = F.col("o_orderkey")
     nameless = k % 5 == 0
-    return o.join(c, o.o_custkey == c.c_custkey).select(
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         k.alias("posting_id"),
         F.col("o_orderdate").alias("detected_at"),
         F.when(nameless, F.lit("Unknown company"))
@@ -236,13 +249,16 @@ def expired_confirms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def health_input(spark: SparkSession, sf: str) -> DataFrame:
+    return health_input_of(table(spark, sf, "events"))
+
+
+def health_input_of(events: DataFrame) -> DataFrame:
     """Events as read pages of the registered adapters; one adapter is never seen."""
-    e = table(spark, sf, "events")
     k = F.col("event_id")
     method = pick(k % 3, "json-ld", "selector", "structural")
     hosts = {a.adapter_id: a.hosts[0] for a in adapters()}
     adapter_id = F.element_at(F.array(*[F.lit(a) for a in ADAPTER_IDS if a != "walmart"]), (k % 5 + 1).cast("int"))
-    read = e.select(
+    read = events.select(
         adapter_id.alias("adapter_id"),
         F.when(F.col("event_type") == "signup", F.lit("hidden"))
         .when(F.col("event_type") == "error", F.lit("not-found"))
