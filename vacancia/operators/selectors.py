@@ -141,4 +141,6 @@ def raw_text_of(dom: str, node: str) -> str:
 
 
 def chain_text(dom: str, chain: Sequence[str], within: str | None = None) -> str:
+    if not chain:
+        return sql_text(None)
     return text_of(dom, query_first(f"{dom}_nodes", chain, within))

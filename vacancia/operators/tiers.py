@@ -33,13 +33,12 @@ def _content(found: Column, method: str, confidence: str, **fields: Column) -> C
 
 def _selected(chains: SelectorChains) -> str:
     """What a site's selectors find, as SQL text; null without a long enough description."""
-    company = chain_text("dom", chains.company) if chains.company else "CAST(NULL AS STRING)"
     return let(
         "d",
         chain_text("dom", chains.description),
         f"CASE WHEN length(d) >= {MIN_DESCRIPTION}"
         f" OR octet_length(encode(d, 'UTF-16BE')) >= {2 * MIN_DESCRIPTION} THEN struct("
-        f"{chain_text('dom', chains.title)} AS title, {company} AS company,"
+        f"{chain_text('dom', chains.title)} AS title, {chain_text('dom', chains.company)} AS company,"
         f"{chain_text('dom', chains.location)} AS location, d AS description) END",
     )
 
