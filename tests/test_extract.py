@@ -112,6 +112,16 @@ PAGES = {
         + f'<div class="job-description">{BODY}</div>',
         dict(ok, title="From JSON", company="Walmart", location="Austin", method="selector", salary=None),
     ),
+    "malformed blocks are skipped": (
+        "https://jobs.rbc.com/ca/en/job/50",
+        "".join(
+            f'<script type="application/ld+json">{bad}</script>'
+            for bad in ('{"@type":"JobPosting"} x', '{"@type":"JobPosting"},{}', '{"@type":"JobPosting",}',
+                        '{"@type":"JobPosting"} // c', "{'@type':'JobPosting'}", '{"@type":"JobPosting"', "]", "")
+        )
+        + ld(title="Good", description=LONG, baseSalary={"value": {"value": 5}}, **{"@type": "JobPosting"}),
+        dict(ok, title="Good", salary=(5.0, 5.0, "5"), method="json-ld"),
+    ),
     "base salary": (
         "https://careers.walmart.com/us/jobs/8",
         ld(title="Lead", description=LONG + "$1 an hour", **{"@type": ["Thing", "JOBPOSTING"]},

@@ -22,6 +22,9 @@ WS_CHARS = (
 )
 
 
+MAX_DOUBLE = 1.7976931348623157e308
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it as often as ``body`` likes."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -73,7 +76,7 @@ def number_of(text: Column) -> Column:
     bare = trim(text)
     decimal = bare.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z")
     value = F.when(decimal, bare.try_cast("double"))
-    finite = F.abs(value) <= F.lit(1.7976931348623157e308)
+    finite = F.abs(value) <= F.lit(MAX_DOUBLE)
     return F.when(bare == "", F.lit(0.0)).when(finite, value)
 
 

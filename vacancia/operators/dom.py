@@ -58,6 +58,51 @@ CLOSES_P = HEADINGS | frozenset(
     "section summary table ul xmp".split()
 )
 
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?)?"""
+_TOKEN = re.compile(
+    rf"""([^<]+)                                                # text
+    |<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)>       # tag
+    |<!--(?:-?>|.*?(?:--!?>|\Z))                                # comment
+    |<(?:[!?][^>]*+>?|/>|/[^A-Za-z>][^>]*+>?)                    # bogus comment
+    |<[A-Za-z/].*\Z                                             # cut off inside a tag
+    |(<)""",
+    re.ASCII | re.DOTALL | re.VERBOSE,
+)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.ASCII)
+_RAW_END = {tag: re.compile(rf"(?i)</{tag}(?=[\s/>])[^>]*>") for tag in RAW_TEXT}
+_IS_WS = np.zeros(0x10000, dtype=bool)
+_IS_WS[[ord(c) for c in WS_CHARS]] = True
+_BUTTON_SCOPE = SCOPE | {"button"}
+_ITEM_BOUNDARY = SPECIAL - {"address", "div", "p"}
+_ROW_GROUPS = ("tbody", "thead", "tfoot")
+
+# Per tag, what its start or end closes: the nearest open element of these names
+# that no boundary hides.
+_CLOSED_BY_START: dict[str, list[tuple[tuple[str, ...], frozenset[str]]]] = {
+    tag: [(("p",), _BUTTON_SCOPE)] for tag in CLOSES_P
+}
+for _tags, _names, _boundary in (
+    (("li",), ("li",), _ITEM_BOUNDARY),
+    (("dd", "dt"), ("dd", "dt"), _ITEM_BOUNDARY),
+    (("option", "optgroup"), ("option",), SPECIAL),
+    (("optgroup",), ("optgroup",), SPECIAL),
+    (("td", "th"), ("td", "th"), TABLE_SCOPE | {"tr"}),
+    (("tr",), ("tr",), TABLE_SCOPE),
+    (_ROW_GROUPS, _ROW_GROUPS, TABLE_SCOPE),
+    (("button",), ("button",), SCOPE),
+    (("a",), ("a",), SPECIAL),
+):
+    for _tag in _tags:
+        _CLOSED_BY_START.setdefault(_tag, []).append((_names, _boundary))
+
+_CLOSED_BY_END: dict[str, tuple[tuple[str, ...], frozenset[str]]] = {
+    **{tag: ((tag,), SCOPE) for tag in SPECIAL | SCOPE},
+    **{tag: (tuple(HEADINGS), SCOPE) for tag in HEADINGS},
+    **{tag: ((tag,), TABLE_SCOPE) for tag in (*_ROW_GROUPS, "table", "td", "th", "tr")},
+    "p": (("p",), _BUTTON_SCOPE),
+    "li": (("li",), SCOPE | {"ol", "ul"}),
+}
+
 _ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?)?"""
 _TOKEN = re.compile(
     rf"""([^<]+)                                                # text
@@ -138,49 +183,20 @@ class _Tree:
                 self.close()
             self.body = self.open("body", {})
 
-    def depth_of(self, names: Iterable[str], boundary: frozenset[str]) -> int:
-        """Stack position of the nearest open element in ``names``, or -1."""
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[depth].tag
+    def close_to(self, names: tuple[str, ...], boundary: frozenset[str]) -> bool:
+        """Close up to the nearest open element in ``names``, unless a boundary hides it."""
+        stack = self.stack
+        for depth in range(len(stack) - 1, 0, -1):
+            tag = stack[depth].tag
             if tag in names:
-                return depth
+                if stack[depth] is self.body:
+                    return False
+                while len(stack) > depth:
+                    self.close()
+                return True
             if tag in boundary:
-                return -1
-        return -1
-
-    def close_to(self, names: Iterable[str], boundary: frozenset[str]) -> bool:
-        depth = self.depth_of(names, boundary)
-        if depth < 0 or self.stack[depth] is self.body:
-            return False
-        while len(self.stack) > depth:
-            self.close()
-        return True
-
-    def before_start(self, tag: str) -> None:
-        """End the elements whose end the start of ``tag`` implies."""
-        if tag in CLOSES_P:
-            self.close_to(("p",), _BUTTON_SCOPE)
-        if tag == "li":
-            self.close_to(("li",), _ITEM_BOUNDARY)
-        elif tag in ("dd", "dt"):
-            self.close_to(("dd", "dt"), _ITEM_BOUNDARY)
-        elif tag in HEADINGS:
-            if self.stack[-1].tag in HEADINGS:
-                self.close()
-        elif tag in ("option", "optgroup"):
-            self.close_to(("option",), SPECIAL)
-            if tag == "optgroup":
-                self.close_to(("optgroup",), SPECIAL)
-        elif tag in ("td", "th"):
-            self.close_to(("td", "th"), _CELL_SCOPE)
-        elif tag == "tr":
-            self.close_to(("tr",), TABLE_SCOPE)
-        elif tag in ("tbody", "thead", "tfoot"):
-            self.close_to(("tbody", "thead", "tfoot"), TABLE_SCOPE)
-        elif tag == "button":
-            self.close_to(("button",), SCOPE)
-        elif tag == "a":
-            self.close_to(("a",), SPECIAL)
+                return False
+        return False
 
     def start(self, tag: str, attr_text: str, nested: bool) -> None:
         attrs = _attributes(attr_text, self.keep) if attr_text else {}
@@ -196,7 +212,10 @@ class _Tree:
         if self.body is None and tag not in HEAD_ONLY:
             self.start_body()
         if self.body is not None and not self.foreign:
-            self.before_start(tag)
+            for names, boundary in _CLOSED_BY_START.get(tag, ()):
+                self.close_to(names, boundary)
+            if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
+                self.close()
         node = self.open(tag, attrs)
         if tag == "title" and self.title is None and not self.foreign:
             self.title = node
@@ -206,22 +225,12 @@ class _Tree:
     def end(self, tag: str) -> None:
         if tag in ("html", "body", "head"):
             return
-        if tag == "br" or (tag == "p" and self.depth_of(("p",), _BUTTON_SCOPE) < 0):
+        names, boundary = _CLOSED_BY_END.get(tag) or ((tag,), SPECIAL)
+        if tag == "br":
+            self.start(tag, "", False)
+        elif not self.close_to(names, boundary) and tag == "p":
             self.start(tag, "", False)
-            if tag == "br":
-                return
-        if tag == "p":
-            self.close_to(("p",), _BUTTON_SCOPE)
-        elif tag == "li":
-            self.close_to(("li",), _LIST_SCOPE)
-        elif tag in HEADINGS:
-            self.close_to(HEADINGS, SCOPE)
-        elif tag in ("table", "tbody", "td", "tfoot", "th", "thead", "tr"):
-            self.close_to((tag,), TABLE_SCOPE)
-        elif tag in SPECIAL or tag in SCOPE:
-            self.close_to((tag,), SCOPE)
-        else:
-            self.close_to((tag,), SPECIAL)
+            self.close()
 
 
 def _attributes(text: str, keep: frozenset[str]) -> dict[str, str]:
@@ -270,14 +279,25 @@ def _build(source: str, keep: frozenset[str]) -> _Tree:
     return tree
 
 
-def _slices(text: str, starts: list[int], stops: list[int]) -> tuple[str, list[np.ndarray]]:
-    """Collapsed page text and, per node, its trimmed slices of both texts."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+# Pages are sliced together until they hold this many characters.
+_SLICE_CHARS = 1 << 20
+
+
+def _slices(trees: list[_Tree]) -> tuple[list[str], list[str], list[np.ndarray]]:
+    """Raw and collapsed text per page and, per node, its trimmed slices of both."""
+    texts = ["".join(t.pieces) for t in trees]
+    begin = np.cumsum([0, *map(len, texts)])
+    shift = np.repeat(begin[:-1], [len(t.nodes) for t in trees])
+    starts = np.array([n.start for t in trees for n in t.nodes]) + shift
+    stops = np.array([n.stop for t in trees for n in t.nodes]) + shift
+
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     space = _IS_WS[np.minimum(codes, 0xFFFF)]
     kept = ~space
     kept[1:] |= ~space[:-1]
-    kept[:1] = True
-    ctext = np.where(space, 32, codes)[kept].tobytes().decode("utf-32-le")
+    # A page's first character follows nothing.
+    kept[begin[:-1][begin[:-1] < len(codes)]] = True
+    collapsed = np.where(space, 32, codes)[kept].tobytes().decode("utf-32-le", "surrogatepass")
     kept_before = np.concatenate(([0], np.cumsum(kept, dtype=np.int32)))
     ink = np.append(np.flatnonzero(~space), 0)
     ink_before = np.concatenate(([0], np.cumsum(~space, dtype=np.int32)))
@@ -285,48 +305,62 @@ def _slices(text: str, starts: list[int], stops: list[int]) -> tuple[str, list[n
 
     ink_from, ink_to = ink_before[starts], ink_before[stops]
     filled = ink_to > ink_from
-    first = np.where(filled, ink[ink_from], 0)
-    after = np.where(filled, ink[ink_to - 1] + 1, 0)
-    c0 = kept_before[first]
-    return ctext, [
-        c0,
-        kept_before[after] - c0,
-        first,
-        after - first,
-        wide_before[after] - wide_before[first],
-    ]
+    first = np.where(filled, ink[ink_from], shift)
+    after = np.where(filled, ink[ink_to - 1] + 1, shift)
+    ctext_begin = kept_before[begin]
+    return (
+        texts,
+        [collapsed[a:b] for a, b in zip(ctext_begin[:-1], ctext_begin[1:])],
+        [
+            kept_before[first] - kept_before[shift],
+            kept_before[after] - kept_before[first],
+            first - shift,
+            after - first,
+            wide_before[after] - wide_before[first],
+        ],
+    )
 
 
 def _offsets(sizes: Iterable[int]) -> pa.Array:
     return pa.array(np.concatenate(([0], np.cumsum(list(sizes)))), type=pa.int32())
 
 
+def _title(tree: _Tree, text: str) -> str:
+    """The page's title, collapsed."""
+    return " ".join(text[tree.title.start : tree.title.stop].split()) if tree.title else ""
+
+
 def _to_arrow(pages: pa.Array, keep: frozenset[str]) -> pa.Array:
     """The ``dom`` column of one Arrow batch."""
-    titles, bodies, texts, ctexts, counts = [], [], [], [], []
-    nodes: list[_Node] = []
+    trees: list[_Tree] = []
+    texts: list[str] = []
+    ctexts: list[str] = []
     slices: list[list[np.ndarray]] = []
+    waiting: list[_Tree] = []
+
+    def flush() -> None:
+        if waiting:
+            raw, collapsed, of_nodes = _slices(waiting)
+            texts.extend(raw)
+            ctexts.extend(collapsed)
+            slices.append(of_nodes)
+            waiting.clear()
+
     for source in pages:
         tree = _build(source.as_py() or "", keep)
-        text = "".join(tree.pieces)
-        title = text[tree.title.start : tree.title.stop] if tree.title else ""
-        ctext, of_nodes = _slices(
-            text, [n.start for n in tree.nodes], [n.stop for n in tree.nodes]
-        )
-        titles.append(" ".join(title.split()))
-        bodies.append(tree.body.idx)
-        texts.append(text)
-        ctexts.append(ctext)
-        counts.append(len(tree.nodes))
-        nodes.extend(tree.nodes)
-        slices.append(of_nodes)
+        trees.append(tree)
+        waiting.append(tree)
+        if sum(t.size for t in waiting) > _SLICE_CHARS:
+            flush()
+    flush()
 
+    nodes = [n for t in trees for n in t.nodes]
     columns = [
         [n.idx for n in nodes],
         [n.parent for n in nodes],
         [n.end for n in nodes],
         [n.sib for n in nodes],
-        *(np.concatenate(c) if c else [] for c in zip(*slices)),
+        *(np.concatenate(c) for c in zip(*slices)),
     ]
     attrs = [n.attrs for n in nodes]
     numbers = [pa.array(c, type=pa.int32()) for c in columns]
@@ -359,11 +393,11 @@ def _to_arrow(pages: pa.Array, keep: frozenset[str]) -> pa.Array:
     elements = pa.StructArray.from_arrays(list(named.values()), names=list(named))
     return pa.StructArray.from_arrays(
         [
-            pa.array(titles, pa.string()),
-            pa.array(bodies, pa.int32()),
+            pa.array([_title(t, text) for t, text in zip(trees, texts)], pa.string()),
+            pa.array([t.body.idx for t in trees], pa.int32()),
             pa.array(texts, pa.string()),
             pa.array(ctexts, pa.string()),
-            pa.ListArray.from_arrays(_offsets(counts), elements),
+            pa.ListArray.from_arrays(_offsets(len(t.nodes) for t in trees), elements),
         ],
         names=["title", "body", "text", "ctext", "nodes"],
     )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacancia.functions.salary import PAY_INDEED, pay_range, pay_text
 from vacancia.functions.text import WS, at_least, blank_to_null, len16, trim
+from vacancia.functions.urls import canonical_indeed_url
 from vacancia.operators.selectors import (
     chain_text,
     contains,
@@ -16,7 +17,6 @@ from vacancia.operators.selectors import (
     raw_text_of,
     text_of,
 )
-from vacancia.operators.stages import stage
 from vacancia.operators.structural import largest, raw_units, tag_in
 from vacancia.schemas import MIN_DESCRIPTION, POSTING, UNKNOWN_COMPANY, UNKNOWN_TITLE
 
@@ -121,72 +121,71 @@ def first_title(texts: Column) -> Column:
     return F.get(usable, F.lit(0))
 
 
-def with_indeed_posting(pages: DataFrame, wanted: Column, source_url: Column) -> DataFrame:
-    """Add ``_indeed`` (a posting or null) and ``_indeed_status`` to ``wanted`` parsed rows.
+_PANE_NODE = let("q", "_pane", "q.node")
 
-    The pane and the description element are found once, as columns of their
-    own; every field is then read inside the pane.
+
+def indeed_stages(wanted: Column) -> list[dict[str, Column]]:
+    """Columns to add stage by stage to parsed pages: the pane, its text, its fields.
+
+    The pane and the description element are found once; every field is then
+    read inside the pane.
     """
-    nodes, pane = "dom_nodes", "_pane"
 
     def chain(selectors: tuple[str, ...]) -> Column:
-        return F.expr(chain_text("dom", selectors, within=pane))
+        return F.expr(chain_text("dom", selectors, within=_PANE_NODE))
+
+    def first(selectors: tuple[str, ...]) -> Column:
+        return F.expr(query_first("dom_nodes", selectors, within=_PANE_NODE))
+
+    def title_among(*tags: str) -> Column:
+        return first_title(F.expr(headings("dom", _PANE_NODE, "_body", tags)))
 
-    staged = stage(pages, _found=F.when(wanted, F.expr(detail_pane("dom"))))
-    staged = staged.select("*", F.col("_found.node").alias("_pane"), F.col("_found.tier").alias("_tier"))
     is_open = F.col("_pane").isNotNull()
-    skeleton = query_first(nodes, SKELETON, within=pane)
-    staged = stage(
-        staged,
-        _loading=is_open & F.expr(f"{skeleton} IS NOT NULL"),
-        _body=F.when(is_open, F.expr(query_first(nodes, DESCRIPTION, within=pane))),
+    text = F.coalesce(F.expr(text_of("dom", "_body")), F.expr(text_of("dom", _PANE_NODE)))
+    pay = F.coalesce(chain(SALARY), pay_text(F.expr(raw_text_of("dom", _PANE_NODE)), PAY_INDEED))
+    title = F.coalesce(
+        clean_title(chain(TITLE)), title_among("h1"), title_among("h2", "h3"), F.lit(UNKNOWN_TITLE)
     )
-    staged = stage(
-        staged,
-        _text=F.when(
-            is_open & ~F.col("_loading"),
-            F.coalesce(F.expr(text_of("dom", "_body")), F.expr(text_of("dom", pane))),
-        ),
-    )
-    staged = stage(staged, _ok=F.coalesce(at_least(F.col("_text"), MIN_DESCRIPTION), F.lit(False)))
-    ok = F.col("_ok")
-    staged = stage(
-        staged,
-        _pay=F.when(
-            ok, F.coalesce(chain(SALARY), pay_text(F.expr(raw_text_of("dom", pane)), PAY_INDEED))
-        ),
-        _title=F.when(ok, clean_title(chain(TITLE))),
-    )
-    untitled = ok & F.col("_title").isNull()
-    staged = stage(
-        staged,
-        _h1=F.when(untitled, F.expr(headings("dom", pane, "_body", ("h1",)))),
-        _h23=F.when(untitled, F.expr(headings("dom", pane, "_body", ("h2", "h3")))),
+    ok = _is_posting()
+    return [
+        {"_pane": F.when(wanted, F.expr(detail_pane("dom")))},
+        {
+            "_loading": is_open & first(SKELETON).isNotNull(),
+            "_body": F.when(is_open, first(DESCRIPTION)),
+        },
+        {"_text": F.when(is_open & ~F.col("_loading"), text)},
+        {
+            "_title": F.when(ok, title),
+            "_company": F.when(ok, F.coalesce(chain(COMPANY), F.lit(UNKNOWN_COMPANY))),
+            "_location": F.when(ok, chain(LOCATION)),
+            "_pay": F.when(ok, pay),
+        },
+    ]
+
+
+def _is_posting() -> Column:
+    return F.coalesce(at_least(F.col("_text"), MIN_DESCRIPTION), F.lit(False))
+
+
+def indeed_status() -> Column:
+    """Status of an Indeed page, from the columns of the stages."""
+    return (
+        F.when(F.col("_loading"), F.lit("loading"))
+        .when(_is_posting(), F.lit("ok"))
+        .otherwise(F.lit("not-found"))
     )
+
+
+def indeed_posting(url: Column) -> Column:
+    """The posting of an Indeed page, from the columns of the stages; else null."""
     posting = F.struct(
-        F.coalesce(
-            F.col("_title"),
-            first_title(F.col("_h1")),
-            first_title(F.col("_h23")),
-            F.lit(UNKNOWN_TITLE),
-        ).alias("title"),
-        F.coalesce(chain(COMPANY), F.lit(UNKNOWN_COMPANY)).alias("company"),
-        chain(LOCATION).alias("location"),
+        F.col("_title").alias("title"),
+        F.col("_company").alias("company"),
+        F.col("_location").alias("location"),
         pay_range(F.col("_pay")).alias("salary"),
         F.col("_text").alias("description_text"),
-        source_url.alias("source_url"),
-        F.col("_tier").alias("container_tier"),
+        canonical_indeed_url(url).alias("source_url"),
+        F.expr(let("q", "_pane", "q.tier")).alias("container_tier"),
         F.lit(None).alias("detection"),
     )
-    status = (
-        F.when(F.col("_loading"), F.lit("loading"))
-        .when(ok, F.lit("ok"))
-        .otherwise(F.lit("not-found"))
-    )
-    return stage(
-        staged,
-        _indeed=F.when(ok, posting).cast(POSTING),
-        _indeed_status=F.when(wanted, status),
-    ).drop(
-        "_found", "_pane", "_tier", "_loading", "_body", "_text", "_ok", "_pay", "_title", "_h1", "_h23"
-    )
+    return F.when(_is_posting(), posting).cast(POSTING)

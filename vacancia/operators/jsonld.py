@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vacancia.functions.markup import html_to_text
 from vacancia.functions.salary import base_salary
-from vacancia.functions.text import blank_to_null, number_of, trim
+from vacancia.functions.text import MAX_DOUBLE, blank_to_null, number_of, trim
 from vacancia.operators.selectors import let, query_all, raw_text_of
 from vacancia.schemas import SALARY
 
@@ -46,10 +46,24 @@ def _items(value: str) -> str:
     )
 
 
+def strict_json(text: str) -> str:
+    """A JSON text as a VARIANT; null when anything is wrong with it.
+
+    The engine's parser stops behind the first value. A marker put behind the
+    text is reached only when the text is one value and nothing else.
+    """
+    alone = "try_variant_get(pj, '$[1]', 'string') = 'end' AND try_variant_get(pj, '$[2]', 'variant') IS NULL"
+    return let(
+        "pj",
+        f"""try_parse_json(concat('[', {text}, ',"end"]'))""",
+        f"CASE WHEN {alone} THEN try_variant_get(pj, '$[0]', 'variant') END",
+    )
+
+
 def blocks(dom: str) -> str:
     """Parsed blocks in document order, without empty and malformed ones."""
     texts = f"transform({query_all(f'{dom}_nodes', SCRIPT)}, n -> {raw_text_of(dom, 'n')})"
-    parsed = f"transform(filter({texts}, t -> t != ''), t -> try_parse_json(t))"
+    parsed = f"transform(filter({texts}, t -> t != ''), t -> {strict_json('t')})"
     return f"filter({parsed}, v -> v IS NOT NULL)"
 
 
@@ -147,7 +161,8 @@ def read_fields(raw: Column) -> Column:
 
     def amount(name: str) -> Column:
         value = raw["pay"][name]
-        return F.coalesce(number_of(F.translate(value["text"], "$,", "")), value["number"])
+        finite = F.when(F.abs(value["number"]) <= F.lit(MAX_DOUBLE), value["number"])
+        return F.coalesce(number_of(F.translate(value["text"], "$,", "")), finite)
 
     amounts = F.struct(*[amount(n).alias(n) for n in ("min", "max", "single")])
     pay = F.when(

@@ -71,7 +71,12 @@ def classify_api_response(endpoint: Column, status: Column, body: Column) -> Col
     ``value`` is the pending token, the application id or the match, by endpoint
     (``ingest``, ``confirm``, ``lookup``). A null status means no answer came.
     """
-    answer = F.try_parse_json(body)
+    # As for JSON-LD, a marker behind the text tells one whole value from a part.
+    marked = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"end"]')))
+    whole = (F.try_variant_get(marked, "$[1]", "string") == "end") & F.try_variant_get(
+        marked, "$[2]", "variant"
+    ).isNull()
+    answer = F.when(whole, F.try_variant_get(marked, "$[0]", "variant"))
 
     def field(name: str) -> Column:
         """A field as text; null when missing, null or no JSON."""
@@ -98,7 +103,7 @@ def classify_api_response(endpoint: Column, status: Column, body: Column) -> Col
     value = (
         F.when(endpoint == "ingest", field("pendingToken"))
         .when(endpoint == "confirm", field("applicationId"))
-        .otherwise(F.get_json_object(body, "$.match"))
+        .otherwise(F.when(whole, F.get_json_object(body, "$.match")))
     )
     accepted = status.between(200, 299)
     ok = status.isNotNull() & accepted & complete

@@ -1,20 +1,20 @@
 """The three tiers that turn a career-site page into a posting.
 
-Each tier adds a column of the same struct, null where it does not hold, and is
-worked out only for rows the tiers before it left empty.
+Embedded JSON-LD, then the site's selectors, then the largest block of text. A
+tier is worked out only for rows the tiers before it left empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacancia.functions.salary import parse_salary
 from vacancia.functions.text import at_least
+from vacancia.functions.text import let as let_column
 from vacancia.operators import jsonld
 from vacancia.operators.adapters import SelectorChains, per_adapter, per_chains
 from vacancia.operators.selectors import chain_text, let
-from vacancia.operators.stages import stage
 from vacancia.operators.structural import structural_content
 from vacancia.schemas import MIN_DESCRIPTION, POSTING, SALARY, UNKNOWN_COMPANY, UNKNOWN_TITLE
 
@@ -43,65 +43,67 @@ def _selected(chains: SelectorChains) -> str:
     )
 
 
-def with_site_posting(pages: DataFrame, wanted: Column) -> DataFrame:
-    """Add ``_site`` (a posting or null) to ``wanted`` parsed rows with ``adapter_id`` and ``url``."""
-    adapter_id, url = F.col("adapter_id"), F.col("url")
-    ld, selected, block = F.col("_ld"), F.col("_selected"), F.col("_block")
-    tier1, tier2 = F.col("_tier1"), F.col("_tier2")
-    none_yet = wanted & tier1.isNull()
-
-    tiers = stage(pages, _ld=F.when(wanted, F.expr(jsonld.fields(jsonld.first_job_posting("dom")))))
-    tiers = tiers.withColumn("_ld", jsonld.read_fields(ld))
-    tiers = tiers.withColumn(
-        "_tier1",
-        _content(
-            at_least(ld["description"], MIN_DESCRIPTION),
-            "json-ld",
-            "high",
-            **{f: ld[f] for f in ("title", "company", "location", "salary", "description")},
-        ),
-    )
-    tiers = stage(tiers, _selected=F.when(none_yet, F.expr(per_chains("adapter_id", _selected))))
-    tiers = tiers.withColumn(
-        "_tier2",
-        _content(
-            selected.isNotNull(),
-            "selector",
-            "high",
-            title=F.coalesce(selected["title"], ld["title"]),
-            company=F.coalesce(selected["company"], ld["company"]),
-            location=F.coalesce(selected["location"], ld["location"]),
-            description=selected["description"],
-        ),
-    )
-    tiers = stage(
-        tiers, _block=F.when(none_yet & tier2.isNull(), F.expr(structural_content("dom")))
-    )
-    tier3 = _content(
-        block.isNotNull(),
-        "structural",
-        "low",
-        title=block["title"],
-        description=block["description"],
-    )
-    tiers = tiers.withColumn("_found", F.coalesce(tier1, tier2, tier3))
-    found = F.col("_found")
+def _long_enough(ld: Column) -> Column:
+    return F.coalesce(at_least(ld["description"], MIN_DESCRIPTION), F.lit(False))
+
+
+def site_stages(wanted: Column) -> list[dict[str, Column]]:
+    """Columns to add stage by stage to parsed pages with ``adapter_id``: what each tier finds."""
+    no_ld = wanted & ~F.coalesce(let_column(F.col("_ld"), _long_enough), F.lit(False))
+    return [
+        {"_raw": F.when(wanted, F.expr(jsonld.fields(jsonld.first_job_posting("dom"))))},
+        {"_ld": let_column(F.col("_raw"), jsonld.read_fields)},
+        {"_selected": F.when(no_ld, F.expr(per_chains("adapter_id", _selected)))},
+        {
+            "_block": F.when(
+                no_ld & F.col("_selected").isNull(), F.expr(structural_content("dom"))
+            )
+        },
+    ]
+
+
+def site_posting(adapter_id: Column, url: Column) -> Column:
+    """The posting of the first tier that holds, from the columns of the stages; else null."""
+    label = per_adapter(adapter_id, lambda a: F.lit(a.label))
     employer = per_adapter(adapter_id, lambda a: F.lit(a.company_label))
-    posting = F.struct(
-        F.coalesce(found["title"], F.lit(UNKNOWN_TITLE)).alias("title"),
-        F.coalesce(employer, found["company"], F.lit(UNKNOWN_COMPANY)).alias("company"),
-        found["location"].alias("location"),
-        F.coalesce(found["salary"], parse_salary(found["description"])).alias("salary"),
-        found["description"].alias("description_text"),
-        per_adapter(adapter_id, lambda a: a.source_url(url)).alias("source_url"),
-        F.lit(None).cast("string").alias("container_tier"),
-        F.struct(
-            adapter_id.alias("adapter_id"),
-            per_adapter(adapter_id, lambda a: F.lit(a.label)).alias("adapter_label"),
-            found["method"].alias("method"),
-            found["confidence"].alias("confidence"),
-        ).alias("detection"),
-    )
-    return tiers.withColumn("_site", F.when(found.isNotNull(), posting).cast(POSTING)).drop(
-        "_ld", "_selected", "_block", "_tier1", "_tier2", "_found"
+    source_url = per_adapter(adapter_id, lambda a: a.source_url(url))
+
+    def embedded(ld: Column) -> Column:
+        fields = ("title", "company", "location", "salary", "description")
+        return _content(_long_enough(ld), "json-ld", "high", **{f: ld[f] for f in fields})
+
+    def selected(found: Column, ld: Column) -> Column:
+        texts = {f: F.coalesce(found[f], ld[f]) for f in ("title", "company", "location")}
+        return _content(
+            found.isNotNull(), "selector", "high", description=found["description"], **texts
+        )
+
+    def structural(block: Column) -> Column:
+        fields = {f: block[f] for f in ("title", "description")}
+        return _content(block.isNotNull(), "structural", "low", **fields)
+
+    def finish(c: Column) -> Column:
+        return F.when(
+            c.isNotNull(),
+            F.struct(
+                F.coalesce(c["title"], F.lit(UNKNOWN_TITLE)).alias("title"),
+                F.coalesce(employer, c["company"], F.lit(UNKNOWN_COMPANY)).alias("company"),
+                c["location"].alias("location"),
+                F.coalesce(c["salary"], parse_salary(c["description"])).alias("salary"),
+                c["description"].alias("description_text"),
+                source_url.alias("source_url"),
+                F.lit(None).cast("string").alias("container_tier"),
+                F.struct(
+                    adapter_id.alias("adapter_id"),
+                    label.alias("adapter_label"),
+                    c["method"].alias("method"),
+                    c["confidence"].alias("confidence"),
+                ).alias("detection"),
+            ),
+        )
+
+    found = F.struct(F.col("_ld").alias("ld"), F.col("_selected").alias("s"), F.col("_block").alias("b"))
+    tiers = let_column(
+        found, lambda f: F.coalesce(embedded(f["ld"]), selected(f["s"], f["ld"]), structural(f["b"]))
     )
+    return let_column(tiers, finish).cast(POSTING)

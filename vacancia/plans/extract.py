@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from vacancia.functions.labels import outcome
 from vacancia.functions.text import let
-from vacancia.functions.urls import canonical_indeed_url
 from vacancia.operators import indeed, jsonld
 from vacancia.operators.adapters import adapters
-from vacancia.operators.dom import DOM_FIELDS, with_dom
-from vacancia.operators.indeed import with_indeed_posting
+from vacancia.operators.dom import with_dom
+from vacancia.operators.indeed import indeed_posting, indeed_stages, indeed_status
 from vacancia.operators.routing import INDEED, in_scope, is_posting_page, route
 from vacancia.operators.selectors import attributes_used
 from vacancia.operators.stages import stage
-from vacancia.operators.tiers import with_site_posting
+from vacancia.operators.tiers import site_posting, site_stages
 
 
 def attributes_read() -> list[str]:
@@ -36,23 +35,28 @@ def read_postings(routed: DataFrame) -> DataFrame:
     reach the parser.
     """
     on_indeed = F.col("adapter_id") == INDEED
-    gated = routed.withColumn("_is_posting", is_posting_page(F.col("adapter_id"), F.col("url")))
-    parsed = with_dom(
-        gated.withColumn("html", F.when(F.col("_is_posting"), F.col("html"))), attributes_read()
+    url, is_posting = F.col("url"), F.col("_is_posting")
+    gated = routed.withColumn("_is_posting", is_posting_page(F.col("adapter_id"), url))
+    read = with_dom(
+        gated.withColumn("html", F.when(is_posting, F.col("html"))), attributes_read()
     )
-    read = with_site_posting(parsed, ~on_indeed & F.col("_is_posting"))
-    read = with_indeed_posting(read, on_indeed, canonical_indeed_url(F.col("url")))
+    # Both kinds of pages go through the same stages, so a page's elements are
+    # handed on as seldom as possible.
+    for site, other in zip(site_stages(~on_indeed & is_posting), indeed_stages(on_indeed), strict=True):
+        read = stage(read, **site, **other)
     status = (
-        F.when(~F.col("_is_posting"), F.lit("hidden"))
-        .when(on_indeed, F.col("_indeed_status"))
+        F.when(~is_posting, F.lit("hidden"))
+        .when(on_indeed, indeed_status())
         .when(F.col("_site").isNotNull(), F.lit("ok"))
         .otherwise(F.lit("not-found"))
     )
     confidence = let(F.col("posting"), lambda p: p["detection"]["confidence"])
-    read = stage(read, status=status, posting=F.coalesce("_site", "_indeed"))
-    read = stage(read, outcome=outcome(F.col("status"), confidence, F.col("_is_posting")))
-    dom = [f"dom_{f}" for f in DOM_FIELDS]
-    return read.drop("_is_posting", "_indeed", "_indeed_status", "_site", *dom)
+    kept = [*routed.drop("html").columns, "_is_posting"]
+    read = read.withColumn("_site", site_posting(F.col("adapter_id"), url))
+    posting = F.when(on_indeed, indeed_posting(url)).otherwise(F.col("_site"))
+    read = stage(read, status=status, posting=posting).select(*kept, "status", "posting")
+    read = stage(read, outcome=outcome(F.col("status"), confidence, is_posting))
+    return read.drop("_is_posting")
 
 
 def extract_postings(pages: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from vacancia.plans.page_queries import _flat
 from vacancia.plans.page_templates import SITE_PAGES, documents
 from vacancia.plans.scalar_queries import NOW
 from vacancia.plans.tables import fmt, pick, table
+from vacancia.sources.pages import spread
 
 HOURS = 3600 * 1_000_000
 ADAPTER_IDS = ("rbc", "walmart", "bestbuy-ca", "cibc", "linkedin", "shopify")
@@ -133,7 +134,7 @@ def prefer_remote(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(1).alias("fetched_at"),
     )
     again = fetched.filter(~F.col("ok")).withColumn("ok", F.lit(True)).withColumn("fetched_at", F.lit(2))
-    read = remote.prefer_remote(route(caught), fetched.unionByName(again))
+    read = remote.prefer_remote(route(spread(caught)), spread(fetched.unionByName(again)))
     return _flat(read, "from_remote").drop("pay_min", "pay_max", "pay_raw")
 
 
