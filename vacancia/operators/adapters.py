@@ -198,13 +198,21 @@ def per_adapter(adapter_id: Column, value: Callable[[Adapter], Column]) -> Colum
     return out
 
 
-def per_chains(adapter_id: str, value: Callable[[SelectorChains], str]) -> str:
+def per_chains(
+    adapter_id: str, value: Callable[[SelectorChains], str], among: Sequence[str]
+) -> str:
     """As :func:`per_adapter` in SQL text, with one branch per set of selector chains."""
     ids: dict[SelectorChains, list[str]] = {}
     for a in _REGISTRY:
-        ids.setdefault(a.chains, []).append(a.adapter_id)
+        if a.adapter_id in among:
+            ids.setdefault(a.chains, []).append(a.adapter_id)
     branches = " ".join(
         f"WHEN {adapter_id} IN ({', '.join(map(sql_text, claimed))}) THEN {value(chains)}"
         for chains, claimed in ids.items()
     )
     return f"CASE {branches} END"
+
+
+def with_remote_copies() -> list[str]:
+    """Ids of the adapters whose pages can have a server-rendered copy."""
+    return [a.adapter_id for a in _REGISTRY if a.remote_url]

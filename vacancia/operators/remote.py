@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.operators.adapters import per_adapter
+from vacancia.operators.adapters import per_adapter, with_remote_copies
 from vacancia.operators.keys import spread_nulls
 from vacancia.operators.routing import remote_source_url, route
 from vacancia.plans.extract import read_postings
@@ -29,7 +29,8 @@ def first_remote_copy(copies: DataFrame) -> DataFrame:
 def trusted_remote_postings(copies: DataFrame) -> DataFrame:
     """``remote_url, posting`` of first copies that gave a confident posting."""
     fetched = first_remote_copy(copies).filter("ok").withColumn("url", F.col("remote_url"))
-    read = read_postings(route(fetched).filter(F.col("adapter_id").isNotNull()))
+    copied = with_remote_copies()
+    read = read_postings(route(fetched).filter(F.col("adapter_id").isin(copied)), copied)
     return read.filter(
         (F.col("status") == "ok") & (F.col("posting.detection.confidence") == "high")
     ).select("remote_url", F.col("posting").alias("remote_posting"))
@@ -59,18 +60,15 @@ def with_remote_posting(captures: DataFrame, copies: DataFrame, row_id: str) ->
 def prefer_remote(captures: DataFrame, copies: DataFrame, row_id: str = "page_id") -> DataFrame:
     """Postings of routed captures, from the trusted copy where there is one.
 
-    Live pages with a trusted copy are not parsed. Captures are joined before
-    parsing only where their adapter has remote copies; the others skip the join.
+    Live pages with a trusted copy are not parsed. Only captures that can have a
+    copy are joined ahead of the parser; all others go to it without a shuffle.
     """
     has_copy = remote_source_url(F.col("adapter_id"), F.col("url")).isNotNull()
     joined = with_remote_posting(captures.filter(has_copy), copies, row_id)
-    local = captures.filter(~has_copy).withColumn(
-        "remote_posting", F.lit(None).cast(joined.schema["remote_posting"].dataType)
-    )
-    rows = joined.unionByName(local).withColumn(
-        "html", F.when(F.col("remote_posting").isNull(), F.col("html"))
-    )
-    live = read_postings(rows)
+    untrusted = F.when(F.col("remote_posting").isNull(), F.col("html"))
+    live = read_postings(joined.withColumn("html", untrusted), with_remote_copies())
+    none = F.lit(None).cast(joined.schema["remote_posting"].dataType)
+    live = live.unionByName(read_postings(captures.filter(~has_copy)).withColumn("remote_posting", none))
     trusted = F.col("remote_posting").isNotNull()
     return (
         live.withColumn("from_remote", trusted)

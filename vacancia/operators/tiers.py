@@ -6,6 +6,8 @@ tier is worked out only for rows the tiers before it left empty.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,13 +49,13 @@ def _long_enough(ld: Column) -> Column:
     return F.coalesce(at_least(ld["description"], MIN_DESCRIPTION), F.lit(False))
 
 
-def site_stages(wanted: Column) -> list[dict[str, Column]]:
+def site_stages(wanted: Column, among: Sequence[str]) -> list[dict[str, Column]]:
     """Columns to add stage by stage to parsed pages with ``adapter_id``: what each tier finds."""
     no_ld = wanted & ~F.coalesce(let_column(F.col("_ld"), _long_enough), F.lit(False))
     return [
         {"_raw": F.when(wanted, F.expr(jsonld.fields(jsonld.first_job_posting("dom"))))},
         {"_ld": let_column(F.col("_raw"), jsonld.read_fields)},
-        {"_selected": F.when(no_ld, F.expr(per_chains("adapter_id", _selected)))},
+        {"_selected": F.when(no_ld, F.expr(per_chains("adapter_id", _selected, among)))},
         {
             "_block": F.when(
                 no_ld & F.col("_selected").isNull(), F.expr(structural_content("dom"))

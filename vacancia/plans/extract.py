@@ -7,6 +7,9 @@ and each page is parsed once, whichever site it belongs to.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import zip_longest
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,38 +25,46 @@ from vacancia.operators.stages import stage
 from vacancia.operators.tiers import site_posting, site_stages
 
 
-def attributes_read() -> list[str]:
-    """Attributes any known selector reads; no others leave the parser."""
-    chains = [s for a in adapters() for s in a.chains.all()]
-    return sorted(attributes_used([jsonld.SCRIPT, *chains, *indeed.ALL_SELECTORS]))
+def attributes_read(among: Sequence[str]) -> list[str]:
+    """Attributes the sites' selectors read; no others leave the parser."""
+    selectors = [s for a in adapters() if a.adapter_id in among for s in a.chains.all()]
+    if INDEED in among:
+        selectors += indeed.ALL_SELECTORS
+    return sorted(attributes_used([jsonld.SCRIPT, *selectors]))
 
 
-def read_postings(routed: DataFrame) -> DataFrame:
+def read_postings(routed: DataFrame, among: Sequence[str] | None = None) -> DataFrame:
     """Add ``status``, ``posting`` and ``outcome`` to routed pages.
 
-    A claimed page that is no single posting is ``hidden``; its content does not
-    reach the parser.
+    ``among`` names the sites that can occur, where that is known: the plan then
+    holds the selectors of no others. A claimed page that is no single posting is
+    ``hidden``; its content does not reach the parser.
     """
+    among = [INDEED, *(a.adapter_id for a in adapters())] if among is None else among
     on_indeed = F.col("adapter_id") == INDEED
     url, is_posting = F.col("url"), F.col("_is_posting")
     gated = routed.withColumn("_is_posting", is_posting_page(F.col("adapter_id"), url))
     read = with_dom(
-        gated.withColumn("html", F.when(is_posting, F.col("html"))), attributes_read()
+        gated.withColumn("html", F.when(is_posting, F.col("html"))), attributes_read(among)
     )
     # Both kinds of pages go through the same stages, so a page's elements are
     # handed on as seldom as possible.
-    for site, other in zip(site_stages(~on_indeed & is_posting), indeed_stages(on_indeed), strict=True):
+    others = indeed_stages(on_indeed) if INDEED in among else []
+    sites = site_stages(~on_indeed & is_posting, among)
+    for site, other in zip_longest(sites, others, fillvalue={}):
         read = stage(read, **site, **other)
+    read = read.withColumn("_site", site_posting(F.col("adapter_id"), url))
+    posting = F.col("_site")
+    if INDEED in among:
+        posting = F.when(on_indeed, indeed_posting(url)).otherwise(posting)
     status = (
         F.when(~is_posting, F.lit("hidden"))
-        .when(on_indeed, indeed_status())
+        .when(on_indeed, indeed_status() if INDEED in among else F.lit(None))
         .when(F.col("_site").isNotNull(), F.lit("ok"))
         .otherwise(F.lit("not-found"))
     )
     confidence = let(F.col("posting"), lambda p: p["detection"]["confidence"])
     kept = [*routed.drop("html").columns, "_is_posting"]
-    read = read.withColumn("_site", site_posting(F.col("adapter_id"), url))
-    posting = F.when(on_indeed, indeed_posting(url)).otherwise(F.col("_site"))
     read = stage(read, status=status, posting=posting).select(*kept, "status", "posting")
     read = stage(read, outcome=outcome(F.col("status"), confidence, is_posting))
     return read.drop("_is_posting")
