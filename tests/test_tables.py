@@ -160,6 +160,42 @@ def test_lookup_existing(spark):
         assert r["matched_by"] == ("url" if by_url else "role" if by_role else None)
 
 
+def test_a_hot_key_is_split_when_looked_up(spark):
+    """A third of all postings share one company and role, and another third no URL."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 60_000, 1, 16).selectExpr(
+            "id AS posting_id",
+            "if(id % 3 = 0, 'Unknown company', concat('Company ', id)) AS company",
+            "if(id % 3 = 0, 'Clerk', concat('Role ', id)) AS title",
+            "if(id % 3 = 1, null, concat('u', id)) AS source_url",
+        )
+        apps = rows.selectExpr(
+            "cast(posting_id AS string) id", "company", "title AS role", "'s' AS stage",
+            "timestamp_seconds(posting_id) AS date_applied", "cast(null AS string) AS source_url",
+        ).filter("cast(id AS int) % 2 = 0")
+        found = lookup.lookup_existing(rows, apps, "posting_id")
+        got = found.groupBy("matched_by").count().collect()
+        assert {r["matched_by"]: r["count"] for r in got} == {"role": 40_000, None: 20_000}
+        found.write.format("noop").mode("overwrite").save()
+        kept = found.select("posting_id", "match")
+        kept.collect()
+        assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_first_in_batch(spark):
     rows = make_postings(6)
     ordered = sorted(rows, key=lambda r: (r[1], r[0]))

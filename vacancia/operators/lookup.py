@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacancia.functions.company import canonical_company
-from vacancia.operators.keys import spread_nulls
+from vacancia.operators.keys import shuffled_anew, spread_nulls
+from vacancia.operators.stages import stage
 
 MATCH = ("id", "company", "role", "stage", "date_applied")
 
@@ -19,12 +20,13 @@ def role_key(company: Column, role: Column) -> Column:
 
 def _earliest(applications: DataFrame, key: Column, match: str) -> DataFrame:
     """The earliest application per key, so that no posting meets two."""
-    return (
-        applications.withColumn("_key", key)
+    first = (
+        stage(applications, _key=key)
         .filter(F.col("_key").isNotNull())
         .groupBy("_key")
         .agg(F.min_by(F.struct(*MATCH), F.struct("date_applied", "id")).alias(match))
     )
+    return shuffled_anew(first, "_key")
 
 
 def lookup_existing(postings: DataFrame, applications: DataFrame, row_id: str) -> DataFrame:
@@ -82,7 +84,7 @@ def first_in_batch(postings: DataFrame, order: str, row_id: str) -> DataFrame:
     def first(rows: DataFrame, key: Column) -> DataFrame:
         at = W.partitionBy("_key").orderBy(order, row_id)
         return (
-            rows.withColumn("_key", spread_nulls(key, F.col(row_id)))
+            stage(rows, _key=spread_nulls(key, F.col(row_id)))
             .withColumn("_n", F.row_number().over(at))
             .filter(F.col("_n") == 1)
             .drop("_key", "_n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.operators.adapters import per_adapter, with_remote_copies
-from vacancia.operators.keys import spread_nulls
+from vacancia.operators.keys import shuffled_anew, spread_nulls
 from vacancia.operators.routing import remote_source_url, route
 from vacancia.plans.extract import read_postings
 
@@ -42,7 +42,9 @@ def with_remote_posting(captures: DataFrame, copies: DataFrame, row_id: str) ->
         "_key",
         spread_nulls(remote_source_url(F.col("adapter_id"), F.col("url")), F.col(row_id)),
     )
-    trusted = trusted_remote_postings(copies).withColumnRenamed("remote_url", "_key")
+    trusted = shuffled_anew(
+        trusted_remote_postings(copies).withColumnRenamed("remote_url", "_key"), "_key"
+    )
     own_url = per_adapter(F.col("adapter_id"), lambda a: a.source_url(F.col("url")))
     return (
         keyed.join(trusted, "_key", "left")
