@@ -105,6 +105,13 @@ PAGES = {
         f'<div data-ph-at-id="job-description">{BODY}</div>',
         dict(ok, title="Associate", company="RBC", location="VANCOUVER", method="selector"),
     ),
+    "deeply nested json-ld": (
+        "https://jobs.rbc.com/ca/en/job/51",
+        '<script type="application/ld+json">'
+        + json.dumps([[{"@graph": [[{"@graph": [{"@type": "JobPosting", "title": "Deep", "description": LONG}]}]]}]])
+        + "</script>",
+        dict(ok, title="Deep", method="json-ld"),
+    ),
     "json-ld too short, nodes instead": (
         "https://careers.walmart.com/us/jobs/7",
         ld(title="From JSON", jobLocation=place("Austin"), description="short", **{"@type": "JobPosting"},
@@ -263,16 +270,13 @@ def test_a_registered_adapter_is_routed_and_read(spark):
         adapters.SelectorChains(title=("h2",), description=('[data-acme="text"]',), location=()),
         "Acme", remote_url=None,
     )
-    from vacancia.operators.routing import route
-    from vacancia.plans.extract import read_postings
-
     adapters.register_adapter(site)
     try:
         with pytest.raises(ValueError):
             adapters.register_adapter(site)
         html = f'<h2>Welder</h2><div data-acme="text">{BODY}</div>'
         df = spark.createDataFrame([(1, "https://jobs.acme.test/1", html)], "page_id int, url string, html string")
-        row = read_postings(route(df)).first()
+        row = extract_postings(df).first()
         assert (row["adapter_id"], row["posting"]["title"]) == ("acme", "Welder")
         assert row["posting"]["detection"]["method"] == "selector"
     finally:

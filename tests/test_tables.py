@@ -354,10 +354,13 @@ def test_stored_snapshots_and_batches(spark, tmp_path):
     path = str(tmp_path / "t")
     assert stored.read_snapshot(spark, path) is None
     assert stored.read_batches(spark, path) is None
-    for version, n in ((0, 2), (1, 5), (10, 3), (10, 4)):
+    for version, n in ((0, 2), (1, 5), (2, 3), (2, 4), (4, 6), (4, 7)):
         stored.write_snapshot(spark.range(n), path, version)
-    assert stored.read_snapshot(spark, path).count() == 4
-    assert stored.read_snapshot(spark, path, before=10).count() == 5
+        assert stored.read_snapshot(spark, path).count() == n
+        # A table may be rewritten from itself.
+        before = stored.read_snapshot(spark, path, before=version)
+        assert (before is None) == (version == 0)
+    assert stored.read_snapshot(spark, path, before=4).count() == 4
     assert stored.read_snapshot(spark, path, before=0) is None
     batches = str(tmp_path / "b")
     for batch, n in ((0, 2), (1, 5), (1, 3)):

@@ -17,7 +17,7 @@ from vacancia.schemas import SALARY
 
 SCRIPT = 'script[type="application/ld+json"]'
 # How deep arrays and @graph members may nest inside one block.
-NESTING = 3
+NESTING = 8
 
 LD = f"struct<title:string,company:string,location:string,salary:{SALARY},description:string>"
 

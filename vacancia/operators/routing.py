@@ -10,34 +10,21 @@ from vacancia.functions.urls import url_parts
 from vacancia.operators.adapters import adapters, per_adapter
 
 INDEED = "indeed"
-# Where pages are captured, beside the hosts of any ``indeed.com`` site.
-SCOPE_HOSTS = (
-    "jobs.rbc.com",
-    "careers.walmart.com",
-    "bestbuycanada.wd3.myworkdayjobs.com",
-    "cibc.wd3.myworkdayjobs.com",
-)
-SCOPE_PATHS = (
-    ("www.linkedin.com", "/jobs/"),
-    ("www.shopify.com", "/careers/"),
-)
-SCOPE_PAGES = (("www.shopify.com", "/careers"),)
-
 
 def is_indeed_host(host: Column) -> Column:
     return (host == "indeed.com") | F.endswith(host, F.lit(".indeed.com"))
 
 
 def in_scope(url: Column) -> Column:
-    """True for pages the capture covers; only https counts."""
+    """True for pages the capture covers: https, on Indeed or where an adapter claims the
+    address, query included."""
 
     def test(u: Column) -> Column:
-        target = F.concat(u["path"], F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(""))
-        covered = is_indeed_host(u["host"]) | u["host"].isin(*SCOPE_HOSTS)
-        for host, prefix in SCOPE_PATHS:
-            covered = covered | ((u["host"] == host) & F.startswith(target, F.lit(prefix)))
-        for host, page in SCOPE_PAGES:
-            covered = covered | ((u["host"] == host) & (target == page))
+        query = F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise("")
+        target = F.concat(u["path"], query)
+        covered = is_indeed_host(u["host"])
+        for a in adapters():
+            covered = covered | a.claims(u["host"], target)
         return F.coalesce((u["scheme"] == "https") & covered, F.lit(False))
 
     return let(url_parts(url), test)

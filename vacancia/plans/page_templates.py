@@ -77,6 +77,11 @@ INDEED_PAGES = (
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return documents_of(table(spark, sf, "documents"))
+
+
+def documents_of(docs: DataFrame) -> DataFrame:
+    """What the templates take from a document."""
     text = F.col("text")
     twice = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;amp;")), F.lit("<"), F.lit("&amp;lt;"))
 
@@ -84,7 +89,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         """The value as a JSON string, quotes included."""
         return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]\z", "")
 
-    return table(spark, sf, "documents").select(
+    return docs.select(
         F.col("doc_id").alias("k"),
         F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0").alias("z"),
         F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16).alias("h"),
@@ -104,7 +109,11 @@ def _filled(docs: DataFrame, urls: tuple[str, ...], pages: tuple[str, ...]) -> D
 
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return _filled(documents(spark, sf), SITE_URLS, SITE_PAGES)
+    return site_pages_of(table(spark, sf, "documents"))
+
+
+def site_pages_of(docs: DataFrame) -> DataFrame:
+    return _filled(documents_of(docs), SITE_URLS, SITE_PAGES)
 
 
 def indeed_pages(spark: SparkSession, sf: str) -> DataFrame:

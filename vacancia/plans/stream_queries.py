@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.operators import health
+from vacancia.plans import page_queries
 from vacancia.plans import table_queries as t
+from vacancia.plans.extract import extract_postings
+from vacancia.plans.page_queries import with_provenance
+from vacancia.plans.page_templates import site_pages_of
 from vacancia.plans.tables import table
 from vacancia.sources.stored import read_batches, read_snapshot
 from vacancia.streaming import ordered, runs
@@ -27,6 +31,13 @@ def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return runs.stateful(spark).readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
+def extract_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Site pages read as they come in; nothing is kept between micro-batches."""
+    pages = site_pages_of(stream_table(spark, sf, "documents"))
+    read = with_provenance(extract_postings(pages))
+    return runs.drain_to_table(read, runs.new_folder(spark, "extracted"))
+
+
 def debounce_stream(spark: SparkSession, sf: str) -> DataFrame:
     e = stream_table(spark, sf, "events")
     fired = ordered.debounce_stream(t.captures_of(e), 2 * t.HOURS, f"{DELAY_S} seconds")
@@ -66,13 +77,21 @@ def submit_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (debounce_stream, change_stream, dedupe_remote_stream, health_stream, submit_stream)
+    for f in (
+        extract_stream,
+        debounce_stream,
+        change_stream,
+        dedupe_remote_stream,
+        health_stream,
+        submit_stream,
+    )
 }
 
 # Rows behind the final watermark: later ones wait for the stream to go on.
 _WATERMARK = f"(SELECT max(epoch_ms(ts)) - {DELAY_S * 1000} FROM events)"
 
 ORACLES = {
+    "extract_stream": page_queries.ORACLES["tiered_extract"],
     "debounce_stream": f"""
         SELECT CAST(user_id AS VARCHAR) AS tab_id, event_id AS capture_id, ts AS captured_at, immediate
         FROM ({t.ORACLES["debounce_sites"]}) JOIN events ON capture_id = event_id

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacancia.operators import health, lookup, remote, submissions, timeline
 from vacancia.operators.adapters import adapters
 from vacancia.operators.routing import route
-from vacancia.plans.page_queries import _flat
+from vacancia.plans.page_queries import flat
 from vacancia.plans.page_templates import SITE_PAGES, documents
 from vacancia.plans.scalar_queries import NOW
 from vacancia.plans.tables import fmt, pick, table
@@ -135,7 +135,7 @@ def prefer_remote(spark: SparkSession, sf: str) -> DataFrame:
     )
     again = fetched.filter(~F.col("ok")).withColumn("ok", F.lit(True)).withColumn("fetched_at", F.lit(2))
     read = remote.prefer_remote(route(spread(caught)), spread(fetched.unionByName(again)))
-    return _flat(read, "from_remote").drop("pay_min", "pay_max", "pay_raw")
+    return flat(read, "from_remote").drop("pay_min", "pay_max", "pay_raw")
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
