@@ -124,6 +124,43 @@ def test_slices_are_the_text_of_the_subtree(trees):
         assert node["clen"] + node["wide"] == units
 
 
+_fragments = st.lists(
+    st.sampled_from(
+        "<p> </p> <div> </div> <b> </b> <li> <ul> </ul> <table> <tr> <td> </table> <a href='x> <a b=\" \" > < "
+        "<!-- --> <! </ <script> </script> <title> </title> <svg> </svg> <br/> <body> </body> </html> "
+        "<template> </template> <h1> <h2> <option> <button> &amp; &lt &#0; text \x00 é 😀".split(" ")
+        + [" ", "\r\n"]
+    ),
+    max_size=30,
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_fragments)
+def test_any_input_gives_a_tree(fragments):
+    page = parse("".join(fragments))
+    nodes = page["nodes"]
+    assert [n["idx"] for n in nodes] == list(range(len(nodes)))
+    assert nodes[0]["end"] == len(nodes) and nodes[page["body"]]["tag"] == "body"
+    for n in nodes[1:]:
+        parent = nodes[n["parent"]]
+        assert parent["idx"] < n["idx"] < n["end"] <= parent["end"]
+        siblings = [m for m in nodes[: n["idx"]] if m["parent"] == n["parent"]]
+        assert n["sib"] == len(siblings) + 1
+        # A node's text lies inside its parent's.
+        if n["clen"]:
+            assert parent["c0"] <= n["c0"] and n["c0"] + n["clen"] <= parent["c0"] + parent["clen"]
+
+
+def test_long_hostile_pages_take_linear_time():
+    import time
+
+    for html in ("<" * 200_000, "<a " * 100_000, '<a b="' * 50_000, "<!--" * 100_000, "</" * 100_000, "&" * 200_000):
+        began = time.perf_counter()
+        parse(html)
+        assert time.perf_counter() - began < 5
+
+
 def _tighten_by_walking(nodes, start):
     """Step into the child that holds the dominant share until there is none."""
     at = start

@@ -112,3 +112,18 @@ def test_submissions_survive_a_replay(spark, tmp_path):
     expected = submissions.stage_submissions(batch(rows[:150]), none, "detected_at", "posting_id")
     first = {r["pending_token"] for r in expected.select("pending_token").collect()}
     assert first <= {r["pending_token"] for r in twice}
+
+
+def test_a_token_is_spent_once(spark, tmp_path):
+    path = str(tmp_path / "applications")
+    staged = spark.createDataFrame([("t1", "x"), ("t2", "y")], "pending_token string, source_url string")
+    write = tables.confirmation_writer(path, lambda: staged)
+
+    def confirms(*rows):
+        return spark.createDataFrame(list(rows), "pending_token string, date_applied timestamp")
+
+    write(confirms(("t1", at(5)), ("gone", at(1))), 0)
+    write(confirms(("t1", at(3)), ("t2", at(4))), 1)
+    write(confirms(("t1", at(3)), ("t2", at(4))), 1)
+    done = stored.read_batches(spark, path).collect()
+    assert sorted((r["pending_token"], r["date_applied"]) for r in done) == [("t1", at(5)), ("t2", at(4))]

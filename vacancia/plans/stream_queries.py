@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.operators import health
+from vacancia.operators.submissions import staged_rows
 from vacancia.plans import page_queries
 from vacancia.plans import table_queries as t
 from vacancia.plans.extract import extract_postings
@@ -75,6 +76,19 @@ def submit_stream(spark: SparkSession, sf: str) -> DataFrame:
     return read_batches(spark, f"{folder}/staged")
 
 
+def confirm_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Confirmations as they come in, for postings staged before."""
+    rows = staged_rows(t.postings(spark, sf))
+    arriving = t.confirms_of(
+        staged_rows(t.postings_of(stream_table(spark, sf, "orders"), table(spark, sf, "customer")))
+    )
+    folder = runs.new_folder(spark, "confirmations")
+    write = stored.confirmation_writer(f"{folder}/applications", lambda: rows)
+    runs.drain_batches(arriving, folder, write)
+    done = read_batches(spark, f"{folder}/applications")
+    return done.select("posting_id", "application_id", "date_applied")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +98,7 @@ QUERIES = {
         dedupe_remote_stream,
         health_stream,
         submit_stream,
+        confirm_stream,
     )
 }
 
@@ -103,4 +118,5 @@ ORACLES = {
     "dedupe_remote_stream": f"SELECT remote_url FROM ({t.ORACLES['first_remote_copy']})",
     "health_stream": t.ORACLES["adapter_health"],
     "submit_stream": t.ORACLES["stage_submissions"],
+    "confirm_stream": t.ORACLES["confirm_submissions"],
 }

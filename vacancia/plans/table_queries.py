@@ -223,7 +223,7 @@ def not_yet_staged(spark: SparkSession, sf: str) -> DataFrame:
     return submissions.not_yet_staged(rows, done).select("posting_id")
 
 
-def _confirms(rows: DataFrame) -> DataFrame:
+def confirms_of(rows: DataFrame) -> DataFrame:
     """Two confirmations for every third order, one of a token never staged for each fourth."""
     third = rows.filter(F.col("posting_id") % 3 == 0).select(
         "pending_token", F.col("detected_at").alias("date_applied")
@@ -238,13 +238,13 @@ def _confirms(rows: DataFrame) -> DataFrame:
 
 def confirm_submissions(spark: SparkSession, sf: str) -> DataFrame:
     rows = submissions.staged_rows(postings(spark, sf))
-    confirmed = submissions.confirm_submissions(rows, _confirms(rows))
+    confirmed = submissions.confirm_submissions(rows, confirms_of(rows))
     return confirmed.select("posting_id", "application_id", "date_applied")
 
 
 def expired_confirms(spark: SparkSession, sf: str) -> DataFrame:
     rows = submissions.staged_rows(postings(spark, sf))
-    return submissions.expired_confirms(rows, _confirms(rows)).select(
+    return submissions.expired_confirms(rows, confirms_of(rows)).select(
         "pending_token", "ok", "status"
     )
 

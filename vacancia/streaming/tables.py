@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.operators.health import latest_adapter_health, upsert_adapter_health
-from vacancia.operators.submissions import not_yet_staged, stage_submissions
+from vacancia.operators.submissions import (
+    confirm_submissions,
+    not_yet_staged,
+    stage_submissions,
+)
 from vacancia.sources.stored import (
     read_batches,
     read_snapshot,
@@ -58,6 +62,22 @@ def submission_writer(
     return write
 
 
+def confirmation_writer(
+    path: str, staged: Callable[[], DataFrame]
+) -> Callable[[DataFrame, int], None]:
+    """Turns the confirmations of a micro-batch into applications.
+
+    A token is spent once: those confirmed in earlier batches are gone.
+    """
+
+    def write(confirms: DataFrame, batch_id: int) -> None:
+        done = confirm_submissions(staged(), confirms)
+        spent = read_batches(confirms.sparkSession, path, before=batch_id)
+        write_batch(done if spent is None else not_yet_staged(done, spent), path, batch_id)
+
+    return write
+
+
 def event_time(rows: DataFrame, column: str) -> DataFrame:
     """A column as the timestamp type that watermarks take."""
     return rows.withColumn(column, F.col(column).cast("timestamp"))
