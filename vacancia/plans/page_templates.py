@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.plans.tables import escape_html, fmt, pick, table
+from vacancia.plans.tables import escape_html, fmt, pick, texts
 
 UUID = "6debf006-a6d2-4725-b152-38e932097480"
 
@@ -77,7 +77,7 @@ INDEED_PAGES = (
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return documents_of(table(spark, sf, "documents"))
+    return documents_of(texts(spark, sf, "documents"))
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _filled(docs: DataFrame, urls: tuple[str, ...], pages: tuple[str, ...]) -> D
 
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return site_pages_of(table(spark, sf, "documents"))
+    return site_pages_of(texts(spark, sf, "documents"))
 
 
 def site_pages_of(docs: DataFrame) -> DataFrame:
