@@ -103,25 +103,6 @@ _CLOSED_BY_END: dict[str, tuple[tuple[str, ...], frozenset[str]]] = {
     "li": (("li",), SCOPE | {"ol", "ul"}),
 }
 
-_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?)?"""
-_TOKEN = re.compile(
-    rf"""([^<]+)                                                # text
-    |<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)>       # tag
-    |<!--(?:-?>|.*?(?:--!?>|\Z))                                # comment
-    |<(?:[!?][^>]*+>?|/>|/[^A-Za-z>][^>]*+>?)                    # bogus comment
-    |<[A-Za-z/].*\Z                                             # cut off inside a tag
-    |(<)""",
-    re.ASCII | re.DOTALL | re.VERBOSE,
-)
-_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.ASCII)
-_RAW_END = {tag: re.compile(rf"(?i)</{tag}(?=[\s/>])[^>]*>") for tag in RAW_TEXT}
-_IS_WS = np.zeros(0x10000, dtype=bool)
-_IS_WS[[ord(c) for c in WS_CHARS]] = True
-_BUTTON_SCOPE = SCOPE | {"button"}
-_LIST_SCOPE = SCOPE | {"ol", "ul"}
-_ITEM_BOUNDARY = SPECIAL - {"address", "div", "p"}
-_CELL_SCOPE = TABLE_SCOPE | {"tr"}
-
 
 class _Node:
     """An element: its place in the tree and the range of page text it covers."""
