@@ -33,7 +33,8 @@ def test_truncate_label(spark):
     "value, expected",
     [
         (100000.0, "100000"), (17.6, "17.6"), (1e7, "10000000"), (0.5, "0.5"), (1e20, "1" + "0" * 20),
-        (-3.25, "-3.25"), (0.0, "0"),
+        (-3.25, "-3.25"), (0.0, "0"), (1e21, "1e+21"), (1.5e30, "1.5e+30"), (1e-6, "0.000001"),
+        (1.25e-7, "1.25e-7"), (1.7976931348623157e308, "1.7976931348623157e+308"),
     ],
 )
 def test_number_text(spark, value, expected):

@@ -66,9 +66,14 @@ def truncate_label(text: Column, limit: int) -> Column:
 
 
 def number_text(number: Column) -> Column:
-    """A double the way ECMAScript prints it, for 1e-16 <= |x| < 1e21."""
-    fixed = number.cast("string").cast("decimal(38,16)").cast("string")
-    return F.regexp_replace(fixed, r"\.0+\z|(\.[0-9]*?)0+\z", "$1")
+    """A double the way ECMAScript prints it."""
+    digits = number.cast("string")
+    fixed = digits.try_cast("decimal(38,16)").cast("string")
+    plain = F.regexp_replace(fixed, r"\.0+\z|(\.[0-9]*?)0+\z", "$1")
+    # Very large and very small numbers are written with an exponent.
+    scientific = F.regexp_replace(F.regexp_replace(digits, r"(\.0)?E", "e"), "e([0-9])", "e+$1")
+    size = F.abs(number)
+    return F.when((size >= 1e21) | ((size < 1e-6) & (size > 0)), scientific).otherwise(plain)
 
 
 def number_of(text: Column) -> Column:
