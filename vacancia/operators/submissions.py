@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.functions.text import compose_posting_text
+from vacancia.functions.text import compose_posting_text, let
 from vacancia.operators.lookup import first_in_batch, only_new
 
 # Error texts of :func:`classify_api_response`.
@@ -71,40 +71,59 @@ def classify_api_response(endpoint: Column, status: Column, body: Column) -> Col
     ``value`` is the pending token, the application id or the match, by endpoint
     (``ingest``, ``confirm``, ``lookup``). A null status means no answer came.
     """
+
+    def read(answer: Column) -> Column:
+        def field(name: str) -> Column:
+            """A field as text; null when missing, null or no JSON."""
+            return F.try_variant_get(answer, f"$.{name}", "string")
+
+        def truthy(name: str) -> Column:
+            return let(F.try_variant_get(answer, f"$.{name}", "variant"), _truthy)
+
+        complete = (
+            F.when(endpoint == "ingest", truthy("pendingToken") & truthy("extraction"))
+            .when(endpoint == "confirm", truthy("applicationId"))
+            .otherwise(F.lit(True))
+        )
+        value = (
+            F.when(endpoint == "ingest", field("pendingToken"))
+            .when(endpoint == "confirm", field("applicationId"))
+            .otherwise(F.when(answer.isNotNull(), F.get_json_object(body, "$.match")))
+        )
+        return F.struct(
+            complete.alias("complete"), field("error").alias("error"), value.alias("value")
+        )
+
     # As for JSON-LD, a marker behind the text tells one whole value from a part.
     marked = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"end"]')))
-    whole = (F.try_variant_get(marked, "$[1]", "string") == "end") & F.try_variant_get(
-        marked, "$[2]", "variant"
-    ).isNull()
-    answer = F.when(whole, F.try_variant_get(marked, "$[0]", "variant"))
-
-    def field(name: str) -> Column:
-        """A field as text; null when missing, null or no JSON."""
-        return F.try_variant_get(answer, f"$.{name}", "string")
-
-    def truthy(name: str) -> Column:
-        member = F.try_variant_get(answer, f"$.{name}", "variant")
-        kind = F.coalesce(F.schema_of_variant(member), F.lit("VOID"))
+    answer = let(
+        marked,
+        lambda m: F.when(
+            (F.try_variant_get(m, "$[1]", "string") == "end")
+            & F.try_variant_get(m, "$[2]", "variant").isNull(),
+            F.try_variant_get(m, "$[0]", "variant"),
+        ),
+    )
+    return let(let(answer, read), lambda r: _verdict(status, r["complete"], r["error"], r["value"]))
+
+
+def _truthy(member: Column) -> Column:
+    """What the service's language takes as true: no null, no empty text, no zero."""
+
+    def test(kind: Column) -> Column:
         text = F.coalesce(F.try_variant_get(member, "$", "string"), F.lit("{}"))
         number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-        empty = (
+        return ~(
             (kind == "VOID")
             | ((kind == "STRING") & (text == ""))
             | ((kind == "BOOLEAN") & (text == "false"))
-            | (number & (text.try_cast("double") == 0))
+            | (number & F.coalesce(text.try_cast("double") == 0, F.lit(False)))
         )
-        return ~empty
 
-    complete = (
-        F.when(endpoint == "ingest", truthy("pendingToken") & truthy("extraction"))
-        .when(endpoint == "confirm", truthy("applicationId"))
-        .otherwise(F.lit(True))
-    )
-    value = (
-        F.when(endpoint == "ingest", field("pendingToken"))
-        .when(endpoint == "confirm", field("applicationId"))
-        .otherwise(F.when(whole, F.get_json_object(body, "$.match")))
-    )
+    return let(F.coalesce(F.schema_of_variant(member), F.lit("VOID")), test)
+
+
+def _verdict(status: Column, complete: Column, message: Column, value: Column) -> Column:
     accepted = status.between(200, 299)
     ok = status.isNotNull() & accepted & complete
     error = (
@@ -112,7 +131,7 @@ def classify_api_response(endpoint: Column, status: Column, body: Column) -> Col
         .when(
             ~accepted,
             F.coalesce(
-                field("error"),
+                message,
                 F.concat(F.lit("Request failed ("), status.cast("string"), F.lit(").")),
             ),
         )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vacancia.operators import health, remote, submissions, timeline
 from vacancia.operators.routing import INDEED, in_scope, route
+from vacancia.plans.extract import read_postings
 from vacancia.streaming.runs import new_folder
 
 # How long a tab has to be quiet before its page is read.
@@ -45,9 +46,15 @@ def fired_captures(captures: DataFrame, rules: Rules) -> DataFrame:
     return captures.join(fired.select(timeline.ROW), timeline.ROW, "left_semi")
 
 
-def stored_postings(captures: DataFrame, copies: DataFrame, rules: Rules) -> DataFrame:
+def stored_postings(
+    captures: DataFrame, rules: Rules, copies: DataFrame | None = None
+) -> DataFrame:
     """Results of the captures that fire, from a table written in the shared folder."""
-    read = remote.prefer_remote(fired_captures(captures, rules), copies, timeline.ROW)
+    fired = fired_captures(captures, rules)
+    if copies is None:
+        read = read_postings(fired)
+    else:
+        read = remote.prefer_remote(fired, copies, timeline.ROW)
     spark = captures.sparkSession
     folder = new_folder(spark, "postings")
     read.write.parquet(folder)

@@ -10,7 +10,6 @@ from vacancia.plans.page_queries import SITE_SQL
 from vacancia.plans.page_templates import site_pages
 from vacancia.plans.table_queries import HOURS
 from vacancia.plans.tables import table
-from vacancia.schemas import REMOTE_COPIES
 from vacancia.sources.pages import spread
 
 RULES = flow.Rules(3 * HOURS, True, ("title", "description_text"))
@@ -32,7 +31,7 @@ def _captures(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
     sites, _ = flow.split_by_site(_captures(spark, sf))
-    return flow.stored_postings(spread(sites), spark.createDataFrame([], REMOTE_COPIES), RULES)
+    return flow.stored_postings(spread(sites), RULES)
 
 
 def capture_flow(spark: SparkSession, sf: str) -> DataFrame:
