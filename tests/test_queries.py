@@ -6,10 +6,24 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check import database, spark_rows, sql_rows
+from vacancia.plans import (
+    flow_queries,
+    page_queries,
+    scalar_queries,
+    stream_queries,
+    table_queries,
+)
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+MODULES = (scalar_queries, page_queries, table_queries, flow_queries, stream_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+
+
+def test_registered():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_every_query_has_its_sql():
