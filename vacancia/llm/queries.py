@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import exact_dedup, url_filter, warc
+from vacancia.llm import exact_dedup, language_id, packing, url_filter, warc
 from vacancia.llm.common import table
 
 # Fixed values of the contract.
@@ -28,6 +28,27 @@ def exact_dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.first_seen(table(spark, sf_dir, "documents"))
 
 
+def language_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.learn(docs.select("doc_id", "text", "lang").filter(~held))
+    # Only the text goes in; the ids come along untouched.
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return language_id.predict_narrow(rows, model).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
+def packing_setup() -> packing.Packing:
+    import public_tokenizers
+
+    return packing.Packing(vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing_setup())
+
+
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = warc.archive_folder(spark)
@@ -102,7 +123,9 @@ FROM grouped"""
 QUERIES = {
     "op2_url_filter": url_filtered,
     "op5_exact_dedup": exact_dedup_rows,
+    "op6_packing": packed,
     "op8_warc": warc_round_trip,
+    "op9_language_id": language_predicted,
 }
 
 ORACLES = {
