@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import chunks, partitions
+from vacancia.llm.common import chunks, partitions, stored
 
 SEPARATOR = 0
 
@@ -292,7 +292,8 @@ def pack(
     """
     spark = docs.sparkSession
     n = setup.ranges or partitions(spark)
-    rows = tokens(docs, setup, text, doc_id)
+    # Finding the ranges reads the rows once more, so they are not made twice.
+    rows = stored(tokens(docs, setup, text, doc_id), "tokens", "zstd")
     ordered = rows.repartitionByRange(n, "curve", "doc_id", F.xxhash64("ids")).sortWithinPartitions(
         "curve", "doc_id", F.xxhash64("ids")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import exact_dedup, language_id, packing, url_filter, warc
+from vacancia.llm import exact_dedup, language_id, mixing, packing, url_filter, warc
 from vacancia.llm.common import table
 
 # Fixed values of the contract.
@@ -49,6 +49,12 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing_setup())
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies"
+    )
+
+
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = warc.archive_folder(spark)
@@ -122,6 +128,7 @@ FROM grouped"""
 
 QUERIES = {
     "op2_url_filter": url_filtered,
+    "op3_mixing": mixed,
     "op5_exact_dedup": exact_dedup_rows,
     "op6_packing": packed,
     "op8_warc": warc_round_trip,
