@@ -112,10 +112,11 @@ def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def plan_records(pages: DataFrame, row_id: str, url: str, payload: str, least: int) -> DataFrame:
-    """One row per page: id, url, payload and, for revisits, the id of the response.
+    """The pages, and ahead of each revisit a row with its digest and the response's id.
 
     Only digests are grouped; a payload that thousands of pages share is one key, whose
-    partial maxima are taken before the shuffle.
+    partial maxima are taken before the shuffle. The payloads meet what was found when
+    all are sorted by id, so they are moved once.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(
@@ -131,11 +132,15 @@ def plan_records(pages: DataFrame, row_id: str, url: str, payload: str, least: i
     revisits = (
         keys.join(first.filter("copies > 1"), ["sha", "n"])
         .filter(~F.col("row_id").eqNullSafe(F.col("response_id")))
-        .select(F.col("row_id").alias("revisit_id"), "sha", "response_id")
+        .select("row_id", "sha", "response_id")
         .distinct()
     )
-    known = F.col("row_id").eqNullSafe(F.col("revisit_id")) & (F.sha1("payload") == F.col("sha"))
-    return rows.join(revisits, known, "left").select("row_id", "url", "payload", "response_id", F.col("revisit_id").isNotNull().alias("revisit"))
+    none = F.lit(None)
+    return revisits.select(
+        "row_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "sha", "response_id"
+    ).unionByName(
+        rows.withColumns({"sha": none.cast("string"), "response_id": none.cast("long")})
+    )
 
 
 MANIFEST = "file string, records long, bytes long, first_id long, last_id long, sha256 string"
@@ -156,7 +161,9 @@ def write_archives(
     spark = pages.sparkSession
     records = plan_records(pages, row_id, url, payload, layout.least)
     n = layout.files or partitions(spark)
-    ordered = records.repartitionByRange(n, "row_id", "url").sortWithinPartitions("row_id", "url")
+    ordered = records.repartitionByRange(n, "row_id").sortWithinPartitions(
+        "row_id", F.col("payload").isNotNull(), "url", F.sha1("payload"), "sha"
+    )
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -179,16 +186,24 @@ def write_archives(
             entries.append((final, len(ids), len(data), ids[0], ids[-1], digest))
             buffer, ids, rolled = io.BytesIO(), [], rolled + 1
 
+        known: dict[bytes, int] = {}  # of the id at hand: digests of its revisits
+        at = None
         for batch in batches:
             for row in batch.to_pylist():
+                if row["row_id"] != at:
+                    known, at = {}, row["row_id"]
                 body = row["payload"]
+                if body is None:
+                    known[bytes.fromhex(row["sha"])] = row["response_id"]
+                    continue
+                digest = hashlib.sha1(body).digest()
                 raw = record(
-                    row["row_id"],
+                    at,
                     row["url"],
                     body,
-                    payload_digest(body),
-                    row["response_id"],
-                    row["revisit"],
+                    base64.b32encode(digest).decode("ascii"),
+                    known.get(digest),
+                    digest in known,
                     layout.date,
                 )
                 buffer.write(gzip.compress(raw, layout.level, mtime=0))
