@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import exact_dedup, language_id, mixing, packing, url_filter, warc
+from vacancia.llm import (
+    exact_dedup,
+    fingerprints,
+    language_id,
+    mixing,
+    packing,
+    pii,
+    simhash_dedup,
+    url_filter,
+    votes,
+    warc,
+)
 from vacancia.llm.common import table
 
 # Fixed values of the contract.
@@ -55,6 +66,22 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", votes.hex16(F.col("fingerprint")).alias("fingerprint"), "component_id"
+    )
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(pii.labelled_windows(docs)))
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = warc.archive_folder(spark)
@@ -127,12 +154,15 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM grouped"""
 
 QUERIES = {
+    "op1_simhash_dedup": simhash_near_duplicates,
     "op2_url_filter": url_filtered,
     "op3_mixing": mixed,
     "op5_exact_dedup": exact_dedup_rows,
     "op6_packing": packed,
+    "op7_pii": personal_data,
     "op8_warc": warc_round_trip,
     "op9_language_id": language_predicted,
+    "op10_fingerprints": document_fingerprints,
 }
 
 ORACLES = {
