@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.llm import (
+    backoff_lm,
     exact_dedup,
     fingerprints,
     language_id,
@@ -73,6 +74,13 @@ def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff_lm.scores(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_pairs_seen", F.round("mean_log_score", 6).alias("mean_log_score")
+    )
+
+
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.train(pii.labelled_windows(docs)))
@@ -153,10 +161,50 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM grouped"""
 
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BACKOFF_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), tokens AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM docs
+), counts AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
+total AS (SELECT sum(n) AS all_words FROM counts),
+known AS (
+  SELECT word, n, row_number() OVER (ORDER BY word) AS number FROM counts, total
+  WHERE n >= greatest(1.0, {backoff_lm.Model().share} * all_words)
+), numbers AS (
+  SELECT number, n FROM known
+  UNION ALL SELECT 0, all_words - coalesce((SELECT sum(n) FROM known), 0) FROM total
+), numbered AS (
+  SELECT doc_id, pos, coalesce(number, 0) AS number FROM tokens LEFT JOIN known USING (word)
+), pairs AS (
+  SELECT b.doc_id, a.number AS a, b.number AS b, count(*) AS n
+  FROM numbered b LEFT JOIN numbered a ON a.doc_id = b.doc_id AND a.pos = b.pos - 1
+  GROUP BY ALL
+), pair_counts AS (
+  SELECT a, b, sum(n) AS total FROM pairs WHERE a IS NOT NULL GROUP BY a, b
+), scored AS (
+  SELECT p.doc_id, p.n, coalesce(c.total - p.n, 0) > 0 AS seen,
+    CASE WHEN p.a IS NULL THEN ln(ub.n) - ln(all_words)
+      WHEN c.total - p.n > 0 THEN ln(c.total - p.n) - ln(ua.n)
+      ELSE ln({backoff_lm.Model().backoff}) + ln(ub.n) - ln(all_words) END AS score
+  FROM pairs p CROSS JOIN total JOIN numbers ub ON ub.number = p.b
+    LEFT JOIN numbers ua ON ua.number = p.a
+    LEFT JOIN pair_counts c ON c.a = p.a AND c.b = p.b
+), summed AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_words, sum(CASE WHEN seen THEN n ELSE 0 END)::BIGINT
+    AS n_pairs_seen, sum(n * score) AS log_score
+  FROM scored GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_pairs_seen, 0) AS n_pairs_seen,
+  round(log_score / n_words, 6) AS mean_log_score
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN summed USING (doc_id)"""
+
 QUERIES = {
     "op1_simhash_dedup": simhash_near_duplicates,
     "op2_url_filter": url_filtered,
     "op3_mixing": mixed,
+    "op4_backoff_lm": backoff_scores,
     "op5_exact_dedup": exact_dedup_rows,
     "op6_packing": packed,
     "op7_pii": personal_data,
@@ -167,6 +215,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_url_filter": _url_sql(),
+    "op4_backoff_lm": BACKOFF_SQL,
     "op5_exact_dedup": EXACT_SQL,
     "op8_warc": WARC_SQL,
 }
