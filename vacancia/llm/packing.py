@@ -32,99 +32,102 @@ SEPARATOR = 0
 
 @dataclass(frozen=True)
 class Packing:
-    """``vocabulary`` is the path of a tokenizer file on every executor; ``remembered`` bounds
-    the words whose ids a worker keeps. ``dimensions`` x ``bits`` is the curve's grid."""
+    """``vocabulary`` is the path of a tokenizer file on every executor; ``dimensions`` x
+    ``bits`` is the curve's grid."""
 
     vocabulary: str
     length: int = 1024
     dimensions: int = 4
     bits: int = 10
-    remembered: int = 600_000
     ranges: int | None = None
 
 
 # ---- token ids
 
 # A single space between two characters that are no white space always starts a new word of
-# a byte-level vocabulary, so texts can be cut before it and words be remembered.
+# a byte-level vocabulary, so a long text can be cut before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+LONG = 100_000
+PROBE = "It's 12 o'clock,  \n\t naïve café — \u65e5\u672c e\u0301 \U0001f600 x_y <a> ''s 'LL \x1c\x85\xa0 end "
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters byte-level vocabularies write bytes with: printable ones for themselves,
+    the others as letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 class Words:
-    """Ids of texts by the tokenizer, which sees each different word once while remembered."""
+    """Ids of texts by the tokenizer file.
 
-    def __init__(self, path: str, remembered: int):
+    A byte-level BPE whose merges are ranked by id is run by the quicker of two engines for
+    such vocabularies, if that gives the tokenizer's own ids for a text that tries it; texts
+    with special tokens and all other vocabularies are left to the tokenizer.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
-        self.kind = np.dtype("<u2") if self.small else np.dtype("<u4")
+        self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.earlier: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.mark = {c: self.whole(c) for c in ".,"}
-        self.remembered = remembered
+        self.quick = self.engine()
+
+    def engine(self):
+        import public_tokenizers
+        import tiktoken
+
+        letters = byte_letters()
+        vocabulary = {w: i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w not in self.special}
+        if not all(c in letters for w in vocabulary for c in w):
+            return None
+        ranks = {bytes(letters[c] for c in w): i for w, i in vocabulary.items()}
+        if not all(bytes([b]) in ranks for b in range(256)):
+            return None
+        pattern = public_tokenizers.PATTERN
+        made = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        probe = PROBE * 3
+        own = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return made if made.encode_ordinary(probe) == own else None
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Remember the ids of words that follow a space; many are read as one text.
-
-        Letters and one full stop or comma behind them are two words to the vocabulary.
-        """
-        new = [w for w in words if w not in self.later]
-        if len(self.later) + len(new) > self.remembered // 2:
-            self.earlier, self.later = self.later, {}
-            new = list(words)
-        marked, unknown = [], set()
-        for word in new:
-            if (ids := self.earlier.get(word)) is not None:
-                self.later[word] = ids
-            elif word[-1] in ".," and word[:-1].isalpha():
-                marked.append(word)
-                if word[:-1] not in self.later:
-                    unknown.add(word[:-1])
-            else:
-                unknown.add(word)
-        rest = list(unknown)
-        for begin in range(0, len(rest), 4000):
-            self.later.update(self.read(rest[begin : begin + 4000]))
-        for word in marked:
-            self.later[word] = self.later[word[:-1]] + self.mark[word[-1]]
-
-    def read(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, dtype=self.kind)
-        at = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(ids))
-        starts = np.cumsum([0] + [len(w) + 1 for w in words])
-        size = self.kind.itemsize
-        cuts = (np.searchsorted(at, starts) * size).tolist()
-        raw = ids.tobytes()
-        return zip(words, (raw[a:b] for a, b in zip(cuts, cuts[1:])))
+    def parts(self, text: str) -> Iterator[str]:
+        """A long text cut where that changes no ids."""
+        begin = 0
+        while len(text) - begin > LONG:
+            cut = _CUT.search(text, begin + LONG)
+            if cut is None:
+                break
+            yield text[begin : cut.start()]
+            begin = cut.start()
+        yield text[begin:]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, without the separator."""
-        whole = [any(s in t for s in self.special) for t in texts]
-        cut = [None if w else _CUT.split(t) for t, w in zip(texts, whole)]
-        self.learn({w for c in cut if c for w in c[1:]})
-        firsts = [c[0] for c in cut if c]
-        heads = iter(self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False))
-        later = self.later
         out = []
-        for text, parts in zip(texts, cut):
-            if parts is None:
+        for text in texts:
+            if self.quick is None or any(s in text for s in self.special):
                 out.append(self.whole(text))
+            elif len(text) <= LONG:
+                out.append(np.array(self.quick.encode_ordinary(text), dtype=self.kind).tobytes())
             else:
-                head = np.array(next(heads).ids, dtype=self.kind).tobytes()
-                out.append(head + b"".join([later[w] for w in parts[1:]]))
+                found = [
+                    self.whole(p) if len(p) > 2 * LONG else np.array(self.quick.encode_ordinary(p), self.kind).tobytes()
+                    for p in self.parts(text)
+                ]
+                out.append(b"".join(found))
         return out
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str, remembered: int) -> Words:
-    return Words(path, remembered)
+def words_of(path: str) -> Words:
+    return Words(path)
 
 
 # ---- the curve
@@ -200,15 +203,14 @@ def tokens(docs: DataFrame, setup: Packing, text: str = "text", doc_id: str = "d
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(setup.vocabulary, setup.remembered)
-        n_ids = words.tokenizer.get_vocab_size(with_added_tokens=True)
+        words = words_of(setup.vocabulary)
         end = np.array([SEPARATOR], dtype=words.kind).tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, stop in chunks([len(t) for t in texts], 4 << 20):
                 found = [b + end for b in words.ids(texts[begin:stop])]
                 arrays = [np.frombuffer(b, dtype=words.kind)[:-1] for b in found]
-                keys = curve_keys(arrays, n_ids, setup.dimensions, setup.bits)
+                keys = curve_keys(arrays, words.n_ids, setup.dimensions, setup.bits)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(begin, stop - begin),
@@ -302,7 +304,7 @@ def pack(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        kind = words_of(setup.vocabulary, setup.remembered).kind
+        kind = words_of(setup.vocabulary).kind
         sequences = Sequences(TaskContext.get().partitionId() << 40, setup.length)
 
         def made() -> pa.RecordBatch:
