@@ -1,6 +1,4 @@
-"""Readers give the stated schema, and small inputs are spread over the cores."""
-
-from pyspark.sql import functions as F
+"""Readers give the stated schema."""
 
 from vacancia import schemas
 from vacancia.session import checkpoint_root
@@ -22,33 +20,25 @@ def test_pages_from_parquet_and_json(spark, tmp_path):
 
 
 def test_remote_copies(spark, tmp_path):
-    df = spark.sql("SELECT 'u' remote_url, true ok, 'h' html, timestamp'2026-01-01 00:00:00' fetched_at")
+    df = spark.sql("SELECT 1L fetch_id, 'u' remote_url, 'linkedin' adapter_id, true ok, 'h' html, timestamp'2026-01-01 00:00:00' fetched_at")
     df.write.parquet(str(tmp_path / "r"))
     assert pages.read_remote_copies(spark, str(tmp_path / "r")).first()["html"] == "h"
 
 
 def test_stream_of_captures(spark, tmp_path):
     df = spark.sql(
-        "SELECT 't' tab_id, timestamp'2026-01-01 00:00:00' captured_at, 'u' url, 'h' html, false skeleton_removed"
+        "SELECT 1L capture_id, 't' tab_id, timestamp'2026-01-01 00:00:00' captured_at, 'u' url, 'h' html, false skeleton_removed"
     )
     df.write.parquet(str(tmp_path / "c"))
     stream = pages.stream_captures(spark, str(tmp_path / "c"))
     assert stream.isStreaming and stream.columns == df.columns
 
 
-def test_small_inputs_are_spread(spark, tmp_path):
-    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "s"))
-    small = spark.read.parquet(str(tmp_path / "s"))
-    spread = pages.spread(small)
-    sizes = spread.groupBy(F.spark_partition_id()).count().collect()
-    assert len(sizes) == spark.sparkContext.defaultParallelism
-    assert spread.count() == 1000
-
-
-def test_large_inputs_are_left_alone(spark, monkeypatch):
-    monkeypatch.setattr(pages, "SMALL", 1)
-    df = spark.range(1000)
-    assert pages.spread(df) is df
+def test_pages_stored_by_host(spark, tmp_path):
+    df = spark.createDataFrame(ROWS * 3, schemas.PAGES)
+    pages.write_pages(df, str(tmp_path / "h"), 2)
+    read = pages.read_pages(spark, str(tmp_path / "h"), schemas.STORED_PAGES)
+    assert sorted({(r["page_id"], r["host"]) for r in read.collect()}) == [(1, "jobs.rbc.com"), (2, "x.test")]
 
 
 def test_the_shared_folder_is_the_one_the_session_names(spark):

@@ -133,7 +133,7 @@ def make_postings(seed, n=300):
     rng = random.Random(seed)
     return [
         (
-            i, at(rng.randint(0, 50)), rng.choice(["Unknown company", "Unknown company", "Acme Inc.", "050 Acme"]),
+            i, at(rng.randint(0, 50)), rng.choice(["Unknown company", "Unknown company", "Acme Inc.", "312 Acme"]),
             rng.choice(["Clerk", "Lead", "Clerk "]), rng.choice([None, None, "u1", "u2", "u3", f"v{i}"]),
         )
         for i in range(n)
@@ -153,7 +153,7 @@ def test_lookup_existing(spark):
     out = lookup.lookup_existing(postings, spark.createDataFrame(apps, APPLICATION), "posting_id").collect()
     assert len(out) == 300
     for r in out:
-        company = {"Acme Inc.": "Acme", "050 Acme": "Acme"}.get(r["company"], r["company"])
+        company = {"Acme Inc.": "Acme", "312 Acme": "Acme"}.get(r["company"], r["company"])
         by_url = {"u1": "a1", "u2": "a4"}.get(r["source_url"])
         by_role = {("Acme", "Lead"): "a2", ("Unknown company", "Clerk"): "a6"}.get((company, r["title"]))
         assert (r["match"] and r["match"]["id"]) == (by_url or by_role)
@@ -206,7 +206,7 @@ def test_first_in_batch(spark):
             kept.append(r)
     seen, expected = set(), set()
     for r in kept:
-        key = ({"Acme Inc.": "Acme", "050 Acme": "Acme"}.get(r[2], r[2]), r[3])
+        key = ({"Acme Inc.": "Acme", "312 Acme": "Acme"}.get(r[2], r[2]), r[3])
         if key not in seen:
             seen.add(key)
             expected.add(r[0])

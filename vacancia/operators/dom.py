@@ -5,7 +5,7 @@ Column expression over it.
 
 ``dom`` holds the page's title, its text with white space as captured (``text``)
 and collapsed (``ctext``), the position of ``body``, and ``nodes`` in document
-order. A node's subtree is ``[idx, end)``. Its own text is a slice of the page's
+order, and ``ld``, the objects of its JSON-LD blocks as JSON texts. A node's subtree is ``[idx, end)``. Its own text is a slice of the page's
 text, so a page's size stays linear however deep it nests:
 
 * collapsed and trimmed: ``substring(ctext, c0 + 1, clen)``
@@ -16,6 +16,7 @@ text, so a page's size stays linear however deep it nests:
 from __future__ import annotations
 
 import html as html_entities
+import json
 import re
 from collections.abc import Iterable
 
@@ -30,8 +31,10 @@ NODE = (
     "struct<idx:int,parent:int,end:int,sib:int,tag:string,id:string,classes:array<string>,"
     "attrs:map<string,string>,c0:int,clen:int,r0:int,rlen:int,wide:int>"
 )
-DOM_FIELDS = ("title", "body", "text", "ctext", "nodes")
-DOM = f"struct<title:string,body:int,text:string,ctext:string,nodes:array<{NODE}>>"
+DOM_FIELDS = ("title", "body", "text", "ctext", "nodes", "ld")
+DOM = f"struct<title:string,body:int,text:string,ctext:string,nodes:array<{NODE}>,ld:array<string>>"
+
+LINKED_DATA = "application/ld+json"
 
 # Element sets of the HTML parsing rules that are applied here.
 VOID = frozenset(
@@ -58,6 +61,12 @@ CLOSES_P = HEADINGS | frozenset(
     "section summary table ul xmp".split()
 )
 
+# Start tags that end foreign content.
+BREAKS_OUT = HEADINGS | frozenset(
+    "b big blockquote body br center code dd div dl dt em embed head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+
 _ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?)?"""
 _TOKEN = re.compile(
     rf"""([^<]+)                                                # text
@@ -123,13 +132,15 @@ class _Tree:
     """Elements of one page, appended in document order."""
 
     def __init__(self, keep: frozenset[str]) -> None:
-        self.keep = keep
+        self.keep = keep | {"type"}
+        self.types = "type" in keep
         self.nodes: list[_Node] = []
         self.stack: list[_Node] = []
         self.pieces: list[str] = []
         self.size = 0
         self.body: _Node | None = None
         self.title: _Node | None = None
+        self.blocks: list[_Node] = []
         self.foreign = 0
         self.root = self.open("html", {})
         self.open("head", {})
@@ -181,6 +192,7 @@ class _Tree:
 
     def start(self, tag: str, attr_text: str, nested: bool) -> None:
         attrs = _attributes(attr_text, self.keep) if attr_text else {}
+        kind = attrs.get("type", "") if self.types else attrs.pop("type", "")
         if tag in ("html", "body"):
             if tag == "body":
                 self.start_body()
@@ -192,12 +204,17 @@ class _Tree:
             return
         if self.body is None and tag not in HEAD_ONLY:
             self.start_body()
+        if self.foreign and tag in BREAKS_OUT:
+            while self.foreign:
+                self.close()
         if self.body is not None and not self.foreign:
             for names, boundary in _CLOSED_BY_START.get(tag, ()):
                 self.close_to(names, boundary)
             if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
                 self.close()
         node = self.open(tag, attrs)
+        if tag == "script" and kind.lower() == LINKED_DATA:
+            self.blocks.append(node)
         if tag == "title" and self.title is None and not self.foreign:
             self.title = node
         if tag in VOID or (nested and self.foreign):
@@ -260,6 +277,52 @@ def _build(source: str, keep: frozenset[str]) -> _Tree:
     return tree
 
 
+def _no_number(text: str) -> float:
+    raise ValueError(text)
+
+
+def _number(text: str) -> float | None:
+    value = float(text)
+    return value if abs(value) != float("inf") else None
+
+
+def flatten_json(text: str) -> list[str]:
+    """The objects of one JSON-LD block in document order; none if it is malformed.
+
+    Members of arrays count as if they stood alone, members of ``@graph`` come ahead of the
+    object that holds them, and that one comes without them. However deep they nest, the
+    walk keeps its own stack.
+    """
+    try:
+        block = json.loads(text, parse_constant=_no_number, parse_float=_number)
+    except (ValueError, RecursionError):
+        return []
+    out: list[str] = []
+    todo: list[tuple[object, bool]] = [(block, False)]
+    while todo:
+        value, unfolded = todo.pop()
+        if unfolded:
+            out.append(json.dumps(value))
+        elif isinstance(value, list):
+            todo += [(member, False) for member in reversed(value)]
+        elif isinstance(value, dict):
+            graph = value.get("@graph")
+            if isinstance(graph, list):
+                todo.append(({k: v for k, v in value.items() if k != "@graph"}, True))
+                todo.append((graph, False))
+            else:
+                todo.append((value, True))
+    return out
+
+
+def _linked_data(tree: _Tree, text: str) -> list[str]:
+    """What the page's JSON-LD blocks hold."""
+    found: list[str] = []
+    for n in tree.blocks:
+        found += flatten_json(text[n.start : n.stop].strip(WS_CHARS))
+    return found
+
+
 # Pages are sliced together until they hold this many characters.
 _SLICE_CHARS = 1 << 20
 
@@ -306,9 +369,17 @@ def _offsets(sizes: Iterable[int]) -> pa.Array:
     return pa.array(np.concatenate(([0], np.cumsum(list(sizes)))), type=pa.int32())
 
 
+# White space as HTML has it; other kinds are text.
+_HTML_SPACE = re.compile("[ \t\n\f\r]+")
+
+
+def _parts(text: str) -> list[str]:
+    return [p for p in _HTML_SPACE.split(text) if p]
+
+
 def _title(tree: _Tree, text: str) -> str:
     """The page's title, collapsed."""
-    return " ".join(text[tree.title.start : tree.title.stop].split()) if tree.title else ""
+    return " ".join(_parts(text[tree.title.start : tree.title.stop])) if tree.title else ""
 
 
 def _to_arrow(pages: pa.Array, keep: frozenset[str]) -> pa.Array:
@@ -346,7 +417,7 @@ def _to_arrow(pages: pa.Array, keep: frozenset[str]) -> pa.Array:
     attrs = [n.attrs for n in nodes]
     numbers = [pa.array(c, type=pa.int32()) for c in columns]
     numbers += [pa.array([], type=pa.int32())] * (9 - len(numbers))
-    classes = [a.pop("class", "").split() for a in attrs]
+    classes = [_parts(a.pop("class", "")) for a in attrs]
     ids = [a.pop("id", None) for a in attrs]
     class_lists = pa.ListArray.from_arrays(
         _offsets(map(len, classes)), pa.array([c for cs in classes for c in cs], pa.string())
@@ -379,8 +450,11 @@ def _to_arrow(pages: pa.Array, keep: frozenset[str]) -> pa.Array:
             pa.array(texts, pa.string()),
             pa.array(ctexts, pa.string()),
             pa.ListArray.from_arrays(_offsets(len(t.nodes) for t in trees), elements),
+            pa.array(
+                [_linked_data(t, text) for t, text in zip(trees, texts)], pa.list_(pa.string())
+            ),
         ],
-        names=["title", "body", "text", "ctext", "nodes"],
+        names=list(DOM_FIELDS),
     )
 
 
@@ -400,7 +474,8 @@ def parse_html(source: Column, attributes: Iterable[str]) -> Column:
 
 
 def with_dom(pages: DataFrame, attributes: Iterable[str]) -> DataFrame:
-    """Replace ``html`` by ``dom_title``, ``dom_body``, ``dom_text``, ``dom_ctext``, ``dom_nodes``."""
+    """Replace ``html`` by ``dom_title``, ``dom_body``, ``dom_text``, ``dom_ctext``, ``dom_nodes``,
+    ``dom_ld``."""
     parsed = pages.withColumn("_dom", parse_html(F.col("html"), attributes))
     kept = [F.col(f"`{c}`") for c in pages.columns if c != "html"]
     return parsed.select(*kept, *[F.col(f"_dom.{f}").alias(f"dom_{f}") for f in DOM_FIELDS])

@@ -1,7 +1,7 @@
 """Embedded JSON-LD job postings, as SQL text over VARIANT values.
 
-The page's blocks are taken in order and the first node that is a job posting
-is read. Everything stays inside array expressions: no explode, no shuffle.
+The page's objects are taken in order and the first one that is a job posting is read.
+Everything stays inside array expressions: no explode, no shuffle.
 """
 
 from __future__ import annotations
@@ -12,13 +12,9 @@ from pyspark.sql import functions as F
 from vacancia.functions.markup import html_to_text
 from vacancia.functions.salary import base_salary
 from vacancia.functions.text import MAX_DOUBLE, blank_to_null, number_of, trim
-from vacancia.operators.selectors import let, query_all, raw_text_of
+from vacancia.operators.selectors import let
 from vacancia.schemas import SALARY
 
-SCRIPT = 'script[type="application/ld+json"]'
-# How deep arrays and @graph members may nest inside one block.
-NESTING = 8
-
 LD = f"struct<title:string,company:string,location:string,salary:{SALARY},description:string>"
 
 
@@ -46,43 +42,9 @@ def _items(value: str) -> str:
     )
 
 
-def strict_json(text: str) -> str:
-    """A JSON text as a VARIANT; null when anything is wrong with it.
-
-    The engine's parser stops behind the first value. A marker put behind the
-    text is reached only when the text is one value and nothing else.
-    """
-    alone = "try_variant_get(pj, '$[1]', 'string') = 'end' AND try_variant_get(pj, '$[2]', 'variant') IS NULL"
-    return let(
-        "pj",
-        f"""try_parse_json(concat('[', {text}, ',"end"]'))""",
-        f"CASE WHEN {alone} THEN try_variant_get(pj, '$[0]', 'variant') END",
-    )
-
-
-def blocks(dom: str) -> str:
-    """Parsed blocks in document order, without empty and malformed ones."""
-    texts = f"transform({query_all(f'{dom}_nodes', SCRIPT)}, n -> {raw_text_of(dom, 'n')})"
-    parsed = f"transform(filter({texts}, t -> t != ''), t -> {strict_json('t')})"
-    return f"filter({parsed}, v -> v IS NOT NULL)"
-
-
-def flatten_nodes(values: str) -> str:
-    """Objects of an array of JSON values: members of arrays, and ``@graph``
-    members ahead of the object that holds them."""
-    nothing = "CAST(array() AS ARRAY<VARIANT>)"
-
-    def unfold(value: str, depth: int) -> str:
-        itself = f"CASE WHEN {_is('OBJECT', value)} THEN array({value}) ELSE {nothing} END"
-        if depth == 0:
-            return itself
-        graph = _get(value, '$["@graph"]')
-        inner = f"coalesce({_items(value)}, {_items(graph)}, {nothing})"
-        member = f"m{depth}"
-        unfolded = f"flatten(transform({inner}, {member} -> {unfold(member, depth - 1)}))"
-        return f"concat({unfolded}, {itself})"
-
-    return f"flatten(transform({values}, v -> {unfold('v', NESTING)}))"
+def nodes(dom: str) -> str:
+    """The page's JSON-LD objects, which the parser has flattened in document order."""
+    return f"transform({dom}_ld, t -> try_parse_json(t))"
 
 
 def looks_like_job_posting(node: str) -> str:
@@ -100,7 +62,7 @@ def looks_like_job_posting(node: str) -> str:
 
 def first_job_posting(dom: str) -> str:
     """The first job posting on the page as a VARIANT object, else null."""
-    return f"get(filter({flatten_nodes(blocks(dom))}, j -> {looks_like_job_posting('j')}), 0)"
+    return f"get(filter({nodes(dom)}, j -> {looks_like_job_posting('j')}), 0)"
 
 
 def _location(node: str) -> str:

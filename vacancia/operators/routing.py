@@ -11,6 +11,7 @@ from vacancia.operators.adapters import adapters, per_adapter
 
 INDEED = "indeed"
 
+
 def is_indeed_host(host: Column) -> Column:
     return (host == "indeed.com") | F.endswith(host, F.lit(".indeed.com"))
 
@@ -30,6 +31,13 @@ def in_scope(url: Column) -> Column:
     return let(url_parts(url), test)
 
 
+def claimed_host(host: Column) -> Column:
+    """True for hosts on which a page can be in scope: plain comparisons, which a scan can
+    test on its own statistics before it reads anything else."""
+    hosts = sorted({h for a in adapters() for h in a.hosts})
+    return host.isin(*hosts) | is_indeed_host(host)
+
+
 def adapter_for(url: Column) -> Column:
     """Id of the first adapter that claims the page, else null."""
 

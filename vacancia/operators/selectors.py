@@ -55,6 +55,10 @@ def attributes_used(selectors: Iterable[str]) -> set[str]:
 
 
 def _matches(n: str, compound: str, nodes: str) -> str:
+    return " AND ".join(_tests(n, compound, nodes))
+
+
+def _tests(n: str, compound: str, nodes: str) -> list[str]:
     tests = []
     for part in _simple_parts(compound):
         if part["tag"]:
@@ -74,7 +78,7 @@ def _matches(n: str, compound: str, nodes: str) -> str:
             tests.append(
                 f"exists({nodes}, c -> c.parent = {n}.idx AND c.tag = {sql_text(part['child'])})"
             )
-    return " AND ".join(tests)
+    return tests
 
 
 def contains(outer: str, inner: str) -> str:
@@ -104,11 +108,15 @@ def query_all(nodes: str, selector: str) -> str:
     for depth, (combinator, compound) in enumerate(rest):
         anchors = f"s{depth}"
         related = _RELATED[combinator]("a", "n")
+        tests = _tests("n", compound, nodes)
+        cheap = [t for t in tests if not t.startswith("exists(")] or ["true"]
+        dear = [t for t in tests if t.startswith("exists(")]
         found = let(
             anchors,
             found,
-            f"filter({nodes}, n -> {_matches('n', compound, nodes)}"
-            f" AND exists({anchors}, a -> {related}))",
+            # The anchor is tested ahead of what may look at the whole page.
+            f"filter({nodes}, n -> {' AND '.join(cheap)} AND exists({anchors}, a -> {related})"
+            f"{''.join(f' AND {t}' for t in dear)})",
         )
     return found
 

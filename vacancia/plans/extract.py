@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from vacancia.functions.labels import outcome
 from vacancia.functions.text import let
-from vacancia.operators import indeed, jsonld
+from vacancia.operators import indeed
 from vacancia.operators.adapters import adapters
 from vacancia.operators.dom import with_dom
 from vacancia.operators.indeed import indeed_posting, indeed_stages, indeed_status
-from vacancia.operators.routing import INDEED, in_scope, is_posting_page, route
+from vacancia.operators.routing import INDEED, claimed_host, in_scope, is_posting_page, route
 from vacancia.operators.selectors import attributes_used
 from vacancia.operators.stages import stage
 from vacancia.operators.tiers import site_posting, site_stages
@@ -30,7 +30,7 @@ def attributes_read(among: Sequence[str]) -> list[str]:
     selectors = [s for a in adapters() if a.adapter_id in among for s in a.chains.all()]
     if INDEED in among:
         selectors += indeed.ALL_SELECTORS
-    return sorted(attributes_used([jsonld.SCRIPT, *selectors]))
+    return sorted(attributes_used(selectors))
 
 
 def read_postings(routed: DataFrame, among: Sequence[str] | None = None) -> DataFrame:
@@ -71,6 +71,12 @@ def read_postings(routed: DataFrame, among: Sequence[str] | None = None) -> Data
 
 
 def extract_postings(pages: DataFrame) -> DataFrame:
-    """Postings of all captured pages that are in scope and claimed by a site."""
+    """Postings of all captured pages that are in scope and claimed by a site.
+
+    Where the pages are stored with their ``host`` (as ``sources.pages.write_pages`` does),
+    files and row groups of other hosts are not read.
+    """
+    if "host" in pages.columns:
+        pages = pages.filter(claimed_host(F.col("host"))).drop("host")
     routed = route(pages.filter(in_scope(F.col("url")))).filter(F.col("adapter_id").isNotNull())
     return read_postings(routed)

@@ -9,8 +9,7 @@ from vacancia.plans import flow
 from vacancia.plans.page_queries import SITE_SQL
 from vacancia.plans.page_templates import site_pages
 from vacancia.plans.table_queries import HOURS
-from vacancia.plans.tables import table
-from vacancia.sources.pages import spread
+from vacancia.plans.tables import dealt, table
 
 RULES = flow.Rules(3 * HOURS, True, ("title", "description_text"))
 
@@ -31,7 +30,7 @@ def _captures(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
     sites, _ = flow.split_by_site(_captures(spark, sf))
-    return flow.stored_postings(spread(sites), RULES)
+    return flow.stored_postings(dealt(sites), RULES)
 
 
 def capture_flow(spark: SparkSession, sf: str) -> DataFrame:

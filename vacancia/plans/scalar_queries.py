@@ -18,7 +18,7 @@ def canonical_indeed_url(spark: SparkSession, sf: str) -> DataFrame:
     key = F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 16)
     url = pick(
         F.col("c_custkey") % 7,
-        fmt("https://CA.indeed.com/jobs?q=java&l=Toronto&vjk={k}", k=F.upper(key)),
+        fmt("https://IE.indeed.com/jobs?what=nurse&where=Cork&vjk={k}", k=F.upper(key)),
         fmt("https://www.indeed.com/viewjob?jk={k}&from=serp#top", k=key),
         "https://www.indeed.com/?r=us&vjk=not-a-key",
         fmt("not a url {k}", k=key),
@@ -48,7 +48,7 @@ def canonical_linkedin_url(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_UUID = "6debf006-a6d2-4725-b152-38e932097480"
+_UUID = "c07d4a19-5e2b-4f83-9a66-1d90be7f2258"
 _SITE_URLS = (
     "https://jobs.rbc.com/ca/en/job/{k}/x",
     "https://careers.walmart.com/us/jobs/{k}",
@@ -123,7 +123,7 @@ def _company_names(spark: SparkSession, sf: str) -> DataFrame:
     )
     raw = pick(
         F.col("c_custkey") % 8,
-        fmt("050 {n} Ltd.", n=name),
+        fmt("417 {n} Ltd.", n=name),
         fmt("{n}, Inc.", n=name),
         fmt("{n} (Canada)", n=name),
         alias,
@@ -353,7 +353,7 @@ _COMPANY = """
 ORACLES = {
     "canonical_indeed_url": f"""
         SELECT c_custkey, CASE c_custkey % 7
-            WHEN 0 THEN 'https://ca.indeed.com/viewjob?jk=' || {_KEY}
+            WHEN 0 THEN 'https://ie.indeed.com/viewjob?jk=' || {_KEY}
             WHEN 1 THEN 'https://www.indeed.com/viewjob?jk=' || {_KEY}
             WHEN 5 THEN 'https://fr.indeed.com/viewjob?jk=' || {_KEY} END AS canonical_url
         FROM customer""",

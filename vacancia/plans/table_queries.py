@@ -9,7 +9,7 @@ from vacancia.operators import health, lookup, remote, submissions, timeline
 from vacancia.operators.adapters import adapters
 from vacancia.operators.routing import route
 from vacancia.plans.page_queries import flat
-from vacancia.plans.page_templates import SITE_PAGES, documents
+from vacancia.plans.page_templates import GUEST, RATED, documents
 from vacancia.plans.scalar_queries import NOW
 from vacancia.plans.tables import fmt, pick, table
 
@@ -121,13 +121,13 @@ def prefer_remote(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 4 == 3, fmt("https://jobs.rbc.com/ca/en/job/{k}", k=k))
         .otherwise(split_view)
         .alias("url"),
-        F.when(k % 4 == 3, fmt(SITE_PAGES[1], **values)).otherwise(fmt(live, **values)).alias("html"),
+        F.when(k % 4 == 3, fmt(RATED.html, **values)).otherwise(fmt(live, **values)).alias("html"),
     )
     fetched = docs.filter(k % 4 != 3).select(
         fmt("https://www.linkedin.com/jobs/view/{k}/", k=k).alias("remote_url"),
         (k % 4 != 1).alias("ok"),
         F.when(k % 4 == 2, F.lit("<main><p>Sign in</p></main>"))
-        .otherwise(fmt(SITE_PAGES[3], **values))
+        .otherwise(fmt(GUEST.html, **values))
         .alias("html"),
         k.alias("fetch_id"),
         F.lit(1).alias("fetched_at"),
@@ -463,9 +463,9 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY remote_url ORDER BY ts, event_id) = 1""",
     "prefer_remote": """
         WITH s AS (SELECT doc_id AS k, doc_id % 4 AS f,
-            trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t,
-            trim(regexp_replace(text || 'Pay: $50,' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0')
-              || ' - $60,' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || ' a year', '\\s+', ' ', 'g'))
+            trim(regexp_replace(replace(text, '$', ''), '\\s+', ' ', 'g')) AS t,
+            trim(regexp_replace(replace(text, '$', '') || 'Rate $31.'
+              || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || ' per hour', '\\s+', ' ', 'g'))
               AS paid FROM documents),
         w AS (SELECT *, CASE WHEN f = 3 THEN CASE WHEN length(paid) >= 100 THEN 'selector' END
             WHEN f = 0 AND length(t) >= 100 THEN 'remote' WHEN length(t) >= 600 THEN 'live' END AS how
@@ -474,11 +474,11 @@ ORACLES = {
           CASE WHEN how IS NULL THEN 'not-found' ELSE 'ok' END AS status,
           CASE WHEN how IS NULL THEN 'not-found' WHEN how = 'live' THEN 'detected-low-confidence'
             ELSE 'detected' END AS outcome,
-          CASE how WHEN 'live' THEN 'Live ' || k WHEN 'remote' THEN 'Role ' || k
-            WHEN 'selector' THEN 'Role ' || k END AS title,
-          CASE how WHEN 'live' THEN 'Unknown company' WHEN 'remote' THEN 'Acme ' || k
+          CASE how WHEN 'live' THEN 'Live ' || k WHEN 'remote' THEN 'Editor ' || k
+            WHEN 'selector' THEN 'Teller ' || k END AS title,
+          CASE how WHEN 'live' THEN 'Unknown company' WHEN 'remote' THEN 'Press ' || k
             WHEN 'selector' THEN 'RBC' END AS company,
-          CASE how WHEN 'remote' THEN 'Burlington, ON' WHEN 'selector' THEN 'City ' || k END AS location,
+          CASE how WHEN 'remote' THEN 'Quay ' || k WHEN 'selector' THEN 'Branch ' || k END AS location,
           CASE how WHEN 'selector' THEN paid WHEN 'remote' THEN t WHEN 'live' THEN t END AS description_text,
           CASE WHEN how = 'selector' THEN 'https://jobs.rbc.com/ca/en/job/' || k
             WHEN how IS NOT NULL THEN 'https://www.linkedin.com/jobs/view/' || k || '/' END AS source_url,

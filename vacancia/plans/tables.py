@@ -6,16 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.session import configure
-from vacancia.sources.pages import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# How many partitions the caller wants inputs dealt over; unset, files are read as they lie.
+INPUT_PARTITIONS = "vacancia.input.partitions"
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose long texts are worked on, spread over the cores when small."""
-    return spread(table(spark, sf_dir, name))
+    """A table whose long texts are worked on."""
+    return dealt(table(spark, sf_dir, name))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Dealt over as many partitions as the caller has set, for files too few to share."""
+    wanted = rows.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(wanted)) if wanted else rows
 
 
 def pick(selector: Column, *options: Column | str | None) -> Column:

@@ -11,8 +11,15 @@ POSTING = (
 )
 
 PAGES = "page_id bigint, url string, html string"
-CAPTURES = "tab_id string, captured_at timestamp, url string, html string, skeleton_removed boolean"
-REMOTE_COPIES = "remote_url string, ok boolean, html string, fetched_at timestamp"
+STORED_PAGES = f"{PAGES}, host string"
+CAPTURES = (
+    "capture_id bigint, tab_id string, captured_at timestamp, url string, html string, "
+    "skeleton_removed boolean"
+)
+REMOTE_COPIES = (
+    "fetch_id bigint, remote_url string, adapter_id string, ok boolean, html string, "
+    "fetched_at timestamp"
+)
 APPLICATIONS = (
     "id string, company string, role string, stage string, date_applied timestamp, source_url string"
 )

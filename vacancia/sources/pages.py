@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vacancia.functions.urls import url_parts
 from vacancia.schemas import CAPTURES, PAGES, REMOTE_COPIES
 
 
@@ -12,6 +14,16 @@ def read_pages(spark: SparkSession, path: str, schema: str = PAGES) -> DataFrame
     return spark.read.schema(schema).parquet(path)
 
 
+def write_pages(pages: DataFrame, path: str, files: int) -> None:
+    """Store pages with their host, in ``files`` files of neighbouring hosts.
+
+    Within a file rows are sorted by host, so that readers skip row groups of others.
+    """
+    hosts = pages.withColumn("host", url_parts(F.col("url"))["host"])
+    by_host = hosts.repartitionByRange(files, "host", "url").sortWithinPartitions("host", "url")
+    by_host.write.parquet(path)
+
+
 def read_pages_json(spark: SparkSession, path: str, schema: str = PAGES) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -30,19 +42,3 @@ def stream_captures(
 def read_remote_copies(spark: SparkSession, path: str, schema: str = REMOTE_COPIES) -> DataFrame:
     """Fetched copies keyed by ``remote_url``; answers that were not ``ok`` hold no page."""
     return spark.read.schema(schema).parquet(path)
-
-
-# Below this size a shuffle costs less than leaving cores idle.
-SMALL = 1 << 30
-
-
-def spread(pages: DataFrame) -> DataFrame:
-    """Give every core a share of a small table whose files cannot be split.
-
-    A table beyond ``SMALL`` has enough splits of its own and is left as it is:
-    its pages go from the scan to the parser without a shuffle.
-    """
-    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL:
-        return pages
-    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
