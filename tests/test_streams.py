@@ -18,6 +18,7 @@ from tests.test_tables import (
     make_postings,
 )
 from vacancia.operators import submissions, timeline
+from vacancia.operators.remote import first_fetches
 from vacancia.sources import pages, stored
 from vacancia.streaming import ordered, runs, tables
 
@@ -34,6 +35,8 @@ def in_files(spark, rows, schema, folder, n_files):
     return pages.stream_captures(runs.stateful(spark), folder, schema, files_per_trigger=1)
 
 
+POSTING_COLUMNS = [c.split()[0] for c in POSTING.split(",")]
+
 # A last capture far ahead moves the watermark past all others.
 END = ("end", at(10**9))
 
@@ -65,16 +68,34 @@ def test_change_stream(spark, tmp_path, n_files):
     )
 
 
-def test_dedupe_remote_stream(spark, tmp_path):
-    rows = [(f"u{i % 7}", at(i), i % 2 == 0) for i in range(60)]
-    schema = "remote_url string, fetched_at timestamp, ok boolean"
-    stream = in_files(spark, rows, schema, str(tmp_path / "in"), 3)
-    out = runs.drain_to_table(tables.dedupe_remote_stream(stream, "1 hour"), str(tmp_path / "run"))
-    assert sorted(r["remote_url"] for r in out.collect()) == [f"u{i}" for i in range(7)]
+@pytest.mark.parametrize("n_files", [1, 3])
+def test_first_copy_stream(spark, tmp_path, n_files):
+    rows = [(f"u{i % 7}", at(i // 3), i, i % 2 == 0) for i in range(60)]
+    schema = "remote_url string, fetched_at timestamp, fetch_id bigint, ok boolean"
+    ended = ordered.with_end(spark.createDataFrame(rows, schema), "fetched_at", "2 DAYS", remote_url="end", fetch_id=-1, ok=True)
+    everything = [tuple(r) for r in ended.collect()]
+    stream = in_files(spark, everything, schema, str(tmp_path / "in"), n_files)
+    out = runs.drain_to_table(ordered.first_copy_stream(stream, "1 hour"), str(tmp_path / "run"))
+    want = first_fetches(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["remote_url"], r["fetch_id"]) for r in out.collect()) == sorted(
+        (r["remote_url"], r["fetch_id"]) for r in want
+    )
+
+
+def test_the_end_takes_every_row_out(spark, tmp_path):
+    rows = make_captures(11)
+    df = spark.createDataFrame(rows, CAPTURE)
+    ended = ordered.with_end(df, "captured_at", "2 DAYS", tab_id="end", capture_id=-1)
+    ended.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = pages.stream_captures(runs.stateful(spark), str(tmp_path / "in"), CAPTURE)
+    fired = ordered.debounce_stream(stream, 5 * MS, "10 seconds", immediate="skeleton")
+    out = runs.drain_to_table(fired, str(tmp_path / "run")).collect()
+    batch = timeline.debounce(df, 5 * MS, F.col("skeleton")).filter("fires").collect()
+    assert sorted(r["capture_id"] for r in out) == sorted(r["capture_id"] for r in batch)
 
 
 def test_health_stream_and_replay(spark, tmp_path):
-    rows = [("rbc" if i % 3 else "cibc", "L", "h", "dedicated", "json-ld", at(i), f"T{i}") for i in range(30)]
+    rows = [("rbc" if i % 3 else "cibc", "L", "h", "dedicated", "json-ld", at(i), f"T{i}", i) for i in range(30)]
     folder, path = str(tmp_path / "in"), str(tmp_path / "health")
     for i in range(3):
         part = spark.createDataFrame(rows[i * 10 : i * 10 + 10], HEALTH)
@@ -92,26 +113,29 @@ def test_health_stream_and_replay(spark, tmp_path):
     assert titles() == {"cibc": "T27", "rbc": "T29"}
 
 
-def test_submissions_survive_a_replay(spark, tmp_path):
+@pytest.mark.parametrize("seed", range(4))
+def test_submissions_do_not_depend_on_the_micro_batches(spark, tmp_path, seed):
     path = str(tmp_path / "staged")
-    extra = {"location": F.lit(None).cast("string"), "salary_raw": F.lit(None).cast("string"), "description_text": F.lit("t")}
-    rows = make_postings(13)
+    extra = {"location": F.lit(None).cast("string"), "salary_raw": F.lit(None).cast("string"), "description_text": F.col("posting_id").cast("string")}
+    rows = sorted(make_postings(13 + seed), key=lambda r: (r[POSTING_COLUMNS.index("detected_at")], r[0]))
     none = spark.createDataFrame([], APPLICATION)
     write = tables.submission_writer(path, lambda: none, "detected_at", "posting_id")
 
     def batch(part):
         return spark.createDataFrame(part, POSTING).withColumns(extra)
 
-    write(batch(rows[:150]), 0)
-    write(batch(rows[150:]), 1)
-    once = stored.read_batches(spark, path).select("pending_token").collect()
-    write(batch(rows[150:]), 1)
-    twice = stored.read_batches(spark, path).select("pending_token").collect()
-    assert sorted(once) == sorted(twice)
-    assert len(set(once)) == len(once)
-    expected = submissions.stage_submissions(batch(rows[:150]), none, "detected_at", "posting_id")
-    first = {r["pending_token"] for r in expected.select("pending_token").collect()}
-    assert first <= {r["pending_token"] for r in twice}
+    rng = random.Random(seed)
+    cuts = [0, *sorted(rng.sample(range(1, len(rows)), rng.randrange(1, 5))), len(rows)]
+    parts = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+    for i, part in enumerate(parts):
+        write(batch(part), i)
+    want = submissions.stage_submissions(batch(rows), none, "detected_at", "posting_id")
+    want = sorted(r["pending_token"] for r in want.select("pending_token").collect())
+    got = tables.read_staged(spark, path)
+    assert sorted(r["pending_token"] for r in got.collect()) == want
+    # The last batch runs again.
+    write(batch(parts[-1]), len(parts) - 1)
+    assert sorted(r["pending_token"] for r in tables.read_staged(spark, path).collect()) == want
 
 
 def test_a_token_is_spent_once(spark, tmp_path):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacancia.operators import health, lookup, remote, submissions, timeline
+from vacancia.operators import adapters as adapters_of
 from vacancia.operators.adapters import adapters
 from vacancia.operators.routing import route
 from vacancia.plans.extract import read_postings
@@ -259,30 +260,32 @@ def test_api_responses(spark):
 
 HEALTH = (
     "adapter_id string, adapter_label string, host string, status string, method string, "
-    "last_seen timestamp, sample_title string"
+    "last_seen timestamp, sample_title string, row long"
 )
 
 
 def test_adapter_health(spark):
     rows = [
-        ("cibc", "CIBC", "h", "dedicated", "json-ld", at(1), "A"),
-        ("rbc", "RBC", "h", "dedicated", "selector", at(2), "B"),
-        ("cibc", "CIBC", "h", "fallback", "structural", at(3), "C"),
-        ("rbc", "RBC", "h", "failed", None, at(2), None),
+        ("cibc", "CIBC", "h", "dedicated", "json-ld", at(1), "A", 1),
+        ("rbc", "RBC", "h", "dedicated", "selector", at(2), "B", 2),
+        ("cibc", "CIBC", "h", "fallback", "structural", at(3), "C", 3),
+        ("rbc", "RBC", "h", "failed", None, at(2), None, 4),
     ]
     first = spark.createDataFrame(rows[:3], HEALTH)
     latest = {r["adapter_id"]: r for r in health.latest_adapter_health(first).collect()}
     assert set(latest) == {"cibc", "rbc"}
     assert latest["cibc"]["status"] == "fallback"
-    # A write as late as the stored row wins over it, null method and all.
-    after = health.upsert_adapter_health(first.limit(2), spark.createDataFrame(rows[2:], HEALTH)).collect()
-    assert {r["adapter_id"]: (r["status"], r["method"]) for r in after} == {
-        "cibc": ("fallback", "structural"), "rbc": ("failed", None),
-    }
+    # At the same instant the later capture wins, null method and all, whichever is stored.
+    for stored, new in ((rows[:2], rows[2:]), (rows[2:], rows[:2])):
+        frames = [spark.createDataFrame(part, HEALTH) for part in (stored, new)]
+        after = health.upsert_adapter_health(*frames).collect()
+        assert {r["adapter_id"]: (r["status"], r["method"]) for r in after} == {
+            "cibc": ("fallback", "structural"), "rbc": ("failed", None),
+        }
 
 
 def test_health_report_lists_every_adapter_in_order(spark):
-    seen = spark.createDataFrame([("cibc", "CIBC", "h", "fallback", "structural", at(0), "C")], HEALTH)
+    seen = spark.createDataFrame([("cibc", "CIBC", "h", "fallback", "structural", at(0), "C", 1)], HEALTH)
     report = health.health_report(seen, F.lit(at(120_000))).collect()
     assert [r["adapter_id"] for r in report] == [a.adapter_id for a in adapters()]
     details = {r["adapter_id"]: (r["badge"], r["detail"]) for r in report}
@@ -311,14 +314,14 @@ def test_remote_copies(spark):
     view = "https://www.linkedin.com/jobs/view/{}/"
     copies = spark.createDataFrame(
         [
-            (view.format(1), True, GUEST, at(2)),
-            (view.format(1), False, None, at(5)),
-            (view.format(2), False, None, at(1)),
-            (view.format(2), True, GUEST, at(2)),
-            (view.format(3), True, "<main>Sign in</main>", at(1)),
-            (view.format(4), True, f"<main>{BODY * 4}</main>", at(1)),
+            (1, view.format(1), True, GUEST, at(2)),
+            (2, view.format(1), False, None, at(2)),
+            (3, view.format(2), False, None, at(1)),
+            (4, view.format(2), True, GUEST, at(2)),
+            (5, view.format(3), True, "<main>Sign in</main>", at(1)),
+            (6, view.format(4), True, f"<main>{BODY * 4}</main>", at(1)),
         ],
-        "remote_url string, ok boolean, html string, fetched_at timestamp",
+        "fetch_id long, remote_url string, ok boolean, html string, fetched_at timestamp",
     )
     first = {r["remote_url"]: r["ok"] for r in remote.first_remote_copy(copies).collect()}
     assert first == {view.format(1): True, view.format(2): False, view.format(3): True, view.format(4): True}
@@ -344,7 +347,7 @@ def test_extraction_feeds_health(spark):
         ],
         "page_id int, url string, html string, seen timestamp",
     )
-    rows = health.health_rows(read_postings(route(pages)), "seen").orderBy("last_seen").collect()
+    rows = health.health_rows(read_postings(route(pages)), "seen", "page_id").orderBy("last_seen").collect()
     assert [(r["adapter_id"], r["status"], r["method"], r["sample_title"]) for r in rows] == [
         ("rbc", "dedicated", "selector", "Unknown title"), ("rbc", "failed", None, None),
     ]
@@ -367,3 +370,50 @@ def test_stored_snapshots_and_batches(spark, tmp_path):
         stored.write_batch(spark.range(n), batches, batch)
     assert stored.read_batches(spark, batches).count() == 5
     assert stored.read_batches(spark, batches, before=1).count() == 2
+
+
+def test_a_copy_elsewhere_is_read_as_its_adapter_says(spark):
+    """A site with list pages and with copies on another host."""
+    chains = adapters_of.SelectorChains(title=("h3",), description=(".copy",), location=())
+    site = adapters_of.Adapter(
+        "depot", "Depot", "own", ["depot.test"], chains, "Depot", posting_path=r"^/role/",
+        remote_url=lambda url: F.concat(F.lit("https://cache.test/"), F.regexp_extract(url, "([0-9]+)$", 1)),
+    )
+    adapters_of.register_adapter(site)
+    try:
+        rows = [(1, "https://depot.test/role/7", "<p>x"), (2, "https://depot.test/list/7", "<p>x")]
+        pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+        copy = (1, "https://cache.test/7", "depot", True, f'<h3>Stevedore</h3><p class="copy">{BODY}', at(1))
+        fields = "fetch_id long, remote_url string, adapter_id string, ok boolean, html string, fetched_at timestamp"
+        read = remote.prefer_remote(route(pages), spark.createDataFrame([copy], fields)).collect()
+        got = {r["page_id"]: (r["status"], r["from_remote"], r["posting"] and r["posting"]["title"]) for r in read}
+        assert got == {1: ("ok", True, "Stevedore"), 2: ("hidden", False, None)}
+        assert {r["posting"]["source_url"] for r in read if r["posting"]} == {"https://depot.test/role/7"}
+    finally:
+        adapters_of.unregister_adapter("depot")
+
+
+def test_no_page_goes_through_a_shuffle(spark):
+    page = "capture_id long, url string, html string"
+    copy = "fetch_id long, remote_url string, ok boolean, html string, fetched_at timestamp"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = remote.prefer_remote(
+            route(spark.createDataFrame([], page)), spark.createDataFrame([], copy), "capture_id"
+        )
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 2  # captures here, copies there
+        changes = timeline.posting_changes(make_frame(spark)).select("capture_id", "changed")
+        narrow = changes._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for text, words in ((plan, ("html", "dom_nodes")), (narrow, ("description_text", "company"))):
+        lines = text.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange" in line or " Sort " in line:
+                # What the node below hands up is what is moved or sorted.
+                assert not any(w in lines[i + 1].split("Arguments")[0].split("AS")[-1] for w in words), lines[i + 1]
+
+
+def make_frame(spark):
+    return spark.createDataFrame(make_extractions(3), EXTRACTION)

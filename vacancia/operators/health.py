@@ -16,10 +16,11 @@ from vacancia.operators.adapters import adapters_dim, per_adapter
 from vacancia.operators.routing import INDEED
 
 
-def health_rows(extractions: DataFrame, seen_at: str) -> DataFrame:
+def health_rows(extractions: DataFrame, seen_at: str, row_id: str) -> DataFrame:
     """One health row per capture that tells how an adapter fared.
 
-    Hidden and loading captures tell nothing, and Indeed keeps no health.
+    Hidden and loading captures tell nothing, and Indeed keeps no health. ``row`` is the
+    capture's number, which decides between captures of the same instant.
     """
     told = extractions.filter(
         F.col("status").isin("ok", "not-found") & (F.col("adapter_id") != INDEED)
@@ -33,13 +34,14 @@ def health_rows(extractions: DataFrame, seen_at: str) -> DataFrame:
         method.alias("method"),
         F.col(seen_at).alias("last_seen"),
         F.col("posting.title").alias("sample_title"),
+        F.col(row_id).alias("row"),
     )
 
 
-def latest_adapter_health(rows: DataFrame, tie: str | None = None) -> DataFrame:
+def latest_adapter_health(rows: DataFrame) -> DataFrame:
     """The last row per adapter. Map tasks reduce to one row per adapter first."""
     others = [c for c in rows.columns if c != "adapter_id"]
-    order = F.struct("last_seen", *([tie] if tie else []))
+    order = F.struct("last_seen", "row")
     return (
         rows.groupBy("adapter_id")
         .agg(F.max_by(F.struct(*others), order).alias("_last"))
@@ -48,11 +50,8 @@ def latest_adapter_health(rows: DataFrame, tie: str | None = None) -> DataFrame:
 
 
 def upsert_adapter_health(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    """The stored table after ``rows``: stored rows lose against equally late ones."""
-    marked = stored.withColumn("_new", F.lit(0)).unionByName(
-        rows.withColumn("_new", F.lit(1)), allowMissingColumns=True
-    )
-    return latest_adapter_health(marked, tie="_new").drop("_new")
+    """The stored table after ``rows``, in whatever order they came."""
+    return latest_adapter_health(stored.unionByName(rows))
 
 
 def health_report(health: DataFrame, now: Column) -> DataFrame:

@@ -74,21 +74,22 @@ def only_duplicates(postings: DataFrame, applications: DataFrame, row_id: str) -
     return lookup_existing(postings, applications, row_id).filter(F.col("match").isNotNull())
 
 
-def first_in_batch(postings: DataFrame, order: str, row_id: str) -> DataFrame:
-    """Of equal postings in one batch the first: per URL, then per company and role.
+def first_by(postings: DataFrame, key: Column, order: str, row_id: str) -> DataFrame:
+    """The first posting per key; postings without one stay.
 
     ``row_number() = 1`` is limited in each map task before the shuffle, so a
     posting repeated without end sends one row per task.
     """
+    at = W.partitionBy("_key").orderBy(order, row_id)
+    return (
+        stage(postings, _key=spread_nulls(key, F.col(row_id)))
+        .withColumn("_n", F.row_number().over(at))
+        .filter(F.col("_n") == 1)
+        .drop("_key", "_n")
+    )
 
-    def first(rows: DataFrame, key: Column) -> DataFrame:
-        at = W.partitionBy("_key").orderBy(order, row_id)
-        return (
-            stage(rows, _key=spread_nulls(key, F.col(row_id)))
-            .withColumn("_n", F.row_number().over(at))
-            .filter(F.col("_n") == 1)
-            .drop("_key", "_n")
-        )
 
-    per_url = first(postings, F.col("source_url"))
-    return first(per_url, role_key(F.col("company"), F.col("title")))
+def first_in_batch(postings: DataFrame, order: str, row_id: str) -> DataFrame:
+    """Of equal postings in one batch the first: per URL, then per company and role."""
+    per_url = first_by(postings, F.col("source_url"), order, row_id)
+    return first_by(per_url, role_key(F.col("company"), F.col("title")), order, row_id)

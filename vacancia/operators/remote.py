@@ -11,71 +11,58 @@ from vacancia.operators.routing import remote_source_url, route
 from vacancia.plans.extract import read_postings
 
 
-def first_remote_copy(copies: DataFrame) -> DataFrame:
-    """One answer per remote URL, the first one, failures included.
+FETCH = ("remote_url", "fetched_at", "fetch_id")
 
-    The aggregate runs in every map task first, so a URL that was fetched over
-    and over sends one row per task.
-    """
-    others = [c for c in copies.columns if c != "remote_url"]
-    order = F.struct(*[c for c in ("fetched_at", "fetch_id") if c in others])
-    return (
-        copies.groupBy("remote_url")
-        .agg(F.min_by(F.struct(*others), order).alias("_first"))
-        .select("remote_url", "_first.*")
-    )
 
+def first_fetches(copies: DataFrame) -> DataFrame:
+    """The first answer per remote URL, as its key. Map tasks reduce to one row per URL first."""
+    first = F.min(F.struct("fetched_at", "fetch_id")).alias("_first")
+    return copies.groupBy("remote_url").agg(first).select("remote_url", "_first.*")
 
-def trusted_remote_postings(copies: DataFrame) -> DataFrame:
-    """``remote_url, posting`` of first copies that gave a confident posting."""
-    fetched = first_remote_copy(copies).filter("ok").withColumn("url", F.col("remote_url"))
-    copied = with_remote_copies()
-    read = read_postings(route(fetched).filter(F.col("adapter_id").isin(copied)), copied)
-    return read.filter(
-        (F.col("status") == "ok") & (F.col("posting.detection.confidence") == "high")
-    ).select("remote_url", F.col("posting").alias("remote_posting"))
 
+def first_remote_copy(copies: DataFrame) -> DataFrame:
+    """One answer per remote URL, the first one, failures included.
 
-def with_remote_posting(captures: DataFrame, copies: DataFrame, row_id: str) -> DataFrame:
-    """Add ``remote_posting`` to routed captures whose trusted copy exists."""
-    keyed = captures.withColumn(
-        "_key",
-        spread_nulls(remote_source_url(F.col("adapter_id"), F.col("url")), F.col(row_id)),
-    )
-    trusted = shuffled_anew(
-        trusted_remote_postings(copies).withColumnRenamed("remote_url", "_key"), "_key"
-    )
-    own_url = per_adapter(F.col("adapter_id"), lambda a: a.source_url(F.col("url")))
-    return (
-        keyed.join(trusted, "_key", "left")
-        .withColumn(
-            "remote_posting",
-            F.when(
-                F.col("remote_posting").isNotNull(),
-                F.col("remote_posting").withField("source_url", own_url),
-            ),
-        )
-        .drop("_key")
-    )
+    Only keys are reduced; the pages meet the keys that won.
+    """
+    return copies.join(first_fetches(copies), list(FETCH), "left_semi").select(*copies.columns)
 
 
 def prefer_remote(captures: DataFrame, copies: DataFrame, row_id: str = "page_id") -> DataFrame:
     """Postings of routed captures, from the trusted copy where there is one.
 
-    Live pages with a trusted copy are not parsed. Only captures that can have a
-    copy are joined ahead of the parser; all others go to it without a shuffle.
+    Captures and copies are each parsed where they are scanned, once; what is joined
+    afterwards are postings. A copy is read as its ``adapter_id`` says, or as the site of
+    its own address where it says nothing. Only a first copy that was answered and gave a
+    confident posting is trusted, and only captures that are single postings take it.
     """
-    has_copy = remote_source_url(F.col("adapter_id"), F.col("url")).isNotNull()
-    joined = with_remote_posting(captures.filter(has_copy), copies, row_id)
-    untrusted = F.when(F.col("remote_posting").isNull(), F.col("html"))
-    live = read_postings(joined.withColumn("html", untrusted), with_remote_copies())
-    none = F.lit(None).cast(joined.schema["remote_posting"].dataType)
-    live = live.unionByName(read_postings(captures.filter(~has_copy)).withColumn("remote_posting", none))
-    trusted = F.col("remote_posting").isNotNull()
-    return (
-        live.withColumn("from_remote", trusted)
-        .withColumn("status", F.when(trusted, F.lit("ok")).otherwise(F.col("status")))
-        .withColumn("posting", F.coalesce("remote_posting", "posting"))
-        .withColumn("outcome", F.when(trusted, F.lit("detected")).otherwise(F.col("outcome")))
-        .drop("remote_posting")
+    copied = with_remote_copies()
+    fetched = copies.withColumn("url", F.col("remote_url"))
+    if "adapter_id" in copies.columns:
+        named = route(fetched.withColumnRenamed("adapter_id", "_named"))
+        fetched = named.withColumn("adapter_id", F.coalesce("_named", "adapter_id"))
+    else:
+        fetched = route(fetched)
+    fetched = fetched.filter(F.col("ok") & F.col("adapter_id").isin(copied))
+    read = read_postings(fetched.select(*FETCH, "url", "host", "adapter_id", "html"), copied, gated=False)
+    confident = (F.col("status") == "ok") & (F.col("posting.detection.confidence") == "high")
+    trusted = read.filter(confident).join(first_fetches(copies), list(FETCH), "left_semi")
+    trusted = shuffled_anew(
+        trusted.select(F.col("remote_url").alias("_key"), F.col("posting").alias("_remote")), "_key"
+    )
+
+    own_url = per_adapter(F.col("adapter_id"), lambda a: a.source_url(F.col("url")))
+    asks = F.when(
+        F.col("status") != "hidden", remote_source_url(F.col("adapter_id"), F.col("url"))
+    )
+    live = read_postings(captures).withColumn("_key", spread_nulls(asks, F.col(row_id)))
+    has = F.col("_remote").isNotNull()
+    return live.join(trusted, "_key", "left").select(
+        *[c for c in captures.columns if c != "html"],
+        F.when(has, F.lit("ok")).otherwise(F.col("status")).alias("status"),
+        F.when(has, F.col("_remote").withField("source_url", own_url))
+        .otherwise(F.col("posting"))
+        .alias("posting"),
+        F.when(has, F.lit("detected")).otherwise(F.col("outcome")).alias("outcome"),
+        has.alias("from_remote"),
     )

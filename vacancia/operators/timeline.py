@@ -86,26 +86,36 @@ def debounce(
     )
 
 
+def digest_of(status: Column, parts: Sequence[Column]) -> Column:
+    """What postings are compared by; null where none was found."""
+    texts = [F.coalesce(p, F.lit("")) for p in parts]
+    return F.when(status == "ok", F.sha2(F.concat_ws("\0", *texts), 256))
+
+
 def posting_changes(
     extractions: DataFrame,
     compare: Sequence[str] = ("title", "description_text"),
     chunk_us: int = HOUR,
 ) -> DataFrame:
-    """Drop ``loading`` rows and add ``changed`` and ``detected_at``.
+    """``tab_id, captured_at, capture_id, status, changed, detected_at``, without ``loading`` rows.
 
     A posting has changed when the tab's previous result was none or differs in
     ``compare``. ``detected_at`` is when the current streak began; it is null
-    where nothing is detected. Postings are compared by digest, so long
-    descriptions do not travel with the neighbours.
+    where nothing is detected. Only keys and a digest go through the windows; a column
+    ``digest`` is taken where there is one.
     """
     inside, across = _inside(), _across()
-    found = F.col("status") == "ok"
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in compare]
-    digest = F.when(found, F.sha2(F.concat_ws("\0", *parts), 256))
+    digest = F.col("digest")
+    if "digest" not in extractions.columns:
+        digest = digest_of(F.col("status"), [F.col(c) for c in compare])
+    narrow = extractions.filter(F.col("status") != "loading").select(
+        TAB, AT, ROW, "status", digest.alias("_digest")
+    )
 
     local = (
-        _in_chunks(extractions.filter(F.col("status") != "loading"), chunk_us)
-        .withColumn("_now", F.struct(digest.alias("d")))
+        _in_chunks(narrow, chunk_us)
+        .withColumn("_now", F.struct(F.col("_digest").alias("d")))
+        .drop("_digest")
         .withColumn("_prev", F.lag("_now").over(inside))
         .withColumn(
             "_turn",

@@ -33,19 +33,23 @@ def attributes_read(among: Sequence[str]) -> list[str]:
     return sorted(attributes_used(selectors))
 
 
-def read_postings(routed: DataFrame, among: Sequence[str] | None = None) -> DataFrame:
+def read_postings(
+    routed: DataFrame, among: Sequence[str] | None = None, gated: bool = True
+) -> DataFrame:
     """Add ``status``, ``posting`` and ``outcome`` to routed pages.
 
     ``among`` names the sites that can occur, where that is known: the plan then
     holds the selectors of no others. A claimed page that is no single posting is
-    ``hidden``; its content does not reach the parser.
+    ``hidden``; its content does not reach the parser. Copies are not ``gated``: the
+    address that decides is that of the page they stand for.
     """
     among = [INDEED, *(a.adapter_id for a in adapters())] if among is None else among
     on_indeed = F.col("adapter_id") == INDEED
     url, is_posting = F.col("url"), F.col("_is_posting")
-    gated = routed.withColumn("_is_posting", is_posting_page(F.col("adapter_id"), url))
+    allowed = is_posting_page(F.col("adapter_id"), url) if gated else F.lit(True)
+    known = routed.withColumn("_is_posting", allowed)
     read = with_dom(
-        gated.withColumn("html", F.when(is_posting, F.col("html"))), attributes_read(among)
+        known.withColumn("html", F.when(is_posting, F.col("html"))), attributes_read(among)
     )
     # Both kinds of pages go through the same stages, so a page's elements are
     # handed on as seldom as possible.

@@ -1,21 +1,23 @@
 """The whole way of a batch of captures, with one stored table in the middle.
 
-Captures that do not fire never reach the parser, and what the parser made is
-written once: changes, health and look-ups all start from the stored postings,
-so a lost executor or a second reader does not parse a page again.
+Pages go from the scan to the parser without a shuffle and what the parser made is written
+once. Which captures fire, which answers came too late, what changed and what is sent are
+worked out on narrow rows beside that table; a posting's text moves only where it is sent.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.operators import health, remote, submissions, timeline
-from vacancia.operators.routing import INDEED, in_scope, route
+from vacancia.functions.urls import application_url
+from vacancia.operators import health, lookup, remote, submissions, timeline
+from vacancia.operators.keys import spread_nulls
+from vacancia.operators.routing import INDEED, in_scope, remote_source_url, route
+from vacancia.operators.stages import stage
 from vacancia.plans.extract import read_postings
-from vacancia.streaming.runs import new_folder
 
 # How long a tab has to be quiet before its page is read.
 INDEED_GAP_US = 400_000
@@ -35,59 +37,170 @@ INDEED_RULES = Rules(INDEED_GAP_US, False, ("title", "company", "description_tex
 SITE_RULES = Rules(SITES_GAP_US, True, ("title", "description_text"))
 
 
-def fired_captures(captures: DataFrame, rules: Rules) -> DataFrame:
-    """The captures that fire. Only keys go through the windows; pages are joined after."""
-    skeleton = F.col("skeleton_removed") if "skeleton_removed" in captures.columns else F.lit(False)
-    keys = captures.select(
-        timeline.TAB, timeline.AT, timeline.ROW, "url", skeleton.alias("skeleton_removed")
-    )
-    flag = None if rules.on_url_change else F.col("skeleton_removed")
-    fired = timeline.debounce(keys, rules.gap_us, flag, rules.on_url_change).filter("fires")
-    return captures.join(fired.select(timeline.ROW), timeline.ROW, "left_semi")
-
-
 def stored_postings(
-    captures: DataFrame, rules: Rules, copies: DataFrame | None = None
+    captures: DataFrame, folder: str, copies: DataFrame | None = None
 ) -> DataFrame:
-    """Results of the captures that fire, from a table written in the shared folder."""
-    fired = fired_captures(captures, rules)
+    """Results of all captures in scope, from a table written in ``folder``.
+
+    A column ``digest`` is what postings are compared by: as on Indeed or as elsewhere.
+    """
+    routed = route(captures.filter(in_scope(F.col("url")))).filter(F.col("adapter_id").isNotNull())
     if copies is None:
-        read = read_postings(fired)
+        read = read_postings(routed).withColumn("from_remote", F.lit(False))
     else:
-        read = remote.prefer_remote(fired, copies, timeline.ROW)
-    spark = captures.sparkSession
-    folder = new_folder(spark, "postings")
+        read = remote.prefer_remote(routed, copies, timeline.ROW)
+
+    def digest(rules: Rules) -> Column:
+        return timeline.digest_of(F.col("status"), [F.col(f"posting.{c}") for c in rules.compare])
+
+    on_indeed = F.col("adapter_id") == INDEED
+    read = stage(read, digest=F.when(on_indeed, digest(INDEED_RULES)).otherwise(digest(SITE_RULES)))
     read.write.parquet(folder)
-    return spark.read.schema(read.schema).parquet(folder)
+    return captures.sparkSession.read.schema(read.schema).parquet(folder)
+
 
+def keys_of(stored: DataFrame) -> DataFrame:
+    """What the steps by tab look at."""
+    skeleton = F.col("skeleton_removed") if "skeleton_removed" in stored.columns else F.lit(False)
+    return stored.select(
+        timeline.TAB,
+        timeline.AT,
+        timeline.ROW,
+        "url",
+        "adapter_id",
+        "status",
+        "digest",
+        skeleton.alias("skeleton_removed"),
+    )
+
+
+def fired(keys: DataFrame, rules: Rules) -> DataFrame:
+    """The captures that are read, of one kind of site."""
+    flag = None if rules.on_url_change else F.col("skeleton_removed")
+    return timeline.debounce(keys, rules.gap_us, flag, rules.on_url_change).filter("fires")
 
-def with_changes(stored: DataFrame, rules: Rules) -> DataFrame:
-    """Stored results with ``changed`` and ``detected_at``; loading rows are dropped."""
-    fields = {f: F.col(f"posting.{f}") for f in ("title", "company", "description_text")}
-    return timeline.posting_changes(stored.withColumns(fields), rules.compare)
 
+def arrived(reads: DataFrame, keys: DataFrame, copies: DataFrame) -> DataFrame:
+    """Reads at the time their answer is there, without those the tab no longer waits for.
 
-def split_by_site(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Captures in scope, routed: those of career sites and those of Indeed."""
-    routed = route(captures.filter(in_scope(F.col("url"))))
+    A single posting whose site keeps copies waits for the first answer to its address; an
+    answer that is there already takes no time. If the tab shows another address by then,
+    the read is dropped.
+    """
+    asks = F.when(F.col("status") != "hidden", remote_source_url(F.col("adapter_id"), F.col("url")))
+    asked = reads.withColumn("_key", spread_nulls(asks, F.col(timeline.ROW)))
+    answers = remote.first_fetches(copies).select(
+        F.col("remote_url").alias("_key"), F.col("fetched_at").alias("_answered")
+    )
+    waited = asked.join(answers, "_key", "left").drop("_key")
+    at = F.greatest(F.col(timeline.AT), F.col("_answered").cast(reads.schema[timeline.AT].dataType))
+    waited = waited.withColumn(timeline.AT, at).drop("_answered")
+    return timeline.still_current(keys, waited).filter("current").drop("current")
+
+
+def read_results(
+    stored: DataFrame,
+    sites: Rules = SITE_RULES,
+    indeed: Rules = INDEED_RULES,
+    copies: DataFrame | None = None,
+) -> DataFrame:
+    """``capture_id, captured_at, changed, detected_at`` of the captures whose result counts.
+
+    Debounced by the rules of their site, guarded against answers that came too late, and
+    compared with what the tab showed before. Loading results change nothing.
+    """
+    keys = keys_of(stored)
     on_indeed = F.col("adapter_id") == INDEED
-    return routed.filter(~on_indeed), routed.filter(on_indeed)
+    of_sites = fired(keys.filter(~on_indeed), sites)
+    if copies is not None:
+        of_sites = arrived(of_sites, keys.filter(~on_indeed), copies)
+    of_indeed = fired(keys.filter(on_indeed), indeed)
+    changes = [
+        timeline.posting_changes(rows.select(timeline.TAB, timeline.AT, timeline.ROW, "status", "digest"))
+        for rows in (of_sites, of_indeed)
+    ]
+    return changes[0].unionByName(changes[1]).select(
+        timeline.ROW, timeline.AT, "changed", "detected_at"
+    )
 
 
-def new_submissions(changes: DataFrame, applications: DataFrame) -> DataFrame:
-    """Rows to stage for postings that came up and are not logged yet."""
-    rows = changes.filter("changed").select(
+def with_postings(results: DataFrame, stored: DataFrame) -> DataFrame:
+    """Results with what was read; ``captured_at`` is when the result was there."""
+    return results.join(stored.drop(timeline.AT), timeline.ROW)
+
+
+def candidates(results: DataFrame, stored: DataFrame) -> DataFrame:
+    """Postings that came up, as they are looked up and sent."""
+    rows = with_postings(results.filter("changed"), stored)
+    return rows.select(
         timeline.ROW,
         "detected_at",
-        "title",
-        "company",
-        "description_text",
+        F.col("posting.title").alias("title"),
+        F.col("posting.company").alias("company"),
+        F.col("posting.description_text").alias("description_text"),
         F.col("posting.location").alias("location"),
         F.col("posting.salary.raw").alias("salary_raw"),
         F.col("posting.source_url").alias("source_url"),
     )
-    return submissions.stage_submissions(rows, applications, "detected_at", timeline.ROW)
 
 
-def health_after(stored: DataFrame) -> DataFrame:
-    return health.latest_adapter_health(health.health_rows(stored, timeline.AT))
+def new_submissions(sent: DataFrame, applications: DataFrame) -> DataFrame:
+    """Rows to stage for postings that came up and are not logged yet."""
+    return submissions.stage_submissions(sent, applications, "detected_at", timeline.ROW)
+
+
+def send_results(
+    sent: DataFrame, applications: DataFrame, base_url: str, refused: DataFrame | None = None
+) -> DataFrame:
+    """What became of each posting that was sent: outcome, application and existing URL.
+
+    ``already-logged`` tells the application that was found, by URL or else by role, or the
+    one an earlier posting of the batch became. ``sent`` postings become applications unless
+    their token is among ``refused``; those and what repeats them end in ``error``.
+    """
+    row, order = timeline.ROW, "detected_at"
+    looked = lookup.lookup_existing(sent, applications, row)
+    role = lookup.role_key(F.col("company"), F.col("title"))
+    fresh = stage(looked.filter(F.col("match").isNull()), role=role)
+    per_url = lookup.first_by(fresh, F.col("source_url"), order, row)
+    staged = submissions.staged_rows(lookup.first_by(per_url, F.col("role"), order, row))
+    tokens = staged.select(row, "role", "pending_token")
+    if refused is not None:
+        bad = refused.select("pending_token", F.lit(True).alias("_refused")).distinct()
+        tokens = tokens.join(bad, "pending_token", "left")
+    else:
+        tokens = tokens.withColumn("_refused", F.lit(None).cast("boolean"))
+    made = tokens.select(
+        "role",
+        F.col(row).alias("_winner"),
+        F.substring("pending_token", 1, 32).alias("_made"),
+        F.coalesce("_refused", F.lit(False)).alias("_refused"),
+    )
+    # A posting repeats the first one with its URL, and that one the first of its role.
+    urls = per_url.filter(F.col("source_url").isNotNull()).select(
+        "source_url", F.col("role").alias("_url_role")
+    )
+    narrow = fresh.select(row, "source_url", "role")
+    known = narrow.join(urls, "source_url", "left").withColumn("role", F.coalesce("_url_role", "role"))
+    ended = known.join(made, "role").select(
+        row,
+        F.when(F.col("_refused"), F.lit("error"))
+        .when(F.col(row) == F.col("_winner"), F.lit("sent"))
+        .otherwise(F.lit("already-logged"))
+        .alias("outcome"),
+        F.when(~F.col("_refused"), F.col("_made")).alias("application_id"),
+        F.lit(None).cast("string").alias("matched_by"),
+    )
+    logged = looked.filter(F.col("match").isNotNull()).select(
+        row, F.lit("already-logged").alias("outcome"), F.col("match.id").alias("application_id"), "matched_by"
+    )
+    found = F.col("outcome") == "already-logged"
+    return logged.unionByName(ended).withColumn(
+        "existing_url", F.when(found, application_url(F.lit(base_url), F.col("application_id")))
+    )
+
+
+def health_after(results: DataFrame, stored: DataFrame) -> DataFrame:
+    """Health from the results that count."""
+    told = with_postings(results.select(timeline.ROW, timeline.AT), stored)
+    return health.latest_adapter_health(health.health_rows(told, timeline.AT, timeline.ROW))

@@ -1,98 +1,225 @@
-"""Queries that run a batch of captures all the way."""
+"""Queries that run every event, on career sites and on Indeed, all the way."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.plans import flow
-from vacancia.plans.page_queries import SITE_SQL
-from vacancia.plans.page_templates import site_pages
+from vacancia.plans.page_templates import (
+    GUEST,
+    INDEED,
+    SITES,
+    documents,
+    expected_sql,
+    indeed_pages,
+    site_pages,
+)
 from vacancia.plans.table_queries import HOURS
-from vacancia.plans.tables import dealt, table
+from vacancia.plans.tables import dealt, fmt, table
+from vacancia.streaming.runs import new_folder
+
+SITE_RULES = flow.Rules(3 * HOURS, True, ("title", "description_text"))
+INDEED_RULES = flow.Rules(6 * HOURS, False, ("title", "company", "description_text"))
+BASE = "https://log.example.org/"
+VIEW = "https://www.linkedin.com/jobs/view/"
+SPLIT = 5  # the form of a split view, whose posting has a copy
+
 
-RULES = flow.Rules(3 * HOURS, True, ("title", "description_text"))
+def _page(spark: SparkSession, sf: str) -> Column:
+    """The document whose page an event shows: events go round all of them."""
+    return F.col("event_id") % F.lit(table(spark, sf, "documents").count())
 
 
-def _captures(spark: SparkSession, sf: str) -> DataFrame:
-    """Site pages of the documents, caught when the event of the same number happened."""
-    pages = site_pages(spark, sf)
-    e = table(spark, sf, "events")
-    return pages.join(e, pages.page_id == e.event_id).select(
-        (F.col("user_id") % 20).cast("string").alias("tab_id"),
+def captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a capture of a document's page: even tabs on sites, odd ones on Indeed."""
+    sites, indeed = site_pages(spark, sf), indeed_pages(spark, sf)
+    shown = sites.withColumn("_odd", F.lit(0)).unionByName(indeed.withColumn("_odd", F.lit(1)))
+    e = table(spark, sf, "events").withColumn("_page", _page(spark, sf))
+    on = (e["_page"] == shown.page_id) & (e.user_id % 2 == shown["_odd"])
+    return dealt(e.join(shown, on)).select(
+        (F.col("user_id") % 40).cast("string").alias("tab_id"),
         F.col("ts").alias("captured_at"),
-        F.col("page_id").alias("capture_id"),
-        # One address per site and page kind, so that debouncing has something to do.
-        F.regexp_replace("url", r"(?<=[/-])[0-9]+(?=(/\?trk=1|_6debf006.*)?\z)", "1").alias("url"),
+        F.col("event_id").alias("capture_id"),
+        "url",
         "html",
+        (F.col("event_type") == "signup").alias("skeleton_removed"),
+    )
+
+
+def copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to the split views: a third failed, all five hours after the page was first seen."""
+    docs = documents(spark, sf).filter(F.col("k") % len(SITES) == SPLIT)
+    values = {n: F.col(n) for n in docs.columns}
+    e = table(spark, sf, "events").filter("user_id % 2 = 0")
+    seen = e.groupBy(_page(spark, sf).alias("k")).agg(F.min("ts").alias("ts"))
+    return docs.join(seen, "k").select(
+        F.col("k").alias("fetch_id"),
+        fmt(VIEW + "{k}/", k=F.col("k")).alias("remote_url"),
+        F.lit("linkedin").alias("adapter_id"),
+        (F.col("k") % 3 != 0).alias("ok"),
+        fmt(GUEST.html, **values).alias("html"),
+        (F.col("ts") + F.expr("INTERVAL 5 HOURS")).alias("fetched_at"),
     )
 
 
-def _stored(spark: SparkSession, sf: str) -> DataFrame:
-    sites, _ = flow.split_by_site(_captures(spark, sf))
-    return flow.stored_postings(dealt(sites), RULES)
+def _results(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    fetched = copies(spark, sf)
+    stored = flow.stored_postings(captures(spark, sf), new_folder(spark, "postings"), fetched)
+    return flow.read_results(stored, SITE_RULES, INDEED_RULES, fetched), stored
 
 
 def capture_flow(spark: SparkSession, sf: str) -> DataFrame:
-    changes = flow.with_changes(_stored(spark, sf), RULES)
-    return changes.select("capture_id", "adapter_id", "status", "title", "changed", "detected_at")
+    results, stored = _results(spark, sf)
+    return flow.with_postings(results, stored).select(
+        "capture_id",
+        "captured_at",
+        "adapter_id",
+        "status",
+        F.col("posting.title").alias("title"),
+        "from_remote",
+        "changed",
+        "detected_at",
+    )
 
 
-def flow_submissions(spark: SparkSession, sf: str) -> DataFrame:
-    """What a batch leaves to stage when every fourth posting is logged already."""
-    changes = flow.with_changes(_stored(spark, sf), RULES)
-    logged = changes.filter("changed AND capture_id % 4 = 0").select(
-        F.col("capture_id").cast("string").alias("id"),
+def _sent(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings that came up, some in several tabs."""
+    results, stored = _results(spark, sf)
+    return flow.candidates(results, stored)
+
+
+def _logged(sent: DataFrame) -> DataFrame:
+    """Every seventh posting is logged already, half of them under another address."""
+    k = F.col("capture_id")
+    return sent.filter(k % 7 == 0).select(
+        fmt("app-{k}", k=k).alias("id"),
         "company",
         F.col("title").alias("role"),
         F.lit("Applied").alias("stage"),
         F.col("detected_at").alias("date_applied"),
-        F.lit(None).cast("string").alias("source_url"),
+        F.when(k % 2 == 0, F.col("source_url")).alias("source_url"),
+    )
+
+
+def flow_submissions(spark: SparkSession, sf: str) -> DataFrame:
+    sent = _sent(spark, sf)
+    return flow.new_submissions(sent, _logged(sent)).select("capture_id", "detected_at")
+
+
+def flow_send_results(spark: SparkSession, sf: str) -> DataFrame:
+    sent = _sent(spark, sf)
+    ended = flow.send_results(sent, _logged(sent), BASE)
+    logged = F.col("matched_by").isNotNull()
+    return ended.select(
+        "capture_id",
+        "outcome",
+        "matched_by",
+        F.when(logged, F.col("application_id")).alias("application_id"),
+        F.when(logged, F.col("existing_url")).alias("existing_url"),
     )
-    return flow.new_submissions(changes, logged).select("capture_id", "detected_at")
 
 
 def flow_health(spark: SparkSession, sf: str) -> DataFrame:
-    return flow.health_after(_stored(spark, sf)).select(
+    results, stored = _results(spark, sf)
+    return flow.health_after(results, stored).select(
         "adapter_id", "status", "method", "last_seen", "sample_title"
     )
 
 
-QUERIES = {f.__name__: f for f in (capture_flow, flow_submissions, flow_health)}
+QUERIES = {f.__name__: f for f in (capture_flow, flow_submissions, flow_send_results, flow_health)}
+
 
+def _url_sql() -> str:
+    """The address of each form's page, over ``k``."""
+    branches = []
+    for i, form in enumerate(SITES):
+        parts = [f"'{p}'" if p != "{k}" else "k" for p in re.split(r"(\{k\})", form.url) if p]
+        branches.append(f"WHEN {i} THEN {' || '.join(parts)}")
+    return f"CASE f {' '.join(branches)} END"
+
+
+_PAGES = "(SELECT count(*) FROM documents)"
+
+# As the operators, with plain windows over whole tabs. A result counts when the answer it
+# waits for is there and the tab still shows the same page.
 _FLOW = f"""
-  {SITE_SQL},
-  cap AS (SELECT site.*, user_id % 20 AS tab, ts, CASE page_id % 8 WHEN 4 THEN 'posting' ELSE adapter_id END AS u
-    FROM site JOIN events ON page_id = event_id),
-  deb AS (SELECT *, lag(u) OVER w AS prev, lead(ts) OVER w AS nxt FROM cap
-    WINDOW w AS (PARTITION BY tab ORDER BY ts, page_id)),
-  fired AS (SELECT * FROM deb
-    WHERE prev IS NULL OR prev <> u OR nxt IS NULL OR nxt - ts >= INTERVAL 3 HOUR),
-  dig AS (SELECT *, CASE WHEN status = 'ok' THEN title || '/' || description_text END AS d FROM fired),
-  chg AS (SELECT *, d IS NOT NULL AND d IS DISTINCT FROM lag(d) OVER (PARTITION BY tab ORDER BY ts, page_id)
+  {expected_sql(SITES, 'made')},
+  {expected_sql(INDEED, 'imade')},
+  pages_of AS (
+    SELECT 0 AS odd, page_id AS k, f, adapter_id, status, method, title, company, description_text AS d,
+      {_url_sql().replace("k ||", "page_id ||").replace("|| k", "|| page_id")} AS url, source FROM made
+    UNION ALL
+    SELECT 1, page_id, f, 'indeed', status, method, title, company, description_text, NULL,
+      CASE page_id % 3 WHEN 0 THEN 'https://nz.indeed.com/viewjob?jk=' || h
+        WHEN 2 THEN 'https://www.indeed.com/viewjob?jk=' || h END FROM imade),
+  cap AS (SELECT user_id % 40 AS tab, user_id % 2 AS odd, ts, event_id, event_type = 'signup' AS skel, p.*
+      EXCLUDE (odd) FROM events JOIN pages_of p ON event_id % {_PAGES} = p.k AND user_id % 2 = p.odd),
+  nb AS (SELECT *, lag(event_id) OVER w IS NULL AS is_first, lag(url) OVER w AS prev, lead(ts) OVER w AS nxt
+      FROM cap WINDOW w AS (PARTITION BY tab ORDER BY ts, event_id)),
+  fired AS (SELECT * FROM nb WHERE is_first OR nxt IS NULL
+      OR CASE WHEN odd = 0 THEN prev <> url OR nxt - ts >= INTERVAL 3 HOUR
+        ELSE skel OR nxt - ts >= INTERVAL 6 HOUR END),
+  fetched AS (SELECT event_id % {_PAGES} AS k, min(ts) + INTERVAL 5 HOUR AS answered FROM events
+      WHERE user_id % 2 = 0 AND (event_id % {_PAGES}) % {len(SITES)} = {SPLIT} GROUP BY 1),
+  late AS (SELECT fired.*, CASE WHEN odd = 0 AND f = {SPLIT} THEN greatest(ts, coalesce(answered, ts))
+      ELSE ts END AS seen FROM fired LEFT JOIN fetched ON fired.k = fetched.k AND odd = 0),
+  cur AS (SELECT l.*, c.url AS on_url FROM late l
+      ASOF LEFT JOIN (SELECT tab AS ctab, ts AS cts, arg_max(url, event_id) AS url FROM cap
+        WHERE odd = 0 GROUP BY ALL) c
+      ON l.tab = c.ctab AND l.seen >= c.cts),
+  kept AS (SELECT * EXCLUDE (status, method, title, company),
+      odd = 0 AND f = {SPLIT} AND k % 3 <> 0 AND d IS NOT NULL AS from_remote,
+      status, method,
+      CASE WHEN odd = 0 AND f = {SPLIT} AND k % 3 <> 0 AND d IS NOT NULL THEN 'Editor ' || k ELSE title
+        END AS title,
+      CASE WHEN odd = 0 AND f = {SPLIT} AND k % 3 <> 0 AND d IS NOT NULL THEN 'Press ' || k ELSE company
+        END AS company
+    FROM cur WHERE status <> 'loading' AND (odd = 1 OR on_url = url)),
+  dig AS (SELECT *, CASE WHEN status = 'ok' THEN title || '/' || d || CASE odd WHEN 1 THEN company ELSE ''
+      END END AS g FROM kept),
+  chg AS (SELECT *, g IS NOT NULL AND g IS DISTINCT FROM lag(g) OVER (PARTITION BY tab ORDER BY seen, event_id)
     AS changed FROM dig),
-  stk AS (SELECT *, sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY tab ORDER BY ts, page_id)
+  stk AS (SELECT *, sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY tab ORDER BY seen, event_id)
     AS streak FROM chg),
-  flow AS (SELECT *, CASE WHEN d IS NOT NULL THEN min(ts) FILTER (WHERE changed)
+  flow AS (SELECT *, CASE WHEN g IS NOT NULL THEN min(seen) FILTER (WHERE changed)
     OVER (PARTITION BY tab, streak) END AS detected_at FROM stk)
 """
+_SENT = """
+  sent AS (SELECT event_id, detected_at, company, title AS role, source AS src FROM flow WHERE changed),
+  logged AS (SELECT 'app-' || event_id AS id, event_id, company, role, detected_at,
+      CASE WHEN event_id % 2 = 0 THEN src END AS src FROM sent WHERE event_id % 7 = 0),
+  by_url AS (SELECT * FROM logged WHERE src IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY src ORDER BY detected_at, id) = 1),
+  by_role AS (SELECT * FROM logged
+      QUALIFY row_number() OVER (PARTITION BY company, role ORDER BY detected_at, id) = 1),
+  looked AS (SELECT s.*, coalesce(u.id, r.id) AS found,
+      CASE WHEN u.id IS NOT NULL THEN 'url' WHEN r.id IS NOT NULL THEN 'role' END AS matched_by
+    FROM sent s LEFT JOIN by_url u ON s.src = u.src
+      LEFT JOIN by_role r ON s.company = r.company AND s.role = r.role),
+  f1 AS (SELECT * FROM looked WHERE found IS NULL QUALIFY src IS NULL
+      OR row_number() OVER (PARTITION BY src ORDER BY detected_at, event_id) = 1),
+  f2 AS (SELECT * FROM f1 QUALIFY row_number() OVER
+      (PARTITION BY company, role ORDER BY detected_at, event_id) = 1)
+"""
 
 ORACLES = {
     "capture_flow": f"""
-        WITH {_FLOW} SELECT page_id AS capture_id, adapter_id, status, title, changed, detected_at
-        FROM flow""",
-    "flow_submissions": f"""
-        WITH {_FLOW}, new AS (SELECT * FROM flow WHERE changed AND page_id % 4 <> 0),
-        one AS (SELECT *, CASE adapter_id WHEN 'linkedin' THEN 'https://www.linkedin.com/jobs/view/1/'
-            ELSE u END AS src_url FROM new),
-        f1 AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY src_url ORDER BY detected_at, page_id) = 1)
-        SELECT page_id AS capture_id, detected_at FROM f1
-        QUALIFY row_number() OVER (PARTITION BY company, title ORDER BY detected_at, page_id) = 1""",
+        WITH {_FLOW} SELECT event_id AS capture_id, seen AS captured_at, adapter_id, status, title,
+          from_remote, changed, detected_at FROM flow""",
+    "flow_submissions": f"WITH {_FLOW}, {_SENT} SELECT event_id AS capture_id, detected_at FROM f2",
+    "flow_send_results": f"""
+        WITH {_FLOW}, {_SENT} SELECT event_id AS capture_id,
+          CASE WHEN event_id IN (SELECT event_id FROM f2) THEN 'sent' ELSE 'already-logged' END AS outcome,
+          matched_by, found AS application_id, '{BASE}applications/' || found AS existing_url
+        FROM looked""",
     "flow_health": f"""
         WITH {_FLOW} SELECT adapter_id,
           CASE WHEN status = 'not-found' THEN 'failed' WHEN method = 'structural' THEN 'fallback'
             ELSE 'dedicated' END AS status,
-          method, ts AS last_seen, title AS sample_title
-        FROM flow WHERE status <> 'hidden'
-        QUALIFY row_number() OVER (PARTITION BY adapter_id ORDER BY ts DESC) = 1""",
+          method, seen AS last_seen, title AS sample_title
+        FROM flow WHERE status <> 'hidden' AND odd = 0
+        QUALIFY row_number() OVER (PARTITION BY adapter_id ORDER BY seen DESC, event_id DESC) = 1""",
 }

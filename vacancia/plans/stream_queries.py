@@ -39,41 +39,61 @@ def extract_stream(spark: SparkSession, sf: str) -> DataFrame:
     return runs.drain_to_table(read, runs.new_folder(spark, "extracted"))
 
 
+def ended_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream that comes to an end: the last row takes all others out."""
+    folder = f"{runs.new_folder(spark, 'events')}/in"
+    events = table(spark, sf, "events")
+    last = {"event_id": -1, "user_id": -1, "event_type": "end"}
+    ordered.with_end(events, "ts", "400 DAYS", **last).write.parquet(folder)
+    return runs.stateful(spark).readStream.schema(events.schema).parquet(folder)
+
+
 def debounce_stream(spark: SparkSession, sf: str) -> DataFrame:
-    e = stream_table(spark, sf, "events")
+    e = ended_events(spark, sf)
     fired = ordered.debounce_stream(t.captures_of(e), 2 * t.HOURS, f"{DELAY_S} seconds")
     out = runs.drain_to_table(fired, runs.new_folder(spark, "debounce"))
     return _ntz(out, "captured_at")
 
 
 def change_stream(spark: SparkSession, sf: str) -> DataFrame:
-    e = stream_table(spark, sf, "events")
+    e = ended_events(spark, sf)
     changed = ordered.change_stream(t.extractions_of(e), delay=f"{DELAY_S} seconds")
     out = runs.drain_to_table(changed, runs.new_folder(spark, "changes"))
     return _ntz(out, "captured_at", "detected_at")
 
 
 def dedupe_remote_stream(spark: SparkSession, sf: str) -> DataFrame:
-    e = stored.event_time(t.copies_of(stream_table(spark, sf, "events")), "fetched_at")
-    first = stored.dedupe_remote_stream(e, "400 days")
-    return runs.drain_to_table(first, runs.new_folder(spark, "copies")).select("remote_url")
+    """The answers that come first, out of fetches in any order within two days."""
+    first = ordered.first_copy_stream(t.copies_of(ended_events(spark, sf)), "2 days")
+    return _ntz(runs.drain_to_table(first, runs.new_folder(spark, "copies")), "fetched_at")
 
 
 def health_stream(spark: SparkSession, sf: str) -> DataFrame:
     read = t.health_input_of(stream_table(spark, sf, "events"))
     folder = runs.new_folder(spark, "health")
-    runs.drain_batches(health.health_rows(read, "ts"), folder, stored.health_writer(f"{folder}/table"))
-    return read_snapshot(spark, f"{folder}/table")
+    rows = health.health_rows(read, "ts", "event_id")
+    runs.drain_batches(rows, folder, stored.health_writer(f"{folder}/table"))
+    return read_snapshot(spark, f"{folder}/table").drop("row")
 
 
 def submit_stream(spark: SparkSession, sf: str) -> DataFrame:
-    o = stream_table(spark, sf, "orders")
+    """Orders in four files by time, one micro-batch each."""
     folder = runs.new_folder(spark, "submissions")
+    orders = table(spark, sf, "orders")
+    cuts = F.percentile_approx("o_orderdate", [0.25, 0.5, 0.75]).alias("cuts")
+    cuts = orders.agg(cuts).first()["cuts"]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = orders
+        part = part if low is None else part.filter(F.col("o_orderdate") > F.lit(low))
+        part = part if high is None else part.filter(F.col("o_orderdate") <= F.lit(high))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = runs.stateful(spark).readStream.schema(orders.schema).option("maxFilesPerTrigger", 1)
     write = stored.submission_writer(
         f"{folder}/staged", lambda: t.applications(spark, sf), "detected_at", "posting_id"
     )
-    runs.drain_batches(t.postings_of(o, table(spark, sf, "customer")), folder, write)
-    return read_batches(spark, f"{folder}/staged")
+    rows = t.postings_of(stream.parquet(f"{folder}/in"), table(spark, sf, "customer"))
+    runs.drain_batches(rows, folder, write)
+    return stored.read_staged(spark, f"{folder}/staged")
 
 
 def confirm_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,20 +122,17 @@ QUERIES = {
     )
 }
 
-# Rows behind the final watermark: later ones wait for the stream to go on.
-_WATERMARK = f"(SELECT max(epoch_ms(ts)) - {DELAY_S * 1000} FROM events)"
-
 ORACLES = {
     "extract_stream": page_queries.ORACLES["tiered_extract"],
     "debounce_stream": f"""
         SELECT CAST(user_id AS VARCHAR) AS tab_id, event_id AS capture_id, ts AS captured_at, immediate
         FROM ({t.ORACLES["debounce_sites"]}) JOIN events ON capture_id = event_id
-        WHERE fires AND epoch_ms(ts) + 7200000 < {_WATERMARK}""",
+        WHERE fires""",
     "change_stream": f"""
         SELECT CAST(user_id AS VARCHAR) AS tab_id, capture_id, ts AS captured_at, status, changed, detected_at
-        FROM ({t.ORACLES["posting_changes_sites"]}) JOIN events ON capture_id = event_id
-        WHERE epoch_ms(ts) < {_WATERMARK}""",
-    "dedupe_remote_stream": f"SELECT remote_url FROM ({t.ORACLES['first_remote_copy']})",
+        FROM ({t.ORACLES["posting_changes_sites"]}) JOIN events ON capture_id = event_id""",
+    "dedupe_remote_stream": f"""
+        SELECT remote_url, fetched_at, fetch_id, ok FROM ({t.ORACLES['first_remote_copy']})""",
     "health_stream": t.ORACLES["adapter_health"],
     "submit_stream": t.ORACLES["stage_submissions"],
     "confirm_stream": t.ORACLES["confirm_submissions"],

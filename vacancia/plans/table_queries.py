@@ -265,6 +265,7 @@ def health_input_of(events: DataFrame) -> DataFrame:
         .otherwise(F.lit("ok"))
         .alias("status"),
         "ts",
+        "event_id",
         F.when(
             F.col("event_type") != "error",
             F.struct(fmt("Role {k}", k=k).alias("title"), F.struct(method.alias("method")).alias("detection")),
@@ -275,17 +276,17 @@ def health_input_of(events: DataFrame) -> DataFrame:
 
 
 def adapter_health(spark: SparkSession, sf: str) -> DataFrame:
-    rows = health.health_rows(health_input(spark, sf), "ts")
-    return health.latest_adapter_health(rows)
+    rows = health.health_rows(health_input(spark, sf), "ts", "event_id")
+    return health.latest_adapter_health(rows).drop("row")
 
 
 def upsert_adapter_health(spark: SparkSession, sf: str) -> DataFrame:
     """Health of the events before March, then all events written over it."""
     read = health_input(spark, sf)
     before = F.col("ts") < F.lit("2024-03-01").cast("timestamp_ntz")
-    stored = health.latest_adapter_health(health.health_rows(read.filter(before), "ts"))
-    late = health.health_rows(read.filter(~before & (F.col("adapter_id") != "cibc")), "ts")
-    return health.upsert_adapter_health(stored, late)
+    stored = health.latest_adapter_health(health.health_rows(read.filter(before), "ts", "event_id"))
+    late = health.health_rows(read.filter(~before & (F.col("adapter_id") != "cibc")), "ts", "event_id")
+    return health.upsert_adapter_health(stored, late).drop("row")
 
 
 def health_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -425,7 +426,7 @@ def _latest_health_sql(where: str = "true") -> str:
             ELSE 'dedicated' END AS status,
           method, ts AS last_seen, sample_title
         FROM h WHERE {where}
-        QUALIFY row_number() OVER (PARTITION BY adapter_id ORDER BY ts DESC) = 1)
+        QUALIFY row_number() OVER (PARTITION BY adapter_id ORDER BY ts DESC, event_id DESC) = 1)
     """
 
 

@@ -25,7 +25,7 @@ APPLICATIONS = (
 )
 HEALTH = (
     "adapter_id string, adapter_label string, host string, status string, "
-    "method string, last_seen timestamp, sample_title string"
+    "method string, last_seen timestamp, sample_title string, row bigint"
 )
 SIGNALS = "signal string, at timestamp"
 API_RESPONSES = "endpoint string, status int, body string"

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FIRED = "tab_id string, capture_id bigint, captured_at timestamp, immediate boolean"
+# A tab unseen for this long is forgotten; its next row is taken as its first.
+FORGET_MS = 90 * 24 * 3600 * 1000
+FIRST_COPIES = "remote_url string, fetched_at timestamp, fetch_id bigint, ok boolean"
 CHANGES = (
     "tab_id string, capture_id bigint, captured_at timestamp, status string, "
     "changed boolean, detected_at timestamp"
@@ -28,6 +31,7 @@ class _InOrder(StatefulProcessor):
     row_schema: str
     last_schema: str
     hold_ms: int = 0
+    forget_ms: int = FORGET_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -70,6 +74,10 @@ class _InOrder(StatefulProcessor):
                 self.waiting.put(waiting[n_due:])
             else:
                 self.waiting.clear()
+        if not waiting and last is not None:
+            self.last.clear()  # the timer for forgetting
+        elif n_due == len(waiting):
+            self._set_alarm(max(waiting[-1][0] // 1000 + self.forget_ms, complete + 1))
         if waiting[n_due:]:
             # A timer that is due already would ring within this batch for ever.
             self._set_alarm(max(waiting[n_due][0] // 1000 + self.hold_ms, complete + 1))
@@ -128,6 +136,21 @@ class _Changes(_InOrder):
         return out, last
 
 
+class _FirstCopy(_InOrder):
+    row_schema = "at long, fetch_id long, ok boolean"
+    last_schema = "at long"
+    out_columns = ["remote_url", "fetched_at", "fetch_id", "ok"]
+
+    def keep(self, r) -> tuple:
+        return (int(r.at), int(r.fetch_id), bool(r.ok))
+
+    def take(self, url, waiting, n_due, last):
+        if last is not None or not n_due:
+            return [], (waiting[n_due - 1][0],) if n_due else last
+        at, fetch_id, ok = waiting[0]
+        return [(url, _at(at), fetch_id, ok)], (at,)
+
+
 def _keyed(rows: DataFrame, delay: str) -> DataFrame:
     """Event time as a timestamp with a watermark, and as whole microseconds."""
     timed = rows.withColumn("captured_at", F.col("captured_at").cast("timestamp"))
@@ -173,3 +196,37 @@ def change_stream(
         outputMode="Append",
         timeMode="EventTime",
     )
+
+
+def first_copy_stream(copies: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """The key of the first answer per remote URL, as ``remote.first_fetches`` finds it, once
+    no earlier one can come. Later answers are dropped while the URL is remembered."""
+    rows = copies.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    rows = rows.withColumn("at", F.unix_micros("fetched_at")).withWatermark("fetched_at", delay)
+    return rows.select("remote_url", "fetched_at", "at", "fetch_id", "ok").groupBy(
+        "remote_url"
+    ).transformWithStateInPandas(
+        statefulProcessor=_FirstCopy(),
+        outputStructType=FIRST_COPIES,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+def with_end(rows: DataFrame, time: str, ahead: str, **values) -> DataFrame:
+    """A finished input with one more row, ``ahead`` of the last, that ends the stream.
+
+    It takes the watermark past every other row, so all of them come out; it waits for
+    ever itself. ``values`` are its other columns, the key among them.
+    """
+    last = rows.agg(F.max(time).alias(time)).first()[time]
+    kinds = {f.name: f.dataType for f in rows.schema}
+    end = rows.sparkSession.range(1).select(
+        *[
+            (F.lit(last) + F.expr(f"INTERVAL {ahead}") if c == time else F.lit(values.get(c)))
+            .cast(kinds[c])
+            .alias(c)
+            for c in rows.columns
+        ]
+    )
+    return rows.unionByName(end)
