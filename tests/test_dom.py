@@ -1,5 +1,6 @@
 """The element array, against plain tree walks and against stated fragments."""
 
+import json
 import re
 
 import pyarrow as pa
@@ -236,3 +237,30 @@ def test_a_matched_but_empty_element_wins(spark):
 def test_selector_outside_the_dialect():
     with pytest.raises(ValueError):
         selectors.query_all("dom_nodes", "p:nth-child(2)")
+
+
+def test_white_space_is_that_of_html():
+    page = '<title>Senior&nbsp;Keeper \n| X</title><p class="a&nbsp;b c\td">t</p>'
+    row = parse(page)
+    assert row["title"] == "Senior\u00a0Keeper | X"
+    classes = [n["classes"] for n in row["nodes"] if n["tag"] == "p"]
+    assert classes == [["a\u00a0b", "c", "d"]]
+
+
+def test_block_elements_break_out_of_foreign_content():
+    page = '<body><svg><path/><g><title>no</title><div>out</div><script>var a = "<p>";</script><p>last'
+    row = parse(page)
+    tags = [n["tag"] for n in row["nodes"]]
+    assert tags.count("p") == 1 and tags[-1] == "p"
+    div = next(n for n in row["nodes"] if n["tag"] == "div")
+    assert row["nodes"][div["parent"]]["tag"] == "body"
+
+
+def test_linked_data_is_flattened_at_any_depth():
+    inner = '{"a":1}'
+    for before, after in (("[", "]"), ('{"@graph":[', "]}"), ('[{"x":2,"@graph":[', "]}]")):
+        found = dom.flatten_json(before * 300 + inner + after * 300)
+        assert json.loads(found[0]) == {"a": 1}
+        assert len(found) == (1 if before == "[" else 301)
+    assert [json.loads(o) for o in dom.flatten_json('[{"k":1,"k":2},[{"b":NaN}]]')] == []
+    assert [json.loads(o) for o in dom.flatten_json('[{"k":1,"k":2},3,"x",{"n":1e999}]')] == [{"k": 2}, {"n": None}]

@@ -1,7 +1,7 @@
 """Readers give the stated schema."""
 
 from vacancia import schemas
-from vacancia.session import checkpoint_root
+from vacancia.session import checkpoint_root, ship
 from vacancia.sources import pages
 
 ROWS = [(1, "https://jobs.rbc.com/1", "<p>a"), (2, "https://x.test", None)]
@@ -42,5 +42,10 @@ def test_pages_stored_by_host(spark, tmp_path):
 
 
 def test_the_shared_folder_is_the_one_the_session_names(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert checkpoint_root(spark) == named.rstrip("/") if named else checkpoint_root(spark)
+    assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_the_package_can_be_shipped(spark):
+    import zipfile
+
+    assert "vacancia/operators/dom.py" in zipfile.ZipFile(ship(spark)).namelist()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -37,21 +39,27 @@ def build_session(app: str = "vacancia", master: str | None = None, **extra: str
     return configure(builder.getOrCreate())
 
 
-_local_root: str | None = None
+_folder: str | None = None
+
+
+def use_folder(path: str) -> None:
+    """Name the shared folder for sessions that do not have ``spark.checkpoint.dir``."""
+    global _folder
+    _folder = path.rstrip("/")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a single-machine
-    session without that setting gets a folder of its own.
-    """
-    global _local_root
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Shared folder for checkpoints and intermediate tables, which every executor reaches."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or _folder
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="vacancia-")
-    return _local_root
+    return named.rstrip("/")
+
+
+def ship(spark: SparkSession) -> str:
+    """Send this package to executors that do not have it installed."""
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="vacancia-package-")
+    whole = shutil.make_archive(f"{folder}/vacancia", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(whole)
+    return whole
