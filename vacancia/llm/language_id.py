@@ -7,8 +7,8 @@ profile; its distance to a language is the sum, over these n-grams, of how far t
 place is from the place in the language's profile, or the profile's length where the
 language does not have them. The nearest language is predicted.
 
-Profiles are learned from a sample of labelled rows: for each language the ``sample``
-rows with the smallest hash, a documented bound. Everything else sees all rows.
+Profiles are learned from a sample of labelled rows: of each language a share of the rows,
+chosen by a hash, that comes to about ``sample`` rows. Everything else sees all rows.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text when
 nothing could be learned. Ties go to the language first in code point order. Repeated
@@ -35,7 +35,8 @@ SEGMENT = 1 << 20  # characters worked on at once
 
 @dataclass(frozen=True)
 class Settings:
-    """``places`` is the length of a profile, ``sample`` the labelled rows per language."""
+    """``places`` is the length of a profile, ``sample`` the labelled rows per language that
+    profiles are learned from."""
 
     places: int = 400
     sample: int = 2000
@@ -88,7 +89,7 @@ def ngrams(letters: np.ndarray) -> np.ndarray:
     one = letters[letters > 0]
     two = (letters[:-1] << 21) | letters[1:]
     two = two[two > 0] | (1 << 61)
-    three = ((a << 42) | (b << 21) | c)[(b > 0) & ((a | c) > 0)]
+    three = ((a << 42) | (b << 21) | c)[b > 0]
     return np.concatenate([one, two, three | (1 << 62)])
 
 
@@ -156,17 +157,18 @@ def learn(
 
     Counting is distributed; a language's profile, bounded by ``places``, comes back.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64(F.col(key)), F.col(key))
-    chosen = (
-        labelled.filter(F.col("lang").isNotNull())
-        .select(key, "lang")
-        .withColumn("nth", F.row_number().over(rank))
-        .filter(F.col("nth") <= settings.sample)
-        .select(F.col(key).alias("__key"), F.col("lang").alias("__lang"))
+    known = labelled.filter(F.col("lang").isNotNull())
+    rates = known.groupBy("lang").agg((settings.sample / F.count(F.lit(1))).alias("rate")).collect()
+    if len(rates) > settings.max_languages:
+        raise ValueError("more languages than max_languages")
+    spark = labelled.sparkSession
+    share = spark.createDataFrame([(r["lang"], r["rate"]) for r in rates], "lang string, rate double")
+    spread = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    rows = (
+        known.join(F.broadcast(share), "lang")  # a row per language, max_languages at most
+        .filter(spread < F.col("rate"))
+        .select("lang", F.coalesce("text", F.lit("")).alias("text"))
     )
-    rows = labelled.join(
-        chosen, F.col(key).eqNullSafe(F.col("__key")) & (F.col("lang") == F.col("__lang"))
-    ).select("lang", F.coalesce("text", F.lit("")).alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,8 +200,6 @@ def learn(
         .select("lang", "code", "place"),
         "language-profiles",
     )
-    if top.count() > settings.places * settings.max_languages:
-        raise ValueError("more languages than max_languages")
     return profiles(top.collect(), settings.places)
 
 
