@@ -122,9 +122,9 @@ class Wide:
     """
 
     shingle: int = 5
-    meet: int = 384
+    meet: int = 512
     block: int = 24
-    compare: int = 512
+    compare: int = 768
     differ: float = 0.165
 
     @property
