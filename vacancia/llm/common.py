@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -14,10 +16,12 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-# Arrow batches into Python, so that long texts do not add up.
-ARROW = {
+# Arrow batches into Python, so that long texts do not add up; joins.
+SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    # A join whose smaller side proves small in every partition needs no sort.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m",
 }
 
 _own_folder: dict[str, str] = {}
@@ -37,7 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     app = context.applicationId
     if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folder[app] = "file://" + folder
     return _own_folder[app]
 
 
@@ -56,7 +62,7 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 def with_settings(spark: SparkSession) -> SparkSession:
-    for key, value in ARROW.items():
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
