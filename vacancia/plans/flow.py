@@ -18,6 +18,7 @@ from vacancia.operators.keys import spread_nulls
 from vacancia.operators.routing import INDEED, in_scope, remote_source_url, route
 from vacancia.operators.stages import stage
 from vacancia.plans.extract import read_postings
+from vacancia.streaming import ordered, runs
 
 # How long a tab has to be quiet before its page is read.
 INDEED_GAP_US = 400_000
@@ -37,10 +38,8 @@ INDEED_RULES = Rules(INDEED_GAP_US, False, ("title", "company", "description_tex
 SITE_RULES = Rules(SITES_GAP_US, True, ("title", "description_text"))
 
 
-def stored_postings(
-    captures: DataFrame, folder: str, copies: DataFrame | None = None
-) -> DataFrame:
-    """Results of all captures in scope, from a table written in ``folder``.
+def read_captures(captures: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """Results of all captures in scope, of a table or a stream.
 
     A column ``digest`` is what postings are compared by: as on Indeed or as elsewhere.
     """
@@ -54,7 +53,14 @@ def stored_postings(
         return timeline.digest_of(F.col("status"), [F.col(f"posting.{c}") for c in rules.compare])
 
     on_indeed = F.col("adapter_id") == INDEED
-    read = stage(read, digest=F.when(on_indeed, digest(INDEED_RULES)).otherwise(digest(SITE_RULES)))
+    return stage(read, digest=F.when(on_indeed, digest(INDEED_RULES)).otherwise(digest(SITE_RULES)))
+
+
+def stored_postings(
+    captures: DataFrame, folder: str, copies: DataFrame | None = None
+) -> DataFrame:
+    """The results, from a table written in ``folder``."""
+    read = read_captures(captures, copies)
     read.write.parquet(folder)
     return captures.sparkSession.read.schema(read.schema).parquet(folder)
 
@@ -204,3 +210,42 @@ def health_after(results: DataFrame, stored: DataFrame) -> DataFrame:
     """Health from the results that count."""
     told = with_postings(results.select(timeline.ROW, timeline.AT), stored)
     return health.latest_adapter_health(health.health_rows(told, timeline.AT, timeline.ROW))
+
+
+def streamed_results(
+    captures: DataFrame,
+    folder: str,
+    sites: Rules = SITE_RULES,
+    indeed: Rules = INDEED_RULES,
+    delay: str = "10 minutes",
+) -> tuple[DataFrame, DataFrame]:
+    """As ``read_results`` and the stored postings, out of a stream of captures that has ended.
+
+    Pages are read as they come in and go into a table; debouncing and changes are streams
+    over the keys of that table. Captures may come in any order within ``delay``.
+    """
+    spark = captures.sparkSession
+    stored = runs.drain_to_table(read_captures(captures), f"{folder}/read")
+    at, last = timeline.AT, {timeline.TAB: "", timeline.ROW: -1, "status": "end"}
+
+    def stream(rows: DataFrame, name: str, ahead: str) -> DataFrame:
+        ordered.with_end(rows, at, ahead, **last).write.parquet(f"{folder}/{name}-in")
+        return runs.stateful(spark).readStream.schema(rows.schema).parquet(f"{folder}/{name}-in")
+
+    found = []
+    on_indeed = F.col("adapter_id") == INDEED
+    keys = keys_of(stored)
+    for name, rules, rows in (
+        ("sites", sites, keys.filter(~on_indeed)),
+        ("indeed", indeed, keys.filter(on_indeed)),
+    ):
+        ahead = f"{rules.gap_us // 1_000_000 + 400 * 86_400} SECONDS"
+        flag = None if rules.on_url_change else "skeleton_removed"
+        fires = ordered.debounce_stream(
+            stream(rows, name, ahead), rules.gap_us, delay, flag, rules.on_url_change, ("status", "digest")
+        )
+        fired_rows = runs.drain_to_table(fires, f"{folder}/{name}-fired")
+        changes = ordered.change_stream(stream(fired_rows, f"{name}-fired", ahead), delay=delay)
+        found.append(runs.drain_to_table(changes, f"{folder}/{name}-changes"))
+    results = found[0].unionByName(found[1])
+    return results.select(timeline.ROW, at, "changed", "detected_at"), stored

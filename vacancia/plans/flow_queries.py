@@ -129,7 +129,30 @@ def flow_health(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (capture_flow, flow_submissions, flow_send_results, flow_health)}
+def flow_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The flow as streams, without copies, over captures that come in several files."""
+    folder = new_folder(spark, "flow-stream")
+    rows = captures(spark, sf).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    rows.repartition(4, "capture_id").write.parquet(f"{folder}/captures")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2)
+    results, stored = flow.streamed_results(
+        arriving.parquet(f"{folder}/captures"), folder, SITE_RULES, INDEED_RULES
+    )
+    return flow.with_postings(results, stored).select(
+        "capture_id",
+        F.col("captured_at").cast("timestamp_ntz").alias("captured_at"),
+        "adapter_id",
+        "status",
+        F.col("posting.title").alias("title"),
+        "changed",
+        F.col("detected_at").cast("timestamp_ntz").alias("detected_at"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (capture_flow, flow_submissions, flow_send_results, flow_health, flow_stream)
+}
 
 
 def _url_sql() -> str:
@@ -187,6 +210,8 @@ _FLOW = f"""
   flow AS (SELECT *, CASE WHEN g IS NOT NULL THEN min(seen) FILTER (WHERE changed)
     OVER (PARTITION BY tab, streak) END AS detected_at FROM stk)
 """
+# The same without copies: nothing is waited for.
+_STREAM = _FLOW.replace(f"odd = 0 AND f = {SPLIT}", "false")
 _SENT = """
   sent AS (SELECT event_id, detected_at, company, title AS role, source AS src FROM flow WHERE changed),
   logged AS (SELECT 'app-' || event_id AS id, event_id, company, role, detected_at,
@@ -209,6 +234,9 @@ ORACLES = {
     "capture_flow": f"""
         WITH {_FLOW} SELECT event_id AS capture_id, seen AS captured_at, adapter_id, status, title,
           from_remote, changed, detected_at FROM flow""",
+    "flow_stream": f"""
+        WITH {_STREAM} SELECT event_id AS capture_id, seen AS captured_at, adapter_id, status, title,
+          changed, detected_at FROM flow""",
     "flow_submissions": f"WITH {_FLOW}, {_SENT} SELECT event_id AS capture_id, detected_at FROM f2",
     "flow_send_results": f"""
         WITH {_FLOW}, {_SENT} SELECT event_id AS capture_id,

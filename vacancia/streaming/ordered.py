@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from vacancia.operators.timeline import digest_of
+
 FIRED = "tab_id string, capture_id bigint, captured_at timestamp, immediate boolean"
 # A tab unseen for this long is forgotten; its next row is taken as its first.
 FORGET_MS = 90 * 24 * 3600 * 1000
@@ -97,22 +99,26 @@ class _Debounce(_InOrder):
     last_schema = "url string"
     out_columns = ["tab_id", "capture_id", "captured_at", "immediate"]
 
-    def __init__(self, gap_us: int, on_url_change: bool) -> None:
+    def __init__(self, gap_us: int, on_url_change: bool, carry: tuple[str, ...] = ()) -> None:
         self.gap_us = gap_us
         self.hold_ms = -(-gap_us // 1000)
         self.on_url_change = on_url_change
+        self.carry = carry
+        self.row_schema = ", ".join([self.row_schema, *[f"{c} string" for c in carry]])
+        self.out_columns = [*self.out_columns, *carry]
 
     def keep(self, r) -> tuple:
-        return (int(r.at), int(r.capture_id), r.url, bool(r.immediate))
+        carried = [v if isinstance(v := getattr(r, c), str) else None for c in self.carry]
+        return (int(r.at), int(r.capture_id), r.url, bool(r.immediate), *carried)
 
     def take(self, tab, waiting, n_due, last):
         out = []
         for i in range(n_due):
-            at, capture_id, url, flagged = waiting[i]
+            at, capture_id, url, flagged, *carried = waiting[i]
             at_once = flagged or last is None or (self.on_url_change and url != last[0])
             followed = i + 1 < len(waiting) and waiting[i + 1][0] - at < self.gap_us
             if at_once or not followed:
-                out.append((tab, capture_id, _at(at), at_once))
+                out.append((tab, capture_id, _at(at), at_once, *carried))
             last = (url,)
         return out, last
 
@@ -163,15 +169,18 @@ def debounce_stream(
     delay: str = "10 minutes",
     immediate: str | None = None,
     on_url_change: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Captures that fire, as ``timeline.debounce`` decides, once the gap has passed."""
+    """Captures that fire, as ``timeline.debounce`` decides, once the gap has passed.
+
+    Short texts named in ``carry`` come along."""
     flag = F.coalesce(F.col(immediate), F.lit(False)) if immediate else F.lit(False)
     rows = _keyed(captures, delay).select(
-        "tab_id", "captured_at", "at", "capture_id", "url", flag.alias("immediate")
+        "tab_id", "captured_at", "at", "capture_id", "url", flag.alias("immediate"), *carry
     )
     return rows.groupBy("tab_id").transformWithStateInPandas(
-        statefulProcessor=_Debounce(gap_us, on_url_change),
-        outputStructType=FIRED,
+        statefulProcessor=_Debounce(gap_us, on_url_change, carry),
+        outputStructType=", ".join([FIRED, *[f"{c} string" for c in carry]]),
         outputMode="Append",
         timeMode="EventTime",
     )
@@ -182,9 +191,12 @@ def change_stream(
     compare: tuple[str, ...] = ("title", "description_text"),
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Changes and first-seen times, as ``timeline.posting_changes`` finds them."""
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in compare]
-    digest = F.when(F.col("status") == "ok", F.sha2(F.concat_ws("\0", *parts), 256)).otherwise("")
+    """Changes and first-seen times, as ``timeline.posting_changes`` finds them; a column
+    ``digest`` is taken where there is one."""
+    digest = F.col("digest")
+    if "digest" not in extractions.columns:
+        digest = digest_of(F.col("status"), [F.col(c) for c in compare])
+    digest = F.coalesce(digest, F.lit(""))
     rows = (
         _keyed(extractions, delay)
         .filter(F.col("status") != "loading")
@@ -217,7 +229,8 @@ def with_end(rows: DataFrame, time: str, ahead: str, **values) -> DataFrame:
     """A finished input with one more row, ``ahead`` of the last, that ends the stream.
 
     It takes the watermark past every other row, so all of them come out; it waits for
-    ever itself. ``values`` are its other columns, the key among them.
+    ever itself. ``values`` are its other columns, the key among them; they must pass the
+    stream's filters.
     """
     last = rows.agg(F.max(time).alias(time)).first()[time]
     kinds = {f.name: f.dataType for f in rows.schema}
