@@ -33,12 +33,14 @@ SEPARATOR = 0
 @dataclass(frozen=True)
 class Packing:
     """``vocabulary`` is the path of a tokenizer file on every executor; ``dimensions`` x
-    ``bits`` is the curve's grid."""
+    ``bits`` is the curve's grid. Documents move in parts of ``part`` ids, so that ranges
+    of equally many rows are of like size however long some documents are."""
 
     vocabulary: str
     length: int = 1024
     dimensions: int = 4
     bits: int = 10
+    part: int = 2048
     ranges: int | None = None
 
 
@@ -199,29 +201,47 @@ def curve_keys(ids: list[np.ndarray], n_ids: int, dimensions: int, bits: int) ->
 
 
 def tokens(docs: DataFrame, setup: Packing, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, curve, ids (binary, with the separator): one row per document."""
+    """The parts of each document's ids, the separator included, in rows of their own.
+
+    ``curve`` is the document's key, ``mark`` a checksum that tells rows with one doc_id
+    apart, ``start`` the number of ids before the part, ``total`` that of all.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(setup.vocabulary)
         end = np.array([SEPARATOR], dtype=words.kind).tobytes()
+        size = words.kind.itemsize
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, stop in chunks([len(t) for t in texts], 4 << 20):
                 found = [b + end for b in words.ids(texts[begin:stop])]
                 arrays = [np.frombuffer(b, dtype=words.kind)[:-1] for b in found]
                 keys = curve_keys(arrays, words.n_ids, setup.dimensions, setup.bits)
+                owners, starts, parts = [], [], []
+                for i, ids in enumerate(found):
+                    for at in range(0, len(ids), setup.part * size):
+                        owners.append(i)
+                        starts.append(at // size)
+                        parts.append(ids[at : at + setup.part * size])
+                own = pa.array(owners, pa.int64())
+                whole = [
+                    batch.column(0).slice(begin, stop - begin),
+                    pa.array(keys, pa.int64()),
+                    pa.array([zlib.crc32(b) for b in found], pa.int64()),
+                    pa.array([len(b) // size for b in found], pa.int64()),
+                ]
+                columns = [c.take(own) for c in whole] + [
+                    pa.array(starts, pa.int64()),
+                    pa.array(parts, pa.binary()),
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(begin, stop - begin),
-                        pa.array(keys, pa.int64()),
-                        pa.array([len(b) // words.kind.itemsize for b in found], pa.int64()),
-                        pa.array(found, pa.binary()),
-                    ],
-                    ["doc_id", "curve", "n_ids", "ids"],
+                    columns, ["doc_id", "curve", "mark", "total", "start", "ids"]
                 )
 
-    return rows.mapInArrow(run, "doc_id long, curve long, n_ids long, ids binary")
+    return rows.mapInArrow(
+        run, "doc_id long, curve long, mark long, total long, start long, ids binary"
+    )
 
 
 PIECES = [
@@ -250,12 +270,17 @@ class Sequences:
         self.open: list[tuple] = []  # pieces of the sequence that is being filled
         self.done: list[tuple] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        start, total = 0, len(ids)
-        while start < total:
-            take = min(total - start, self.length - self.used)
-            self.open.append((doc_id, start, ids[start : start + take], total))
-            start, self.used = start + take, self.used + take
+    def add(self, doc_id: int | None, start: int, ids: np.ndarray, total: int) -> None:
+        """A part of a document; one that follows the last piece goes on with it."""
+        while len(ids):
+            take = ids[: self.length - self.used]
+            last = self.open[-1] if self.open else None
+            if last and last[0] == doc_id and last[3] == total and last[1] + len(last[2]) == start:
+                self.open[-1] = (doc_id, last[1], np.concatenate([last[2], take]), total)
+            else:
+                self.open.append((doc_id, start, take, total))
+            self.used += len(take)
+            start, ids = start + len(take), ids[len(take) :]
             if self.used == self.length:
                 self.close([self.length])
 
@@ -289,16 +314,16 @@ def pack(
 ) -> DataFrame:
     """One row per piece, with the ids of the piece if asked for.
 
-    A range of the curve is one task that holds one open sequence and one document's ids.
+    A range of the curve is one task that holds one open sequence; a document may go on in
+    the next range.
     Sequence numbers begin at the range's number times ``2**40``.
     """
     spark = docs.sparkSession
     n = setup.ranges or partitions(spark)
     # Finding the ranges reads the rows once more, so they are not made twice.
     rows = stored(tokens(docs, setup, text, doc_id), "tokens", "zstd")
-    ordered = rows.repartitionByRange(n, "curve", "doc_id", F.xxhash64("ids")).sortWithinPartitions(
-        "curve", "doc_id", F.xxhash64("ids")
-    )
+    order = ["curve", "doc_id", "mark", "start"]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     columns = PIECES if with_ids else PIECES[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,8 +339,9 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, [c for c, _, _ in columns])
 
         for batch in batches:
-            for own, ids in zip(batch.column(0).to_pylist(), batch.column(3)):
-                sequences.add(own, np.frombuffer(ids.as_buffer(), dtype=kind))
+            named = [batch.column(i).to_pylist() for i in (0, 3, 4)]
+            for own, total, start, ids in zip(*named, batch.column(5)):
+                sequences.add(own, start, np.frombuffer(ids.as_buffer(), dtype=kind), total)
                 if len(sequences.done) > 20_000:
                     yield made()
         if sequences.used:
