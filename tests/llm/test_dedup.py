@@ -194,3 +194,56 @@ def test_binary_fuse_filter(n):
         assert exact_dedup.may_hold(others, *made).mean() < 0.001
     if n >= 50_000:
         assert len(made[3]) / 2 < 1.3 * n
+
+
+# ---- similar by their sets of shingles
+
+
+def edited(words, kind, share, seed):
+    """``share`` of the words appended, cut off or replaced, in one place."""
+    n = round(len(words) * share)
+    if kind == "appended":
+        return words + cases.prose(seed, n).split()
+    if kind == "truncated":
+        return words[: len(words) - n]
+    at = (seed * 37) % (len(words) - n)
+    return words[:at] + cases.prose(seed, n).split() + words[at + n :]
+
+
+def passages():
+    rows = []
+    for k in range(90):
+        words = cases.prose(7000 + k, 150 + 5 * k).split()
+        rows.append(" ".join(words))
+        for kind, share in (("appended", 0.23), ("truncated", 0.18), ("replaced", 0.09)):
+            most = share if k % 3 else share * 1.3  # a third of the pairs is below the bound
+            rows.append(" ".join(edited(words, kind, most, 9000 + 10 * k + len(kind))))
+    return [(k, t, "en", "s", 0) for k, t in enumerate(rows)]
+
+
+def by_similarity(rows):
+    sets = {r[0]: frozenset(cases.shingles(r[1], 5)) for r in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    return cases.components(sets, near)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 2}, {"chunk": 2, "most": 0}])
+def test_edited_passages_match_brute_force(spark, sizes):
+    rows = passages()
+    want = by_similarity(rows)
+    linked = [k for k in want if want[k] != k]
+    assert 150 < len(linked) < len(rows) - 120
+    got = simhash_dedup.similar_documents(cases.frame(spark, rows), simhash_dedup.Similar(**sizes))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_links_of_sets_match_brute_force():
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**63, 60)).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([base[k % 6][rng.random(60) > 0.1], base[k % 5][:3]])) for k in range(80)]
+    have = [set(s.tolist()) for s in sets]
+    near = lambda a, b: len(have[a] & have[b]) >= 0.8 * len(have[a] | have[b])
+    linked = set(simhash_dedup.alike(sets, 0.8))
+    assert all(near(a, b) for a, b in linked)
+    connected = lambda a, b: (a, b) in linked or (b, a) in linked
+    assert cases.components(range(80), connected) == cases.components(range(80), near)

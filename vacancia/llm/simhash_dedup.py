@@ -13,6 +13,9 @@ so no key is one task's work and no link is lost.
 Null text is empty text; documents without words have fingerprint zero and are linked like
 any other. Rows without doc_id link nothing. Rows that share a doc_id are one node. Further
 columns are ignored.
+
+At a Jaccard similarity of 0.8 such keys would be a few bits long. ``similar_documents`` takes
+the smallest hashes of the sets of shingles for keys instead, and compares the sets.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.llm import votes
@@ -63,7 +66,7 @@ def fingerprints(docs: DataFrame, n: int, text: str = "text", doc_id: str = "doc
     return sums.select("doc_id", votes.majority().alias("fingerprint"))
 
 
-# ---- wide fingerprints: distinct words to meet by, shingles to compare by
+# ---- sets of shingles: their smallest hashes to meet by, the sets themselves to compare
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,18 +78,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def wide_print(hashes: np.ndarray, bits: int) -> bytes:
-    """Majority bits of terms, each hash stretched to ``bits`` bits."""
-    total = np.zeros(bits, dtype=np.int64)
-    lanes = np.arange(1, bits // 64 + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for begin in range(0, len(hashes), 4096):
-            part = hashes[begin : begin + 4096]
-            spread = _mix(part[:, None] + lanes * GOLDEN)
-            total += np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(total * 2 > len(hashes)).tobytes()
-
-
 def word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
     """64-bit hashes of each text's words, A-Z lower-cased."""
     seen: dict[bytes, int] = {}
@@ -111,45 +102,133 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Wide:
-    """Fingerprints for similarity of ``shingle`` words.
-
-    ``meet`` bits over the distinct words, in blocks of ``block``, bring documents
-    together: a changed word changes few of them. ``compare`` bits over the shingles decide:
-    a Jaccard similarity of 0.8 is an angle at which 15 % of the bits differ, and ``differ``
-    lies a standard deviation above. Take ``block`` about three bits above the binary
-    logarithm of the number of documents.
+class Similar:
+    """Documents whose sets of ``shingle`` neighbouring words have a Jaccard similarity of
+    ``least`` are linked.
+
+    In each of ``tables`` tables a set's key is its smallest members by ``rows`` hashes. Two
+    sets agree in one of these with a probability that is their similarity s, whatever the
+    edit that made one of the other, so a pair meets in no table with probability
+    ``(1 - s ** rows) ** tables``: 5e-6 at 0.8, 1e-8 at 0.85. All that meet are compared by
+    their sets, in pieces of about ``chunk`` sets: whole components of what meets, or, where
+    one has more than ``most`` pieces, the rows of each of its keys.
     """
 
     shingle: int = 5
-    meet: int = 512
-    block: int = 24
-    compare: int = 768
-    differ: float = 0.165
+    least: float = 0.8
+    rows: int = 6
+    tables: int = 40
+    chunk: int = 1024
+    most: int = 8
+
+
+def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
+    """Each text's distinct shingle hashes, sorted."""
+    for begin, end in chunks([len(t) for t in texts], 4 << 20):
+        for hashes in word_hashes(texts[begin:end]):
+            yield np.unique(shingle_hashes(hashes, n))
+
+
+def meeting_keys(members: np.ndarray, rows: int, tables: int) -> np.ndarray:
+    """A key for each table, of a set that is not empty."""
+    n = rows * tables
+    seeds = _mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+    first, second = seeds[:n, None], seeds[n:, None]
+    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for begin in range(0, len(members), 512):
+            spread = members[begin : begin + 512] * first
+            spread ^= spread >> np.uint64(32)
+            spread *= second
+            np.minimum(least, spread.min(axis=1), out=least)
+        out = np.arange(1, tables + 1, dtype=np.uint64) * GOLDEN
+        for k in range(rows):
+            out = _mix(out * np.uint64(3) + least[k::rows])
+    return out.view(np.int64)
+
+
+def _with_own(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("own"), "text")
 
-    @property
-    def radius(self) -> int:
-        return int(self.compare * self.differ)
 
+def set_keys(docs: DataFrame, setup: Similar, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and ``own``, the text's hash; ``node``, the hash of its set, and the set's keys.
 
-def wide_prints(docs: DataFrame, setup: Wide, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, meet and compare (binary); both empty for a text without words."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    A text without words has no keys.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            meet, compare = [], []
-            for begin, end in chunks([len(t) for t in texts], 4 << 20):
-                for hashes in word_hashes(texts[begin:end]):
-                    meet.append(wide_print(np.unique(hashes), setup.meet))
-                    compare.append(wide_print(shingle_hashes(hashes, setup.shingle), setup.compare))
+            nodes, keys = [], []
+            for members in shingle_sets([t or "" for t in batch.column(2).to_pylist()], setup.shingle):
+                nodes.append(signed(xxhash.xxh64_intdigest(members.tobytes(), 42)))
+                some = len(members) > 0
+                keys.append(meeting_keys(members, setup.rows, setup.tables) if some else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(meet, pa.binary()), pa.array(compare, pa.binary())],
-                ["doc_id", "meet", "compare"],
+                [*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "own", "node", "keys"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, meet binary, compare binary")
+    schema = "doc_id long, own long, node long, keys array<long>"
+    return _with_own(docs, text, doc_id).mapInArrow(run, schema)
+
+
+def alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Places of pairs that connect all sets which similarities of ``least`` connect.
+
+    Each set looks up who has its members; sets connected before are not looked at again.
+    """
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    having = owners[np.argsort(numbers, kind="stable")]
+    upto = np.cumsum(np.bincount(numbers))
+    label = np.arange(len(sets))
+    out: list[tuple[int, int]] = []
+    for i in range(len(sets)):
+        if (label == label[i]).all():
+            continue
+        own = numbers[ends[i] - sizes[i] : ends[i]]
+        stop = upto[own]
+        count = stop - np.where(own > 0, upto[own - 1], 0)
+        at = np.repeat(stop - np.cumsum(count), count) + np.arange(count.sum())
+        both = np.bincount(having[at], minlength=len(sets))
+        near = both / (sizes + sizes[i] - both) >= least
+        for j in np.flatnonzero(near):
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def compare_sets(least: float):
+    """For ``mapInArrow`` on (task, node, members) sorted by task: links within each task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
+
+        def linked() -> list[tuple[int, int]]:
+            return [(nodes[i], nodes[j]) for i, j in alike(sets, least)] if len(sets) > 1 else []
+
+        for batch in batches:
+            found = []
+            for task, node, members in zip(*(c.to_pylist() for c in batch.columns)):
+                if task != now:
+                    found += linked()
+                    now, nodes, sets = task, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(members, dtype=np.uint64))
+            yield _links(found)
+        yield _links(linked())
+
+    return run
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = [pa.array([link[k] for link in found], pa.int64()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
 
 # ---- comparing the rows of each key
@@ -336,22 +415,90 @@ def near_duplicates(
     return labelled(prints, nodes, links(rows, radius, 64), ["fingerprint"])
 
 
-def similar_documents(docs: DataFrame, setup: Wide = Wide(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and component_id of documents with similar word shingles."""
-    prints = stored(wide_prints(docs, setup, text, doc_id), "wide")
+def _tasks(met: DataFrame, setup: Similar) -> DataFrame:
+    """``node, tasks``: where each node that meets another is compared."""
+    known = components(met.filter("before is not null").select(F.col("before").alias("a"), F.col("node").alias("b")))
+    counts = known.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    counted = stored(known.join(counts, "component"), "similar-met")
+    few = F.col("n") <= setup.chunk * setup.most
+    small = counted.filter(few).select(F.col("component").alias("unit"), "node", "n")
+    large = met.join(counted.filter(~few).select("node"), "node").select(F.col("key").alias("unit"), "node")
+    counts = large.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / setup.chunk).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(setup.chunk)), F.col("parts")).cast("int")
+    spread = (
+        small.unionByName(large.join(counts, "unit"))
+        .withColumn("parts", parts)
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    )
+    task = F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other"))
+    return spread.groupBy("node").agg(F.collect_list(task).alias("tasks"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, setup: Similar) -> DataFrame:
+    """``task, node, members`` of the wanted (doc_id, own, node, tasks)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, texts, tasks = (c.to_pylist() for c in batch.columns)
+            for node, of, members in zip(nodes, tasks, shingle_sets(texts, setup.shingle)):
+                for begin in range(0, len(of), 16):
+                    part = of[begin : begin + 16]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(part, pa.int64()),
+                            pa.array([node] * len(part), pa.int64()),
+                            pa.array([members.tobytes()] * len(part), pa.binary()),
+                        ],
+                        ["task", "node", "members"],
+                    )
+
+    rows = docs.join(wanted, ["doc_id", "own"]).select("node", "text", "tasks")
+    return rows.mapInArrow(run, "task long, node long, members binary")
+
+
+def similar_rows(docs: DataFrame, setup: Similar = Similar(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and ``own``, the XXH64 of the text as it is, of each row; component_id and
+    component_own, those of the smallest row of its component that has a doc_id."""
+    prints = stored(set_keys(docs, setup, text, doc_id), "similar-keys")
+    row = F.struct("doc_id", "own")
     nodes = stored(
-        prints.groupBy("meet", "compare").agg(F.min("doc_id").alias("node")), "wide-nodes"
+        prints.groupBy("node").agg(
+            F.min(F.when(F.col("doc_id").isNotNull(), row)).alias("row"), F.first("keys").alias("keys")
+        ),
+        "similar-nodes",
     )
-    size = setup.block // 8
-    tables = [
-        F.xxhash64(F.lit(k), F.substring("meet", k * size + 1, size))
-        for k in range(setup.meet // setup.block)
-    ]
-    rows = nodes.filter(F.col("node").isNotNull()).select(
-        F.explode(F.array(*tables)).alias("key"), F.col("compare").alias("print"), "node"
+    rows = nodes.filter(F.col("row").isNotNull()).select(F.explode("keys").alias("key"), "node")
+    by_key = Window.partitionBy("key").orderBy("node")
+    rows = rows.withColumns(
+        {"before": F.lag("node").over(by_key), "after": F.lead("node").over(by_key)}
     )
-    found = links(rows, setup.radius, setup.compare)
-    return labelled(prints, nodes, found, ["meet", "compare"]).select("doc_id", "component_id")
+    met = stored(rows.filter("before is not null or after is not null").drop("after"), "similar-keys-met")
+    tasks = _tasks(met, setup)
+    wanted = nodes.join(tasks, "node").select("row.doc_id", "row.own", "node", "tasks")
+    sets = _sets(_with_own(docs, text, doc_id), stored(wanted, "similar-wanted"), setup)
+    found = (
+        sets.repartition(partitions(docs.sparkSession), "task")
+        .sortWithinPartitions("task")
+        .mapInArrow(compare_sets(setup.least), "a long, b long")
+    )
+    parts = components(stored(found, "similar-links"))
+    named = nodes.select("node", "row").join(parts, "node", "left")
+    named = named.select("node", "row", F.coalesce("component", "node").alias("component"))
+    first = named.groupBy("component").agg(F.min("row").alias("first"))
+    named = stored(named.join(first, "component").select("node", "first"), "named")
+    return prints.join(named, "node").select(
+        "doc_id",
+        "own",
+        F.col("first.doc_id").alias("component_id"),
+        F.col("first.own").alias("component_own"),
+    )
+
+
+def similar_documents(docs: DataFrame, setup: Similar = Similar(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and component_id of documents with similar word shingles."""
+    return similar_rows(docs, setup, text, doc_id).select("doc_id", "component_id")
 
 
 def labelled(prints: DataFrame, nodes: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
