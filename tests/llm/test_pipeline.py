@@ -136,3 +136,27 @@ def test_text_hashes_of_the_dedup_query(spark):
     got = exact_dedup.first_seen(cases.frame(spark, corpus()[:3])).collect()
     want = {hashlib.sha256(r[1].encode()).hexdigest() for r in corpus()[:3]}
     assert {r.text_sha256 for r in got} == want
+
+
+def test_rows_that_share_an_id_are_decided_apart(spark):
+    """Lone texts of one id, or of none, stay beside a near copy; each is mixed by itself."""
+    family = cases.prose(800, 200)
+    rows = [(1, family, "en", "a", 0), (2, family + " end", "en", "a", 0)]
+    rows += [(2, cases.prose(801, 90), "en", "a", 0), (1, cases.prose(802, 70), "en", "a", 0)]
+    rows += [(1, family + " other end", "en", "a", 0)]
+    left = corpus_pipeline.one_of_similar(spark, cases.frame(spark, rows), "").collect()
+    texts = [r.text for r in left]
+    assert {rows[2][1], rows[3][1]} < set(texts) and len(texts) == 3
+
+
+def test_copies_of_rows_that_share_an_id(spark):
+    from vacancia.llm import mixing
+
+    rows = [(k // 3 if k < 60 else None, cases.prose(900 + k, 20 + 17 * (k % 9)), "en", "abc"[k % 2], 0) for k in range(90)]
+    docs = cases.frame(spark, rows)
+    plan = mixing.mix(docs.withColumn("hash", F.xxhash64("text")), carry=("hash",)).collect()
+    want = {(r.doc_id, r.hash): r.copies for r in plan if r.copies}
+    after = corpus_pipeline.mixed(spark, docs, "").withColumn("hash", F.xxhash64("text"))
+    got = Counter((r.doc_id, r.hash) for r in after.collect())
+    assert got == want and max(got.values()) <= 3
+    assert len(want) < len(rows)

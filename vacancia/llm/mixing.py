@@ -32,12 +32,15 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def sizes(docs: DataFrame, text: str, source: str, doc_id: str) -> DataFrame:
+def sizes(
+    docs: DataFrame, text: str, source: str, doc_id: str, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """doc_id, source, size, class of size and a hash that orders documents: narrow rows."""
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         n_words(F.col(text)).alias("size"),
+        *carry,
     )
     # md5 spreads ids that follow each other; 52 bits of it make a number below one.
     spread = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10)
@@ -226,9 +229,11 @@ def mix(
     doc_id: str = "doc_id",
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every document."""
-    rows = stored(sizes(docs, text, source, doc_id), "mix-sizes")
+    """doc_id, source, size, source_size, target, copies and taken for every document, and
+    the columns named in ``carry``."""
+    rows = stored(sizes(docs, text, source, doc_id, carry), "mix-sizes")
     cells = stored(
         rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells"
     )
@@ -264,5 +269,6 @@ def mix(
             "f.target",
             n.alias("copies"),
             (n * F.col("d.size")).alias("taken"),
+            *[F.col(f"d.{c}") for c in carry],
         )
     )
