@@ -53,3 +53,17 @@ def test_pages_are_read_by_column(spark):
 @pytest.mark.parametrize("name", ["adapter_health", "first_remote_copy", "latest_signals"])
 def test_aggregates_are_partial_first(spark, name):
     assert "partial_" in plan(spark, name)
+
+
+def test_submissions_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    for name in os.listdir(SF):
+        if name != "orders.parquet":
+            os.symlink(f"{SF}/{name}", tmp_path / name)
+    orders = spark.read.parquet(f"{SF}/orders.parquet").repartition(4)
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    folder = tmp_path / "run"
+    monkeypatch.setattr(stream_queries.runs, "new_folder", lambda spark, name: str(folder))
+    assert stream_queries.submit_stream(spark, str(tmp_path)).count() > 0
+    assert len(list((folder / "in").glob("*.parquet"))) > 4
+    batches = [p for p in (folder / "checkpoint" / "commits").iterdir() if p.name.isdigit()]
+    assert len(batches) == 4

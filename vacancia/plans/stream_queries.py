@@ -77,22 +77,23 @@ def health_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def submit_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders in four files by time, one micro-batch each."""
+    """Orders in four ranges of time, one micro-batch each, in as many files as they come."""
     folder = runs.new_folder(spark, "submissions")
     orders = table(spark, sf, "orders")
     cuts = F.percentile_approx("o_orderdate", [0.25, 0.5, 0.75]).alias("cuts")
     cuts = orders.agg(cuts).first()["cuts"]
+    stream = runs.stateful(spark).readStream.schema(orders.schema)
+    write = stored.submission_writer(
+        f"{folder}/staged", lambda: t.applications(spark, sf), "detected_at", "posting_id"
+    )
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = orders
         part = part if low is None else part.filter(F.col("o_orderdate") > F.lit(low))
         part = part if high is None else part.filter(F.col("o_orderdate") <= F.lit(high))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = runs.stateful(spark).readStream.schema(orders.schema).option("maxFilesPerTrigger", 1)
-    write = stored.submission_writer(
-        f"{folder}/staged", lambda: t.applications(spark, sf), "detected_at", "posting_id"
-    )
-    rows = t.postings_of(stream.parquet(f"{folder}/in"), table(spark, sf, "customer"))
-    runs.drain_batches(rows, folder, write)
+        part.write.mode("append").parquet(f"{folder}/in")
+        # The stream goes on from its checkpoint with the files that are new.
+        rows = t.postings_of(stream.parquet(f"{folder}/in"), table(spark, sf, "customer"))
+        runs.drain_batches(rows, folder, write)
     return stored.read_staged(spark, f"{folder}/staged")
 
 
