@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.llm import (
+    audit_queries,
     backoff_lm,
     exact_dedup,
     fingerprints,
@@ -211,6 +212,7 @@ QUERIES = {
     "op8_warc": warc_round_trip,
     "op9_language_id": language_predicted,
     "op10_fingerprints": document_fingerprints,
+    **audit_queries.QUERIES,
 }
 
 ORACLES = {
@@ -218,4 +220,5 @@ ORACLES = {
     "op4_backoff_lm": BACKOFF_SQL,
     "op5_exact_dedup": EXACT_SQL,
     "op8_warc": WARC_SQL,
+    **audit_queries.ORACLES,
 }
