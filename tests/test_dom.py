@@ -1,6 +1,5 @@
 """The element array, against plain tree walks and against stated fragments."""
 
-import json
 import re
 
 import pyarrow as pa
@@ -10,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vacancia.functions.text import WS_CHARS
-from vacancia.operators import dom, selectors, structural
+from vacancia.operators import dom, linked_data, selectors, structural
+from vacancia.plans.extract import extract_postings
 
 
 def parse(html, *attributes):
@@ -257,10 +257,52 @@ def test_block_elements_break_out_of_foreign_content():
 
 
 def test_linked_data_is_flattened_at_any_depth():
-    inner = '{"a":1}'
-    for before, after in (("[", "]"), ('{"@graph":[', "]}"), ('[{"x":2,"@graph":[', "]}]")):
-        found = dom.flatten_json(before * 300 + inner + after * 300)
-        assert json.loads(found[0]) == {"a": 1}
-        assert len(found) == (1 if before == "[" else 301)
-    assert [json.loads(o) for o in dom.flatten_json('[{"k":1,"k":2},[{"b":NaN}]]')] == []
-    assert [json.loads(o) for o in dom.flatten_json('[{"k":1,"k":2},3,"x",{"n":1e999}]')] == [{"k": 2}, {"n": None}]
+    inner = '{"title":"T"}'
+    for depth in (300, 20_000):
+        for before, after in (("[", "]"), ('{"@graph":[', "]}"), ('[{"x":2,"@graph":[', "]}]")):
+            found = linked_data.flatten_json(before * depth + inner + after * depth)
+            assert found[0] == {"title": "T"}
+            assert len(found) == (1 if before == "[" else depth + 1)
+    assert linked_data.flatten_json('[{"k":1,"k":2},[{"b":NaN}]]') == []
+    assert linked_data.flatten_json('[{"k":1,"k":2},3,"x",{"n":1e999}]') == [{"k": 2.0}, {"n": None}]
+    assert linked_data.flatten_json("[" * 30_000) == []
+
+
+def test_members_keep_their_json_types():
+    block = """{"@type": ["X", 3, "JobPosting"], "title": 5, "identifier": "id", "hiringOrganization": {"name": "N"},
+      "description": "half \\ud800 pair \\ud83d\\ude00", "jobLocation": [{"address": "A"}, 7, {"address": {
+      "addressLocality": "L", "addressCountry": 3}}], "baseSalary": {"currency": 1, "value": {"minValue": "1",
+      "maxValue": 12345678901234567890, "value": true, "unitText": "YEAR"}}}"""
+    assert linked_data.read_members(linked_data.flatten_json(block)[0]) == {
+        "types": ["X", "JobPosting"],
+        "title": None,
+        "identifier": None,
+        "employer": "N",
+        "description": "half ? pair \U0001f600",
+        "places": [
+            {"address": "A", "parts": None},
+            {"address": None, "parts": None},
+            {"address": None, "parts": ["L"]},
+        ],
+        "pay": {
+            "min": {"text": "1", "number": None},
+            "max": {"text": None, "number": 12345678901234567890.0},
+            "single": {"text": None, "number": None},
+            "currency": None,
+            "unit": "YEAR",
+        },
+    }
+    assert linked_data.read_members(linked_data.flatten_json('{"n": ' + "9" * 6000 + "}")[0])["pay"] is None
+
+
+@pytest.mark.parametrize("depth, length", [(1_500, 240), (10_000, 240), (3, 21_000_000)])
+def test_deep_and_long_members_lose_no_posting(spark, depth, length):
+    unread = F.concat(F.repeat(F.lit('{"a":'), depth), F.lit("1"), F.repeat(F.lit("}"), depth))
+    text = F.repeat(F.lit("Keeper of long scrolls. "), length // 24)
+    head = '<script type="application/ld+json">{"@type":"JobPosting","title":"T","x":'
+    page = F.concat(F.lit(head), unread, F.lit(',"description":"'), text, F.lit('"}</script>'))
+    df = spark.range(1).select(F.lit("https://jobs.rbc.com/q").alias("url"), page.alias("html"))
+    read = extract_postings(df).select(
+        "posting.detection.method", "posting.title", F.length("posting.description_text").alias("n")
+    )
+    assert tuple(read.first()) == ("json-ld", "T", length // 24 * 24 - 1)

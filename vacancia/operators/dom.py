@@ -5,8 +5,9 @@ Column expression over it.
 
 ``dom`` holds the page's title, its text with white space as captured (``text``)
 and collapsed (``ctext``), the position of ``body``, and ``nodes`` in document
-order, and ``ld``, the objects of its JSON-LD blocks as JSON texts. A node's subtree is ``[idx, end)``. Its own text is a slice of the page's
-text, so a page's size stays linear however deep it nests:
+order, and ``ld``, what is read of the objects of its JSON-LD blocks. A node's subtree is
+``[idx, end)``. Its own text is a slice of the page's text, so a page's size stays linear
+however deep it nests:
 
 * collapsed and trimmed: ``substring(ctext, c0 + 1, clen)``
 * as captured, trimmed: ``substring(text, r0 + 1, rlen)``
@@ -16,7 +17,6 @@ text, so a page's size stays linear however deep it nests:
 from __future__ import annotations
 
 import html as html_entities
-import json
 import re
 from collections.abc import Iterable
 
@@ -26,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.functions.text import WS_CHARS
+from vacancia.operators.linked_data import ARROW_OBJECT, LD_OBJECT, flatten_json, read_members
 
 NODE = (
     "struct<idx:int,parent:int,end:int,sib:int,tag:string,id:string,classes:array<string>,"
     "attrs:map<string,string>,c0:int,clen:int,r0:int,rlen:int,wide:int>"
 )
 DOM_FIELDS = ("title", "body", "text", "ctext", "nodes", "ld")
-DOM = f"struct<title:string,body:int,text:string,ctext:string,nodes:array<{NODE}>,ld:array<string>>"
+DOM = f"struct<title:string,body:int,text:string,ctext:string,nodes:array<{NODE}>,ld:array<{LD_OBJECT}>>"
 
 LINKED_DATA = "application/ld+json"
 
@@ -277,50 +278,10 @@ def _build(source: str, keep: frozenset[str]) -> _Tree:
     return tree
 
 
-def _no_number(text: str) -> float:
-    raise ValueError(text)
-
-
-def _number(text: str) -> float | None:
-    value = float(text)
-    return value if abs(value) != float("inf") else None
-
-
-def flatten_json(text: str) -> list[str]:
-    """The objects of one JSON-LD block in document order; none if it is malformed.
-
-    Members of arrays count as if they stood alone, members of ``@graph`` come ahead of the
-    object that holds them, and that one comes without them. However deep they nest, the
-    walk keeps its own stack.
-    """
-    try:
-        block = json.loads(text, parse_constant=_no_number, parse_float=_number)
-    except (ValueError, RecursionError):
-        return []
-    out: list[str] = []
-    todo: list[tuple[object, bool]] = [(block, False)]
-    while todo:
-        value, unfolded = todo.pop()
-        if unfolded:
-            out.append(json.dumps(value))
-        elif isinstance(value, list):
-            todo += [(member, False) for member in reversed(value)]
-        elif isinstance(value, dict):
-            graph = value.get("@graph")
-            if isinstance(graph, list):
-                todo.append(({k: v for k, v in value.items() if k != "@graph"}, True))
-                todo.append((graph, False))
-            else:
-                todo.append((value, True))
-    return out
-
-
-def _linked_data(tree: _Tree, text: str) -> list[str]:
-    """What the page's JSON-LD blocks hold."""
-    found: list[str] = []
-    for n in tree.blocks:
-        found += flatten_json(text[n.start : n.stop].strip(WS_CHARS))
-    return found
+def _linked_data(tree: _Tree, text: str) -> list[dict]:
+    """What is read of the page's JSON-LD blocks."""
+    blocks = (text[n.start : n.stop].strip(WS_CHARS) for n in tree.blocks)
+    return [read_members(found) for block in blocks for found in flatten_json(block)]
 
 
 # Pages are sliced together until they hold this many characters.
@@ -451,7 +412,7 @@ def _to_arrow(pages: pa.Array, keep: frozenset[str]) -> pa.Array:
             pa.array(ctexts, pa.string()),
             pa.ListArray.from_arrays(_offsets(len(t.nodes) for t in trees), elements),
             pa.array(
-                [_linked_data(t, text) for t, text in zip(trees, texts)], pa.list_(pa.string())
+                [_linked_data(t, text) for t, text in zip(trees, texts)], pa.list_(ARROW_OBJECT)
             ),
         ],
         names=list(DOM_FIELDS),

@@ -1,4 +1,4 @@
-"""Embedded JSON-LD job postings, as SQL text over VARIANT values.
+"""Embedded JSON-LD job postings, as SQL text over the objects the parser hands over.
 
 The page's objects are taken in order and the first one that is a job posting is read.
 Everything stays inside array expressions: no explode, no shuffle.
@@ -18,99 +18,32 @@ from vacancia.schemas import SALARY
 LD = f"struct<title:string,company:string,location:string,salary:{SALARY},description:string>"
 
 
-def _get(value: str, path: str) -> str:
-    return f"try_variant_get({value}, '{path}', 'variant')"
-
-
-def _is(kind: str, value: str) -> str:
-    return f"startswith(schema_of_variant({value}), '{kind}')"
-
-
-def _string(value: str) -> str:
-    """The value when it is a JSON string; numbers are not coerced."""
-    return let(
-        "w",
-        value,
-        "CASE WHEN schema_of_variant(w) = 'STRING' THEN try_variant_get(w, '$', 'string') END",
-    )
-
-
-def _items(value: str) -> str:
-    """Members of a JSON array; null when the value is none."""
-    return let(
-        "w", value, f"CASE WHEN {_is('ARRAY', 'w')} THEN try_variant_get(w, '$', 'array<variant>') END"
-    )
-
-
-def nodes(dom: str) -> str:
-    """The page's JSON-LD objects, which the parser has flattened in document order."""
-    return f"transform({dom}_ld, t -> try_parse_json(t))"
-
-
 def looks_like_job_posting(node: str) -> str:
     """Typed as a job posting, or untyped with a description and an employer name."""
-    kind = _get(node, '$["@type"]')
-    typed = f"coalesce(lower({_string(kind)}) = 'jobposting', false)"
-    any_typed = (
-        f"coalesce(exists({_items(kind)}, k -> coalesce(lower({_string('k')}) = 'jobposting', false)),"
-        " false)"
-    )
-    described = f"coalesce({_string(_get(node, '$.description'))} != '', false)"
-    employer = f"{_string(_get(node, '$.hiringOrganization.name'))} IS NOT NULL"
-    return f"({typed} OR {any_typed} OR ({described} AND {employer}))"
+    typed = f"exists({node}.types, k -> lower(k) = 'jobposting')"
+    described = f"coalesce({node}.description != '', false)"
+    return f"({typed} OR ({described} AND {node}.employer IS NOT NULL))"
 
 
 def first_job_posting(dom: str) -> str:
-    """The first job posting on the page as a VARIANT object, else null."""
-    return f"get(filter({nodes(dom)}, j -> {looks_like_job_posting('j')}), 0)"
+    """The first job posting among the page's objects, in document order, else null."""
+    return f"get(filter({dom}_ld, j -> {looks_like_job_posting('j')}), 0)"
 
 
 def _location(node: str) -> str:
     """Places joined by a middle dot; each is its address text or its parts."""
-    parts = ", ".join(
-        _string(_get("ad", f"$.{p}")) for p in ("addressLocality", "addressRegion", "addressCountry")
-    )
     # Blank parts are dropped; a part is never trimmed.
-    line = (
-        f"nullif(array_join(filter(array({parts}), p -> p IS NOT NULL AND p RLIKE '[^\\\\s\\\\u00A0\\\\uFEFF]'),"
-        " ', '), '')"
-    )
-    address = f"coalesce({_string('ad')}, CASE WHEN {_is('OBJECT', 'ad')} THEN {line} END)"
-    place = let("ad", _get("pl", "$.address"), address)
-    places = f"coalesce({_items('jl')}, CASE WHEN {_is('OBJECT', 'jl')} THEN array(jl) END)"
-    texts = f"filter(transform({places}, pl -> {place}), q -> q IS NOT NULL)"
-    joined = let("ts", texts, "CASE WHEN size(ts) > 0 THEN array_join(ts, ' · ') END")
-    return let("jl", _get(node, "$.jobLocation"), joined)
-
-
-def _amount(value: str) -> str:
-    """``struct(text, number)`` of a JSON string or number."""
-    numeric = "schema_of_variant(w) RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)'"
-    return let(
-        "w",
-        value,
-        "struct(CASE WHEN schema_of_variant(w) = 'STRING' THEN try_variant_get(w, '$', 'string') END"
-        f" AS text, CASE WHEN {numeric} THEN try_variant_get(w, '$', 'double') END AS number)",
-    )
+    filled = "filter(pl.parts, p -> p RLIKE '[^\\\\s\\\\u00A0\\\\uFEFF]')"
+    place = f"coalesce(pl.address, nullif(array_join({filled}, ', '), ''))"
+    texts = f"filter(transform({node}.places, pl -> {place}), q -> q IS NOT NULL)"
+    return let("ts", texts, "CASE WHEN size(ts) > 0 THEN array_join(ts, ' · ') END")
 
 
 def fields(node: str) -> str:
     """The posting's values as they stand in the block; null without a posting."""
-    pay = (
-        f"CASE WHEN {_is('OBJECT', _get('j', '$.baseSalary.value'))} THEN struct("
-        f"{_amount(_get('j', '$.baseSalary.value.minValue'))} AS min,"
-        f"{_amount(_get('j', '$.baseSalary.value.maxValue'))} AS max,"
-        f"{_amount(_get('j', '$.baseSalary.value.value'))} AS single,"
-        f"{_string(_get('j', '$.baseSalary.currency'))} AS currency,"
-        f"{_string(_get('j', '$.baseSalary.value.unitText'))} AS unit) END"
-    )
     values = (
-        f"struct({_string(_get('j', '$.title'))} AS title,"
-        f"{_string(_get('j', '$.identifier.name'))} AS identifier,"
-        f"{_string(_get('j', '$.hiringOrganization.name'))} AS company,"
-        f"{_location('j')} AS location,"
-        f"{pay} AS pay,"
-        f"coalesce({_string(_get('j', '$.description'))}, '') AS description)"
+        f"struct(j.title AS title, j.identifier AS identifier, j.employer AS company, {_location('j')} AS location,"
+        " j.pay AS pay, coalesce(j.description, '') AS description)"
     )
     return let("j", node, f"CASE WHEN j IS NOT NULL THEN {values} END")
 
