@@ -2,16 +2,22 @@
 
 Rows of a tab wait in its state until the watermark says that nothing earlier can
 come, and are then taken in order; results equal those of the batch operators.
-State holds what order needs and no page content, so it stays small: the rows of
-one tab within the watermark's delay.
+State holds what order needs and no page content. It is a map by slots of time: rows
+that come in are added to their slot without reading what is there, and one slot at a
+time is read, sorted and taken, after which it is gone. So no list ever holds more than
+what one tab has in one slot, and what a later slot has to know is one small row.
+
+Rows without a time or without an id have no place in the order and are left out. Where
+time and id are equal, the other values decide, null first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +26,9 @@ from vacancia.operators.timeline import digest_of
 FIRED = "tab_id string, capture_id bigint, captured_at timestamp, immediate boolean"
 # A tab unseen for this long is forgotten; its next row is taken as its first.
 FORGET_MS = 90 * 24 * 3600 * 1000
+SLOT_MS = 60_000
+# Rows that are packed into one value of the state.
+PACKED = 512
 FIRST_COPIES = "remote_url string, fetched_at timestamp, fetch_id bigint, ok boolean"
 CHANGES = (
     "tab_id string, capture_id bigint, captured_at timestamp, status string, "
@@ -27,64 +36,83 @@ CHANGES = (
 )
 
 
+def _order(row: tuple) -> list[tuple]:
+    return [(v is not None, v) for v in row]
+
+
 class _InOrder(StatefulProcessor):
-    """Holds rows back until ``hold_ms`` behind the watermark, then calls ``take``."""
+    """Holds rows back until their slot is ``hold_ms`` behind the watermark, then calls ``take``."""
 
-    row_schema: str
     last_schema: str
     hold_ms: int = 0
+    slot_ms: int = SLOT_MS
     forget_ms: int = FORGET_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.slots = handle.getMapState("slots", "slot long", "parts int, first long")
+        self.parts = handle.getMapState("parts", "slot long, part int", "rows binary")
         self.last = handle.getValueState("last", self.last_schema)
-        self.alarm = handle.getValueState("alarm", "at long")
-
-    def _set_alarm(self, due_ms: int) -> None:
-        """One timer per tab, for its earliest waiting row."""
-        if self.alarm.exists():
-            current = self.alarm.get()[0]
-            if current <= due_ms:
-                return
-            self.handle.deleteTimer(current)
-        self.handle.registerTimer(due_ms)
-        self.alarm.update((due_ms,))
+        self.forgets = handle.getValueState("forgets", "at long")
+
+    def _due(self, slot: int) -> int:
+        return (slot + 1) * self.slot_ms + self.hold_ms
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
         for pdf in rows:
-            taken = [self.keep(r) for r in pdf.itertuples(index=False)]
-            self.waiting.appendList(taken)
-            first = min(t[0] for t in taken)
-            earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self._set_alarm(earliest // 1000 + self.hold_ms)
+            by_slot: dict[int, list[tuple]] = {}
+            for r in pdf.itertuples(index=False):
+                row = self.keep(r)
+                by_slot.setdefault(row[0] // 1000 // self.slot_ms, []).append(row)
+            for slot, kept in by_slot.items():
+                parts, first = self.slots.getValue((slot,)) or (0, kept[0][0])
+                if not parts:
+                    self.handle.registerTimer(self._due(slot))
+                for begin in range(0, len(kept), PACKED):
+                    self.parts.updateValue((slot, parts), (pickle.dumps(kept[begin : begin + PACKED]),))
+                    parts += 1
+                self.slots.updateValue((slot,), (parts, min(first, *(r[0] for r in kept))))
         return iter(())
 
+    def _next_at(self, slot: int) -> int | None:
+        """The time of the first row behind a slot, if it is within what is held back."""
+        for later in range(slot + 1, slot + 1 - (-self.hold_ms // self.slot_ms)):
+            if found := self.slots.getValue((later,)):
+                return found[1]
+        return None
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.alarm.clear()
-        complete = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get())
-        n_due = sum(1 for r in waiting if r[0] // 1000 + self.hold_ms < complete)
-        last = tuple(self.last.get()) if self.last.exists() else None
-        out, last = self.take(key[0], waiting, n_due, last)
-        if last is not None:
-            self.last.update(last)
-        if n_due:
-            if waiting[n_due:]:
-                self.waiting.put(waiting[n_due:])
-            else:
-                self.waiting.clear()
-        if not waiting and last is not None:
-            self.last.clear()  # the timer for forgetting
-        elif n_due == len(waiting):
-            self._set_alarm(max(waiting[-1][0] // 1000 + self.forget_ms, complete + 1))
-        if waiting[n_due:]:
-            # A timer that is due already would ring within this batch for ever.
-            self._set_alarm(max(waiting[n_due][0] // 1000 + self.hold_ms, complete + 1))
-        if out:
-            yield pd.DataFrame(out, columns=self.out_columns)
+        slot, off = divmod(expiredTimerInfo.getExpiryTimeInMs() - self.hold_ms, self.slot_ms)
+        slot -= 1
+        if off:
+            self._forget()
+        elif held := self.slots.getValue((slot,)):
+            rows: list[tuple] = []
+            for part in range(held[0]):
+                rows += pickle.loads(self.parts.getValue((slot, part))[0])
+                self.parts.removeKey((slot, part))
+            self.slots.removeKey((slot,))
+            rows.sort(key=_order)
+            last = tuple(self.last.get()) if self.last.exists() else None
+            out, last = self.take(key[0], rows, self._next_at(slot), last)
+            if last is not None:
+                self.last.update(last)
+            self._forget_at(max(rows[-1][0] // 1000 + self.forget_ms, timerValues.getCurrentWatermarkInMs() + 1))
+            if out:
+                yield pd.DataFrame(out, columns=self.out_columns)
+
+    def _forget(self) -> None:
+        self.forgets.clear()
+        if next(iter(self.slots.keys()), None) is None:
+            self.last.clear()
+
+    def _forget_at(self, due: int) -> None:
+        """One timer per tab; none of a slot rings at that time."""
+        due += (due - self.hold_ms) % self.slot_ms == 0
+        if self.forgets.exists():
+            self.handle.deleteTimer(self.forgets.get()[0])
+        self.handle.registerTimer(due)
+        self.forgets.update((due,))
 
     def close(self) -> None:
         pass
@@ -95,7 +123,6 @@ def _at(us: int) -> pd.Timestamp:
 
 
 class _Debounce(_InOrder):
-    row_schema = "at long, capture_id long, url string, immediate boolean"
     last_schema = "url string"
     out_columns = ["tab_id", "capture_id", "captured_at", "immediate"]
 
@@ -104,36 +131,33 @@ class _Debounce(_InOrder):
         self.hold_ms = -(-gap_us // 1000)
         self.on_url_change = on_url_change
         self.carry = carry
-        self.row_schema = ", ".join([self.row_schema, *[f"{c} string" for c in carry]])
         self.out_columns = [*self.out_columns, *carry]
 
     def keep(self, r) -> tuple:
         carried = [v if isinstance(v := getattr(r, c), str) else None for c in self.carry]
         return (int(r.at), int(r.capture_id), r.url, bool(r.immediate), *carried)
 
-    def take(self, tab, waiting, n_due, last):
+    def take(self, tab, rows, next_at, last):
         out = []
-        for i in range(n_due):
-            at, capture_id, url, flagged, *carried = waiting[i]
+        for i, (at, capture_id, url, flagged, *carried) in enumerate(rows):
             at_once = flagged or last is None or (self.on_url_change and url != last[0])
-            followed = i + 1 < len(waiting) and waiting[i + 1][0] - at < self.gap_us
-            if at_once or not followed:
+            after = rows[i + 1][0] if i + 1 < len(rows) else next_at
+            if at_once or after is None or after - at >= self.gap_us:
                 out.append((tab, capture_id, _at(at), at_once, *carried))
             last = (url,)
         return out, last
 
 
 class _Changes(_InOrder):
-    row_schema = "at long, capture_id long, status string, digest string"
     last_schema = "digest string, since long"
     out_columns = ["tab_id", "capture_id", "captured_at", "status", "changed", "detected_at"]
 
     def keep(self, r) -> tuple:
         return (int(r.at), int(r.capture_id), r.status, r.digest)
 
-    def take(self, tab, waiting, n_due, last):
+    def take(self, tab, rows, next_at, last):
         out = []
-        for at, capture_id, status, digest in waiting[:n_due]:
+        for at, capture_id, status, digest in rows:
             changed = digest != "" and (last is None or last[0] != digest)
             since = at if changed else (last[1] if digest != "" else 0)
             found = _at(since) if digest != "" else pd.NaT
@@ -143,24 +167,64 @@ class _Changes(_InOrder):
 
 
 class _FirstCopy(_InOrder):
-    row_schema = "at long, fetch_id long, ok boolean"
     last_schema = "at long"
     out_columns = ["remote_url", "fetched_at", "fetch_id", "ok"]
 
     def keep(self, r) -> tuple:
         return (int(r.at), int(r.fetch_id), bool(r.ok))
 
-    def take(self, url, waiting, n_due, last):
-        if last is not None or not n_due:
-            return [], (waiting[n_due - 1][0],) if n_due else last
-        at, fetch_id, ok = waiting[0]
+    def take(self, url, rows, next_at, last):
+        if last is not None:
+            return [], last
+        at, fetch_id, ok = rows[0]
         return [(url, _at(at), fetch_id, ok)], (at,)
 
 
-def _keyed(rows: DataFrame, delay: str) -> DataFrame:
-    """Event time as a timestamp with a watermark, and as whole microseconds."""
-    timed = rows.withColumn("captured_at", F.col("captured_at").cast("timestamp"))
-    return timed.withColumn("at", F.unix_micros("captured_at")).withWatermark("captured_at", delay)
+class _StillCurrent(_InOrder):
+    """Captures (kind 0) say where the tab is; answers (kind 1) are told whether it is there."""
+
+    last_schema = "url string"
+
+    def __init__(self, carry: tuple[str, ...]) -> None:
+        self.carry = carry
+        self.out_columns = ["tab_id", "capture_id", "captured_at", "url", *carry, "current"]
+
+    def keep(self, r) -> tuple:
+        carried = [v if isinstance(v := getattr(r, c), str) else None for c in self.carry]
+        return (int(r.at), int(r.kind), int(r.capture_id), r.url, *carried)
+
+    def take(self, tab, rows, next_at, last):
+        out = []
+        for at, kind, capture_id, url, *carried in rows:
+            if kind == 0:
+                last = (url,)
+            else:
+                current = last is not None and url is not None and last[0] == url
+                out.append((tab, capture_id, _at(at), url, *carried, current))
+        return out, last
+
+
+def _keyed(rows: DataFrame, delay: str, key: str = "capture_id", time: str = "captured_at") -> DataFrame:
+    """Event time as a timestamp with a watermark, and as whole microseconds, of rows that have
+    a place in the order."""
+    timed = rows.withColumn(time, F.col(time).cast("timestamp"))
+    placed = timed.filter(F.col(time).isNotNull() & F.col(key).isNotNull())
+    return placed.withColumn("at", F.unix_micros(time)).withWatermark(time, delay)
+
+
+def _run(
+    rows: DataFrame, by: str, processor: _InOrder, schema: str, slot_ms: int | None, forget_ms: int
+) -> DataFrame:
+    # By default a slot is no shorter than what is held back, so that one behind it is enough.
+    processor.slot_ms = slot_ms or max(SLOT_MS, processor.hold_ms)
+    processor.forget_ms = forget_ms
+    return rows.groupBy(by).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def _texts(columns: Iterable[str]) -> list[str]:
+    return [f"{c} string" for c in columns]
 
 
 def debounce_stream(
@@ -170,6 +234,8 @@ def debounce_stream(
     immediate: str | None = None,
     on_url_change: bool = True,
     carry: tuple[str, ...] = (),
+    slot_ms: int | None = None,
+    forget_ms: int = FORGET_MS,
 ) -> DataFrame:
     """Captures that fire, as ``timeline.debounce`` decides, once the gap has passed.
 
@@ -178,18 +244,16 @@ def debounce_stream(
     rows = _keyed(captures, delay).select(
         "tab_id", "captured_at", "at", "capture_id", "url", flag.alias("immediate"), *carry
     )
-    return rows.groupBy("tab_id").transformWithStateInPandas(
-        statefulProcessor=_Debounce(gap_us, on_url_change, carry),
-        outputStructType=", ".join([FIRED, *[f"{c} string" for c in carry]]),
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    schema = ", ".join([FIRED, *_texts(carry)])
+    return _run(rows, "tab_id", _Debounce(gap_us, on_url_change, carry), schema, slot_ms, forget_ms)
 
 
 def change_stream(
     extractions: DataFrame,
     compare: tuple[str, ...] = ("title", "description_text"),
     delay: str = "10 minutes",
+    slot_ms: int | None = None,
+    forget_ms: int = FORGET_MS,
 ) -> DataFrame:
     """Changes and first-seen times, as ``timeline.posting_changes`` finds them; a column
     ``digest`` is taken where there is one."""
@@ -202,27 +266,67 @@ def change_stream(
         .filter(F.col("status") != "loading")
         .select("tab_id", "captured_at", "at", "capture_id", "status", digest.alias("digest"))
     )
-    return rows.groupBy("tab_id").transformWithStateInPandas(
-        statefulProcessor=_Changes(),
-        outputStructType=CHANGES,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    return _run(rows, "tab_id", _Changes(), CHANGES, slot_ms, forget_ms)
 
 
-def first_copy_stream(copies: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def first_copy_stream(
+    copies: DataFrame, delay: str = "10 minutes", slot_ms: int | None = None, forget_ms: int = FORGET_MS
+) -> DataFrame:
     """The key of the first answer per remote URL, as ``remote.first_fetches`` finds it, once
     no earlier one can come. Later answers are dropped while the URL is remembered."""
-    rows = copies.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
-    rows = rows.withColumn("at", F.unix_micros("fetched_at")).withWatermark("fetched_at", delay)
-    return rows.select("remote_url", "fetched_at", "at", "fetch_id", "ok").groupBy(
-        "remote_url"
-    ).transformWithStateInPandas(
-        statefulProcessor=_FirstCopy(),
-        outputStructType=FIRST_COPIES,
-        outputMode="Append",
-        timeMode="EventTime",
+    rows = _keyed(copies, delay, "fetch_id", "fetched_at").select(
+        "remote_url", "fetched_at", "at", "fetch_id", "ok"
+    )
+    return _run(rows, "remote_url", _FirstCopy(), FIRST_COPIES, slot_ms, forget_ms)
+
+
+def answered_stream(reads: DataFrame, asks: Column, answers: DataFrame, wait: str, remembered: str, delay: str) -> DataFrame:
+    """Reads at the time their answer is there, as a stream-stream join.
+
+    ``answers(remote_url, fetched_at)`` are the first ones of their address. A read whose
+    address (``asks``, null for none) was answered before, within ``remembered``, has its
+    answer at once; one that is answered within ``wait`` has it then; any other goes on
+    without as of its own time, as soon as the watermark of both streams says so. ``arrived``
+    is that time in microseconds.
+    """
+    left = _keyed(reads, delay).withColumn("_asks", asks)
+    right = answers.withColumn("_answered", F.col("fetched_at").cast("timestamp"))
+    right = right.filter(F.col("_answered").isNotNull() & F.col("remote_url").isNotNull())
+    right = right.select("remote_url", "_answered").withWatermark("_answered", delay)
+    within = F.expr(
+        f"_answered >= captured_at - INTERVAL {remembered} AND _answered <= captured_at + INTERVAL {wait}"
+    )
+    joined = left.join(right, (F.col("_asks") == F.col("remote_url")) & within, "left_outer")
+    arrived = F.greatest(F.col("at"), F.unix_micros("_answered"))
+    return joined.withColumn("arrived", arrived).drop("_asks", "remote_url", "_answered")
+
+
+def stale_guard_stream(
+    captures: DataFrame,
+    arrivals: DataFrame,
+    delay: str = "10 minutes",
+    carry: tuple[str, ...] = (),
+    slot_ms: int | None = None,
+    forget_ms: int = FORGET_MS,
+) -> DataFrame:
+    """``arrivals`` with ``current``, as ``timeline.still_current`` decides.
+
+    Both run through one timeline per tab. Arrivals are taken at ``captured_at``, or at
+    ``arrived`` where ``answered_stream`` has set it and its watermark; ``captured_at`` of the
+    result is that time.
+    """
+    where = _keyed(captures, delay)
+    seen = where.select(
+        "tab_id", "captured_at", "at", F.lit(0).alias("kind"), "capture_id", "url",
+        *[F.lit(None).cast("string").alias(c) for c in carry],
     )
+    if "arrived" in arrivals.columns:
+        asked = arrivals.withColumn("at", F.col("arrived"))
+    else:
+        asked = _keyed(arrivals, delay)
+    asked = asked.select("tab_id", "captured_at", "at", F.lit(1).alias("kind"), "capture_id", "url", *carry)
+    schema = ", ".join(["tab_id string, capture_id bigint, captured_at timestamp, url string", *_texts(carry), "current boolean"])
+    return _run(seen.unionByName(asked), "tab_id", _StillCurrent(carry), schema, slot_ms, forget_ms)
 
 
 def with_end(rows: DataFrame, time: str, ahead: str, **values) -> DataFrame:
