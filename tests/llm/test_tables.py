@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import cases
@@ -231,6 +232,31 @@ def test_archives_are_deterministic(spark):
     assert sorted(one) == sorted(two)
 
 
+def test_archives_do_not_depend_on_session_or_splits(spark):
+    """Tens of thousands of rows, a third of them without an id, many with equal payloads."""
+    n = 50_000
+    layout = warc.Layout(files=6, roll_bytes=200_000)
+    made = []
+    for session, splits in ((spark, 3), (spark.newSession(), 17)):
+        folder = warc.archive_folder(session)
+        k = F.col("id")
+        table = session.range(n).repartition(splits).select(
+            F.when(k % 3 > 0, k).alias("page_id"),
+            F.concat(F.lit("http://h/"), k).alias("url"),
+            F.repeat(F.concat(F.lit("p"), (k * 7919 % 30_011).cast("string")), F.lit(5)).alias("html"),
+        )
+        manifest = warc.write_archives(table, folder, layout=layout)
+        made.append(sorted(manifest.collect(), key=lambda m: m.file))
+        assert warc.read_archives(session, folder, with_payload=False).count() == n
+    assert made[0] == made[1]
+    by_shard: dict = {}
+    for m in made[0]:
+        by_shard[m.file[:12]] = by_shard.get(m.file[:12], 0) + m.records
+    # Rows without an id lie in several shards, and all are of like size.
+    assert len(by_shard) == 6 and max(by_shard.values()) < 2 * min(by_shard.values())
+    assert sum(m.first_id is None for m in made[0] if m.file.endswith("00000.warc.gz")) >= 2
+
+
 def test_only_listed_and_whole_files_are_read(spark):
     import os
 

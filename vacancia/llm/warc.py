@@ -1,16 +1,18 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by id. Each partition writes its records into one file after
-another, rolled by compressed size, under temporary names, and renames a file when it
-is complete; what was written is listed in a manifest, which alone tells readers which
-files count. Nothing in the bytes depends on time, task or attempt, so a partition that
-runs again leaves the same files under the same names.
+Records are ordered by id and by the digest of their payload, and dealt to shards by cut
+points in that order, which are quantiles of a sample chosen by a hash of both. Each shard
+writes its records into one file after another, rolled by compressed size, under temporary
+names, and renames a file when it is complete; what was written is listed in a manifest,
+which alone tells readers which files count. Nothing in the bytes depends on time, session,
+task or attempt, nor on how the input is split, so equal rows and an equal number of shards
+leave equal files under equal names.
 
 Of records with equal payloads of at least ``least`` bytes the one with the largest id
 is a response, the others are revisits that refer to it and carry no payload. Null
 payloads are empty, null URLs are written as an empty target. Ids should be unique:
 rows with the same id and payload are equal records (both responses or revisits of the
-same one). Further columns are ignored.
+same one). Rows without an id are spread by their payload. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.llm.common import new_folder, partitions, stored
@@ -37,13 +39,16 @@ EMPTY_ID = "-"
 @dataclass(frozen=True)
 class Layout:
     """``roll_bytes``: a file takes no further record once its compressed size reaches it.
-    ``date`` is written into every record, since the pages have none."""
+    ``date`` is written into every record, since the pages have none. ``files``: the number
+    of shards, by default that of shuffle partitions; ``sample``: rows a shard that the cut
+    points are taken from."""
 
     least: int = 0
     roll_bytes: int = 16 << 20
     level: int = 6
     date: str = "1970-01-01T00:00:00Z"
     files: int | None = None
+    sample: int = 64
 
 
 def payload_digest(payload: bytes) -> str:
@@ -111,22 +116,51 @@ def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, block
 
 
-def plan_records(pages: DataFrame, row_id: str, url: str, payload: str, least: int) -> DataFrame:
-    """The pages, and ahead of each revisit a row with its digest and the response's id.
+# About what a record weighs besides its payload.
+HEADERS = 512
+
+
+def cut_points(keys: DataFrame, shards: int, sample: int) -> list[tuple[int | None, str]]:
+    """Where in the order of (row_id, sha) a shard ends; shards are of like weight.
+
+    ``sample`` keys a shard are looked at, the same ones for the same rows.
+    """
+    every = max(1, keys.count() // (shards * sample))
+    chosen = keys.filter(F.pmod(F.xxhash64("row_id", "sha"), F.lit(every)) == 0)
+    weights = chosen.groupBy("row_id", "sha").agg(F.sum(F.col("n") + HEADERS).alias("w"))
+    rows = weights.orderBy("row_id", "sha").collect()
+    whole, so_far, cuts = sum(r["w"] for r in rows), 0, []
+    for r in rows:
+        if so_far * shards >= whole * (len(cuts) + 1):
+            cuts.append((r["row_id"], r["sha"]))
+        so_far += r["w"]
+    return cuts
+
+
+def shard_of(cuts: list[tuple[int | None, str]]) -> Column:
+    """How many cut points a row's (row_id, sha) has reached."""
+    if not cuts:
+        return F.lit(0)
+    ends = F.array(*[F.struct(F.lit(k).cast("long").alias("row_id"), F.lit(d).alias("sha")) for k, d in cuts])
+    own = F.struct("row_id", "sha")
+    return F.size(F.filter(ends, lambda end: end <= own))
+
+
+def plan_records(
+    pages: DataFrame, row_id: str, url: str, payload: str, layout: Layout, shards: int
+) -> DataFrame:
+    """The pages with their ``shard``, and ahead of revisits a row with the response's id.
 
     Only digests are grouped; a payload that thousands of pages share is one key, whose
     partial maxima are taken before the shuffle. The payloads meet what was found when
-    all are sorted by id, so they are moved once.
+    all are sorted, so they are moved once.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(row_id).cast("long").alias("row_id"), F.col(url).alias("url"), body.alias("payload")
-    )
-    keys = stored(
-        rows.select("row_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n")),
-        "warc-digests",
-    )
-    first = keys.filter(F.col("n") >= least).groupBy("sha", "n").agg(
+    ).withColumn("sha", F.sha1("payload"))
+    keys = stored(rows.select("row_id", "sha", F.octet_length("payload").alias("n")), "warc-digests")
+    first = keys.filter(F.col("n") >= layout.least).groupBy("sha", "n").agg(
         F.max("row_id").alias("response_id"), F.count(F.lit(1)).alias("copies")
     )
     revisits = (
@@ -136,11 +170,12 @@ def plan_records(pages: DataFrame, row_id: str, url: str, payload: str, least: i
         .distinct()
     )
     none = F.lit(None)
-    return revisits.select(
-        "row_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "sha", "response_id"
-    ).unionByName(
-        rows.withColumns({"sha": none.cast("string"), "response_id": none.cast("long")})
+    both = rows.withColumn("response_id", none.cast("long")).unionByName(
+        revisits.select(
+            "row_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "sha", "response_id"
+        )
     )
+    return both.withColumn("shard", shard_of(cut_points(keys, shards, layout.sample)))
 
 
 MANIFEST = "file string, records long, bytes long, first_id long, last_id long, sha256 string"
@@ -159,20 +194,17 @@ def write_archives(
     ``folder`` is a URI that pyarrow.fs opens on every executor (file, s3, hdfs, gs).
     """
     spark = pages.sparkSession
-    records = plan_records(pages, row_id, url, payload, layout.least)
     n = layout.files or partitions(spark)
-    ordered = records.repartitionByRange(n, "row_id").sortWithinPartitions(
-        "row_id", F.col("payload").isNotNull(), "url", F.sha1("payload"), "sha"
+    records = plan_records(pages, row_id, url, payload, layout, n)
+    ordered = records.repartitionById(n, "shard").sortWithinPartitions(
+        "shard", "row_id", "sha", F.col("payload").isNotNull(), "url"
     )
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId()
         files, base = pafs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
         entries: list[tuple] = []
-        buffer, ids, rolled = io.BytesIO(), [], 0
+        buffer, ids, rolled, shard = io.BytesIO(), [], 0, -1
 
         def commit() -> None:
             nonlocal buffer, ids, rolled
@@ -186,24 +218,24 @@ def write_archives(
             entries.append((final, len(ids), len(data), ids[0], ids[-1], digest))
             buffer, ids, rolled = io.BytesIO(), [], rolled + 1
 
-        known: dict[bytes, int] = {}  # of the id at hand: digests of its revisits
-        at = None
+        revisited, response = None, None  # the last row that tells of revisits
         for batch in batches:
             for row in batch.to_pylist():
-                if row["row_id"] != at:
-                    known, at = {}, row["row_id"]
-                body = row["payload"]
-                if body is None:
-                    known[bytes.fromhex(row["sha"])] = row["response_id"]
+                if row["shard"] != shard:
+                    if ids:
+                        commit()
+                    shard, rolled = row["shard"], 0
+                own = row["row_id"], row["sha"]
+                if row["payload"] is None:
+                    revisited, response = own, row["response_id"]
                     continue
-                digest = hashlib.sha1(body).digest()
                 raw = record(
-                    at,
+                    row["row_id"],
                     row["url"],
-                    body,
-                    base64.b32encode(digest).decode("ascii"),
-                    known.get(digest),
-                    digest in known,
+                    row["payload"],
+                    base64.b32encode(bytes.fromhex(row["sha"])).decode("ascii"),
+                    response if own == revisited else None,
+                    own == revisited,
                     layout.date,
                 )
                 buffer.write(gzip.compress(raw, layout.level, mtime=0))
