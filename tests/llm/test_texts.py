@@ -232,40 +232,78 @@ def test_segments_cover_a_long_text(monkeypatch):
 # ---- backoff scores
 
 
+def plain_scores(texts, backoff=0.4):
+    """Words, words scored from pairs and from triples, and log score of each text."""
+    rows = [cases.words(t) for t in texts]
+    grams = lambda ws, n: Counter(tuple(ws[k : k + n]) for k in range(len(ws) - n + 1))
+    counts = [sum((grams(ws, n) for ws in rows), Counter()) for n in (1, 2, 3)]
+    total = sum(counts[0].values())
+    out = []
+    for ws in rows:
+        own = [grams(ws, n) for n in (1, 2, 3)]
+        seen, log = [0, 0], 0.0
+        for k in range(len(ws)):
+            factor = 1.0
+            for n in (3, 2):
+                if k + 1 >= n:
+                    gram = tuple(ws[k - n + 1 : k + 1])
+                    others = counts[n - 1][gram] - own[n - 1][gram]
+                    if others:
+                        seen[n - 2] += 1
+                        log += math.log(factor * others / counts[n - 2][gram[:-1]])
+                        break
+                    factor *= backoff
+            else:
+                log += math.log(factor * counts[0][(ws[k],)] / total)
+        out.append((len(ws), *seen, log))
+    return out
+
+
+def scored(df, model):
+    return sorted(
+        ((r.doc_id or 0, r.n_words, r.n_pairs_seen, r.n_triples_seen, r.log_score) for r in backoff_lm.scores(df, model).collect()),
+        key=lambda r: [x or 0 for x in r],
+    )
+
+
+BIG = 1 << 60
+REPEATED = [
+    (None, "a b c d", None, None, None),
+    (None, "a b c e", None, None, None),
+    (BIG + 1, "p q r s", None, None, None),
+    (BIG + 2, "p q r t p q", None, None, None),
+    (-1, "a b c d x y", None, None, None),
+    (7, "one two three", None, None, None),
+    (7, "one two three", None, None, None),
+    (8, "rare words alone", None, None, None),
+    (9, "the " * 5000, None, None, None),
+]
+
+
 @pytest.mark.parametrize("columns", [cases.frame, cases.clashing])
-def test_backoff_scores(spark, columns):
-    model = backoff_lm.Model(share=1e-4)
-    rows = [(r[0], cases.words(r[1])) for r in cases.documents()]
-    counts = Counter(w for _, ws in rows for w in ws)
-    total = sum(counts.values())
-    known = {w for w, n in counts.items() if n >= max(1, model.share * total)}
-    number = lambda w: w if w in known else None
-    single = Counter()
-    for w, n in counts.items():
-        single[number(w)] += n
-    pairs, owners = Counter(), {}
-    for i, ws in rows:
-        for a, b in zip(ws, ws[1:]):
-            pairs[number(a), number(b)] += 1
-            owners.setdefault((number(a), number(b)), set()).add(i)
-    want: dict = {}
-    for i, ws in rows:
-        names = [number(w) for w in ws]
-        own = Counter(zip(names, names[1:]))
-        score = math.log(single[names[0]] / total) if names else 0.0
-        seen = 0
-        for (a, b), n in own.items():
-            others = pairs[a, b] - n if len(owners[a, b]) > 1 else 0
-            seen += n if others else 0
-            s = others / single[a] if others else model.backoff * single[b] / total
-            score += n * math.log(s)
-        before = want.get(i, (0, 0, 0.0))
-        want[i] = (before[0] + len(ws), before[1] + seen, before[2] + score)
-    got = {r.doc_id: r for r in backoff_lm.scores(columns(spark), model).collect()}
-    assert set(got) == set(want)
-    for i, (n, seen, score) in want.items():
-        assert (got[i].n_words, got[i].n_pairs_seen) == (n, seen)
-        assert got[i].log_score == (pytest.approx(score) if n else None)
+@pytest.mark.parametrize("model", [backoff_lm.Model(), backoff_lm.Model(batch_bytes=300, bucket_bytes=500)])
+def test_backoff_scores(spark, columns, model):
+    rows = cases.documents()
+    df = columns(spark) if columns is cases.clashing else columns(spark, rows + REPEATED)
+    rows = rows if columns is cases.clashing else rows + REPEATED
+    want = sorted(
+        ((r[0] or 0, *found) for r, found in zip(rows, plain_scores([r[1] for r in rows]))),
+        key=lambda r: [x or 0 for x in r],
+    )
+    got = scored(df, model)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    for g, w in zip(got, want):
+        assert g[4] == (pytest.approx(w[4]) if w[1] else None)
+
+
+def test_backoff_tells_rare_pairs_apart(spark):
+    """A text of rare words that a second document has scores far above one that none has."""
+    rows = [(k, cases.prose(k, 80), None, None, None) for k in range(40)]
+    rows += [(100 + k, "xx1 xx2 xx3 xx4 xx5 xx6", None, None, None) for k in range(2)]
+    rows += [(200, "yy1 yy2 yy3 yy4 yy5 yy6", None, None, None)]
+    got = {r.doc_id: r for r in backoff_lm.scores(cases.frame(spark, rows)).collect()}
+    assert got[100].n_triples_seen == 4 and got[200].n_triples_seen == got[200].n_pairs_seen == 0
+    assert got[100].mean_log_score > got[200].mean_log_score + 3
 
 
 def test_backoff_of_nothing(spark):

@@ -1,207 +1,295 @@
-"""Stupid-backoff scores of documents under a bigram model of the whole corpus.
+"""Stupid-backoff scores of documents under a trigram model of the whole corpus.
 
-The vocabulary is every word that makes up at least ``share`` of all words, so it has at
-most ``1 / share`` of them; all other words are one unknown word. With c counting over all
-rows and c' over all but the one being scored, a word b after a word a scores
+Every word, pair and triple of neighbouring words counts; nothing is left out of the model.
+With c counting over all rows and c' over all but the row that is scored, a word w after u v
+scores
 
-    c'(a b) / c(a)                if c'(a b) > 0,
-    backoff * c(b) / c(all)       otherwise,
+    c'(u v w) / c(u v)                    if c'(u v w) > 0, else
+    backoff * c'(v w) / c(v)              if c'(v w) > 0, else
+    backoff * backoff * c(w) / c(all),
 
-and the first word of a document c(b) / c(all). A document's score is the sum of the
-logarithms, its mean the sum over its number of words.
+with one factor less where there are fewer words before it. A document's score is the sum
+of the logarithms, its mean the sum over its number of words.
 
-The counts are tables, of words and of pairs by their code, made from per-batch counts that are
-added up after a shuffle by key. The pairs of the documents are a table too, joined to the
-pair counts by code and summed per document. Pairs of one document alone are left out of
-the table they are joined to; not finding them says what their count would.
+N-grams are known by 64-bit hashes. A task counts those of a batch of rows, sorts them and
+sends them to buckets of the hash, of which there are so many that each holds about
+``bucket_bytes`` of text. A bucket's task adds up its counts, whatever batch they came from,
+which is its part of the count table, joins them to what was asked, and answers each batch
+in the order of its own hashes. The rows are then read once more, exploded again into the
+same batches, and each position is scored from the answers. A hot n-gram is one number of
+each batch, texts are never shuffled, and no task holds more than a batch or a bucket. The
+second reading has to meet the same batches, as it does for tables that are read from files;
+a batch whose hashes have no fitting answer raises an error.
 
 Words are runs without white space, A-Z lower-cased. Null text is empty text; a document
-without words has no score (null). Rows that share a doc_id, null included, are one
-document, whose words are counted row by row. Further columns are ignored.
+without words has no score (null). Each row is scored by itself, whether its doc_id is
+null, repeated or not. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import chunks, stored
+from vacancia.llm.common import chunks, partitions
+from vacancia.llm.warc import archive_folder
 
-SHIFT = 32  # of the first word's number in a pair's code
+ORDERS = 3
 
 
 @dataclass(frozen=True)
 class Model:
-    share: float = 1e-5
-    backoff: float = 0.4
-
-
-@dataclass(frozen=True)
-class Vocabulary:
-    """Each known word's number, from one; number zero is the unknown word."""
-
-    numbers: dict[bytes, int]
-    total: int
-
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        found = map(self.numbers.get, words, repeat(0))
-        return np.fromiter(found, dtype=np.int64, count=len(words))
-
+    """``batch_bytes``: text whose n-grams are counted together; ``bucket_bytes``: text whose
+    n-grams, on average, one bucket holds."""
 
-def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-
-def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[list[bytes]]]]:
-    """The ids and words of some documents at a time."""
+    backoff: float = 0.4
+    batch_bytes: int = 32 << 20
+    bucket_bytes: int = 8 << 20
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts, one after another, as hashes, and how many each text has."""
+    seen: dict[bytes, int] = {}
+    sizes, parts = [], []
+    for text in texts:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        for w in set(words).difference(seen):
+            seen[w] = xxhash.xxh64_intdigest(w, 42)
+        parts.append(np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words)))
+        sizes.append(len(words))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(sizes, dtype=np.int64)
+
+
+class Grams:
+    """The n-grams that end at each word of some texts, as hashes; those of order k are
+    there where a text has k words up to it."""
+
+    def __init__(self, texts: list[str | None]):
+        words, self.sizes = word_hashes(texts)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        at = np.arange(len(words)) - np.repeat(self.begins, self.sizes)
+        hashes = _mix(words)
+        self.places, self.hashes = [np.arange(len(words))], [hashes]
+        for k in range(1, ORDERS):
+            longer = np.zeros_like(hashes)
+            longer[1:] = _mix(hashes[:-1] * np.uint64(3) + words[1:])
+            here = np.flatnonzero(at >= k)
+            self.places.append(here)
+            self.hashes.append(longer[here])
+            hashes = longer
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All hashes, sorted; where each n-gram's is, order after order; how often it occurs."""
+        return np.unique(np.concatenate(self.hashes), return_inverse=True, return_counts=True)
+
+    def own_counts(self, order: int, which: np.ndarray) -> np.ndarray:
+        """How often each n-gram (by number ``which``) occurs in its own text."""
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.places[order]]
+        by = np.lexsort((which, owner))
+        first = np.ones(len(by), dtype=bool)
+        first[1:] = (which[by][1:] != which[by][:-1]) | (owner[by][1:] != owner[by][:-1])
+        run = np.cumsum(first) - 1
+        out = np.empty(len(by), dtype=np.int64)
+        out[by] = np.bincount(run)[run] if len(by) else 0
+        return out
+
+
+def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted hashes, and the end."""
+    own = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return np.searchsorted(own, np.arange(buckets + 1))
+
+
+def _batches(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list]]:
+    """Ids and texts, about ``size`` characters at a time."""
+    ids: list[pa.Array] = []
+    texts: list[str | None] = []
+    held = 0
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for begin, end in chunks([len(t) for t in texts], 8 << 20):
-            words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts[begin:end]]
-            yield batch.column(0).slice(begin, end - begin), words
-
-
-def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``word`` (UTF-8), ``n``: over all documents."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in _batches(batches):
-            sums = Counter(chain.from_iterable(words))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())],
-                ["word", "n"],
-            )
-
-    rows = _texts(docs, text, doc_id).mapInArrow(count, "word binary, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame, share: float) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary, ``1 / share`` words at most, and its counts by number."""
-    spark = counts.sparkSession
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    kept = counts.filter(F.col("n") >= max(1.0, share * total)).collect()
-    kept = sorted(((bytes(r["word"]), r["n"]) for r in kept), key=lambda w: (-w[1], w[0]))
-    unknown = total - sum(n for _, n in kept)
-    rows = [(0, float(unknown))] + [(k + 1, float(n)) for k, (_, n) in enumerate(kept)]
-    by_number = spark.createDataFrame(rows, "number long, n double")
-    return Vocabulary({w: k + 1 for k, (w, _) in enumerate(kept)}, total), by_number
-
-
-def pairs(docs: DataFrame, known: Vocabulary, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, code, n``: the distinct pairs of each row, and how often it has them.
-
-    ``code`` holds the numbers of both words; the first word of a row comes as its number
-    behind ``-1``.
-    """
-
-    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches):
-            owners, codes, counts = [], [], []
-            for i, words in enumerate(texts):
-                if not words:
-                    continue
-                numbers = known.numbered(words)
-                code, n = np.unique(numbers[:-1] << SHIFT | numbers[1:], return_counts=True)
-                owners.append(np.full(len(code) + 1, i))
-                codes += [code, [-1 << SHIFT | int(numbers[0])]]
-                counts += [n, [1]]
-            if owners:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(np.concatenate(owners))),
-                        pa.array(np.concatenate(codes).astype(np.int64)),
-                        pa.array(np.concatenate(counts).astype(np.int32)),
-                    ],
-                    ["doc_id", "code", "n"],
-                )
-
-    return _texts(docs, text, doc_id).mapInArrow(explode, "doc_id long, code long, n int")
-
-
-def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``code, total``: how often a pair occurs, for pairs of two documents at least.
-
-    Each batch adds up its own documents before the shuffle.
-    """
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches):
-            numbers = [known.numbered(w) for w in texts]
-            codes = [m[:-1] << SHIFT | m[1:] for m in numbers]
-            owners = ids.to_pandas().fillna(-1).to_numpy(dtype=np.int64)
-            own = np.repeat(owners, [len(c) for c in codes])
-            code = np.concatenate(codes)
-            order = np.argsort(code)
-            code, own = code[order], own[order]
-            at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[: len(code)])
-            n = np.diff(np.append(at, len(code)))
-            empty = not len(code)
-            first = own if empty else np.minimum.reduceat(own, at)
-            last = own if empty else np.maximum.reduceat(own, at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(code[at]),
-                    pa.array(n.astype(np.int64)),
-                    pa.array(first),
-                    pa.array(last),
-                ],
-                ["code", "n", "first", "last"],
-            )
-
-    rows = _texts(docs, text, doc_id).mapInArrow(count, "code long, n long, first long, last long")
-    sums = rows.groupBy("code").agg(
-        F.sum("n").alias("total"), F.min("first").alias("first"), F.max("last").alias("last")
-    )
-    return sums.filter("first <> last").select("code", "total")
+        found = batch.column(1).to_pylist()
+        for begin, end in chunks([len(t or "") for t in found], size):
+            more = sum(len(t or "") for t in found[begin:end])
+            if texts and held + more > size:
+                yield pa.concat_arrays(ids), texts
+                ids, texts, held = [], [], 0
+            ids.append(batch.column(0).slice(begin, end - begin))
+            texts += found[begin:end]
+            held += more
+    if texts:
+        yield pa.concat_arrays(ids), texts
+
+
+def _numbers(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest takes."""
+    most = int(values.max(initial=0))
+    return values.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(t).max)).tobytes()
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+ASKED = "part int, batch int, bucket int, words long, hashes binary, counts binary"
+ANSWERED = "part int, batch int, bucket int, words long, check long, totals binary"
+
+
+def _schema(spec: str) -> tuple[list[str], list[pa.DataType]]:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in spec.split(", ")]
+    return [n for n, _ in fields], [kinds[k] for _, k in fields]
+
+
+def _table(rows: list[tuple], spec: str) -> pa.RecordBatch:
+    names, kinds = _schema(spec)
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def _check(hashes: np.ndarray) -> int:
+    """Of the hashes that were asked for, to tell that an answer fits."""
+    return int(np.bitwise_xor.reduce(hashes, initial=np.uint64(0)) >> np.uint64(1))
+
+
+def asked(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """For each batch and bucket the distinct hashes, sorted, with the batch's counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for k, (_, texts) in enumerate(_batches(batches, model.batch_bytes)):
+            grams = Grams(texts)
+            hashes, _, counts = grams.distinct()
+            edges = bucket_edges(hashes, buckets)
+            n = int(grams.sizes.sum())
+            out = [
+                (part, k, b, n if b == 0 else 0, hashes[i:j].tobytes(), _numbers(counts[i:j]))
+                for b, (i, j) in enumerate(zip(edges, edges[1:]))
+                if j > i or b == 0
+            ]
+            for begin, end in chunks([len(r[4]) for r in out], 4 << 20):
+                yield _table(out[begin:end], ASKED)
+
+    return rows.mapInArrow(run, ASKED)
+
+
+def answered(requests: DataFrame) -> DataFrame:
+    """The counts over all batches, for each request in the order of its hashes."""
+
+    def add_up(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        hashes = [np.frombuffer(r["hashes"], dtype=np.uint64) for r in rows]
+        _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = np.concatenate([_counts(r["counts"], len(h)) for r, h in zip(rows, hashes)])
+        table = np.zeros(int(which.max(initial=-1)) + 1, dtype=np.int64)
+        np.add.at(table, which, counts)
+        totals, at, out = table[which], 0, []
+        for r, h in zip(rows, hashes):
+            own = totals[at : at + len(h)]
+            out.append((r["part"], r["batch"], r["bucket"], r["words"], _check(h), _numbers(own)))
+            at += len(h)
+        return pa.Table.from_batches([_table(out, ANSWERED)])
+
+    return requests.groupBy("bucket").applyInArrow(add_up, ANSWERED)
+
+
+def _of_part(folder: str, part: int) -> Iterator[tuple[int, list[dict]]]:
+    """The answers to each batch of a part, in order."""
+    files, base = pafs.FileSystem.from_uri(folder)
+    listed = files.get_file_info(pafs.FileSelector(f"{base}/part={part}", allow_not_found=True))
+    names = sorted(unquote(f.path) for f in listed if f.path.endswith(".parquet"))
+    batch, held = None, []
+    for name in names:
+        with files.open_input_file(name) as source:
+            for group in pq.ParquetFile(source).iter_batches(batch_size=256):
+                for row in group.to_pylist():
+                    if row["batch"] != batch:
+                        if held:
+                            yield batch, held
+                        batch, held = row["batch"], []
+                    held.append(row)
+    if held:
+        yield batch, held
+
+
+def log_scores(grams: Grams, totals: np.ndarray, which: np.ndarray, words: int, backoff: float) -> tuple:
+    """Logarithm of each word's score, and the order of the n-gram that it comes from."""
+    ends = np.cumsum([len(h) for h in grams.hashes])
+    n = len(grams.places[0])
+    count = np.zeros((ORDERS, n))  # of the n-gram of each order that ends at a word
+    others = np.zeros((ORDERS, n))
+    for k in range(ORDERS):
+        own = which[ends[k] - len(grams.hashes[k]) : ends[k]]
+        here = grams.places[k]
+        count[k, here] = totals[own]
+        others[k, here] = totals[own] - grams.own_counts(k, own) if k else totals[own]
+    score = np.log(count[0]) - math.log(max(words, 1))
+    order = np.ones(n, dtype=np.int64)
+    for k in range(1, ORDERS):
+        here = grams.places[k]
+        seen = here[others[k, here] > 0]
+        score[here] += math.log(backoff)
+        score[seen] = np.log(others[k, seen]) - np.log(count[k - 1, seen - 1])
+        order[seen] = k + 1
+    return score, order
+
+
+SCORED = "doc_id long, n_words long, n_pairs_seen long, n_triples_seen long, log_score double"
 
 
 def scores(
     docs: DataFrame, model: Model = Model(), text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """doc_id, n_words, n_pairs_seen, log_score and mean_log_score, one row per doc_id."""
-    known, by_number = vocabulary(
-        stored(word_counts(docs, text, doc_id), "word-counts"), model.share
-    )
-    table = stored(pair_counts(docs, known, text, doc_id), "pair-counts")
-    rows = pairs(docs, known, text, doc_id)
-    # The vocabulary's counts: one row per word of a bounded vocabulary.
-    before = F.broadcast(by_number.select(F.col("number").alias("a"), F.col("n").alias("n_a")))
-    after = F.broadcast(by_number.select(F.col("number").alias("b"), F.col("n").alias("n_b")))
-    numbered = rows.join(table, "code", "left").withColumns(
-        {"a": F.shiftright("code", SHIFT), "b": F.col("code").bitwiseAND(F.lit((1 << SHIFT) - 1))}
-    )
-    others = F.col("total") - F.col("n")
-    seen = F.coalesce(others > 0, F.lit(False))
-    single = F.log(F.col("n_b")) - F.lit(math.log(max(known.total, 1)))
-    score = (
-        F.when(F.col("a") < 0, single)
-        .when(seen, F.log(others) - F.log(F.col("n_a")))
-        .otherwise(single + F.lit(math.log(model.backoff)))
-    )
-    sums = (
-        numbered.join(after, "b")
-        .join(before, "a", "left")
-        .groupBy("doc_id")
-        .agg(
-            F.sum("n").alias("n_words"),
-            F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("n_pairs_seen"),
-            F.sum(F.col("n") * score).alias("log_score"),
-        )
-    )
-    ids = docs.select(F.col(doc_id).cast("long").alias("own")).distinct()
-    return ids.join(sums, F.col("own").eqNullSafe(F.col("doc_id")), "left").select(
-        F.col("own").alias("doc_id"),
-        F.coalesce("n_words", F.lit(0)).alias("n_words"),
-        F.coalesce("n_pairs_seen", F.lit(0)).alias("n_pairs_seen"),
-        "log_score",
-        (F.col("log_score") / F.col("n_words")).alias("mean_log_score"),
-    )
+    """doc_id, n_words, n_pairs_seen, n_triples_seen, log_score and mean_log_score of each row.
+
+    The counts of pairs and triples are those of words scored from them.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = max(1, math.ceil(size / model.bucket_bytes))
+    folder = archive_folder(spark, "ngram-counts")
+    # Of each part one task writes all answers, sorted by batch and bucket.
+    answers = answered(asked(rows, model, buckets)).repartition(partitions(spark), "part")
+    answers.sortWithinPartitions("part", "batch", "bucket").write.partitionBy("part").parquet(folder)
+    spec = ANSWERED.replace("part int, ", "") + ", part int"
+    words = spark.read.schema(spec).parquet(folder).agg(F.sum("words").alias("n")).first()["n"] or 0
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        answers = _of_part(folder, TaskContext.get().partitionId())
+        for k, (ids, texts) in enumerate(_batches(batches, model.batch_bytes)):
+            grams = Grams(texts)
+            hashes, which, _ = grams.distinct()
+            edges = bucket_edges(hashes, buckets)
+            batch, found = next(answers, (-1, []))
+            asked_for = [(b, hashes[i:j]) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i or b == 0]
+            fits = [(b, _check(h)) for b, h in asked_for] == [(r["bucket"], r["check"]) for r in found]
+            if batch != k or not fits:
+                raise ValueError("the rows were not met again in the batches in which they were counted")
+            parts = [_counts(r["totals"], len(h)) for r, (_, h) in zip(found, asked_for)]
+            score, order = log_scores(grams, np.concatenate(parts), which, words, model.backoff)
+            per_row = [np.add.reduceat(np.append(v, 0), grams.begins) for v in (score, order == 2, order == 3)]
+            some = grams.sizes > 0
+            seen = [np.where(some, v, 0).astype(np.int64) for v in per_row[1:]]
+            arrays = [ids, pa.array(grams.sizes), *map(pa.array, seen), pa.array(per_row[0], mask=~some)]
+            yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SCORED.split(", ")])
+
+    return rows.mapInArrow(run, SCORED).withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))

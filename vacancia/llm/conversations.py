@@ -22,7 +22,7 @@ of the chunks' cost matrices, chunk upon chunk, so no task ever holds more than
 anything. Only the digest of the repaired text has to see a conversation in one piece: its
 rows stream by, sorted, and one text is held at a time.
 
-Null role and text are one space. A null conversation is a conversation. Conversations are
+Null role and text are one space; an empty role has no initial, so it cannot be kept. A null conversation is a conversation. Conversations are
 found by their key alone: those without rows have no edits. Empty tables give no rows.
 Further columns are ignored.
 """
@@ -390,8 +390,10 @@ def repair(
     """Faults, cost, audit and digest of the repaired text of each conversation.
 
     ``conversations`` lists those to return (its column ``conversation``), also without rows;
-    by default the ones in ``rows``.
+    by default the ones in ``rows``. ``chunk`` is 2 at least.
     """
+    if chunk < 2:
+        raise ValueError("a chunk has two rows at least")
     space = F.lit(" ")
     own = rows.select(
         group_key(F.col(conversation)).alias("grp"),

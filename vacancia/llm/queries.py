@@ -78,7 +78,7 @@ def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = backoff_lm.scores(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "n_words", "n_pairs_seen", F.round("mean_log_score", 6).alias("mean_log_score")
+        "doc_id", "n_words", "n_pairs_seen", "n_triples_seen", F.round("mean_log_score", 6).alias("mean_log_score")
     )
 
 
@@ -165,41 +165,34 @@ FROM grouped"""
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BACKOFF_SQL = rf"""
 WITH docs AS (
-  SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents
 ), tokens AS (
-  SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM docs
-), counts AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
-total AS (SELECT sum(n) AS all_words FROM counts),
-known AS (
-  SELECT word, n, row_number() OVER (ORDER BY word) AS number FROM counts, total
-  WHERE n >= greatest(1.0, {backoff_lm.Model().share} * all_words)
-), numbers AS (
-  SELECT number, n FROM known
-  UNION ALL SELECT 0, all_words - coalesce((SELECT sum(n) FROM known), 0) FROM total
-), numbered AS (
-  SELECT doc_id, pos, coalesce(number, 0) AS number FROM tokens LEFT JOIN known USING (word)
-), pairs AS (
-  SELECT b.doc_id, a.number AS a, b.number AS b, count(*) AS n
-  FROM numbered b LEFT JOIN numbered a ON a.doc_id = b.doc_id AND a.pos = b.pos - 1
-  GROUP BY ALL
-), pair_counts AS (
-  SELECT a, b, sum(n) AS total FROM pairs WHERE a IS NOT NULL GROUP BY a, b
+  SELECT r, CASE WHEN p > 2 THEN w[p - 2] END AS u, CASE WHEN p > 1 THEN w[p - 1] END AS v, w[p] AS w
+  FROM docs, unnest(range(1, len(w) + 1)) AS t(p)
+), singles AS (SELECT w, count(*) AS n1 FROM tokens GROUP BY w),
+pairs AS (SELECT v, w, count(*) AS n2 FROM tokens WHERE v IS NOT NULL GROUP BY v, w),
+triples AS (SELECT u, v, w, count(*) AS n3 FROM tokens WHERE u IS NOT NULL GROUP BY u, v, w),
+counted AS (
+  SELECT r, t.v IS NOT NULL AS second, t.u IS NOT NULL AS third, s.n1, prev.n1 AS before1, p.n2, q.n2 AS before2, n3,
+    count(*) OVER (PARTITION BY r, t.v, t.w) AS own2, count(*) OVER (PARTITION BY r, t.u, t.v, t.w) AS own3
+  FROM tokens t JOIN singles s ON s.w = t.w LEFT JOIN singles prev ON prev.w = t.v
+    LEFT JOIN pairs p ON p.v = t.v AND p.w = t.w LEFT JOIN pairs q ON q.v = t.u AND q.w = t.v
+    LEFT JOIN triples x ON x.u = t.u AND x.v = t.v AND x.w = t.w
+), used AS (
+  SELECT *, CASE WHEN third AND n3 > own3 THEN 3 WHEN second AND n2 > own2 THEN 2 ELSE 1 END AS k FROM counted
 ), scored AS (
-  SELECT p.doc_id, p.n, coalesce(c.total - p.n, 0) > 0 AS seen,
-    CASE WHEN p.a IS NULL THEN ln(ub.n) - ln(all_words)
-      WHEN c.total - p.n > 0 THEN ln(c.total - p.n) - ln(ua.n)
-      ELSE ln({backoff_lm.Model().backoff}) + ln(ub.n) - ln(all_words) END AS score
-  FROM pairs p CROSS JOIN total JOIN numbers ub ON ub.number = p.b
-    LEFT JOIN numbers ua ON ua.number = p.a
-    LEFT JOIN pair_counts c ON c.a = p.a AND c.b = p.b
+  SELECT r, k, ln({backoff_lm.Model().backoff}) * (second::INT + third::INT + 1 - k) + CASE k
+    WHEN 3 THEN ln(n3 - own3) - ln(before2) WHEN 2 THEN ln(n2 - own2) - ln(before1)
+    ELSE ln(n1) - ln((SELECT count(*) FROM tokens)) END AS score
+  FROM used
 ), summed AS (
-  SELECT doc_id, sum(n)::BIGINT AS n_words, sum(CASE WHEN seen THEN n ELSE 0 END)::BIGINT
-    AS n_pairs_seen, sum(n * score) AS log_score
-  FROM scored GROUP BY doc_id
+  SELECT r, count(*) AS n_words, count(*) FILTER (k = 2) AS n_pairs_seen,
+    count(*) FILTER (k = 3) AS n_triples_seen, sum(score) AS log_score
+  FROM scored GROUP BY r
 )
-SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_pairs_seen, 0) AS n_pairs_seen,
-  round(log_score / n_words, 6) AS mean_log_score
-FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN summed USING (doc_id)"""
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_pairs_seen, 0) AS n_pairs_seen,
+  coalesce(n_triples_seen, 0) AS n_triples_seen, round(log_score / n_words, 6) AS mean_log_score
+FROM docs LEFT JOIN summed USING (r)"""
 
 QUERIES = {
     "op1_simhash_dedup": simhash_near_duplicates,
