@@ -29,6 +29,7 @@ null, repeated or not. Further columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -53,8 +54,8 @@ class Model:
     n-grams, on average, one bucket holds."""
 
     backoff: float = 0.4
-    batch_bytes: int = 32 << 20
-    bucket_bytes: int = 8 << 20
+    batch_bytes: int = 8 << 20
+    bucket_bytes: int = 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -94,19 +95,24 @@ class Grams:
             self.hashes.append(longer[here])
             hashes = longer
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All hashes, sorted; where each n-gram's is, order after order; how often it occurs."""
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """All distinct hashes, sorted, and how often each occurs."""
+        return np.unique(np.concatenate(self.hashes), return_counts=True)
+
+    def placed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``counted``, with the number of each n-gram's hash between, order after order."""
         return np.unique(np.concatenate(self.hashes), return_inverse=True, return_counts=True)
 
-    def own_counts(self, order: int, which: np.ndarray) -> np.ndarray:
+    def own_counts(self, order: int, which: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How often each n-gram (by number ``which``) occurs in its own text."""
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.places[order]]
-        by = np.lexsort((which, owner))
-        first = np.ones(len(by), dtype=bool)
-        first[1:] = (which[by][1:] != which[by][:-1]) | (owner[by][1:] != owner[by][:-1])
-        run = np.cumsum(first) - 1
-        out = np.empty(len(by), dtype=np.int64)
-        out[by] = np.bincount(run)[run] if len(by) else 0
+        out = np.ones(len(which), dtype=np.int64)
+        again = np.flatnonzero(counts[which] > 1)
+        if len(again):
+            owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.places[order][again]]
+            _, run, many = np.unique(
+                owner * np.int64(len(counts)) + which[again], return_inverse=True, return_counts=True
+            )
+            out[again] = many[run]
         return out
 
 
@@ -135,14 +141,27 @@ def _batches(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[pa.
         yield pa.concat_arrays(ids), texts
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as steps, byte by byte, so that what is compressed has long runs."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _numbers(values: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest takes."""
-    most = int(values.max(initial=0))
-    return values.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(t).max)).tobytes()
+    """Counts in a byte each; those of 255 and more follow in eight."""
+    large = values[values >= 255]
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes()
 
 
 def _counts(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+    values = np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.int64)
+    values[values == 255] = np.frombuffer(raw, dtype="<i8", offset=n)
+    return values
 
 
 ASKED = "part int, batch int, bucket int, words long, hashes binary, counts binary"
@@ -175,11 +194,11 @@ def asked(rows: DataFrame, model: Model, buckets: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         for k, (_, texts) in enumerate(_batches(batches, model.batch_bytes)):
             grams = Grams(texts)
-            hashes, _, counts = grams.distinct()
+            hashes, counts = grams.counted()
             edges = bucket_edges(hashes, buckets)
             n = int(grams.sizes.sum())
             out = [
-                (part, k, b, n if b == 0 else 0, hashes[i:j].tobytes(), _numbers(counts[i:j]))
+                (part, k, b, n if b == 0 else 0, _packed(hashes[i:j]), _numbers(counts[i:j]))
                 for b, (i, j) in enumerate(zip(edges, edges[1:]))
                 if j > i or b == 0
             ]
@@ -194,7 +213,7 @@ def answered(requests: DataFrame) -> DataFrame:
 
     def add_up(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        hashes = [np.frombuffer(r["hashes"], dtype=np.uint64) for r in rows]
+        hashes = [_unpacked(r["hashes"]) for r in rows]
         _, which = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = np.concatenate([_counts(r["counts"], len(h)) for r, h in zip(rows, hashes)])
         table = np.zeros(int(which.max(initial=-1)) + 1, dtype=np.int64)
@@ -228,7 +247,9 @@ def _of_part(folder: str, part: int) -> Iterator[tuple[int, list[dict]]]:
         yield batch, held
 
 
-def log_scores(grams: Grams, totals: np.ndarray, which: np.ndarray, words: int, backoff: float) -> tuple:
+def log_scores(
+    grams: Grams, totals: np.ndarray, which: np.ndarray, counts: np.ndarray, words: int, backoff: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Logarithm of each word's score, and the order of the n-gram that it comes from."""
     ends = np.cumsum([len(h) for h in grams.hashes])
     n = len(grams.places[0])
@@ -238,7 +259,7 @@ def log_scores(grams: Grams, totals: np.ndarray, which: np.ndarray, words: int,
         own = which[ends[k] - len(grams.hashes[k]) : ends[k]]
         here = grams.places[k]
         count[k, here] = totals[own]
-        others[k, here] = totals[own] - grams.own_counts(k, own) if k else totals[own]
+        others[k, here] = totals[own] - grams.own_counts(k, own, counts) if k else totals[own]
     score = np.log(count[0]) - math.log(max(words, 1))
     order = np.ones(n, dtype=np.int64)
     for k in range(1, ORDERS):
@@ -277,7 +298,7 @@ def scores(
         answers = _of_part(folder, TaskContext.get().partitionId())
         for k, (ids, texts) in enumerate(_batches(batches, model.batch_bytes)):
             grams = Grams(texts)
-            hashes, which, _ = grams.distinct()
+            hashes, which, counts = grams.placed()
             edges = bucket_edges(hashes, buckets)
             batch, found = next(answers, (-1, []))
             asked_for = [(b, hashes[i:j]) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i or b == 0]
@@ -285,7 +306,7 @@ def scores(
             if batch != k or not fits:
                 raise ValueError("the rows were not met again in the batches in which they were counted")
             parts = [_counts(r["totals"], len(h)) for r, (_, h) in zip(found, asked_for)]
-            score, order = log_scores(grams, np.concatenate(parts), which, words, model.backoff)
+            score, order = log_scores(grams, np.concatenate(parts), which, counts, words, model.backoff)
             per_row = [np.add.reduceat(np.append(v, 0), grams.begins) for v in (score, order == 2, order == 3)]
             some = grams.sizes > 0
             seen = [np.where(some, v, 0).astype(np.int64) for v in per_row[1:]]
