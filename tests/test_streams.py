@@ -1,7 +1,9 @@
 """Streams give what the batch operators give, whatever the micro-batches."""
 
 import random
+from datetime import timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,142 @@ def test_the_end_takes_every_row_out(spark, tmp_path):
     assert sorted(r["capture_id"] for r in out) == sorted(r["capture_id"] for r in batch)
 
 
+class FakeHandle:
+    """State in dictionaries, and the timers that were set."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def getMapState(self, name, key, value):
+        return FakeMap()
+
+    def getValueState(self, name, schema):
+        return FakeValue()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class FakeMap(dict):
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class FakeValue:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Times:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = lambda: at
+        self.getExpiryTimeInMs = lambda: at
+
+
+def test_a_busy_tab_is_taken_slot_by_slot(monkeypatch):
+    """No more than one slot's rows are ever held, and state shrinks as slots are taken."""
+    op = ordered._Debounce(5_000, True)
+    op.slot_ms, op.forget_ms = 1_000, 10**9
+    handle = FakeHandle()
+    op.init(handle)
+    rng = random.Random(1)
+    rows = [(k * 7_919 % 60_000_000, k, rng.choice("xy"), False) for k in range(30_000)]
+    frame = pd.DataFrame(rows, columns=["at", "capture_id", "url", "immediate"])
+    op.handleInputRows(("t",), iter([frame[:20_000], frame[20_000:]]), Times(0))
+    held, taken = [], op.take
+    monkeypatch.setattr(op, "take", lambda tab, rows, *more: held.append(len(rows)) or taken(tab, rows, *more))
+    out = []
+    for due in sorted(handle.timers):
+        before = sum(len(p) for p, in op.parts.values())
+        for found in op.handleExpiredTimer(("t",), Times(due), Times(due)):
+            out += found.itertuples(index=False)
+        assert sum(len(p) for p, in op.parts.values()) < before
+    assert not op.slots and not op.parts and sum(held) == 30_000 and max(held) < 1_000
+    rows.sort()
+    want = [
+        r[1]
+        for k, r in enumerate(rows)
+        if k == 0 or r[2] != rows[k - 1][2] or k + 1 == len(rows) or rows[k + 1][0] - r[0] >= 5_000
+    ]
+    assert [r.capture_id for r in out] == want
+    # The tab is forgotten when it has not been seen for long.
+    (last,) = handle.timers - {op._due(s) for s in range(61)}
+    assert list(op.handleExpiredTimer(("t",), Times(last), Times(last))) == [] and not op.last.exists()
+
+
+def test_rows_without_a_place_and_ties_do_not_end_a_stream(spark, tmp_path):
+    rows = [
+        ("a", at(0), 1, "u", False),
+        ("a", at(0), 1, None, False),
+        ("a", None, 2, "v", False),
+        ("a", at(5), None, "w", False),
+        (None, at(1), 3, None, None),
+        (*END, 9, "x", False),
+    ]
+    stream = in_files(spark, [r for r in rows if r[1]] , CAPTURE, str(tmp_path / "in"), 1)
+    spark.createDataFrame([r for r in rows if not r[1]], CAPTURE).write.mode("append").parquet(str(tmp_path / "in"))
+    fired = ordered.debounce_stream(stream, 5 * MS, "10 seconds", immediate="skeleton")
+    out = runs.drain_to_table(fired, str(tmp_path / "fired")).collect()
+    assert sorted((str(r["tab_id"]), r["capture_id"]) for r in out) == [("None", 3), ("a", 1), ("a", 1)]
+    read = stream.select("tab_id", "captured_at", "capture_id", F.lit("ok").alias("status"), F.col("url").alias("digest"))
+    changes = runs.drain_to_table(ordered.change_stream(read, delay="10 seconds"), str(tmp_path / "changes")).collect()
+    assert sorted((str(r["tab_id"]), r["changed"]) for r in changes) == [("None", False), ("a", False), ("a", True)]
+    fetched = stream.select(F.col("tab_id").alias("remote_url"), F.col("captured_at").alias("fetched_at"), F.col("capture_id").alias("fetch_id"), F.lit(None).cast("boolean").alias("ok"))
+    first = runs.drain_to_table(ordered.first_copy_stream(fetched, "10 seconds"), str(tmp_path / "first")).collect()
+    assert sorted((str(r["remote_url"]), r["fetch_id"], r["ok"]) for r in first) == [("None", 3, False), ("a", 1, False)]
+
+
+@pytest.mark.parametrize("n_files", [1, 3])
+def test_stale_guard_stream(spark, tmp_path, n_files):
+    """Answers that come late, never or before the read, over two streams with their own pace."""
+    rows = make_captures(21)
+    answers = [
+        (f"r{r[2]}", r[1] + timedelta(milliseconds=random.Random(r[2]).choice([-500, 0, 3, 40, 900, 5000])), r[2])
+        for r in rows
+        if r[2] % 3 == 0
+    ]
+    wait = timedelta(seconds=2)
+    answered = dict((k, when) for _, when, k in answers)
+    arrivals = []
+    for tab, when, key, url, _ in rows:
+        if key % 2 == 0:
+            then = answered.get(key)
+            arrivals.append((tab, max(when, then) if then is not None and then <= when + wait else when, key, url))
+    schema = "tab_id string, captured_at timestamp, capture_id long, url string"
+    df = spark.createDataFrame([r[:4] for r in rows], schema)
+    want = timeline.still_current(df, spark.createDataFrame(arrivals, schema)).collect()
+    captures = in_files(spark, [r[:4] for r in rows] + [(*END, 9_998, "x")], schema, str(tmp_path / "in"), n_files)
+    told = "remote_url string, fetched_at timestamp, fetch_id long"
+    first = in_files(spark, answers + [("end", END[1], 1)], told, str(tmp_path / "answers"), n_files)
+    reads = captures.filter("capture_id % 2 = 0")
+    asks = F.concat(F.lit("r"), F.col("capture_id"))
+    arrived = ordered.answered_stream(reads, asks, first, "2 SECONDS", "1 SECOND", "10 seconds")
+    out = runs.drain_to_table(ordered.stale_guard_stream(captures, arrived, "10 seconds"), str(tmp_path / "run"))
+    got = sorted((r["capture_id"], r["captured_at"], r["current"]) for r in out.collect() if r["tab_id"] != "end")
+    assert got == sorted((r["capture_id"], r["captured_at"], r["current"]) for r in want)
+    assert 0 < sum(c for *_, c in got) < len(got)
+
+
 def test_health_stream_and_replay(spark, tmp_path):
     rows = [("rbc" if i % 3 else "cibc", "L", "h", "dedicated", "json-ld", at(i), f"T{i}", i) for i in range(30)]
     folder, path = str(tmp_path / "in"), str(tmp_path / "health")

@@ -158,11 +158,14 @@ def new_submissions(sent: DataFrame, applications: DataFrame) -> DataFrame:
 def send_results(
     sent: DataFrame, applications: DataFrame, base_url: str, refused: DataFrame | None = None
 ) -> DataFrame:
-    """What became of each posting that was sent: outcome, application and existing URL.
+    """What became of each posting that was sent: outcome, application, existing URL, error
+    and the date it was applied for.
 
     ``already-logged`` tells the application that was found, by URL or else by role, or the
-    one an earlier posting of the batch became. ``sent`` postings become applications unless
-    their token is among ``refused``; those and what repeats them end in ``error``.
+    one an earlier posting of the batch became. ``sent`` postings become applications, dated
+    when they were detected, unless their token is among ``refused``; those and what repeats
+    them end in ``error``, with the text in ``refused.error`` of the step that failed (the
+    least, where a token was refused several times).
     """
     row, order = timeline.ROW, "detected_at"
     looked = lookup.lookup_existing(sent, applications, row)
@@ -172,33 +175,44 @@ def send_results(
     staged = submissions.staged_rows(lookup.first_by(per_url, F.col("role"), order, row))
     tokens = staged.select(row, "role", "pending_token")
     if refused is not None:
-        bad = refused.select("pending_token", F.lit(True).alias("_refused")).distinct()
+        bad = refused.groupBy("pending_token").agg(
+            F.coalesce(F.min("error"), F.lit(submissions.UNEXPECTED)).alias("_error")
+        )
         tokens = tokens.join(bad, "pending_token", "left")
     else:
-        tokens = tokens.withColumn("_refused", F.lit(None).cast("boolean"))
+        tokens = tokens.withColumn("_error", F.lit(None).cast("string"))
     made = tokens.select(
         "role",
         F.col(row).alias("_winner"),
         F.substring("pending_token", 1, 32).alias("_made"),
-        F.coalesce("_refused", F.lit(False)).alias("_refused"),
+        "_error",
     )
     # A posting repeats the first one with its URL, and that one the first of its role.
     urls = per_url.filter(F.col("source_url").isNotNull()).select(
         "source_url", F.col("role").alias("_url_role")
     )
-    narrow = fresh.select(row, "source_url", "role")
+    narrow = fresh.select(row, order, "source_url", "role")
     known = narrow.join(urls, "source_url", "left").withColumn("role", F.coalesce("_url_role", "role"))
+    accepted, own = F.col("_error").isNull(), F.col(row) == F.col("_winner")
+    none = F.lit(None)
     ended = known.join(made, "role").select(
         row,
-        F.when(F.col("_refused"), F.lit("error"))
-        .when(F.col(row) == F.col("_winner"), F.lit("sent"))
+        F.when(~accepted, F.lit("error"))
+        .when(own, F.lit("sent"))
         .otherwise(F.lit("already-logged"))
         .alias("outcome"),
-        F.when(~F.col("_refused"), F.col("_made")).alias("application_id"),
-        F.lit(None).cast("string").alias("matched_by"),
+        F.when(accepted, F.col("_made")).alias("application_id"),
+        none.cast("string").alias("matched_by"),
+        F.col("_error").alias("error"),
+        F.when(accepted & own, F.col(order)).alias("date_applied"),
     )
     logged = looked.filter(F.col("match").isNotNull()).select(
-        row, F.lit("already-logged").alias("outcome"), F.col("match.id").alias("application_id"), "matched_by"
+        row,
+        F.lit("already-logged").alias("outcome"),
+        F.col("match.id").alias("application_id"),
+        "matched_by",
+        none.cast("string").alias("error"),
+        none.cast(sent.schema[order].dataType).alias("date_applied"),
     )
     found = F.col("outcome") == "already-logged"
     return logged.unionByName(ended).withColumn(

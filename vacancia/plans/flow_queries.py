@@ -109,17 +109,16 @@ def flow_submissions(spark: SparkSession, sf: str) -> DataFrame:
     return flow.new_submissions(sent, _logged(sent)).select("capture_id", "detected_at")
 
 
+REFUSED = "Request failed (503)."
+
+
 def flow_send_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that became of each posting; every eleventh of those staged is refused."""
     sent = _sent(spark, sf)
-    ended = flow.send_results(sent, _logged(sent), BASE)
-    logged = F.col("matched_by").isNotNull()
-    return ended.select(
-        "capture_id",
-        "outcome",
-        "matched_by",
-        F.when(logged, F.col("application_id")).alias("application_id"),
-        F.when(logged, F.col("existing_url")).alias("existing_url"),
-    )
+    logged = _logged(sent)
+    staged = flow.new_submissions(sent, logged).filter(F.col("capture_id") % 11 == 0)
+    refused = staged.select("pending_token", F.lit(REFUSED).alias("error"))
+    return flow.send_results(sent, logged, BASE, refused)
 
 
 def flow_health(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,10 +171,11 @@ _FLOW = f"""
   {expected_sql(SITES, 'made')},
   {expected_sql(INDEED, 'imade')},
   pages_of AS (
-    SELECT 0 AS odd, page_id AS k, f, adapter_id, status, method, title, company, description_text AS d,
+    SELECT 0 AS odd, page_id AS k, f, adapter_id, status, method, title, company, location, pay_raw,
+      description_text AS d,
       {_url_sql().replace("k ||", "page_id ||").replace("|| k", "|| page_id")} AS url, source FROM made
     UNION ALL
-    SELECT 1, page_id, f, 'indeed', status, method, title, company, description_text, NULL,
+    SELECT 1, page_id, f, 'indeed', status, method, title, company, location, pay_raw, description_text, NULL,
       CASE page_id % 3 WHEN 0 THEN 'https://nz.indeed.com/viewjob?jk=' || h
         WHEN 2 THEN 'https://www.indeed.com/viewjob?jk=' || h END FROM imade),
   cap AS (SELECT user_id % 40 AS tab, user_id % 2 AS odd, ts, event_id, event_type = 'signup' AS skel, p.*
@@ -193,9 +193,13 @@ _FLOW = f"""
       ASOF LEFT JOIN (SELECT tab AS ctab, ts AS cts, arg_max(url, event_id) AS url FROM cap
         WHERE odd = 0 GROUP BY ALL) c
       ON l.tab = c.ctab AND l.seen >= c.cts),
-  kept AS (SELECT * EXCLUDE (status, method, title, company),
+  kept AS (SELECT * EXCLUDE (status, method, title, company, location, pay_raw),
       odd = 0 AND f = {SPLIT} AND k % 3 <> 0 AND d IS NOT NULL AS from_remote,
       status, method,
+      CASE WHEN odd = 0 AND f = {SPLIT} AND k % 3 <> 0 AND d IS NOT NULL THEN 'Quay ' || k ELSE location
+        END AS location,
+      CASE WHEN odd = 0 AND f = {SPLIT} AND k % 3 <> 0 AND d IS NOT NULL THEN NULL ELSE pay_raw
+        END AS pay_raw,
       CASE WHEN odd = 0 AND f = {SPLIT} AND k % 3 <> 0 AND d IS NOT NULL THEN 'Editor ' || k ELSE title
         END AS title,
       CASE WHEN odd = 0 AND f = {SPLIT} AND k % 3 <> 0 AND d IS NOT NULL THEN 'Press ' || k ELSE company
@@ -213,7 +217,8 @@ _FLOW = f"""
 # The same without copies: nothing is waited for.
 _STREAM = _FLOW.replace(f"odd = 0 AND f = {SPLIT}", "false")
 _SENT = """
-  sent AS (SELECT event_id, detected_at, company, title AS role, source AS src FROM flow WHERE changed),
+  sent AS (SELECT event_id, detected_at, company, title AS role, source AS src, sha256(coalesce(source, '')
+      || '|' || concat_ws(chr(10), title, company, location, pay_raw, '', d)) AS token FROM flow WHERE changed),
   logged AS (SELECT 'app-' || event_id AS id, event_id, company, role, detected_at,
       CASE WHEN event_id % 2 = 0 THEN src END AS src FROM sent WHERE event_id % 7 = 0),
   by_url AS (SELECT * FROM logged WHERE src IS NOT NULL
@@ -239,10 +244,23 @@ ORACLES = {
           changed, detected_at FROM flow""",
     "flow_submissions": f"WITH {_FLOW}, {_SENT} SELECT event_id AS capture_id, detected_at FROM f2",
     "flow_send_results": f"""
-        WITH {_FLOW}, {_SENT} SELECT event_id AS capture_id,
-          CASE WHEN event_id IN (SELECT event_id FROM f2) THEN 'sent' ELSE 'already-logged' END AS outcome,
-          matched_by, found AS application_id, '{BASE}applications/' || found AS existing_url
-        FROM looked""",
+        WITH {_FLOW}, {_SENT},
+          urls AS (SELECT src, company AS c, role AS r FROM f1 WHERE src IS NOT NULL),
+          won AS (SELECT company AS c, role AS r, event_id AS winner, left(token, 32) AS made,
+            CASE WHEN event_id % 11 = 0 THEN '{REFUSED}' END AS error FROM f2),
+          fresh AS (SELECT event_id, detected_at, coalesce(c, company) AS c, coalesce(r, role) AS r
+            FROM looked l LEFT JOIN urls u ON l.src = u.src WHERE found IS NULL),
+          ended AS (
+            SELECT event_id, CASE WHEN error IS NOT NULL THEN 'error' WHEN event_id = winner THEN 'sent'
+                ELSE 'already-logged' END AS outcome, NULL AS matched_by,
+              CASE WHEN error IS NULL THEN made END AS application_id, error,
+              CASE WHEN error IS NULL AND event_id = winner THEN detected_at END AS date_applied
+            FROM fresh JOIN won ON fresh.c = won.c AND fresh.r = won.r
+            UNION ALL
+            SELECT event_id, 'already-logged', matched_by, found, NULL, NULL FROM looked WHERE found IS NOT NULL)
+        SELECT event_id AS capture_id, outcome, matched_by, application_id, error, date_applied,
+          CASE WHEN outcome = 'already-logged' THEN '{BASE}applications/' || application_id END AS existing_url
+        FROM ended""",
     "flow_health": f"""
         WITH {_FLOW} SELECT adapter_id,
           CASE WHEN status = 'not-found' THEN 'failed' WHEN method = 'structural' THEN 'fallback'

@@ -68,6 +68,43 @@ def dedupe_remote_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _ntz(runs.drain_to_table(first, runs.new_folder(spark, "copies")), "fetched_at")
 
 
+def _ended(rows: DataFrame, folder: str, time: str, **last) -> DataFrame:
+    """A finished table as a stream whose last row takes all others out."""
+    ordered.with_end(rows, time, "400 DAYS", **last).write.parquet(folder)
+    return runs.stateful(rows.sparkSession).readStream.schema(rows.schema).parquet(folder)
+
+
+def stale_guard_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads that wait for answers, in one query of a stream-stream join and the guard behind it.
+
+    Half of the captures are read; half of those are answered six hours later, some again two
+    hours after that, the others never are and go on after twelve hours.
+    """
+    folder, delay = runs.new_folder(spark, "stale-guard"), f"{DELAY_S} seconds"
+    e = table(spark, sf, "events")
+    asked = F.col("event_id").cast("string").alias("remote_url")
+    answers = [
+        e.filter(f"event_id % {every} = 0").select(
+            asked,
+            (F.col("ts") + F.expr(f"INTERVAL {hours} HOURS")).alias("fetched_at"),
+            (F.col("event_id") * 2 + hours % 3).alias("fetch_id"),
+            F.lit(True).alias("ok"),
+        )
+        for every, hours in ((4, 6), (16, 8))
+    ]
+    repeated = _ended(answers[0].unionByName(answers[1]), f"{folder}/answers", "fetched_at", fetch_id=-1)
+    first = runs.drain_to_table(ordered.first_copy_stream(repeated, delay), f"{folder}/first")
+    first = _ended(first.filter("remote_url is not null"), f"{folder}/first-in", "fetched_at", remote_url="end")
+    captures = t.captures_of(ended_events(spark, sf)).select("tab_id", "captured_at", "capture_id", "url")
+    reads = captures.filter("capture_id % 2 = 0 or capture_id < 0")
+    arrivals = ordered.answered_stream(
+        reads, F.col("capture_id").cast("string"), first, "12 HOURS", "1 HOUR", delay
+    )
+    told = ordered.stale_guard_stream(captures, arrivals, delay)
+    out = runs.drain_to_table(told.filter("capture_id >= 0"), f"{folder}/run")
+    return _ntz(out, "captured_at").select("capture_id", "captured_at", "current")
+
+
 def health_stream(spark: SparkSession, sf: str) -> DataFrame:
     read = t.health_input_of(stream_table(spark, sf, "events"))
     folder = runs.new_folder(spark, "health")
@@ -117,6 +154,7 @@ QUERIES = {
         debounce_stream,
         change_stream,
         dedupe_remote_stream,
+        stale_guard_stream,
         health_stream,
         submit_stream,
         confirm_stream,
@@ -134,6 +172,12 @@ ORACLES = {
         FROM ({t.ORACLES["posting_changes_sites"]}) JOIN events ON capture_id = event_id""",
     "dedupe_remote_stream": f"""
         SELECT remote_url, fetched_at, fetch_id, ok FROM ({t.ORACLES['first_remote_copy']})""",
+    "stale_guard_stream": """
+        SELECT a.event_id AS capture_id, a.at AS captured_at, c.url = a.event_type AS current
+        FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 6 HOUR ELSE ts END AS at
+          FROM events WHERE event_id % 2 = 0) a
+        ASOF JOIN (SELECT user_id, ts, arg_max(event_type, event_id) AS url FROM events GROUP BY ALL) c
+        ON a.user_id = c.user_id AND a.at >= c.ts""",
     "health_stream": t.ORACLES["adapter_health"],
     "submit_stream": t.ORACLES["stage_submissions"],
     "confirm_stream": t.ORACLES["confirm_submissions"],
