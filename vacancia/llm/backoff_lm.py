@@ -11,7 +11,7 @@ scores
 with one factor less where there are fewer words before it. A document's score is the sum
 of the logarithms, its mean the sum over its number of words.
 
-N-grams are known by 64-bit hashes. A task counts those of a batch of rows, sorts them and
+N-grams are known by 56-bit hashes; of ten billion of them one in seven million shares another's. A task counts those of a batch of rows, sorts them and
 sends them to buckets of the hash, of which there are so many that each holds about
 ``bucket_bytes`` of text. A bucket's task adds up its counts, whatever batch they came from,
 which is its part of the count table, joins them to what was asked, and answers each batch
@@ -46,6 +46,7 @@ from vacancia.llm.common import chunks, partitions
 from vacancia.llm.warc import archive_folder
 
 ORDERS = 3
+SPARED = np.uint64(8)  # bits of a hash that are not kept
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ class Model:
     n-grams, on average, one bucket holds."""
 
     backoff: float = 0.4
-    batch_bytes: int = 8 << 20
+    batch_bytes: int = 5 << 20
     bucket_bytes: int = 4 << 20
 
 
@@ -86,13 +87,13 @@ class Grams:
         self.begins = np.cumsum(self.sizes) - self.sizes
         at = np.arange(len(words)) - np.repeat(self.begins, self.sizes)
         hashes = _mix(words)
-        self.places, self.hashes = [np.arange(len(words))], [hashes]
+        self.places, self.hashes = [np.arange(len(words))], [hashes >> SPARED]
         for k in range(1, ORDERS):
             longer = np.zeros_like(hashes)
             longer[1:] = _mix(hashes[:-1] * np.uint64(3) + words[1:])
             here = np.flatnonzero(at >= k)
             self.places.append(here)
-            self.hashes.append(longer[here])
+            self.hashes.append(longer[here] >> SPARED)
             hashes = longer
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +119,7 @@ class Grams:
 
 def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins among sorted hashes, and the end."""
-    own = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    own = ((hashes >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     return np.searchsorted(own, np.arange(buckets + 1))
 
 
@@ -251,23 +252,22 @@ def log_scores(
     grams: Grams, totals: np.ndarray, which: np.ndarray, counts: np.ndarray, words: int, backoff: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """Logarithm of each word's score, and the order of the n-gram that it comes from."""
-    ends = np.cumsum([len(h) for h in grams.hashes])
-    n = len(grams.places[0])
-    count = np.zeros((ORDERS, n))  # of the n-gram of each order that ends at a word
-    others = np.zeros((ORDERS, n))
-    for k in range(ORDERS):
-        own = which[ends[k] - len(grams.hashes[k]) : ends[k]]
-        here = grams.places[k]
-        count[k, here] = totals[own]
-        others[k, here] = totals[own] - grams.own_counts(k, own, counts) if k else totals[own]
-    score = np.log(count[0]) - math.log(max(words, 1))
-    order = np.ones(n, dtype=np.int64)
+    at, n = len(grams.hashes[0]), len(grams.places[0])
+    before = totals[which[:at]]  # of the n-gram of the last order that ends at a word
+    score = np.log(before) - math.log(max(words, 1))
+    order = np.ones(n, dtype=np.int8)
     for k in range(1, ORDERS):
         here = grams.places[k]
-        seen = here[others[k, here] > 0]
+        own = which[at : at + len(here)]
+        at += len(here)
+        count = np.zeros(n, dtype=np.int64)
+        count[here] = totals[own]
+        others = count[here] - grams.own_counts(k, own, counts)
         score[here] += math.log(backoff)
-        score[seen] = np.log(others[k, seen]) - np.log(count[k - 1, seen - 1])
+        seen = here[others > 0]
+        score[seen] = np.log(others[others > 0]) - np.log(before[seen - 1])
         order[seen] = k + 1
+        before = count
     return score, order
 
 
