@@ -227,7 +227,7 @@ def by_similarity(rows):
     return cases.components(sets, near)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk": 2}, {"chunk": 2, "most": 0}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 2}, {"chunk_bytes": 4096}])
 def test_edited_passages_match_brute_force(spark, sizes):
     rows = passages()
     want = by_similarity(rows)
@@ -247,3 +247,34 @@ def test_links_of_sets_match_brute_force():
     assert all(near(a, b) for a, b in linked)
     connected = lambda a, b: (a, b) in linked or (b, a) in linked
     assert cases.components(range(80), connected) == cases.components(range(80), near)
+
+
+def test_sets_of_a_known_label_are_not_compared():
+    one = np.arange(100, dtype=np.uint64)
+    sets = [one, one[:99], one[:98], np.arange(200, 300, dtype=np.uint64)]
+    assert simhash_dedup.alike(sets, 0.8, [5, 5, 5, 9]) == []
+    assert len(simhash_dedup.alike(sets, 0.8, [5, 5, 6, 9])) == 1
+
+
+def test_a_large_family_moves_each_set_a_few_times(spark):
+    """Thousands of near copies beside a few that only resemble them: one way for any size."""
+    base = cases.prose(77, 300).split()
+    rows = []
+    for k in range(3000):
+        words = list(base)
+        words[k % 290] = f"own{k}"
+        rows.append((k, " ".join(words), "en", "s", 0))
+    for k in range(5):  # too different to link, but close enough to meet
+        rows.append((5000 + k, " ".join(base[: 170 + k]), "en", "s", 0))
+    docs = cases.frame(spark, rows)
+    setup = simhash_dedup.Similar(chunk=256)
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs, setup).collect()}
+    assert {got[k] for k in range(3000)} == {0} and {got[5000 + k] for k in range(5)} == {5000}
+    prints = simhash_dedup.set_keys(docs, setup)
+    keyed = prints.select("node", "size", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = keyed.join(several, "key")
+    family = prints.filter("doc_id < 3000").select("node", F.lit(0).cast("long").alias("component"))
+    moved = simhash_dedup._pieces(met, family, setup).groupBy("node").count().agg(F.max("count").alias("most"), F.avg("count").alias("mean")).first()
+    # A piece of the family alone is compared with the few pieces that hold others, not with its like.
+    assert moved.mean < 2 * setup.tables

@@ -14,12 +14,19 @@ Null text is empty text; documents without words have fingerprint zero and are l
 any other. Rows without doc_id link nothing. Rows that share a doc_id are one node. Further
 columns are ignored.
 
+Rows repeated in id and text (A-Z lower-cased) come out once.
+
 At a Jaccard similarity of 0.8 such keys would be a few bits long. ``similar_documents`` takes
-the smallest hashes of the sets of shingles for keys instead, and compares the sets.
+the smallest hashes of the sets of shingles for keys instead, and compares the sets, in two
+steps that are the same for any number of sets. First every set is compared with the least
+one of each of its keys, which connects families of copies at one comparison a set. Then the
+keys that still hold sets not connected are cut into pieces by size, and pairs of pieces are
+compared, but for those whose sets are all connected already.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -27,12 +34,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.llm import votes
 from vacancia.llm.common import ascii_lower, chunks, partitions, stored, words
 from vacancia.llm.components import components
+from vacancia.llm.manifest import ranked
 
 SMALL = 24  # rows of a key up to which every pair is looked at by shifting
 MOST = 4096
@@ -110,8 +118,8 @@ class Similar:
     sets agree in one of these with a probability that is their similarity s, whatever the
     edit that made one of the other, so a pair meets in no table with probability
     ``(1 - s ** rows) ** tables``: 5e-6 at 0.8, 1e-8 at 0.85. All that meet are compared by
-    their sets, in pieces of about ``chunk`` sets: whole components of what meets, or, where
-    one has more than ``most`` pieces, the rows of each of its keys.
+    their sets, in tasks of at most ``chunk`` sets and about ``chunk_bytes`` of them (one set
+    at least) on either side.
     """
 
     shingle: int = 5
@@ -119,7 +127,7 @@ class Similar:
     rows: int = 6
     tables: int = 40
     chunk: int = 1024
-    most: int = 8
+    chunk_bytes: int = 32 << 20
 
 
 def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
@@ -153,31 +161,38 @@ def _with_own(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def set_keys(docs: DataFrame, setup: Similar, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and ``own``, the text's hash; ``node``, the hash of its set, and the set's keys.
+    """doc_id and ``own``, the text's hash; ``node``, the hash of its set, its size and keys.
 
     A text without words has no keys.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, sizes, keys = [], [], []
             for members in shingle_sets([t or "" for t in batch.column(2).to_pylist()], setup.shingle):
                 nodes.append(signed(xxhash.xxh64_intdigest(members.tobytes(), 42)))
                 some = len(members) > 0
+                sizes.append(len(members))
                 keys.append(meeting_keys(members, setup.rows, setup.tables) if some else [])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "own", "node", "keys"],
+                [
+                    *batch.columns[:2],
+                    pa.array(nodes, pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "own", "node", "size", "keys"],
             )
 
-    schema = "doc_id long, own long, node long, keys array<long>"
+    schema = "doc_id long, own long, node long, size long, keys array<long>"
     return _with_own(docs, text, doc_id).mapInArrow(run, schema)
 
 
-def alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+def alike(sets: list[np.ndarray], least: float, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Places of pairs that connect all sets which similarities of ``least`` connect.
 
-    Each set looks up who has its members; sets connected before are not looked at again.
+    Each set looks up who has its members; sets connected before (of one label in ``known``)
+    are not looked at again.
     """
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
@@ -185,7 +200,7 @@ def alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
     having = owners[np.argsort(numbers, kind="stable")]
     upto = np.cumsum(np.bincount(numbers))
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
     for i in range(len(sets)):
         if (label == label[i]).all():
@@ -204,21 +219,23 @@ def alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 
 
 def compare_sets(least: float):
-    """For ``mapInArrow`` on (task, node, members) sorted by task: links within each task."""
+    """For ``mapInArrow`` on (task, node, label, members) sorted by task: links within each task
+    between sets of different labels."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets = None, [], []
+        now, nodes, labels, sets = None, [], [], []
 
         def linked() -> list[tuple[int, int]]:
-            return [(nodes[i], nodes[j]) for i, j in alike(sets, least)] if len(sets) > 1 else []
+            return [(nodes[i], nodes[j]) for i, j in alike(sets, least, labels)] if len(sets) > 1 else []
 
         for batch in batches:
             found = []
-            for task, node, members in zip(*(c.to_pylist() for c in batch.columns)):
+            for task, node, label, members in zip(*(c.to_pylist() for c in batch.columns)):
                 if task != now:
                     found += linked()
-                    now, nodes, sets = task, [], []
+                    now, nodes, labels, sets = task, [], [], []
                 nodes.append(node)
+                labels.append(label)
                 sets.append(np.frombuffer(members, dtype=np.uint64))
             yield _links(found)
         yield _links(linked())
@@ -226,6 +243,29 @@ def compare_sets(least: float):
     return run
 
 
+def compare_to_pivot(least: float):
+    """For ``mapInArrow`` on (pivot, node, members), in which each pivot's own set comes ahead
+    of those to compare with it: links to the pivot. Two sets are held at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            found = []
+            for pivot, node, members in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(members, dtype=np.uint64)
+                if node == pivot:
+                    first = own
+                    continue
+                few, many = sorted((own, first), key=len)
+                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                both = int((many[at] == few).sum())
+                if both / (len(few) + len(many) - both) >= least:
+                    found.append((node, pivot))
+            yield _links(found)
+
+    return run
+
+
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     ends = [pa.array([link[k] for link in found], pa.int64()) for k in (0, 1)]
     return pa.RecordBatch.from_arrays(ends, ["a", "b"])
@@ -415,47 +455,80 @@ def near_duplicates(
     return labelled(prints, nodes, links(rows, radius, 64), ["fingerprint"])
 
 
-def _tasks(met: DataFrame, setup: Similar) -> DataFrame:
-    """``node, tasks``: where each node that meets another is compared."""
-    known = components(met.filter("before is not null").select(F.col("before").alias("a"), F.col("node").alias("b")))
-    counts = known.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    counted = stored(known.join(counts, "component"), "similar-met")
-    few = F.col("n") <= setup.chunk * setup.most
-    small = counted.filter(few).select(F.col("component").alias("unit"), "node", "n")
-    large = met.join(counted.filter(~few).select("node"), "node").select(F.col("key").alias("unit"), "node")
-    counts = large.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / setup.chunk).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(setup.chunk)), F.col("parts")).cast("int")
-    spread = (
-        small.unionByName(large.join(counts, "unit"))
-        .withColumn("parts", parts)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    )
-    task = F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other"))
-    return spread.groupBy("node").agg(F.collect_list(task).alias("tasks"))
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, setup: Similar) -> DataFrame:
-    """``task, node, members`` of the wanted (doc_id, own, node, tasks)."""
+    """``node, members`` of the wanted (doc_id, own, node)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, texts, tasks = (c.to_pylist() for c in batch.columns)
-            for node, of, members in zip(nodes, tasks, shingle_sets(texts, setup.shingle)):
-                for begin in range(0, len(of), 16):
-                    part = of[begin : begin + 16]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(part, pa.int64()),
-                            pa.array([node] * len(part), pa.int64()),
-                            pa.array([members.tobytes()] * len(part), pa.binary()),
-                        ],
-                        ["task", "node", "members"],
-                    )
-
-    rows = docs.join(wanted, ["doc_id", "own"]).select("node", "text", "tasks")
-    return rows.mapInArrow(run, "task long, node long, members binary")
+            nodes, texts = (c.to_pylist() for c in batch.columns)
+            for begin, end in chunks([len(t or "") for t in texts], 1 << 20):
+                members = [m.tobytes() for m in shingle_sets([t or "" for t in texts[begin:end]], setup.shingle)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[begin:end], pa.int64()), pa.array(members, pa.binary())], ["node", "members"]
+                )
+
+    # One row per node: rows repeated in id and text have the same set.
+    rows = docs.join(wanted, ["doc_id", "own"]).select("node", "text")
+    return rows.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+
+
+def _to_pivots(met: DataFrame, sets: DataFrame, setup: Similar) -> DataFrame:
+    """Links of each set to the least one of each of its keys. A pivot that many sets have is
+    compared with ``chunk`` of them in one place."""
+    pairs = stored(met.filter("node <> pivot").select("node", "pivot").distinct(), "similar-pivots")
+    parts = F.ceil(F.count(F.lit(1)) / setup.chunk).cast("int").alias("parts")
+    heads = pairs.groupBy("pivot").agg(parts)
+    salted = pairs.join(heads, "pivot").select(
+        "pivot", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt")
+    )
+    own = heads.select(
+        "pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
+    )
+    rows = salted.unionByName(own).join(sets, "node")
+    ordered = rows.repartition(partitions(met.sparkSession), "pivot", "salt").sortWithinPartitions(
+        "pivot", "salt", F.col("node") != F.col("pivot")
+    )
+    found = ordered.select("pivot", "node", "members").mapInArrow(
+        compare_to_pivot(setup.least), "a long, b long"
+    )
+    return stored(found, "similar-links")
+
+
+def _pieces(met: DataFrame, known: DataFrame, setup: Similar) -> DataFrame:
+    """``task, node, label``: the sets to compare of keys that hold sets not connected by
+    ``known`` (node, component).
+
+    Of keys with the same sets one is enough, and with two sets both were compared before.
+    A piece has sets of like size, so that it is bounded in bytes, and of few components; two
+    are compared where they have several components between them and their sizes allow it.
+    """
+    labelled = met.filter("n > 2").join(known, "node", "left").select(
+        "key", "node", "size", "n", F.coalesce("component", "node").alias("label")
+    )
+    told = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    open_keys = labelled.groupBy("key", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *told)
+    chosen = open_keys.filter("lo <> hi").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+    bits = F.ceil(F.log2("size")).cast("int")
+    rest = labelled.join(chosen.select("key"), "key").select("key", "node", "label", bits.alias("bits"))
+    rows = ranked(rest.withColumn("grp", F.concat_ws(":", "key", "bits")), ["label", "node"])
+    most = F.greatest(F.lit(1), F.least(F.lit(setup.chunk), F.expr(f"shiftright({setup.chunk_bytes // 8}L, bits)")))
+    rows = stored(
+        rows.select("key", "bits", F.floor(F.col("rank") / most).alias("place"), "node", "label"), "similar-rest"
+    )
+    pieces = rows.groupBy("key", "bits", "place").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    a, b = pieces.alias("a"), pieces.alias("b")
+    apart = F.col("b.bits") - F.col("a.bits")
+    later = (apart == 0) & (F.col("b.place") >= F.col("a.place"))
+    fits = later | ((apart > 0) & (apart <= math.ceil(math.log2(1 / setup.least))))
+    several = F.least("a.lo", "b.lo") != F.greatest("a.hi", "b.hi")
+    ends = [F.struct(F.col(f"{x}.bits").alias("bits"), F.col(f"{x}.place").alias("place")) for x in "ab"]
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & fits & several).select(
+        F.col("a.key").alias("key"),
+        F.xxhash64("a.key", *ends).alias("task"),
+        F.explode(F.array_distinct(F.array(*ends))).alias("end"),
+    )
+    tasks = pairs.select("key", "end.*", "task")
+    return rows.join(tasks, ["key", "bits", "place"]).select("task", "node", "label")
 
 
 def similar_rows(docs: DataFrame, setup: Similar = Similar(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -465,29 +538,29 @@ def similar_rows(docs: DataFrame, setup: Similar = Similar(), text: str = "text"
     row = F.struct("doc_id", "own")
     nodes = stored(
         prints.groupBy("node").agg(
-            F.min(F.when(F.col("doc_id").isNotNull(), row)).alias("row"), F.first("keys").alias("keys")
+            F.min(F.when(F.col("doc_id").isNotNull(), row)).alias("row"),
+            F.first("keys").alias("keys"),
+            F.first("size").alias("size"),
         ),
         "similar-nodes",
     )
-    rows = nodes.filter(F.col("row").isNotNull()).select(F.explode("keys").alias("key"), "node")
-    by_key = Window.partitionBy("key").orderBy("node")
-    rows = rows.withColumns(
-        {"before": F.lag("node").over(by_key), "after": F.lead("node").over(by_key)}
-    )
-    met = stored(rows.filter("before is not null or after is not null").drop("after"), "similar-keys-met")
-    tasks = _tasks(met, setup)
-    wanted = nodes.join(tasks, "node").select("row.doc_id", "row.own", "node", "tasks")
-    sets = _sets(_with_own(docs, text, doc_id), stored(wanted, "similar-wanted"), setup)
+    rows = nodes.filter(F.col("row").isNotNull()).select(F.explode("keys").alias("key"), "node", "size")
+    several = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = stored(rows.join(several, "key"), "similar-keys-met")
+    wanted = nodes.join(met.select("node").distinct(), "node").select("row.doc_id", "row.own", "node")
+    sets = stored(_sets(_with_own(docs, text, doc_id), stored(wanted, "similar-wanted"), setup), "similar-sets")
+    first = _to_pivots(met, sets, setup)
+    tasks = _pieces(met, components(first), setup).join(sets, "node").select("task", "node", "label", "members")
     found = (
-        sets.repartition(partitions(docs.sparkSession), "task")
+        tasks.repartition(partitions(docs.sparkSession), "task")
         .sortWithinPartitions("task")
         .mapInArrow(compare_sets(setup.least), "a long, b long")
     )
-    parts = components(stored(found, "similar-links"))
+    parts = components(first.unionByName(stored(found, "similar-links")))
     named = nodes.select("node", "row").join(parts, "node", "left")
     named = named.select("node", "row", F.coalesce("component", "node").alias("component"))
-    first = named.groupBy("component").agg(F.min("row").alias("first"))
-    named = stored(named.join(first, "component").select("node", "first"), "named")
+    first_row = named.groupBy("component").agg(F.min("row").alias("first"))
+    named = stored(named.join(first_row, "component").select("node", "first"), "named")
     return prints.join(named, "node").select(
         "doc_id",
         "own",
