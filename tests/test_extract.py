@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacancia.operators import adapters
-from vacancia.plans.extract import extract_postings
+from vacancia.plans.extract import extract_postings, write_parsed
 
 # Filler of a known length: a sentence of made-up words over and over.
 SENTENCE = "Brindle tovas keep the quarlow lamps lit while orrin ferries cross at noon. "
@@ -258,6 +258,17 @@ def test_plan_parses_once_without_a_shuffle(spark):
     assert text.index("ArrowEvalPython") < text.index("Filter (", text.index("ArrowEvalPython"))
 
 
+def test_parsed_pages_are_read_without_python(spark, tmp_path, read):
+    """The same postings, page by page."""
+    rows = [(name, url, html) for name, (url, html, _) in PAGES.items()]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    write_parsed(df, str(tmp_path / "parsed"))
+    again = extract_postings(spark.read.parquet(str(tmp_path / "parsed")))
+    assert {r["page_id"]: r for r in again.select(*again.columns).collect()} == read
+    titles = again.select("page_id", "posting.title")
+    assert "ArrowEvalPython" not in plan(titles) and "Exchange" not in plan(titles)
+
+
 def test_a_stored_host_is_pushed_to_the_scan(spark, tmp_path):
     rows = [(k, f"https://site{k}.test/", f"site{k}.test", "x") for k in range(50)]
     rows += [(99, "https://jobs.rbc.com/q", "jobs.rbc.com", f'<p data-ph-at-id="job-description">{SHORT}')]

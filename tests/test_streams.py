@@ -22,7 +22,8 @@ from tests.test_tables import (
 from vacancia.operators import submissions, timeline
 from vacancia.operators.remote import first_fetches
 from vacancia.sources import pages, stored
-from vacancia.streaming import ordered, runs, tables
+from vacancia.plans import flow
+from vacancia.streaming import ordered, runs, sending, tables
 
 
 def in_files(spark, rows, schema, folder, n_files):
@@ -289,3 +290,32 @@ def test_a_token_is_spent_once(spark, tmp_path):
     write(confirms(("t1", at(3)), ("t2", at(4))), 1)
     done = stored.read_batches(spark, path).collect()
     assert sorted((r["pending_token"], r["date_applied"]) for r in done) == [("t1", at(5)), ("t2", at(4))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_send_results_as_a_stream_equal_the_batch(spark, tmp_path, seed):
+    """In any split of the ordered postings, with some logged before and some refused."""
+    made = sorted(make_postings(30 + seed, 120), key=lambda r: (r[1], r[0]))
+    schema = POSTING.replace("posting_id", "capture_id")
+    extra = {c: F.lit(None).cast("string") for c in ("location", "salary_raw", "description_text")}
+
+    def frame(part):
+        return spark.createDataFrame(part, schema).withColumns(extra)
+
+    apps = spark.createDataFrame([("a1", "Acme", "Lead", "Applied", at(5), "u1"), ("a2", "X", "Y", "Applied", at(1), made[9][4])], APPLICATION)
+    staged = submissions.stage_submissions(frame(made), apps, "detected_at", "capture_id")
+    refused = staged.filter("capture_id % 3 = 0").select("pending_token", F.concat(F.lit("no "), "capture_id").alias("error"))
+    refused = spark.createDataFrame(refused.collect(), "pending_token string, error string")
+    want = flow.send_results(frame(made), apps, "https://x/", refused)
+    rng = random.Random(seed)
+    cuts = [0, *sorted(rng.sample(range(1, len(made)), 2)), len(made)]
+    for a, b in zip(cuts, cuts[1:]):
+        frame(made[a:b]).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = runs.stateful(spark).readStream.schema(frame([]).schema).parquet(str(tmp_path / "in"))
+        got = runs.drain_to_table(sending.send_stream(stream, apps, "https://x/", refused), str(tmp_path / "run"))
+    columns = sorted(want.columns)
+    rows = sorted(map(str, want.select(columns).collect()))
+    assert sorted(map(str, got.select(columns).collect())) == rows
+    assert len({r["outcome"] for r in got.collect()}) == 3
+    # What a batch looks up is state of its own keys; no table of earlier batches is read.
+    assert not [p for p in (tmp_path / "run").iterdir() if p.name not in ("out", "checkpoint")]

@@ -103,6 +103,24 @@ def test_posting_changes(spark, chunk, compare):
     assert got == expected
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_changes_day_by_day_equal_all_at_once(spark, seed):
+    """In random splits of the ordered rows; a streak goes on over days, also over ones without its tab."""
+    rng = random.Random(seed)
+    rows = sorted(make_extractions(40 + seed), key=lambda r: (r[1], r[2]))
+    cuts = [0, *sorted(rng.sample(range(1, len(rows)), 3)), len(rows)]
+    edges, got = None, []
+    for a, b in zip(cuts, cuts[1:]):
+        changes, found = timeline.changes_of_day(spark.createDataFrame(rows[a:b], EXTRACTION), edges)
+        got += changes.collect()
+        edges = spark.createDataFrame(found.collect(), timeline.EDGES)
+    want = timeline.posting_changes(spark.createDataFrame(rows, EXTRACTION)).collect()
+    keep = ("tab_id", "capture_id", "captured_at", "status", "changed", "detected_at")
+    told = lambda found: sorted(str([r[k] for k in keep]) for r in found)
+    assert told(got) == told(want)
+    assert edges.count() == len({r[0] for r in rows if r[3] != "loading"})
+
+
 def test_posting_changes_as_stated(spark):
     steps = [("ok", "A"), ("loading", "A"), ("ok", "A"), ("ok", "B"), ("not-found", ""), ("ok", "B")]
     rows = [("t", at(i), i, s, title, "c", "d") for i, (s, title) in enumerate(steps)]

@@ -52,10 +52,20 @@ def confirm_submissions(staged: DataFrame, confirms: DataFrame) -> DataFrame:
     """
     first = confirms.groupBy("pending_token").agg(F.min("date_applied").alias("date_applied"))
     return staged.join(first, "pending_token").withColumn(
-        "application_id", F.substring(F.col("pending_token"), 1, 32)
+        "application_id", application_id(F.col("pending_token"))
     )
 
 
+def application_id(token: Column) -> Column:
+    return F.substring(token, 1, 32)
+
+
+def refusals(refused: DataFrame) -> DataFrame:
+    """``pending_token, _error``: the least text of each token that was refused."""
+    text = F.coalesce(F.min("error"), F.lit(UNEXPECTED)).alias("_error")
+    return refused.groupBy("pending_token").agg(text)
+
+
 def expired_confirms(staged: DataFrame, confirms: DataFrame) -> DataFrame:
     """Confirmations of tokens nobody staged: status 410."""
     return (

@@ -158,6 +158,56 @@ def posting_changes(
     )
 
 
+EDGES = f"{TAB} string, at timestamp, digest string, since timestamp"
+
+
+def changes_of_day(
+    extractions: DataFrame,
+    edges: DataFrame | None,
+    compare: Sequence[str] = ("title", "description_text"),
+    chunk_us: int = HOUR,
+) -> tuple[DataFrame, DataFrame]:
+    """``posting_changes`` of one day after another, and the edges the next day goes on from.
+
+    ``edges`` holds of each tab seen so far one row: when it was last seen, what it showed and
+    since when. Days follow each other: no row of a day is earlier than one of a day before,
+    and where times are equal across days, the earlier day's row comes first. Earlier days are
+    not read again.
+    """
+    digest = F.col("digest")
+    if "digest" not in extractions.columns:
+        digest = digest_of(F.col("status"), [F.col(c) for c in compare])
+    rows = extractions.filter(F.col("status") != "loading").select(
+        TAB, AT, ROW, "status", digest.alias("digest")
+    )
+    if edges is None:
+        changes = posting_changes(rows, chunk_us=chunk_us)
+    else:
+        # A row ahead of the day's rows, at a time that no row of the day has, says what was shown.
+        kind = rows.schema[AT].dataType
+        mine = edges.join(rows.select(TAB).distinct(), edges[TAB].eqNullSafe(rows[TAB]), "left_semi")
+        ahead = (F.col("at") - F.expr("INTERVAL 1 MICROSECOND")).cast(kind)
+        told = mine.select(
+            TAB, ahead.alias(AT), F.lit(None).cast(rows.schema[ROW].dataType).alias(ROW), F.lit("before").alias("status"), "digest"
+        )
+        both = posting_changes(rows.unionByName(told), chunk_us=chunk_us).filter("status <> 'before'")
+        since = mine.select(F.col(TAB).alias("_tab"), ahead.alias("_ahead"), F.col("since").cast(kind).alias("_since"))
+        changes = both.join(since, F.col(TAB).eqNullSafe(F.col("_tab")), "left").withColumn(
+            "detected_at", F.when(F.col("detected_at") == F.col("_ahead"), F.col("_since")).otherwise(F.col("detected_at"))
+        ).drop("_tab", "_ahead", "_since")
+    last = rows.groupBy(TAB).agg(F.max_by(F.struct("digest", AT), _position()).alias("_last"))
+    began = changes.groupBy(F.col(TAB).alias("_tab")).agg(F.max_by(F.struct("detected_at"), _position()).alias("_began"))
+    now = last.join(began, F.col(TAB).eqNullSafe(F.col("_tab"))).select(
+        TAB,
+        F.col(f"_last.{AT}").cast("timestamp").alias("at"),
+        F.col("_last.digest").alias("digest"),
+        F.col("_began.detected_at").cast("timestamp").alias("since"),
+    )
+    if edges is not None:
+        now = now.unionByName(edges.join(rows.select(TAB).distinct(), edges[TAB].eqNullSafe(rows[TAB]), "left_anti"))
+    return changes, now
+
+
 def still_current(captures: DataFrame, arrivals: DataFrame, chunk_us: int = HOUR) -> DataFrame:
     """Add ``current`` to arrivals: the tab is on the URL that was asked for.
 

@@ -41,16 +41,18 @@ def read_postings(
     ``among`` names the sites that can occur, where that is known: the plan then
     holds the selectors of no others. A claimed page that is no single posting is
     ``hidden``; its content does not reach the parser. Copies are not ``gated``: the
-    address that decides is that of the page they stand for.
+    address that decides is that of the page they stand for. Pages that come parsed, as
+    ``write_parsed`` has stored them, are not parsed again.
     """
     among = [INDEED, *(a.adapter_id for a in adapters())] if among is None else among
     on_indeed = F.col("adapter_id") == INDEED
     url, is_posting = F.col("url"), F.col("_is_posting")
     allowed = is_posting_page(F.col("adapter_id"), url) if gated else F.lit(True)
-    known = routed.withColumn("_is_posting", allowed)
-    read = with_dom(
-        known.withColumn("html", F.when(is_posting, F.col("html"))), attributes_read(among)
-    )
+    read = routed.withColumn("_is_posting", allowed)
+    if "dom_nodes" not in routed.columns:
+        read = with_dom(
+            read.withColumn("html", F.when(is_posting, F.col("html"))), attributes_read(among)
+        )
     # Both kinds of pages go through the same stages, so a page's elements are
     # handed on as seldom as possible.
     others = indeed_stages(on_indeed) if INDEED in among else []
@@ -68,7 +70,7 @@ def read_postings(
         .otherwise(F.lit("not-found"))
     )
     confidence = let(F.col("posting"), lambda p: p["detection"]["confidence"])
-    kept = [*routed.drop("html").columns, "_is_posting"]
+    kept = [c for c in routed.columns if c != "html" and not c.startswith("dom_")] + ["_is_posting"]
     read = stage(read, status=status, posting=posting).select(*kept, "status", "posting")
     read = stage(read, outcome=outcome(F.col("status"), confidence, is_posting))
     return read.drop("_is_posting")
@@ -84,3 +86,14 @@ def extract_postings(pages: DataFrame) -> DataFrame:
         pages = pages.filter(claimed_host(F.col("host"))).drop("host")
     routed = route(pages.filter(in_scope(F.col("url")))).filter(F.col("adapter_id").isNotNull())
     return read_postings(routed)
+
+
+def write_parsed(pages: DataFrame, path: str, attributes: Sequence[str] = ()) -> None:
+    """Store pages as the parser reads them, beside their columns but ``html``.
+
+    The attributes kept are those that the sites' selectors read now, and ``attributes``;
+    a site registered later that reads others needs the pages parsed again. A query over the
+    stored pages reads the fields it uses and runs no Python.
+    """
+    among = [INDEED, *(a.adapter_id for a in adapters())]
+    with_dom(pages, {*attributes_read(among), *attributes}).write.parquet(path)

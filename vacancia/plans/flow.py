@@ -155,6 +155,20 @@ def new_submissions(sent: DataFrame, applications: DataFrame) -> DataFrame:
     return submissions.stage_submissions(sent, applications, "detected_at", timeline.ROW)
 
 
+def ended_outcome(row: Column, winner: Column, token: Column, at: Column) -> list[Column]:
+    """What became of a posting that was not logged before, told by the one sent for its role
+    (``winner``) with its token, and by ``_error``, null where that one was accepted."""
+    accepted, own = F.col("_error").isNull(), row == winner
+    return [
+        row,
+        F.when(~accepted, F.lit("error")).when(own, F.lit("sent")).otherwise(F.lit("already-logged")).alias("outcome"),
+        F.when(accepted, submissions.application_id(token)).alias("application_id"),
+        F.lit(None).cast("string").alias("matched_by"),
+        F.col("_error").alias("error"),
+        F.when(accepted & own, at).alias("date_applied"),
+    ]
+
+
 def send_results(
     sent: DataFrame, applications: DataFrame, base_url: str, refused: DataFrame | None = None
 ) -> DataFrame:
@@ -175,36 +189,19 @@ def send_results(
     staged = submissions.staged_rows(lookup.first_by(per_url, F.col("role"), order, row))
     tokens = staged.select(row, "role", "pending_token")
     if refused is not None:
-        bad = refused.groupBy("pending_token").agg(
-            F.coalesce(F.min("error"), F.lit(submissions.UNEXPECTED)).alias("_error")
-        )
-        tokens = tokens.join(bad, "pending_token", "left")
+        tokens = tokens.join(submissions.refusals(refused), "pending_token", "left")
     else:
         tokens = tokens.withColumn("_error", F.lit(None).cast("string"))
-    made = tokens.select(
-        "role",
-        F.col(row).alias("_winner"),
-        F.substring("pending_token", 1, 32).alias("_made"),
-        "_error",
-    )
+    made = tokens.select("role", F.col(row).alias("_winner"), "pending_token", "_error")
     # A posting repeats the first one with its URL, and that one the first of its role.
     urls = per_url.filter(F.col("source_url").isNotNull()).select(
         "source_url", F.col("role").alias("_url_role")
     )
     narrow = fresh.select(row, order, "source_url", "role")
     known = narrow.join(urls, "source_url", "left").withColumn("role", F.coalesce("_url_role", "role"))
-    accepted, own = F.col("_error").isNull(), F.col(row) == F.col("_winner")
     none = F.lit(None)
     ended = known.join(made, "role").select(
-        row,
-        F.when(~accepted, F.lit("error"))
-        .when(own, F.lit("sent"))
-        .otherwise(F.lit("already-logged"))
-        .alias("outcome"),
-        F.when(accepted, F.col("_made")).alias("application_id"),
-        none.cast("string").alias("matched_by"),
-        F.col("_error").alias("error"),
-        F.when(accepted & own, F.col(order)).alias("date_applied"),
+        *ended_outcome(F.col(row), F.col("_winner"), F.col("pending_token"), F.col(order))
     )
     logged = looked.filter(F.col("match").isNotNull()).select(
         row,

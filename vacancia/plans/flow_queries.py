@@ -19,7 +19,8 @@ from vacancia.plans.page_templates import (
 )
 from vacancia.plans.table_queries import HOURS
 from vacancia.plans.tables import dealt, fmt, table
-from vacancia.streaming.runs import new_folder
+from vacancia.streaming.runs import drain_to_table, new_folder, stateful
+from vacancia.streaming.sending import send_stream
 
 SITE_RULES = flow.Rules(3 * HOURS, True, ("title", "description_text"))
 INDEED_RULES = flow.Rules(6 * HOURS, False, ("title", "company", "description_text"))
@@ -121,6 +122,27 @@ def flow_send_results(spark: SparkSession, sf: str) -> DataFrame:
     return flow.send_results(sent, logged, BASE, refused)
 
 
+def flow_send_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream with keyed state, over postings that come in three ranges of time."""
+    folder = new_folder(spark, "send-stream")
+    rows = _sent(spark, sf)
+    rows.write.parquet(f"{folder}/sent")
+    sent = spark.read.schema(rows.schema).parquet(f"{folder}/sent")
+    logged = _logged(sent)
+    staged = flow.new_submissions(sent, logged).filter(F.col("capture_id") % 11 == 0)
+    staged.select("pending_token", F.lit(REFUSED).alias("error")).write.parquet(f"{folder}/refused")
+    refused = spark.read.schema("pending_token string, error string").parquet(f"{folder}/refused")
+    at = F.unix_micros(F.col("detected_at").cast("timestamp"))
+    low, high = sent.agg(F.min(at), F.max(at)).first()
+    third = F.least(F.lit(2), F.floor(3 * (at - (low or 0)) / max(1, (high or 0) - (low or 0))))
+    stream = stateful(spark).readStream.schema(rows.schema)
+    for k in range(3):
+        sent.filter(third == k).write.mode("append").parquet(f"{folder}/in")
+        # The stream goes on from its checkpoint with the files that are new.
+        out = drain_to_table(send_stream(stream.parquet(f"{folder}/in"), logged, BASE, refused), f"{folder}/run")
+    return out
+
+
 def flow_health(spark: SparkSession, sf: str) -> DataFrame:
     results, stored = _results(spark, sf)
     return flow.health_after(results, stored).select(
@@ -150,7 +172,7 @@ def flow_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (capture_flow, flow_submissions, flow_send_results, flow_health, flow_stream)
+    for f in (capture_flow, flow_submissions, flow_send_results, flow_send_stream, flow_health, flow_stream)
 }
 
 
@@ -269,3 +291,5 @@ ORACLES = {
         FROM flow WHERE status <> 'hidden' AND odd = 0
         QUALIFY row_number() OVER (PARTITION BY adapter_id ORDER BY seen DESC, event_id DESC) = 1""",
 }
+
+ORACLES["flow_send_stream"] = ORACLES["flow_send_results"]

@@ -12,6 +12,7 @@ from vacancia.plans.page_queries import flat
 from vacancia.plans.page_templates import GUEST, RATED, documents
 from vacancia.plans.scalar_queries import NOW
 from vacancia.plans.tables import fmt, pick, table
+from vacancia.streaming.runs import new_folder
 
 HOURS = 3600 * 1_000_000
 ADAPTER_IDS = ("rbc", "walmart", "bestbuy-ca", "cibc", "linkedin", "shopify")
@@ -73,6 +74,25 @@ def posting_changes_sites(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("capture_id", "status", "changed", "detected_at")
 
 
+def posting_changes_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The changes of four stretches of days, one after another; each reads its own days and
+    the edges that the one before left."""
+    folder = new_folder(spark, "changes-by-day")
+    rows = extractions(spark, sf)
+    days = F.to_date("captured_at")
+    first, last = rows.agg(F.min(days), F.max(days)).first()
+    n = 1 + (last - first).days if first else 1
+    part = F.floor(4 * F.date_diff(days, F.lit(first)) / n)
+    edges = None
+    for k in range(4):
+        changes, found = timeline.changes_of_day(rows.filter(part == k), edges)
+        changes.write.mode("append").parquet(f"{folder}/changes")
+        found.write.parquet(f"{folder}/edges-{k}")
+        edges = spark.read.schema(timeline.EDGES).parquet(f"{folder}/edges-{k}")
+    done = spark.read.schema(changes.schema).parquet(f"{folder}/changes")
+    return done.select("capture_id", "status", "changed", "detected_at")
+
+
 def posting_changes_indeed(spark: SparkSession, sf: str) -> DataFrame:
     rows = timeline.posting_changes(
         extractions(spark, sf), compare=("title", "company", "description_text")
@@ -317,6 +337,7 @@ QUERIES = {
         debounce_sites,
         debounce_indeed,
         posting_changes_sites,
+        posting_changes_by_day,
         posting_changes_indeed,
         stale_guard,
         first_remote_copy,
@@ -451,6 +472,7 @@ ORACLES = {
     "debounce_sites": _debounce_sql("(prev IS NULL OR prev <> event_type)", 2),
     "debounce_indeed": _debounce_sql("(prev IS NULL OR event_type = 'signup')", 5),
     "posting_changes_sites": _changes_sql(""),
+    "posting_changes_by_day": _changes_sql(""),
     "posting_changes_indeed": _changes_sql("event_id % 2,"),
     "stale_guard": """
         SELECT a.event_id AS capture_id, a.at AS captured_at, c.event_type = a.event_type AS current
