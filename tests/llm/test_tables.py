@@ -146,6 +146,21 @@ def test_other_vocabularies_are_left_to_the_tokenizer():
     assert np.frombuffer(words.ids(["Some words"])[0], words.kind).tolist() == own.encode("Some words", add_special_tokens=False).ids
 
 
+def test_ids_equal_the_tokenizer_on_random_texts():
+    """Thousands of texts of awkward characters: spaces, controls, marks, joiners, digits, scripts."""
+    words, own = packing.words_of(SETUP.vocabulary), tokenizer()
+    rng = np.random.default_rng(11)
+    awkward = list(" \t\n\r\x0b\x00\x7f\u00a0\u200b\u200d\u2028\ufeff\u0301'’s_-.,!?09٣aZéßİıǅ한字🙂👩\U0001f1e9\U0010ffff") + [
+        "'ll", "  ", "\r\n", "<|endoftext|>", "the", " The", "123456"
+    ]
+    texts = ["".join(rng.choice(awkward, size=rng.integers(0, 40))) for _ in range(6000)]
+    texts += ["".join(rng.choice(awkward, size=20_000))]
+    got = words.ids(texts)
+    for text, raw in zip(texts, got):
+        want = own.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(raw, words.kind).tolist() == want, repr(text)
+
+
 @pytest.mark.parametrize("columns", [cases.frame, cases.clashing])
 def test_packing_is_gapless_and_whole(spark, columns):
     own = tokenizer()

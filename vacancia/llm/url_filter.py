@@ -4,8 +4,8 @@ A rule decides where one fits. Other URLs are searched for vocabulary terms stan
 between characters that are neither letters nor digits: one strict term, or distinct
 soft terms whose weights reach the threshold, block the URL.
 
-Nulls and URLs without ``://`` have an empty host and path, fit no rule and hold no
-term, so they are allowed. Repeated rows are judged each. Other columns stay.
+Nulls and URLs without ``://`` have an empty host and path and fit no rule; the text of
+the latter is searched like any other. Repeated rows are judged each. Other columns stay.
 """
 
 from __future__ import annotations
