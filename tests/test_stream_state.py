@@ -44,6 +44,20 @@ def started(op, slot_ms):
     return handle
 
 
+def test_rows_of_a_quiet_tab_share_the_calls():
+    """As many slots as rows, and one run, one timer and one answer for all of them."""
+    op = ordered._Changes()
+    handle = started(op, 60_000)
+    rows = [(k * 3_600_000_000, k, "ok", f"d{k // 3}") for k in range(200)]
+    op.handleInputRows(("t",), iter([pd.DataFrame(rows, columns=["at", "capture_id", "status", "digest"])]), Times(0))
+    assert len(handle.timers) == 1 and op.slots.calls == op.parts.calls == 1
+    watermark = op._due(op._slot(rows[-1]))
+    frames = list(op.handleExpiredTimer(("t",), Times(watermark), Times(min(handle.timers))))
+    assert [len(f) for f in frames] == [200] and not op.slots and not op.parts
+    assert [r.changed for r in frames[0].itertuples()] == [k % 3 == 0 for k in range(200)]
+    assert frames[0]["detected_at"].tolist() == [pd.Timestamp(k // 3 * 3 * 3_600, unit="s") for k in range(200)]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_runs_give_the_order_of_time_however_rows_arrive(monkeypatch, seed):
     """In time order or in any, with the watermark close behind or far; no long list is held."""
