@@ -87,3 +87,45 @@ def test_runs_give_the_order_of_time_however_rows_arrive(monkeypatch, seed):
     ]
     assert [(r.capture_id, r.immediate) for r in out] == want
     assert not op.slots and not op.parts and sum(held) == n and max(held) < 300
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_addresses_of_a_bucket_are_answered_once(seed):
+    """The first answer of each, over many micro-batches; an address with most of them stays small."""
+    rng = random.Random(seed)
+    op = ordered._FirstCopy()
+    handle = started(op, 1_000)
+    op.forget_ms = 50_000
+    rows = [
+        (rng.randrange(20_000_000), k, bool(k % 2), rng.choice([None, "a", "a", "a", f"u{k % 40}"]))
+        for k in range(4_000)
+    ]
+    rows.sort(key=lambda r: r[0] + rng.randrange(100_000))
+    out = []
+    for a in range(0, 4_000, 1_000):
+        frame = pd.DataFrame(rows[a : a + 1_000], columns=["at", "fetch_id", "ok", "remote_url"])
+        op.handleInputRows((7,), iter([frame]), Times(0))
+        out += ring(op, handle, (7,), min((r[0] for r in rows[a + 1_000 :]), default=40_000_000) // 1000 - 1)
+    first = {}
+    for row in sorted(rows, key=lambda r: r[:3]):
+        first.setdefault(row[3], row[:3])
+    got = {r.remote_url: (r.fetched_at.value // 1000, r.fetch_id, r.ok) for r in out}
+    assert len(out) == len(first) and got == first
+    assert len(op.known) == len(first) and op.known.calls < 40 * len(first)
+    # Addresses are forgotten when they have not been seen for long; until then they are known.
+    late = pd.DataFrame([(60_000_000, 9_000, True, "a")], columns=["at", "fetch_id", "ok", "remote_url"])
+    op.handleInputRows((7,), iter([late]), Times(0))
+    assert ring(op, handle, (7,), 62_000) == [] and ("=a",) in op.known
+    ring(op, handle, (7,), 100_000)
+    assert list(op.known) == [("=a",)]
+    ring(op, handle, (7,), 200_000)
+    assert not op.known and not handle.timers
+
+
+def test_answers_of_one_address_in_a_slot_wait_as_one():
+    op = ordered._FirstCopy()
+    started(op, 60_000)
+    rows = [(1_000 + (k * 7) % 500, k, True, "a") for k in range(500)]
+    op.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["at", "fetch_id", "ok", "remote_url"])]), Times(0))
+    assert [p for p, in op.parts.values()] and op.slots[(0,)] == (1, 1_000)
+    assert len(op.thin(rows)) == 1
