@@ -19,3 +19,20 @@ def test_only_postings_that_ask_meet_the_copies(spark):
     got = sorted(str(r) for r in stored.select(columns).collect())
     assert got == sorted(str(r) for r in whole.select(columns).collect())
     assert met.filter("from_remote").count() > 0
+
+
+def test_the_text_is_digested_ahead_of_the_join(spark):
+    results, stored = flow_queries._results(spark, SF)
+    sent = flow.candidates(results, stored)
+    assert "pending_token" in sent.columns
+    told = flow.send_results(sent, flow_queries._logged(sent), "https://x/")
+    plan = told._jdf.queryExecution().optimizedPlan()
+
+    def joined(node):
+        name = node.nodeName()
+        out = [a for a in str(node.output().mkString(",")).split(",")] if name in ("Join", "Window") else []
+        kids = node.children()
+        return out + [c for i in range(kids.size()) for c in joined(kids.apply(i))]
+
+    columns = {c.split("#")[0] for c in joined(plan)}
+    assert "pending_token" in columns and not columns & {"description_text", "posting", "job_posting_text"}

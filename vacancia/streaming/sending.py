@@ -108,7 +108,7 @@ def send_stream(
     """
     looked = lookup.lookup_existing(sent, applications, row)
     role = lookup.role_key(F.col("company"), F.col("title"))
-    fresh = submissions.staged_rows(looked.filter(F.col("match").isNull())).select(
+    fresh = submissions.with_token(looked.filter(F.col("match").isNull())).select(
         spread_nulls(F.col("source_url"), F.col(row)).alias("url_key"),
         F.col("source_url").isNotNull().alias("has_url"),
         F.col(row).cast("long").alias("capture_id"),
