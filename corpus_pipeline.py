@@ -52,8 +52,12 @@ def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id, known by id and text."""
-    rows = simhash_dedup.similar_rows(docs)
+    """Of each group of near-duplicates the row with the smallest doc_id, known by id and text.
+
+    Texts whose SimHash fingerprints are linked meet, and those that share a key of their
+    shingle sets; what meets is confirmed by the sets themselves."""
+    near = stored(simhash_dedup.near_rows(docs), "pipeline-simhash")
+    rows = simhash_dedup.similar_rows(docs, near=near)
     other = (F.col("doc_id") != F.col("component_id")) | (F.col("own") != F.col("component_own"))
     dropped = rows.filter(other).select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"))
     here = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__own"))

@@ -531,9 +531,26 @@ def _pieces(met: DataFrame, known: DataFrame, setup: Similar) -> DataFrame:
     return rows.join(tasks, ["key", "bits", "place"]).select("task", "node", "label")
 
 
-def similar_rows(docs: DataFrame, setup: Similar = Similar(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and ``own``, as ``similar_rows`` knows rows, and the component of each by SimHash."""
+    row = F.xxhash64("doc_id", "own")
+    rows = _with_own(docs, text, doc_id).filter(F.col("doc_id").isNotNull())
+    rows = rows.select("doc_id", "own", "text", row.alias("row")).dropDuplicates(["doc_id", "own"])
+    found = near_duplicates(rows, doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
+    return rows.select("doc_id", "own", "row").join(found, "row").select("doc_id", "own", "component_id")
+
+
+def similar_rows(
+    docs: DataFrame,
+    setup: Similar = Similar(),
+    text: str = "text",
+    doc_id: str = "doc_id",
+    near: DataFrame | None = None,
+) -> DataFrame:
     """doc_id and ``own``, the XXH64 of the text as it is, of each row; component_id and
-    component_own, those of the smallest row of its component that has a doc_id."""
+    component_own, those of the smallest row of its component that has a doc_id.
+
+    Rows of one component of ``near`` (``near_rows``) meet as those that share a key do."""
     prints = stored(set_keys(docs, setup, text, doc_id), "similar-keys")
     row = F.struct("doc_id", "own")
     nodes = stored(
@@ -545,6 +562,10 @@ def similar_rows(docs: DataFrame, setup: Similar = Similar(), text: str = "text"
         "similar-nodes",
     )
     rows = nodes.filter(F.col("row").isNotNull()).select(F.explode("keys").alias("key"), "node", "size")
+    if near is not None:
+        close = near.join(prints.select("doc_id", "own", "node"), ["doc_id", "own"])
+        close = close.select(F.xxhash64(F.lit("simhash"), "component_id").alias("key"), "node").distinct()
+        rows = rows.unionByName(close.join(nodes.filter("size > 0").select("node", "size"), "node"))
     several = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = stored(rows.join(several, "key"), "similar-keys-met")
     wanted = nodes.join(met.select("node").distinct(), "node").select("row.doc_id", "row.own", "node")
