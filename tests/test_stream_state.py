@@ -129,3 +129,89 @@ def test_answers_of_one_address_in_a_slot_wait_as_one():
     op.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["at", "fetch_id", "ok", "remote_url"])]), Times(0))
     assert [p for p, in op.parts.values()] and op.slots[(0,)] == (1, 1_000)
     assert len(op.thin(rows)) == 1
+
+
+def test_quiet_tabs_of_a_bucket_share_the_calls():
+    """As many tabs as rows, and one run, one timer and one frame for all of them."""
+    op = ordered._Together(ordered._Changes())
+    handle = started(op, 60_000)
+    op.forget_ms = 1_000
+    rows = [(k * 1_000_000, k, "ok", f"d{k}", f"t{k % 500}") for k in range(1_000)]
+    frame = pd.DataFrame(rows, columns=["at", "capture_id", "status", "digest", "tab_id"])
+    op.handleInputRows((7,), iter([frame[k : k + 100] for k in range(0, 1_000, 100)]), Times(0))
+    assert len(handle.timers) == 1 and op.slots.calls == op.parts.calls == 1
+    (out,) = op.handleExpiredTimer((7,), Times(10**9), Times(min(handle.timers)))
+    assert len(out) == 1_000 and out["changed"].all()
+    # What the watermark is so far past that it is forgotten is not written.
+    assert not op.slots and not op.parts and not op.known and not op.known.calls
+
+
+def cut(op, handle, rows, columns, cuts, far):
+    """Rows in micro-batches, the watermark just behind what is to come; what comes out."""
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        frame = pd.DataFrame(rows[a:b], columns=columns)
+        op.handleInputRows((3,), iter([frame[k : k + 50] for k in range(0, len(frame), 50)]), Times(0))
+        out += ring(op, handle, (3,), min((r[0] for r in rows[b:]), default=far * 1000) // 1000 - 1)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_each_tab_of_a_bucket_is_taken_by_itself(monkeypatch, seed):
+    """Whatever the micro-batches, pieces and slots; also where tab, address and time tie or are null."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(ordered, "PACKED", 4)
+    monkeypatch.setattr(ordered, "HELD", 64)
+    tabs = [None, "", "busy", "busy", *(f"t{k}" for k in range(80))]
+    rows = [(rng.randrange(2_000) * 1_000, k, rng.choice(["x", "y", None]), k % 9 == 0, rng.choice(tabs)) for k in range(2_000)]
+    arriving = sorted(rows, key=lambda r: r[0] + rng.randrange(300_000))
+    cuts = [0, *sorted(rng.sample(range(2_000), 5)), 2_000] if seed % 2 else [0, 2_000]
+    by_tab = {}
+    for row in sorted(rows, key=lambda r: r[:2]):
+        by_tab.setdefault(row[4], []).append(row)
+
+    op = ordered._Together(ordered._Debounce(5_000, True))
+    handle = started(op, 5 if seed < 3 else 60)
+    out = cut(op, handle, arriving, ["at", "capture_id", "url", "immediate", "tab_id"], cuts, 20_000)
+    want = [
+        (str(tab), r[1], r[3] or k == 0 or r[2] != own[k - 1][2])
+        for tab, own in by_tab.items()
+        for k, r in enumerate(own)
+        if r[3] or k == 0 or r[2] != own[k - 1][2] or k + 1 == len(own) or own[k + 1][0] - r[0] >= 5_000
+    ]
+    assert sorted((str(r.tab_id), r.capture_id, r.immediate) for r in out) == sorted(want)
+    assert not op.slots and not op.parts and len(op.known) == len(by_tab)
+
+    op = ordered._Together(ordered._Changes())
+    handle = started(op, 5 if seed < 3 else 60)
+    read = [(at, k, "ok", url or "", tab) for at, k, url, _, tab in arriving]
+    out = cut(op, handle, read, ["at", "capture_id", "status", "digest", "tab_id"], cuts, 20_000)
+    want = []
+    for tab, own in by_tab.items():
+        since = None
+        for k, r in enumerate(own):
+            changed = r[2] is not None and (k == 0 or r[2] != own[k - 1][2])
+            since = r[0] if changed else since
+            want.append((str(tab), r[1], changed, since if r[2] else -1))
+    told = [-1 if pd.isna(r.detected_at) else r.detected_at.value // 1000 for r in out]
+    assert sorted((str(r.tab_id), r.capture_id, r.changed, at) for r, at in zip(out, told)) == sorted(want)
+
+
+def test_tabs_of_a_bucket_are_forgotten_each_in_its_time():
+    op = ordered._Together(ordered._Changes())
+    handle = started(op, 1_000)
+    op.forget_ms = 50_000
+    columns = ["at", "capture_id", "status", "digest", "tab_id"]
+
+    def came(at, k, tab, watermark):
+        op.handleInputRows((0,), iter([pd.DataFrame([(at * 1000, k, "ok", "d", tab)], columns=columns)]), Times(0))
+        return [bool(r.changed) for r in ring(op, handle, (0,), watermark)]
+
+    assert came(1_000, 1, "a", 5_000) == [True] and came(40_000, 2, "b", 45_000) == [True]
+    # A row that came in time is taken before its tab is forgotten.
+    assert came(49_000, 3, "a", 60_000) == [False]
+    ring(op, handle, (0,), 95_000)
+    assert set(op.known) == {("=a",)}
+    ring(op, handle, (0,), 200_000)
+    assert not op.known and not handle.timers
+    assert came(201_000, 4, "a", 203_000) == [True]
