@@ -215,3 +215,15 @@ def test_tabs_of_a_bucket_are_forgotten_each_in_its_time():
     ring(op, handle, (0,), 200_000)
     assert not op.known and not handle.timers
     assert came(201_000, 4, "a", 203_000) == [True]
+
+
+def test_addresses_that_are_forgotten_at_once_cost_no_calls():
+    """The watermark is far past all answers: none is looked up, none is written."""
+    op = ordered._FirstCopy()
+    handle = started(op, 60_000)
+    op.forget_ms = 1_000
+    rows = [(k * 1_000_000, k, True, f"u{k % 900}") for k in range(1_000)]
+    op.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["at", "fetch_id", "ok", "remote_url"])]), Times(0))
+    op.known.getValue = None
+    (out,) = op.handleExpiredTimer((7,), Times(10**9), Times(min(handle.timers)))
+    assert sorted(out["fetch_id"]) == list(range(900)) and not op.known.calls and not op.slots
