@@ -1,6 +1,11 @@
 """What the flow moves: postings that ask for no copy meet none, and texts stay where they lie."""
 
+from pathlib import Path
+
+import pyarrow.parquet as pq
+
 from vacancia.plans import flow, flow_queries
+from vacancia.session import checkpoint_root
 from vacancia.streaming.runs import new_folder
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +41,24 @@ def test_the_text_is_digested_ahead_of_the_join(spark):
 
     columns = {c.split("#")[0] for c in joined(plan)}
     assert "pending_token" in columns and not columns & {"description_text", "posting", "job_posting_text"}
+
+
+def test_captures_of_the_stream_lie_spread_over_all_cores(spark):
+    """Tables of one file each: captures come in a file per partition at least, of like size, and
+    the join that makes them is no broadcast."""
+    rows = flow_queries.captures(spark, SF, spread=True).select("capture_id", "html")
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        flow_queries.flow_stream(spark, SF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    root = checkpoint_root(spark).removeprefix("file://")
+    folder = max(Path(root).glob("flow-stream-*"), key=lambda p: p.stat().st_mtime)
+    sizes = [pq.read_metadata(f).num_rows for f in (folder / "captures").glob("*.parquet")]
+    sizes = [n for n in sizes if n]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    # Read in two micro-batches, whatever the number of files.
+    assert len(list((folder / "read" / "checkpoint" / "commits").glob("[0-9]*"))) == 2
