@@ -233,6 +233,24 @@ def test_stale_guard_stream(spark, tmp_path, n_files):
     assert 0 < sum(c for *_, c in got) < len(got)
 
 
+def test_state_is_committed_by_its_changes_and_rows_come_in_large_frames(spark, tmp_path):
+    """A join of streams keeps one store a partition; a bucket's rows are one frame, not many."""
+    times = "tab_id string, captured_at timestamp, capture_id long, url string"
+    rows = [("a", at(i), i, "u") for i in range(3_000)]
+    captures = in_files(spark, [*rows, (*END, 9_998, "x")], times, str(tmp_path / "in"), 1)
+    told = "remote_url string, fetched_at timestamp, fetch_id long"
+    first = in_files(spark, [("1", at(1), 1), ("end", END[1], 1)], told, str(tmp_path / "answers"), 1)
+    arrived = ordered.answered_stream(
+        captures.filter("capture_id % 2 = 0"), F.col("capture_id").cast("string"), first, "2 SECONDS", "1 SECOND", "10 seconds"
+    )
+    guarded = ordered.stale_guard_stream(captures, arrived, "10 seconds")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) >= 3_000
+    out = runs.drain_to_table(guarded, str(tmp_path / "run"))
+    assert out.filter("tab_id = 'a'").count() == 1_500
+    files = {p.relative_to(tmp_path / "run/checkpoint/state") for p in (tmp_path / "run/checkpoint/state").rglob("*.changelog")}
+    assert files and not [p for p in files if "left" in str(p) or "right" in str(p)]
+
+
 def test_health_stream_and_replay(spark, tmp_path):
     rows = [("rbc" if i % 3 else "cibc", "L", "h", "dedicated", "json-ld", at(i), f"T{i}", i) for i in range(30)]
     folder, path = str(tmp_path / "in"), str(tmp_path / "health")
