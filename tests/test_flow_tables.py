@@ -1,5 +1,6 @@
 """What the flow moves: postings that ask for no copy meet none, and texts stay where they lie."""
 
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pyarrow.parquet as pq
@@ -62,3 +63,28 @@ def test_captures_of_the_stream_lie_spread_over_all_cores(spark):
     assert max(sizes) < 2 * sum(sizes) / len(sizes)
     # Read in two micro-batches, whatever the number of files.
     assert len(list((folder / "read" / "checkpoint" / "commits").glob("[0-9]*"))) == 2
+
+
+def test_captures_are_dealt_by_page_and_events_meet_no_filter_of_pages(spark, tmp_path):
+    """However few files the tables are, each partition has captures to read."""
+    docs = [(k, f"Text {k} " * 30, "en", "web", 240) for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(
+        1
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(k, datetime(2024, 1, 1) + timedelta(minutes=k), k // 3, "view", 1.0, "{}") for k in range(600)]
+    spark.createDataFrame(
+        events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    rows = flow_queries.captures(spark, str(tmp_path), True, 11)
+    assert rows.count() == 600
+    assert all(rows.rdd.glom().map(len).collect()) and rows.rdd.getNumPartitions() == 11
+    plan = flow._routed(rows)._jdf.queryExecution().optimizedPlan()
+
+    def of_events(node):
+        """Conditions on events that have no page yet."""
+        columns = {a.split("#")[0] for a in node.output().mkString(",").split(",")}
+        own = node.nodeName() == "Filter" and "event_id" in columns and "url" not in columns
+        kids = node.children()
+        return [node.toString().split("\n")[0]] * own + [c for i in range(kids.size()) for c in of_events(kids.apply(i))]
+
+    assert of_events(plan) and not [c for c in of_events(plan) if "regexp" in c.lower()]

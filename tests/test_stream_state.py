@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from tests.test_streams import FakeHandle, FakeMap, Times
-from vacancia.streaming import ordered
+from vacancia.streaming import ordered, sending
 
 
 class CountedMap(FakeMap):
@@ -227,3 +227,30 @@ def test_addresses_that_are_forgotten_at_once_cost_no_calls():
     op.known.getValue = None
     (out,) = op.handleExpiredTimer((7,), Times(10**9), Times(min(handle.timers)))
     assert sorted(out["fetch_id"]) == list(range(900)) and not op.known.calls and not op.slots
+
+
+def test_postings_of_a_bucket_are_told_together_and_each_by_its_key():
+    """A frame a bucket; texts that differ behind a zero character are different keys."""
+    rng = random.Random(5)
+    made, want, roles, winners = [], {}, {}, {}
+    for k in range(300):
+        url = rng.choice([None, f"u{rng.randrange(12)}"])
+        key = url or f"\0{k}"
+        made.append((key, url is not None, k, k // 3, f"Acme\0job {rng.randrange(20)}", f"t{k}"))
+        role = roles.setdefault(key, made[-1][4])
+        want[k] = (role, *winners.setdefault(role, (k, f"t{k}")))
+    columns = ["url_key", "has_url", "capture_id", "at", "role", "token"]
+    of_url, of_role = sending._FirstOfUrl(), sending._FirstOfRole()
+    got = {}
+    handles = [CountedHandle() for _ in range(2)]
+    of_url.init(handles[0])
+    of_role.init(handles[1])
+    for part in (made[:90], made[90:]):
+        part = rng.sample(part, len(part))
+        arriving = pd.DataFrame(part, columns=columns)
+        [told] = of_url.handleInputRows((0,), iter([arriving[:7], arriving[7:]]), Times(0))
+        [ended] = of_role.handleInputRows((0,), iter([told]), Times(0))
+        got |= {r.capture_id: (r.role, r.winner, r.token) for r in ended.itertuples()}
+    assert got == want
+    # What is without a URL is not asked for again.
+    assert of_url.known.calls == len(of_url.known) <= 12 and of_role.known.calls == len(winners)

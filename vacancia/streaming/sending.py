@@ -4,13 +4,15 @@ History is state, keyed by what decides: of each URL the role of its first posti
 role the posting that was sent for it and its token. A micro-batch looks up its own keys, so
 its work does not grow with what was sent before, and no text goes into the state. Postings
 are expected in order from micro-batch to micro-batch; those of one micro-batch may come in
-any order, and of one key they are held together.
+any order. Keys are dealt over buckets, and what one holds of a micro-batch, without texts, is
+held together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,76 +22,90 @@ from vacancia.functions.urls import application_url
 from vacancia.operators import lookup, submissions
 from vacancia.operators.keys import spread_nulls
 from vacancia.plans.flow import ended_outcome
+from vacancia.streaming.ordered import BUCKETS, FRAME
 
 ROW = "capture_id long, at long"
 OF_URL = f"url_key string, {ROW}, role string, first boolean, token string"
 OF_ROLE = f"role string, {ROW}, winner long, token string"
+# Stands for a time or an id that is missing, so that columns of whole numbers stay that; comes last.
+LAST = (1 << 63) - 1
 
 
-class _InOneBatch(StatefulProcessor):
-    """Takes the rows that a key has in a micro-batch in order."""
+class _FirstOfKey(StatefulProcessor):
+    """Takes the rows that the keys of a bucket have in a micro-batch in order.
+
+    What was decided for a key is an entry of a map in the state.
+    """
+
+    by: str
+    decided: str
+    # The columns of the first row that are decided.
+    offered: tuple[str, ...]
+    # Marks the rows that may decide for their key, and those whose decision is to be known later.
+    may: str | None = None
+    keeps: str | None = None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "key string", self.decided)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "capture_id"], kind="stable")
-        yield self.take(key[0], batch)
+        batch = pd.concat(list(rows)).sort_values(["at", "capture_id"], kind="stable", ignore_index=True)
+        # By plain texts: pandas takes those that differ behind a zero character for equal.
+        names: dict[str | None, int] = {}
+        codes = np.array([names.setdefault(name, len(names)) for name in batch[self.by].tolist()])
+        every = np.ones(len(batch), dtype=bool)
+        may = every if self.may is None else batch[self.may].to_numpy(dtype=bool)
+        keeps = every if self.keeps is None else batch[self.keeps].to_numpy(dtype=bool)
+        # Of each key the first row, of those that may decide where there are any.
+        heads = np.empty(len(names), dtype=int)
+        for at in (np.arange(len(batch)), np.flatnonzero(may)):
+            heads[codes[at[::-1]]] = at[::-1]
+        kept = np.zeros(len(names), dtype=bool)
+        kept[codes[keeps]] = True
+        offers = zip(*[batch[c].to_numpy(dtype=object)[heads] for c in self.offered])
+        some = next(iter(self.known.keys()), None) is not None
+        found, new = [], np.ones(len(names), dtype=bool)
+        for i, (name, own) in enumerate(zip(names, offers)):
+            if kept[i] and isinstance(name, str):
+                before = self.known.getValue((name,)) if some else None
+                if before is None:
+                    self.known.updateValue((name,), own)
+                else:
+                    own, new[i] = tuple(before), False
+            found.append(own)
+        first = new[codes] & (heads[codes] == np.arange(len(batch)))
+        yield self.told(batch, [np.array(c, dtype=object)[codes] for c in zip(*found)], first)
 
     def close(self) -> None:
         pass
 
 
-class _FirstOfUrl(_InOneBatch):
-    """Every posting with the role of the first one of its URL."""
+class _FirstOfUrl(_FirstOfKey):
+    """Every posting with the role of the first one of its URL; one without is alone."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.role = handle.getValueState("role", "role string")
-
-    def take(self, key, rows):
-        known = self.role.exists()
-        role = self.role.get()[0] if known else rows["role"].iloc[0]
-        first = pd.Series(False, index=range(len(rows)))
-        if not known:
-            first[0] = True
-            if rows["has_url"].iloc[0]:
-                self.role.update((role,))
-        return pd.DataFrame(
-            {
-                "url_key": key,
-                "capture_id": rows["capture_id"].to_numpy(),
-                "at": rows["at"].to_numpy(),
-                "role": role,
-                "first": first.to_numpy(),
-                "token": rows["token"].to_numpy(),
-            }
-        )
-
-
-class _FirstOfRole(_InOneBatch):
-    """Every posting with the one that is sent for its role."""
+    by, decided, keeps, offered = "url_key", "role string", "has_url", ("role",)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getValueState("sent", "winner long, token string")
-
-    def take(self, key, rows):
-        if self.sent.exists():
-            winner, token = self.sent.get()
-        else:
-            # The first posting of a URL comes ahead of what repeats it.
-            first = rows[rows["first"]].iloc[0]
-            winner, token = int(first["capture_id"]), first["token"]
-            self.sent.update((winner, token))
-        return pd.DataFrame(
-            {
-                "role": key,
-                "capture_id": rows["capture_id"].to_numpy(),
-                "at": rows["at"].to_numpy(),
-                "winner": winner,
-                "token": token,
-            }
-        )
-
-
-def _keyed_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return rows.groupBy(key).transformWithStateInPandas(
+    def told(self, batch, found, first):
+        return batch.assign(role=found[0], first=first)[["url_key", "capture_id", "at", "role", "first", "token"]]
+
+
+class _FirstOfRole(_FirstOfKey):
+    """Every posting with the one that is sent for its role: the first posting of a URL comes
+    ahead of what repeats it."""
+
+    by, decided, may, offered = "role", "winner long, token string", "first", ("capture_id", "token")
+
+    def told(self, batch, found, first):
+        winner = found[0].astype("int64")
+        return batch.assign(winner=winner, token=found[1])[["role", "capture_id", "at", "winner", "token"]]
+
+
+def _keyed_state(rows: DataFrame, processor: _FirstOfKey, schema: str) -> DataFrame:
+    """Keys are dealt over buckets, which share state and frames: most have few rows, and a state
+    of their own costs more."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FRAME))
+    bucket = F.pmod(F.xxhash64(processor.by), F.lit(BUCKETS)).alias("bucket")
+    return rows.select(bucket, "*").groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
     )
 
@@ -111,13 +127,15 @@ def send_stream(
     fresh = submissions.with_token(looked.filter(F.col("match").isNull())).select(
         spread_nulls(F.col("source_url"), F.col(row)).alias("url_key"),
         F.col("source_url").isNotNull().alias("has_url"),
-        F.col(row).cast("long").alias("capture_id"),
-        F.unix_micros(F.col(order).cast("timestamp")).alias("at"),
+        F.coalesce(F.col(row).cast("long"), F.lit(LAST)).alias("capture_id"),
+        F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(LAST)).alias("at"),
         spread_nulls(role, F.col(row)).alias("role"),
         F.col("pending_token").alias("token"),
     )
-    of_url = _keyed_state(fresh, "url_key", _FirstOfUrl(), OF_URL)
-    of_role = _keyed_state(of_url, "role", _FirstOfRole(), OF_ROLE)
+    of_url = _keyed_state(fresh, _FirstOfUrl(), OF_URL)
+    of_role = _keyed_state(of_url, _FirstOfRole(), OF_ROLE)
+    missing = {c: F.nullif(F.col(c), F.lit(LAST)) for c in ("capture_id", "at", "winner")}
+    of_role = of_role.withColumns(missing)
     if refused is None:
         told = of_role.withColumn("_error", F.lit(None).cast("string"))
     else:
